@@ -26,8 +26,7 @@ def clip(x, lo, hi) -> Column:
 
 def div(a, b) -> Column:
     """a / b, null when b is 0 or null."""
-    a, b = col(a), col(b)
-    return F.when(b != 0, a / b)
+    return F.try_divide(col(a), col(b))
 
 
 def sigmoid(x) -> Column:

@@ -10,25 +10,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.core import col, div
+from plumbline.functions.core import div, seeded_hash
 
 RANGES = 64
 
 
+def _with_code(df: DataFrame, value: str) -> DataFrame:
+    """Add a number that sorts like ``value``; for text, the bytes after the prefix all share."""
+    if not isinstance(df.schema[value].dataType, T.StringType):
+        return df.withColumn("_code", F.col(value).cast("double"))
+    ends = df.agg(F.struct(F.hex(F.min(value)).alias("a"), F.hex(F.max(value)).alias("b"))).scalar()
+    d = df.withColumn("_ends", ends)
+    steps = F.sequence(F.lit(1), F.greatest(F.length("_ends.a"), F.lit(1)))
+    shared = F.size(F.filter(steps, lambda i: F.substring(F.col("_ends.a"), F.lit(1), i) == F.substring(F.col("_ends.b"), F.lit(1), i)))
+    tail = F.rpad(F.substring(F.hex(value), shared + 1, F.lit(12)), 12, "0")
+    return d.withColumn("_code", F.conv(tail, 16, 10).cast("double")).drop("_ends")
+
+
 def value_ranks(df: DataFrame, by: list[str], value: str, carry: dict[str, Column] | None = None, ranges: int = RANGES) -> DataFrame:
     """One row per distinct (by, value): ``ties``, ``below`` (count of smaller values), ``n``; for
     every carried aggregate also ``<name>`` and ``<name>_below``. Null values are left out."""
     carry = {"ties": F.count(F.lit(1)), **(carry or {})}
     names = list(carry)
     freq = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[e.alias(n) for n, e in carry.items()])
+    freq = _with_code(freq, value)
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    sketch = F.percentile_approx(F.col(value).cast("double"), probs, F.lit(1000))
+    sketch = F.percentile_approx("_code", probs, F.lit(1000))
     if by:
         placed = freq.join(freq.groupBy(*by).agg(sketch.alias("_cuts")), by)
     else:
         placed = freq.withColumn("_cuts", freq.agg(sketch.alias("_cuts")).scalar())
-    placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double")))).drop("_cuts")
+    placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_code")))).drop("_cuts", "_code")
     totals = placed.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
     key = [F.col(b) for b in by] or [F.lit(0)]
     before = W.partitionBy(*key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -52,6 +66,20 @@ def with_avg_rank(df: DataFrame, by: list[str], value: str, out: str, count: str
     return df.join(ranks, [*by, value], "left")
 
 
+def hash_order(df: DataFrame, by: list[str], key: str, seed) -> DataFrame:
+    """Add ``pos`` (0-based place in seeded hash order inside ``by``) and ``n`` (group size).
+
+    Hash values are uniform, so their first two digits cut every group into 256 even ranges."""
+    h = F.concat(F.lpad(F.hex(seeded_hash(seed, key)), 8, "0"), F.lit("|"), F.col(key).cast("string"))
+    d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 2))
+    g = [F.col(b) for b in by] or [F.lit(0)]
+    before = W.partitionBy(*g).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    sizes = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = sizes.select(*by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"), F.sum("_c").over(W.partitionBy(*g)).alias("n"))
+    place = F.row_number().over(W.partitionBy(*by, "_b").orderBy("_h")) - 1
+    return d.join(sizes, [*by, "_b"]).withColumn("pos", place + F.col("_o")).drop("_h", "_b", "_o")
+
+
 def percentile_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Rank mapped to [0, 1] with ties averaged; null when fewer than two values exist."""
     return with_avg_rank(df, by, value, "_r", "_n").withColumn(out, F.when(F.col("_n") > 1, (F.col("_r") - 1) / (F.col("_n") - 1))).drop("_r", "_n")
@@ -117,5 +145,5 @@ def mann_whitney(df: DataFrame, by: list[str], value: str, first: Column) -> Dat
     nb = n - na
     u = F.sum(F.col("a") * avg_rank()) - na * (na + 1) / 2.0
     ties = F.sum(F.pow("ties", 3) - F.col("ties"))
-    sd = F.sqrt(na * nb / 12.0 * ((n + 1) - ties / (n * (n - 1))))
+    sd = F.sqrt(na * nb / 12.0 * ((n + 1) - F.coalesce(div(ties, n * (n - 1)), F.lit(0.0))))
     return r.groupBy(*by).agg(u.alias("u"), (2 * div(u, na * nb) - 1).alias("rank_biserial"), div(u - na * nb / 2.0, sd).alias("z"), na.alias("n_a"), nb.alias("n_b"))

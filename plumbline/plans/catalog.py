@@ -3,3 +3,5 @@
 from plumbline.plans import cleaning  # noqa: F401
 from plumbline.plans import assembly  # noqa: F401
 from plumbline.plans import spatial  # noqa: F401
+from plumbline.plans import graphs  # noqa: F401
+from plumbline.plans import splits  # noqa: F401

@@ -101,11 +101,11 @@ def _(t):
     return S.first_polygon(t.units, _boxes(t), "zcta_id", "lon", "lat", "poly_id")
 
 
-UBOX = "SELECT zcta_id, lon AS x0, lat AS y0, 0.6 + (k % 5) / 10.0 AS w, 0.4 + (k % 3) / 10.0 AS h FROM units"
+UBOX = "SELECT zcta_id, lon AS x0, lat AS y0, 0.61 + (k % 5) / 10.0 AS w, 0.41 + (k % 3) / 10.0 AS h FROM units"
 
 
 def _unit_boxes(t):
-    w, h = 0.6 + F.col("k") % 5 / 10.0, 0.4 + F.col("k") % 3 / 10.0
+    w, h = 0.61 + F.col("k") % 5 / 10.0, 0.41 + F.col("k") % 3 / 10.0
     c = lambda dx, dy: F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
     z = F.lit(0.0)
     return t.units.select("zcta_id", F.array(c(z, z), c(w, z), c(w, h), c(z, h)).alias("ring"))
@@ -123,12 +123,10 @@ def _(t):
 
 
 @query("j11_zone_percentages", W("units", u=UBOX, b=BOX, o=OVL, g="SELECT zcta_id, sum(CASE WHEN cls = 'A' THEN o ELSE 0 END) AS a, sum(CASE WHEN cls <> 'A' THEN o ELSE 0 END) AS x FROM o GROUP BY 1",
-       p="SELECT u.zcta_id, least(coalesce(a, 0) / (w * h) * 100, 100) AS a, least(coalesce(x, 0) / (w * h) * 100, 100) AS x FROM u LEFT JOIN g USING (zcta_id)") + "SELECT zcta_id, round(a, 1) AS pct_zone_a, round(x, 1) AS pct_zone_x500 FROM p WHERE (abs(a * 10 - floor(a * 10) - 0.5) > 0.1 OR a IN (0, 100)) AND (abs(x * 10 - floor(x * 10) - 0.5) > 0.1 OR x IN (0, 100))")
+       p="SELECT u.zcta_id, least(coalesce(a, 0) / (w * h) * 100, 100) AS a, least(coalesce(x, 0) / (w * h) * 100, 100) AS x FROM u LEFT JOIN g USING (zcta_id)") + "SELECT zcta_id, round_even(a, 2) AS pct_zone_a, round_even(x, 2) AS pct_zone_x500, a > 0.005 AS sfha FROM p")
 def _(t):
     z = _boxes(t).withColumn("cls", F.when(F.col("p_size") % 2 == 0, "A").otherwise("X500"))
-    p = S.zone_percentages(_unit_boxes(t), z, "zcta_id", "poly_id", "cls")
-    clear = lambda c: (F.abs(F.col(c) * 10 - F.floor(F.col(c) * 10) - 0.5) > 0.1) | F.col(c).isin(0.0, 100.0)
-    return p.filter(clear("pct_zone_a") & clear("pct_zone_x500")).select("zcta_id", F.round("pct_zone_a", 1).alias("pct_zone_a"), F.round("pct_zone_x500", 1).alias("pct_zone_x500"))
+    return S.zone_percentages(_unit_boxes(t), z, "zcta_id", "poly_id", "cls").drop("pct_zone_x")
 
 
 @query("j11_merge_shards", "SELECT l_suppkey AS zcta_id, round_even(least(sum(CASE WHEN l_returnflag = 'A' THEN l_tax ELSE 0 END) / 131.7 * 100, 100), 2) AS pct_zone_a, round_even(least(sum(CASE WHEN l_returnflag = 'R' THEN l_tax ELSE 0 END) / 131.7 * 100, 100), 2) AS pct_zone_x500 FROM lineitem GROUP BY 1")
