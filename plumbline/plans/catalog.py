@@ -6,3 +6,4 @@ from plumbline.plans import spatial  # noqa: F401
 from plumbline.plans import graphs  # noqa: F401
 from plumbline.plans import splits  # noqa: F401
 from plumbline.plans import certify  # noqa: F401
+from plumbline.plans import serving  # noqa: F401
