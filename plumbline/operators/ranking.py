@@ -82,7 +82,7 @@ def hash_order(df: DataFrame, by: list[str], key: str, seed) -> DataFrame:
 
 def percentile_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Rank mapped to [0, 1] with ties averaged; null when fewer than two values exist."""
-    return with_avg_rank(df, by, value, "_r", "_n").withColumn(out, F.when(F.col("_n") > 1, (F.col("_r") - 1) / (F.col("_n") - 1))).drop("_r", "_n")
+    return with_avg_rank(df, by, value, "_prk", "_prn").withColumn(out, F.when(F.col("_prn") > 1, (F.col("_prk") - 1) / (F.col("_prn") - 1))).drop("_prk", "_prn")
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
