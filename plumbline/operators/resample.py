@@ -107,7 +107,7 @@ def sign_flip_p(df: DataFrame, by: list[str], diff: str, exact_up_to: int = 15,
     n = df.filter(F.col(diff).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(diff).alias("observed"))
     small = df.filter(F.col(diff).isNotNull()).join(n.filter(F.col("n") <= exact_up_to).select(*by), by, "left_semi") if by else df.filter(F.col(diff).isNotNull())
     arr = small.groupBy(*by).agg(F.array_sort(F.collect_list(diff)).alias("d")).filter(F.size("d") <= exact_up_to)  # at most exact_up_to values
-    pat = arr.withColumn("mask", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.size("d")) - 1)))
+    pat = arr.withColumn("mask", F.explode(F.expr("sequence(0, shiftleft(1, size(d)) - 1)")))
     signed = F.transform("d", lambda x, i: F.when(F.getbit(F.col("mask"), i) == 1, x).otherwise(-x))
     mean = F.aggregate(signed, F.lit(0.0), lambda s, v: s + v) / F.size("d")
     ex = pat.select(*by, mean.alias("null"))

@@ -8,3 +8,4 @@ from plumbline.plans import splits  # noqa: F401
 from plumbline.plans import certify  # noqa: F401
 from plumbline.plans import serving  # noqa: F401
 from plumbline.plans import series  # noqa: F401
+from plumbline.plans import inferring  # noqa: F401
