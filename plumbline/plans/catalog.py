@@ -10,3 +10,4 @@ from plumbline.plans import serving  # noqa: F401
 from plumbline.plans import series  # noqa: F401
 from plumbline.plans import inferring  # noqa: F401
 from plumbline.plans import evidencing  # noqa: F401
+from plumbline.plans import auditing, inputs  # noqa: F401
