@@ -120,12 +120,12 @@ def _(t):
     return rnd(A.support_coverage(d, "y", ["a", "b"]), 8, "support_coverage")
 
 
-@query("a14_geometry_kappa", W("units", "edges", s="SELECT zcta_id FROM units WHERE k % 13 < 4", e="SELECT src, dst FROM edges WHERE src IN (SELECT * FROM s) AND dst IN (SELECT * FROM s)",
-       x="SELECT zcta_id, county_fips FROM units UNION ALL SELECT zcta_id, 'other' FROM units WHERE k % 7 = 0", t1="SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e))::DOUBLE / (SELECT count(*) FROM s) AS a",
+@query("a14_geometry_kappa", W("units", "edges", s="SELECT zcta_id FROM units WHERE segment IN ('BUILDING', 'MACHINERY')", e="SELECT src, dst FROM edges WHERE src IN (SELECT * FROM s) AND dst IN (SELECT * FROM s)",
+       x="SELECT zcta_id, county_fips FROM units UNION ALL SELECT zcta_id, 'other' FROM units WHERE acct < 0", t1="SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e))::DOUBLE / (SELECT count(*) FROM s) AS a",
        t2="SELECT 1 - avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END) AS b FROM (SELECT zcta_id, count(DISTINCT county_fips) AS n FROM x WHERE zcta_id IN (SELECT * FROM s) GROUP BY 1)") + "SELECT round(a, 8) AS spatial_connectivity, round(b, 8) AS admin_alignment, round((a + b) / 2, 8) AS kappa_geom FROM t1, t2")
 def _(t):
-    s = t.units.filter(F.col("k") % 13 < 4)
-    x = t.units.select("zcta_id", "county_fips").union(t.units.filter(F.col("k") % 7 == 0).select("zcta_id", F.lit("other")))
+    s = t.units.filter("segment IN ('BUILDING', 'MACHINERY')")
+    x = t.units.select("zcta_id", "county_fips").union(t.units.filter("acct < 0").select("zcta_id", F.lit("other")))
     return rnd(A.geometry_kappa(A.spatial_connectivity(t.edges, s), A.administrative_alignment(x, s)), 8, "spatial_connectivity", "admin_alignment", "kappa_geom")
 
 
@@ -202,9 +202,9 @@ def _(t):
     return rnd(A.scorecard(t.fold_metrics, "model_version", "task", ["A", "N", "R"], "metric"), 8, "A", "N", "R", "mean", "best")
 
 
-@query("a29_sar_anomaly", W("units") + "SELECT zcta_id, pop / 100 - CASE WHEN k % 3 = 0 THEN k % 20 ELSE 0 END AS sar_anomaly_pct FROM units")
+@query("a29_sar_anomaly", W("units") + "SELECT zcta_id, pop / 100 - CASE WHEN pop > 4500 THEN k % 20 ELSE 0 END AS sar_anomaly_pct FROM units")
 def _(t):
-    return A.sar_anomaly(t.units.select("zcta_id", (F.col("pop") / 100).alias("flood_pct")), t.units.filter(F.col("k") % 3 == 0).select("zcta_id", (F.col("k") % 20).cast("double").alias("permanent_pct"))).select("zcta_id", "sar_anomaly_pct")
+    return A.sar_anomaly(t.units.select("zcta_id", (F.col("pop") / 100).alias("flood_pct")), t.units.filter("pop > 4500").select("zcta_id", (F.col("k") % 20).cast("double").alias("permanent_pct"))).select("zcta_id", "sar_anomaly_pct")
 
 
 @query("a30_region_embedding", "WITH m AS (SELECT label, CAST(i AS INTEGER) - 1 AS dim, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) SELECT label, dim, round((m - avg(m) OVER (PARTITION BY dim)) / stddev_pop(m) OVER (PARTITION BY dim), 5) AS z FROM m")
@@ -241,9 +241,9 @@ def _(t):
     return T.fill_from(T.year_spine(t.units.select("zcta_id"), 1995, 2001), y, ["zcta_id", "year"], ["n"])
 
 
-@query("j03_county_to_unit", W("units") + "SELECT u.zcta_id, u.county_fips, coalesce(n, 0) AS n FROM units u LEFT JOIN (SELECT lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS county_fips, count(*) AS n FROM supplier WHERE s_nationkey % 3 > 0 GROUP BY 1) USING (county_fips)")
+@query("j03_county_to_unit", W("units") + "SELECT u.zcta_id, u.county_fips, coalesce(n, 0) AS n FROM units u LEFT JOIN (SELECT lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS county_fips, count(*) AS n FROM supplier WHERE s_acctbal > 2000 GROUP BY 1) USING (county_fips)")
 def _(t):
-    f = t.raw("supplier").filter(F.col("s_nationkey") % 3 > 0).groupBy(zfill("s_nationkey", 5).alias("county_fips")).agg(F.count(F.lit(1)).alias("n"))
+    f = t.raw("supplier").filter("s_acctbal > 2000").groupBy(zfill("s_nationkey", 5).alias("county_fips")).agg(F.count(F.lit(1)).alias("n"))
     return T.county_to_unit(t.units, f, ["n"])
 
 
@@ -259,12 +259,12 @@ def _(t):
     return rnd(T.tract_to_unit(t.raw("orders").select(F.col("o_custkey").alias("tract"), "o_totalprice"), x, ["o_totalprice"]), 4, "o_totalprice")
 
 
-@query("j16_catchment_to_unit", """WITH a AS (SELECT p_partkey AS comid, p_size::DOUBLE AS wet FROM part WHERE p_partkey % 3 > 0), b AS (SELECT p_partkey AS comid, p_retailprice AS slope FROM part WHERE p_partkey % 4 > 0), m AS (SELECT * FROM a FULL JOIN b USING (comid)),
+@query("j16_catchment_to_unit", """WITH a AS (SELECT p_partkey AS comid, p_size::DOUBLE AS wet FROM part WHERE p_size > 16), b AS (SELECT p_partkey AS comid, p_retailprice AS slope FROM part WHERE p_size < 40), m AS (SELECT * FROM a FULL JOIN b USING (comid)),
     f AS (SELECT l_partkey AS comid, l_suppkey AS zcta_id, sum(l_quantity) AS fraction FROM lineitem GROUP BY 1, 2) SELECT zcta_id, round(sum(wet * fraction) / sum(fraction) FILTER (wet IS NOT NULL), 6) AS wet, round(sum(slope * fraction) / sum(fraction) FILTER (slope IS NOT NULL), 6) AS slope FROM f LEFT JOIN m USING (comid) GROUP BY 1""")
 def _(t):
     p = t.raw("part")
-    a = p.filter(F.col("p_partkey") % 3 > 0).select(F.col("p_partkey").alias("comid"), F.col("p_size").cast("double").alias("wet"))
-    b = p.filter(F.col("p_partkey") % 4 > 0).select(F.col("p_partkey").alias("comid"), F.col("p_retailprice").alias("slope"))
+    a = p.filter("p_size > 16").select(F.col("p_partkey").alias("comid"), F.col("p_size").cast("double").alias("wet"))
+    b = p.filter("p_size < 40").select(F.col("p_partkey").alias("comid"), F.col("p_retailprice").alias("slope"))
     f = t.raw("lineitem").groupBy(F.col("l_partkey").alias("comid"), F.col("l_suppkey").alias("zcta_id")).agg(F.sum("l_quantity").alias("fraction"))
     return rnd(T.catchment_to_unit(a, b, f, ["wet", "slope"]), 6, "wet", "slope")
 
@@ -288,16 +288,16 @@ def _(t):
     return T.normalise_fractions(p, "comid", "area", "total", 0.03).select("comid", "zcta_id", "fraction")
 
 
-@query("j29_deployment_universe", W("units") + "SELECT zcta_id, county_fips, CASE WHEN k % 3 = 0 THEN pop END AS pop FROM units WHERE county_fips IN (SELECT county_fips FROM units WHERE k % 97 = 0)")
+@query("j29_deployment_universe", W("units") + "SELECT zcta_id, county_fips, CASE WHEN pop > 3000 THEN pop END AS pop FROM units WHERE county_fips IN (SELECT county_fips FROM units WHERE acct > 9900)")
 def _(t):
-    return T.deployment_universe(t.units.filter(F.col("k") % 97 == 0), t.units.select("zcta_id", "county_fips"), t.units.filter(F.col("k") % 3 == 0).select("zcta_id", "pop"))
+    return T.deployment_universe(t.units.filter("acct > 9900"), t.units.select("zcta_id", "county_fips"), t.units.filter("pop > 3000").select("zcta_id", "pop"))
 
 
-@query("w19_upsert_last", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part WHERE p_partkey % 5 > 0 OR p_partkey % 3 = 0")
+@query("w19_upsert_last", "SELECT p_partkey, CASE WHEN p_size < 20 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part WHERE p_size > 10 OR p_size < 20")
 def _(t):
     p = t.raw("part")
-    old = p.filter(F.col("p_partkey") % 5 > 0).select("p_partkey", F.col("p_retailprice").alias("price"))
-    return T.upsert_last(old, p.filter(F.col("p_partkey") % 3 == 0).select("p_partkey", (F.col("p_retailprice") * 2).alias("price")), ["p_partkey"])
+    old = p.filter("p_size > 10").select("p_partkey", F.col("p_retailprice").alias("price"))
+    return T.upsert_last(old, p.filter("p_size < 20").select("p_partkey", (F.col("p_retailprice") * 2).alias("price")), ["p_partkey"])
 
 
 @query("w20_align_union", "SELECT o_orderkey AS k, o_totalprice AS price, NULL::VARCHAR AS note FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, NULL, o_orderpriority FROM orders WHERE o_orderstatus = 'P'")

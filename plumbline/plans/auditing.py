@@ -139,11 +139,11 @@ def _(t):
     return Q.declared_outputs(*_keys(t)).select("phase", "key", "severity")
 
 
-@query("q12_convention_outputs", KEYS.replace("CASE WHEN o_custkey % 10 > 0", "CASE WHEN o_custkey % 10 > 0 AND o_orderpriority < '3'") + ", c AS (SELECT DISTINCT o_orderpriority AS phase, 'k' || CAST(o_custkey AS VARCHAR) AS key FROM orders WHERE o_orderpriority > '3' AND o_custkey % 7 = 0) SELECT phase, key, CASE WHEN key IN (SELECT key FROM i) THEN 'WARN_CONTRACT_GAP' ELSE 'FAIL_MISSING_OUTPUT' END AS severity FROM c UNION ALL SELECT NULL, key, 'WARN_UNDECLARED_ARTIFACT' FROM i WHERE key NOT IN (SELECT key FROM c) AND key NOT IN (SELECT key FROM d WHERE key IS NOT NULL)")
+@query("q12_convention_outputs", KEYS.replace("CASE WHEN o_custkey % 10 > 0", "CASE WHEN o_custkey % 10 > 0 AND o_orderpriority < '3'") + ", c AS (SELECT DISTINCT o_orderpriority AS phase, 'k' || CAST(o_custkey AS VARCHAR) AS key FROM orders WHERE o_orderpriority > '3' AND o_totalprice > 200000) SELECT phase, key, CASE WHEN key IN (SELECT key FROM i) THEN 'WARN_CONTRACT_GAP' ELSE 'FAIL_MISSING_OUTPUT' END AS severity FROM c UNION ALL SELECT NULL, key, 'WARN_UNDECLARED_ARTIFACT' FROM i WHERE key NOT IN (SELECT key FROM c) AND key NOT IN (SELECT key FROM d WHERE key IS NOT NULL)")
 def _(t):
     d, i = _keys(t)
     d = d.withColumn("key", F.when(F.col("phase") < "3", F.col("key")))
-    c = t.raw("orders").filter("o_orderpriority > '3' AND o_custkey % 7 = 0").select(F.col("o_orderpriority").alias("phase"), F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("key")).distinct()
+    c = t.raw("orders").filter("o_orderpriority > '3' AND o_totalprice > 200000").select(F.col("o_orderpriority").alias("phase"), F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("key")).distinct()
     return Q.convention_outputs(c, d, i)
 
 
@@ -169,12 +169,12 @@ def _(t):
     return Q.ordering_gate(rules, art)
 
 
-@query("q14_cross_validation", "SELECT 'price' AS \"column\", count(*) AS n, round(max(d), 6) AS max_abs_diff, round(avg(d), 6) AS mean_abs_diff, count(*) FILTER (d > 0.1) AS n_over_tolerance, round(corr(p, q), 8) AS corr FROM (SELECT p_retailprice AS p, p_retailprice + (p_partkey % 7) / 50.0 AS q, abs((p_partkey % 7) / 50.0) AS d FROM part WHERE p_partkey % 5 > 0)")
+@query("q14_cross_validation", "SELECT 'price' AS \"column\", count(*) AS n, round(max(d), 6) AS max_abs_diff, round(avg(d), 6) AS mean_abs_diff, count(*) FILTER (d > 0.11) AS n_over_tolerance, round(corr(p, q), 8) AS corr FROM (SELECT p_retailprice AS p, p_retailprice + (p_partkey % 7) / 50.0 AS q, abs((p_partkey % 7) / 50.0) AS d FROM part WHERE p_size > 10)")
 def _(t):
     p = t.raw("part")
     a = p.select("p_partkey", F.col("p_retailprice").alias("price"))
-    b = p.filter("p_partkey % 5 > 0").select("p_partkey", (F.col("p_retailprice") + F.col("p_partkey") % 7 / 50.0).alias("price"))
-    return rnd(rnd(Q.cross_validation(a, b, "p_partkey", ["price"]), 6, "max_abs_diff", "mean_abs_diff"), 8, "corr")
+    b = p.filter("p_size > 10").select("p_partkey", (F.col("p_retailprice") + F.col("p_partkey") % 7 / 50.0).alias("price"))
+    return rnd(rnd(Q.cross_validation(a, b, "p_partkey", ["price"], 0.11), 6, "max_abs_diff", "mean_abs_diff"), 8, "corr")
 
 
 @query("q15_coverage_gate", W("units", g=GAPS) + "SELECT count(a) AS n_first, count(b) AS n_second, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_pairable, count(*) FILTER (a IS NOT NULL AND b > 1000) AS n_after_masks, count(*) FILTER (a IS NOT NULL AND b > 1000) >= 30 AS passes FROM g")

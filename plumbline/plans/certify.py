@@ -203,7 +203,7 @@ def _(t):
     d = G.gate_decision(_levels(t), FLAT).filter("level = 'r0'")
     z = F.col("zcta_id").cast("int")
     adm = d.select(*CK, F.when(z % 2 == 0, "EXECUTE").otherwise("BLOCK").alias("enforcement_decision"))
-    rt = d.filter(z % 3 < 2).select(*CK, F.when(z % 3 == 0, "REJECT").otherwise("RE_ENCODE").alias("internal_decision"))
+    rt = d.select(*CK, F.when(z % 3 == 0, "REJECT").when(z % 3 == 1, "RE_ENCODE").alias("internal_decision"))
     return G.routing_conflicts(d, CK, adm, rt).withColumn("conflicts", F.concat_ws(",", "conflicts"))
 
 

@@ -111,7 +111,7 @@ def _(t):
     return rnd(G.mean_residuals(d, [], "zcta", True), 6, "residual")
 
 
-@query("g14_variogram", W("units", p="SELECT zcta_id, lon AS x, lat AS y, acct AS v FROM units WHERE k % 10 < 10", q="SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, (a.v - b.v) * (a.v - b.v) AS s FROM p a JOIN p b ON a.zcta_id < b.zcta_id") + "SELECT floor(d / 1.5013)::BIGINT AS bin, round((floor(d / 1.5013) + 0.5) * 1.5013, 6) AS bin_center, count(*) AS n_pairs, round(avg(s) / 2, 3) AS semivariance FROM q WHERE d < 1.5013 * 12 GROUP BY 1, 2")
+@query("g14_variogram", W("units", p="SELECT zcta_id, lon AS x, lat AS y, acct AS v FROM units", q="SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, (a.v - b.v) * (a.v - b.v) AS s FROM p a JOIN p b ON a.zcta_id < b.zcta_id") + "SELECT floor(d / 1.5013)::BIGINT AS bin, round((floor(d / 1.5013) + 0.5) * 1.5013, 6) AS bin_center, count(*) AS n_pairs, round(avg(s) / 2, 3) AS semivariance FROM q WHERE d < 1.5013 * 12 GROUP BY 1, 2")
 def _(t):
     return rnd(rnd(G.pair_bins(t.units, "lon", "lat", "acct", 1.5013, 12), 6, "bin_center"), 3, "semivariance")
 
@@ -127,14 +127,14 @@ def _(t):
     return rnd(rnd(G.block_size_verdict(G.block_diameters(t.units.withColumn("f", F.col("k") % 4), "f"), 900.0), 6, "median_block_km"), 8, "ratio")
 
 
-BADE = f"SELECT src, dst FROM nbr WHERE src < '00400' OR src < dst UNION ALL SELECT src, src FROM edges WHERE src < '00009' UNION ALL SELECT src, 'zz' FROM edges WHERE src < '00005'"
+BADE = "SELECT src, dst FROM nbr WHERE weight = 1 OR src < dst UNION ALL SELECT src, src FROM edges WHERE weight < 1 UNION ALL SELECT src, 'zz' FROM edges WHERE weight = 1"
 
 
 @query("g16_adjacency_report", W("units", "edges", "nbr", b=BADE, e="SELECT DISTINCT src, dst FROM b", d="SELECT zcta_id, count(dst) FILTER (src <> dst) AS d FROM units LEFT JOIN e ON src = zcta_id GROUP BY 1") + """SELECT count(*) AS n_units, count(*) FILTER (d = 0) AS n_islands, min(d) AS min_degree, max(d) AS max_degree, round(avg(d), 6) AS mean_degree,
     (SELECT count(*) FROM e WHERE src = dst) AS n_self_loops, (SELECT count(*) FROM e WHERE src <> dst AND (dst, src) NOT IN (SELECT (src, dst) FROM e)) AS n_one_way, (SELECT count(*) FROM e WHERE src NOT IN (SELECT zcta_id FROM units)) AS n_outside FROM d""".replace("(dst, src) NOT IN (SELECT (src, dst) FROM e)", "NOT EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src)"))
 def _(t):
     n, e = _nbr(t), t.edges
-    b = n.filter("src < '00400' OR src < dst").select("src", "dst").union(e.filter("src < '00009'").select("src", F.col("src").alias("dst"))).union(e.filter("src < '00005'").select("src", F.lit("zz")))
+    b = n.filter("weight = 1 OR src < dst").select("src", "dst").union(e.filter("weight < 1").select("src", F.col("src").alias("dst"))).union(e.filter("weight = 1").select("src", F.lit("zz")))
     return rnd(G.adjacency_report(b, t.units), 6, "mean_degree")
 
 
@@ -149,9 +149,9 @@ def _(t):
     return rnd(G.leakage_rate(_nbr(t), u, "f"), 8, "leakage_rate")
 
 
-@query("g18_adjacency_coverage", W("units", "edges") + "SELECT count(*) AS n_populated, count(*) FILTER (h) AS n_covered, round(avg(h::INT), 8) AS coverage FROM (SELECT zcta_id IN (SELECT src FROM edges WHERE src > '00050' UNION ALL SELECT dst FROM edges WHERE src > '00050') AS h FROM units WHERE pop - 100 > 0)")
+@query("g18_adjacency_coverage", W("units", "edges") + "SELECT count(*) AS n_populated, count(*) FILTER (h) AS n_covered, round(avg(h::INT), 8) AS coverage FROM (SELECT zcta_id IN (SELECT src FROM edges UNION ALL SELECT dst FROM edges) AS h FROM units WHERE pop - 100 > 0)")
 def _(t):
-    return rnd(G.adjacency_coverage(t.edges.filter("src > '00050'"), t.units.withColumn("p", F.col("pop") - 100), "p"), 8, "coverage")
+    return rnd(G.adjacency_coverage(t.edges, t.units.withColumn("p", F.col("pop") - 100), "p"), 8, "coverage")
 
 
 G19 = f"""SELECT v.l, w.s, zcta_id, row_number() OVER (PARTITION BY v.l, w.s ORDER BY {hsh("='w' || CAST(w.s AS VARCHAR)", 'zcta_id')}, zcta_id) - 1 AS pos, floor(v.l * count(*) OVER (PARTITION BY v.l, w.s)) AS k FROM units CROSS JOIN (VALUES (0.2), (0.6)) v(l) CROSS JOIN (VALUES (0), (1)) w(s)"""

@@ -33,12 +33,12 @@ def _(t):
     return rnd(S.rain_timing(t.hourly), 6, "rain_peak_intensity_mm_hr", "rain_total_mm", "rain_p90_intensity")
 
 
-TIDE = "SELECT zcta_id, event, hour, rain / 5 AS observed_m, (extract(hour FROM hour) % 6) / 5.0 AS predicted_m FROM hourly WHERE zcta_id < '00120'"
+TIDE = "SELECT zcta_id, event, hour, rain / 5 AS observed_m, (extract(hour FROM hour) % 6) / 5.0 AS predicted_m FROM hourly WHERE event IN ('view', 'click', 'error')"
 ST = "SELECT zcta_id, event, max(observed_m - predicted_m) AS mx, CAST(count(*) FILTER (observed_m - predicted_m > 0.3) AS DOUBLE) AS dur, epoch(arg_min(hour, (predicted_m - observed_m, hour)) - min(hour)) / 3600 AS ph, max(predicted_m) - min(predicted_m) AS rg FROM td GROUP BY 1, 2"
 
 
 def _tides(t):
-    return t.hourly.filter("zcta_id < '00120'").select("zcta_id", "event", "hour", (F.col("rain") / 5).alias("observed_m"), (F.hour("hour") % 6 / 5.0).alias("predicted_m"))
+    return t.hourly.filter("event IN ('view', 'click', 'error')").select("zcta_id", "event", "hour", (F.col("rain") / 5).alias("observed_m"), (F.hour("hour") % 6 / 5.0).alias("predicted_m"))
 
 
 @query("w04_surge_timing", W("hourly", td=TIDE, s=ST) + "SELECT zcta_id, event, round(mx, 6) AS surge_max_m, dur AS surge_duration_hr, ph AS surge_peak_hour, round(rg, 6) AS tide_range_m FROM s")
@@ -46,10 +46,10 @@ def _(t):
     return rnd(S.surge_timing(_tides(t)), 6, "surge_max_m", "tide_range_m")
 
 
-@query("j17_w05_compound_timing", W("hourly", r=RT.replace("FROM hourly", "FROM hourly WHERE zcta_id > '00030'"), td=TIDE, s=ST) + """SELECT zcta_id, event, round(abs(coalesce(r.ph, 0) - coalesce(s.ph, 0)), 6) AS rain_surge_lag_hr, round(greatest(least(coalesce(r.dur, 0), coalesce(s.dur, 0)) - abs(coalesce(r.ph, 0) - coalesce(s.ph, 0)), 0), 6) AS rain_surge_overlap_hr,
+@query("j17_w05_compound_timing", W("hourly", r=RT.replace("FROM hourly", "FROM hourly WHERE event <> 'view'"), td=TIDE, s=ST) + """SELECT zcta_id, event, round(abs(coalesce(r.ph, 0) - coalesce(s.ph, 0)), 6) AS rain_surge_lag_hr, round(greatest(least(coalesce(r.dur, 0), coalesce(s.dur, 0)) - abs(coalesce(r.ph, 0) - coalesce(s.ph, 0)), 0), 6) AS rain_surge_overlap_hr,
     round(coalesce(tot, 0) / (SELECT greatest(max(tot), 1) FROM r) * coalesce(mx, 0) / (SELECT greatest(max(mx), 0.01) FROM s), 8) AS compound_score FROM r FULL JOIN s USING (zcta_id, event)""")
 def _(t):
-    c = S.compound_timing(S.rain_timing(t.hourly.filter("zcta_id > '00030'")), S.surge_timing(_tides(t)))
+    c = S.compound_timing(S.rain_timing(t.hourly.filter("event <> 'view'")), S.surge_timing(_tides(t)))
     return rnd(rnd(c.select("zcta_id", "event", "rain_surge_lag_hr", "rain_surge_overlap_hr", "compound_score"), 6, "rain_surge_lag_hr", "rain_surge_overlap_hr"), 8, "compound_score")
 
 
@@ -162,7 +162,7 @@ def _(t):
 
 BINS = ["q_bin", "x_bin", "d_bin"]
 BV = f"SELECT id, is_val, CASE WHEN q IS NULL THEN -1 WHEN q > 40 THEN 3 WHEN q > 25 THEN 2 WHEN q > 10 THEN 1 ELSE 0 END AS q_bin, CASE WHEN x > 0.05 THEN 2 WHEN x > 0.02 THEN 1 ELSE 0 END AS x_bin, CASE WHEN d > 0.07 THEN 2 WHEN d > 0.03 THEN 1 ELSE 0 END AS d_bin, q, p FROM v"
-VAL = f"SELECT * FROM b WHERE is_val AND NOT (q_bin = 3 AND id % 3 > 0) AND NOT (x_bin = 0 AND d_bin = 2 AND id % 2 = 0)"
+VAL = f"SELECT * FROM b WHERE is_val AND NOT (q_bin = 3 AND p > 60000) AND NOT (x_bin = 0 AND d_bin = 2 AND p < 30000)"
 BW = f"WITH v AS ({VALT}), b AS ({BV}), val AS ({VAL}), tgt AS (SELECT * FROM b WHERE NOT is_val)"
 LM = ", " + ", ".join(f"{n}m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS descriptor, {c} AS bin, count(*) / (SELECT count(*) FROM {src}) AS mass FROM {src} GROUP BY {c}" for c in BINS) + ")" for n, src in (("v", "val"), ("t", "tgt")))
 JOINB = ", fb AS (SELECT coalesce(vm.descriptor, tm.descriptor) AS descriptor, coalesce(vm.bin, tm.bin) AS bin, coalesce(vm.mass, 0) AS p, coalesce(tm.mass, 0) AS q FROM vm FULL JOIN tm ON vm.descriptor = tm.descriptor AND vm.bin = tm.bin)"
@@ -171,7 +171,7 @@ JOINB = ", fb AS (SELECT coalesce(vm.descriptor, tm.descriptor) AS descriptor, c
 def _bins(t):
     q, x, d = F.col("q"), F.col("x"), F.col("d")
     b = _valt(t).withColumns({"q_bin": F.when(q.isNull(), -1).when(q > 40, 3).when(q > 25, 2).when(q > 10, 1).otherwise(0), "x_bin": F.when(x > 0.05, 2).when(x > 0.02, 1).otherwise(0), "d_bin": F.when(d > 0.07, 2).when(d > 0.03, 1).otherwise(0)})
-    val = b.filter("is_val AND NOT (q_bin = 3 AND id % 3 > 0) AND NOT (x_bin = 0 AND d_bin = 2 AND id % 2 = 0)")
+    val = b.filter("is_val AND NOT (q_bin = 3 AND p > 60000) AND NOT (x_bin = 0 AND d_bin = 2 AND p < 30000)")
     return val, b.filter("NOT is_val")
 
 

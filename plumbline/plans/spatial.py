@@ -46,10 +46,10 @@ def _(t):
     return n.select("zcta_id", F.round("dist_km", 6).alias("nearest_train_km"))
 
 
-@query("j08_nearest_reference_by_group", W("units", u="SELECT zcta_id, lat, lon, k % 7 AS grp, k % 10 < 3 AS ref FROM units") + f"SELECT u.zcta_id, round(d, 6) AS nearest_reference_km FROM u LEFT JOIN (SELECT u.zcta_id, min({hav('u.lat', 'u.lon', 's.lat', 's.lon', MEAN_KM)}) AS d FROM u JOIN u s ON u.grp = s.grp AND s.ref AND s.grp <> 4 GROUP BY 1) USING (zcta_id)")
+@query("j08_nearest_reference_by_group", W("units", u="SELECT zcta_id, lat, lon, k % 7 AS grp, acct > 6000 AS ref FROM units") + f"SELECT u.zcta_id, round(d, 6) AS nearest_reference_km FROM u LEFT JOIN (SELECT u.zcta_id, min({hav('u.lat', 'u.lon', 's.lat', 's.lon', MEAN_KM)}) AS d FROM u JOIN u s ON u.grp = s.grp AND s.ref AND s.grp <> 4 GROUP BY 1) USING (zcta_id)")
 def _(t):
-    u = t.units.select("zcta_id", "lat", "lon", (F.col("k") % 7).alias("grp"), "k")
-    ref = u.filter((F.col("k") % 10 < 3) & (F.col("grp") != 4)).withColumnRenamed("zcta_id", "ref_id")
+    u = t.units.select("zcta_id", "lat", "lon", (F.col("k") % 7).alias("grp"), "acct")
+    ref = u.filter((F.col("acct") > 6000) & (F.col("grp") != 4)).withColumnRenamed("zcta_id", "ref_id")
     n = S.k_nearest(u, ref, "zcta_id", "ref_id", by=["grp"], radius=MEAN_KM)
     return u.select("zcta_id").join(n.select("zcta_id", F.round("dist_km", 6).alias("nearest_reference_km")), "zcta_id", "left")
 
