@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.core import div, seeded_hash
 
-RANGES = 64
+RANGES = 64  # a power of two
 
 
 def _with_code(df: DataFrame, value: str) -> DataFrame:
@@ -29,20 +29,27 @@ def _with_code(df: DataFrame, value: str) -> DataFrame:
     return d.withColumn("_code", F.conv(tail, 16, 10).cast("double")).drop("_ends")
 
 
-def value_ranks(df: DataFrame, by: list[str], value: str, carry: dict[str, Column] | None = None, ranges: int = RANGES) -> DataFrame:
+def _range_of(value: str) -> Column:
+    """How many of the sorted cuts lie below the value, by halving steps (six looks, not sixty-three)."""
+    steps = [RANGES >> i for i in range(1, RANGES.bit_length())]
+    look = lambda at, s: at + F.when(F.element_at("_cuts", at + s) < F.col(value), s).otherwise(0)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), look)
+
+
+def value_ranks(df: DataFrame, by: list[str], value: str, carry: dict[str, Column] | None = None) -> DataFrame:
     """One row per distinct (by, value): ``ties``, ``below`` (count of smaller values), ``n``; for
     every carried aggregate also ``<name>`` and ``<name>_below``. Null values are left out."""
     carry = {"ties": F.count(F.lit(1)), **(carry or {})}
     names = list(carry)
     freq = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[e.alias(n) for n, e in carry.items()])
     freq = _with_code(freq, value)
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    probs = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     sketch = F.percentile_approx("_code", probs, F.lit(1000))
     if by:
         placed = freq.join(freq.groupBy(*by).agg(sketch.alias("_cuts")), by)
     else:
         placed = freq.withColumn("_cuts", freq.agg(sketch.alias("_cuts")).scalar())
-    placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_code")))).drop("_cuts", "_code")
+    placed = placed.withColumn("_range", _range_of("_code")).drop("_cuts", "_code")
     totals = placed.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
     key = [F.col(b) for b in by] or [F.lit(0)]
     before = W.partitionBy(*key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -86,18 +93,32 @@ def percentile_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataF
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group."""
-    r = value_ranks(df, by, value)
-    v = F.col(value).cast("double")
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((F.col("below") <= position) & (position < F.col("below") + F.col("ties")), v))
-
+    """Exact quantiles with linear interpolation, one row per group.
+
+    A sketch cuts each group into ranges; one pass counts them (no row is shuffled); only the few
+    ranges that hold a wanted rank are then reduced to distinct values and ordered."""
+    d = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("_cuts")
+    cuts = d.groupBy(*by).agg(sketch)
+    d = d.join(cuts, by) if by else d.withColumn("_cuts", cuts.scalar())
+    d = d.select(*by, "_v", _range_of("_v").alias("_range"))
+    g = [F.col(b) for b in by] or [F.lit(0)]
+    before = W.partitionBy(*g).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = d.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumns({"_o": F.coalesce(F.sum("_c").over(before), F.lit(0)), "n": F.sum("_c").over(W.partitionBy(*g))})  # at most RANGES rows per group
+    pos = {k: F.lit(float(p)) * (F.col("n") - 1) for k, p in probs.items()}
+    inside = F.lit(False)
+    for e in pos.values():
+        inside = inside | ((F.col("_o") <= F.ceil(e)) & (F.floor(e) < F.col("_o") + F.col("_c")))
+    wanted = counts.filter(inside).select(*by, "_range", "_o", "n")
+    freq = d.join(wanted.select(*by, "_range"), [*by, "_range"], "left_semi").groupBy(*by, "_range", "_v").agg(F.count(F.lit(1)).alias("_t"))
+    w = W.partitionBy(*by, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    r = freq.join(wanted, [*by, "_range"]).withColumn("_b", F.col("_o") + F.coalesce(F.sum("_t").over(w), F.lit(0)))
+    at = lambda k: F.max(F.when((F.col("_b") <= k) & (k < F.col("_b") + F.col("_t")), F.col("_v")))
     cells = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("n") - 1)
-        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
-        cells.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(name))
+    for name, e in pos.items():
+        lo, hi = at(F.floor(e)), at(F.ceil(e))
+        cells.append((lo + (hi - lo) * F.max(e - F.floor(e))).alias(name))
     return r.groupBy(*by).agg(*cells, F.max("n").alias("n_values"))
 
 

@@ -25,20 +25,20 @@ def dense_hours(series: DataFrame, hour: str = "hour", value: str = "rain") -> D
     return s.join(one, ["zcta_id", "event", hour], "left").na.fill(0.0, [value])
 
 
-def rolling_peaks(dense: DataFrame, hour: str = "hour", value: str = "rain", windows: tuple[int, ...] = (1, 3, 6)) -> DataFrame:
+def rolling_peaks(series: DataFrame, hour: str = "hour", value: str = "rain", windows: tuple[int, ...] = (1, 3, 6)) -> DataFrame:
     """Largest k-hour sums, storm duration, time to peak and intensity variation per unit and event.
-    A series shorter than a window counts with its total."""
-    w = W.partitionBy("zcta_id", "event").orderBy(hour)
-    i = F.row_number().over(w)
-    d = dense.withColumn("_i", i)
-    for k in windows:
-        full = F.when(F.col("_i") >= k, F.sum(value).over(w.rowsBetween(-(k - 1), 0)))
-        d = d.withColumn(f"_s{k}", full)
-    wet = F.col(value) > WET_MM
+
+    Dry hours need no rows: rain is never negative, so some best window ends at a recorded hour, and
+    a range frame over the hour number sums what a frame over a dense series would. A window
+    longer than the series counts with its total, as there."""
+    one = series.groupBy("zcta_id", "event", F.floor(F.unix_timestamp(hour) / 3600).alias("_h")).agg(F.sum(F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0))).alias("_v"))
+    w = W.partitionBy("zcta_id", "event").orderBy("_h")  # at most the hours of one event
+    d = one.withColumns({f"_s{k}": F.sum("_v").over(w.rangeBetween(-(k - 1), 0)) for k in windows})
+    wet = F.col("_v") > WET_MM
     g = d.groupBy("zcta_id", "event").agg(
-        *[F.coalesce(F.max(f"_s{k}"), F.sum(value)).alias(f"peak_{k}h_mm") for k in windows], F.count_if(wet).alias("storm_duration_h"), F.min(F.when(wet, F.col("_i"))).alias("_first"),
-        F.min(F.struct((-F.col(value)).alias("v"), F.col("_i").alias("i")))["i"].alias("_peak"), F.stddev_pop(F.when(wet, F.col(value))).alias("_sd"), F.avg(F.when(wet, F.col(value))).alias("_m"))
-    return g.select("zcta_id", "event", *[f"peak_{k}h_mm" for k in windows], "storm_duration_h", F.coalesce(F.col("_peak") - F.col("_first"), F.lit(0)).alias("time_to_peak_h"),
+        *[F.max(f"_s{k}").alias(f"peak_{k}h_mm") for k in windows], F.count_if(wet).alias("storm_duration_h"), F.min(F.when(wet, F.col("_h"))).alias("_first"),
+        F.min(F.struct((-F.col("_v")).alias("v"), F.col("_h").alias("i")))["i"].alias("_peak"), F.stddev_pop(F.when(wet, F.col("_v"))).alias("_sd"), F.avg(F.when(wet, F.col("_v"))).alias("_m"))
+    return g.select("zcta_id", "event", *[f"peak_{k}h_mm" for k in windows], "storm_duration_h", F.coalesce(F.col("_peak") - F.col("_first"), F.lit(0)).cast("int").alias("time_to_peak_h"),
                     F.when(F.col("storm_duration_h") >= 2, div("_sd", "_m")).otherwise(0.0).alias("rainfall_intensity_cv"))
 
 

@@ -17,12 +17,12 @@ ROLL = "SELECT *, sum(rain) OVER (PARTITION BY zcta_id, event ORDER BY hour ROWS
 
 @query("w01_rolling_peaks", W("hourly", d=DENSE, r=ROLL) + "SELECT zcta_id, event, round(max(rain), 6) AS peak_1h_mm, round(max(s3) FILTER (i >= 3), 6) AS peak_3h_mm, round(max(s6) FILTER (i >= 6), 6) AS peak_6h_mm FROM r GROUP BY 1, 2")
 def _(t):
-    return rnd(S.rolling_peaks(S.dense_hours(t.hourly)).select("zcta_id", "event", "peak_1h_mm", "peak_3h_mm", "peak_6h_mm"), 6, "peak_1h_mm", "peak_3h_mm", "peak_6h_mm")
+    return rnd(S.rolling_peaks(t.hourly).select("zcta_id", "event", "peak_1h_mm", "peak_3h_mm", "peak_6h_mm"), 6, "peak_1h_mm", "peak_3h_mm", "peak_6h_mm")
 
 
 @query("w02_storm_shape", W("hourly", d=DENSE) + "SELECT zcta_id, event, count(*) FILTER (rain > 1) AS storm_duration_h, CAST(coalesce(arg_min(i, (-rain, i)) - min(i) FILTER (rain > 1), 0) AS INTEGER) AS time_to_peak_h, round(CASE WHEN count(*) FILTER (rain > 1) >= 2 THEN stddev_pop(rain) FILTER (rain > 1) / avg(rain) FILTER (rain > 1) ELSE 0 END, 6) AS rainfall_intensity_cv FROM d GROUP BY 1, 2")
 def _(t):
-    return rnd(S.rolling_peaks(S.dense_hours(t.hourly)).select("zcta_id", "event", "storm_duration_h", "time_to_peak_h", "rainfall_intensity_cv"), 6, "rainfall_intensity_cv")
+    return rnd(S.rolling_peaks(t.hourly).select("zcta_id", "event", "storm_duration_h", "time_to_peak_h", "rainfall_intensity_cv"), 6, "rainfall_intensity_cv")
 
 
 RT = "SELECT zcta_id, event, max(rain) AS pk, sum(rain) AS tot, CAST(count(*) FILTER (rain > 1) AS DOUBLE) AS dur, epoch(arg_min(hour, (-rain, hour)) - min(hour)) / 3600 AS ph, coalesce(quantile_cont(rain, 0.9) FILTER (rain > 0), 0) AS p90 FROM hourly GROUP BY 1, 2"
