@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.core import col
+from plumbline.session import spread
 
 # Phrases and tolerances of the checks.
 TOLERANCE, LONG_SENTENCE = 0.15, 150
@@ -56,7 +57,8 @@ def extract_claims(responses: DataFrame, key: str, text_fields: list[str], list_
     item = lambda arr, f: F.transform(arr, lambda s: F.struct(s.alias("text"), F.lit(f).alias("field")))
     trimmed = lambda f: F.filter(F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s.isNotNull() & (s != ""))
     arrays = [item(sentences(f), f) for f in text_fields] + [item(trimmed(f), f) for f in [*list_fields, *citation_fields]]
-    d = responses.select(key, F.posexplode(F.concat(*arrays)).alias("claim_no", "c")).select(key, "claim_no", "c.text", "c.field")
+    d = spread(responses.select(key, *text_fields, *list_fields, *citation_fields))
+    d = d.select(key, F.posexplode(F.concat(*arrays)).alias("claim_no", "c")).select(key, "claim_no", "c.text", "c.field")
     return d.withColumn("claim_type", F.when(F.col("field").isin(*citation_fields), "citation").otherwise(claim_type("text")) if citation_fields else claim_type("text"))
 
 
