@@ -164,6 +164,8 @@ def mean_residuals(preds: DataFrame, by: list[str], unit: str, classification: b
 
 # ---- pair statistics without pair lists -------------------------------------------------------
 
+FINEST, PAIR_WORK = 19, 65_536
+
 def _quads(points: DataFrame, depth: int) -> DataFrame:
     """Cells of a 2-D grid with 2**depth cells a side over the data extent, with their sums."""
     side = float(1 << depth)
@@ -193,25 +195,29 @@ def pair_bins(points: DataFrame, x: str, y: str, value: str, width: float, bins:
     pairs_n = F.when(same, a("n") * (a("n") - 1) / 2).otherwise(a("n") * b("n"))
     pairs_sq = F.when(same, a("n") * a("q") - a("s") * a("s")).otherwise(b("n") * a("q") + a("n") * b("q") - 2 * a("s") * b("s"))
     slack = 1e-9
-    done, todo = [], None
-    depths = [d for d in range(1, depth + 1, 2)] or [1]
-    for k, d in enumerate(depths):
+    done, todo, above = [], None, 0
+    for d in range(1, FINEST + 1, 2):
         cells = _quads(p, d)
         if todo is None:
             ids = cells.agg(F.collect_list("cell")).scalar()  # at most four cells at depth 1
             pairs = rename(cells, "a").withColumn("b_cell", F.explode(ids)).join(rename(cells, "b"), "b_cell")
         else:
-            up = d - depths[k - 1]
+            up = d - above
             kids = cells.withColumn("parent", F.shiftright("ix", up) * F.lit(1 << 20) + F.shiftright("iy", up))
-            pairs = todo.join(rename(kids, "a"), F.col("pa") == F.col("a_parent")).join(rename(kids, "b"), F.col("pb") == F.col("b_parent")).drop("pa", "pb", "a_parent", "b_parent")
+            pairs = todo.join(rename(kids, "a"), F.col("pa") == F.col("a_parent")).join(rename(kids, "b"), F.col("pb") == F.col("b_parent")).drop("pa", "pb", "work", "a_parent", "b_parent")
         pairs = pairs.filter(a("cell") <= b("cell")).withColumns({"lo": F.floor(near / width - slack), "hi": F.floor(far / width + slack), "near": near})
         pairs = pairs.filter(F.col("near") < width * bins * (1 + slack))
         whole = (F.col("lo") == F.col("hi")) & (F.floor(near / width + slack) == F.floor(near / width - slack))
         done.append(pairs.filter(whole & (F.col("lo") < bins)).select(F.col("lo").cast("long").alias("bin"), pairs_n.alias("n"), pairs_sq.alias("sq")))
-        todo = pairs.filter(~whole).select(F.col("a_cell").alias("pa"), F.col("b_cell").alias("pb"))
+        todo = pairs.filter(~whole).select(F.col("a_cell").alias("pa"), F.col("b_cell").alias("pb"), (a("n") * b("n")).alias("work"))
         # both orders are needed below a mixed pair: children of (A, B) with A < B may sort either way
-        todo = todo.unionByName(todo.filter("pa <> pb").select(F.col("pb").alias("pa"), F.col("pa").alias("pb")))
-    last = depths[-1]
+        todo = todo.unionByName(todo.filter("pa <> pb").select(F.col("pb").alias("pa"), F.col("pa").alias("pb"), "work"))
+        above = d
+        if d >= depth:  # go on only while some cell pair would still spell out many point pairs
+            todo = cut_lineage(todo)
+            if (todo.agg(F.max("work")).first()[0] or 0) <= PAIR_WORK:
+                break
+    last = above
     side = float(1 << last)
     cell = F.least(F.floor(F.col("u") * side), F.lit(side - 1)).cast("long") * F.lit(1 << 20) + F.least(F.floor(F.col("v") * side), F.lit(side - 1)).cast("long")
     ids = p.withColumn("cell", cell).groupBy("cell", "px", "py", "val").agg(F.count(F.lit(1)).alias("m"))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.core import div, seeded_hash
 
-RANGES = 64  # a power of two
+RANGES = 256  # a power of two
 
 
 def _with_code(df: DataFrame, value: str) -> DataFrame:
@@ -30,7 +30,7 @@ def _with_code(df: DataFrame, value: str) -> DataFrame:
 
 
 def _range_of(value: str) -> Column:
-    """How many of the sorted cuts lie below the value, by halving steps (six looks, not sixty-three)."""
+    """How many of the sorted cuts lie below the value, by halving steps (eight looks, not 255)."""
     steps = [RANGES >> i for i in range(1, RANGES.bit_length())]
     look = lambda at, s: at + F.when(F.element_at("_cuts", at + s) < F.col(value), s).otherwise(0)
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), look)
@@ -44,7 +44,7 @@ def value_ranks(df: DataFrame, by: list[str], value: str, carry: dict[str, Colum
     freq = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[e.alias(n) for n, e in carry.items()])
     freq = _with_code(freq, value)
     probs = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    sketch = F.percentile_approx("_code", probs, F.lit(1000))
+    sketch = F.percentile_approx("_code", probs, F.lit(10 * RANGES))
     if by:
         placed = freq.join(freq.groupBy(*by).agg(sketch.alias("_cuts")), by)
     else:
@@ -76,9 +76,9 @@ def with_avg_rank(df: DataFrame, by: list[str], value: str, out: str, count: str
 def hash_order(df: DataFrame, by: list[str], key: str, seed) -> DataFrame:
     """Add ``pos`` (0-based place in seeded hash order inside ``by``) and ``n`` (group size).
 
-    Hash values are uniform, so their first two digits cut every group into 256 even ranges."""
+    Hash values are uniform, so their first three digits cut every group into 4096 even ranges."""
     h = F.concat(F.lpad(F.hex(seeded_hash(seed, key)), 8, "0"), F.lit("|"), F.col(key).cast("string"))
-    d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 2))
+    d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
     g = [F.col(b) for b in by] or [F.lit(0)]
     before = W.partitionBy(*g).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     sizes = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
@@ -98,7 +98,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float])
     A sketch cuts each group into ranges; one pass counts them (no row is shuffled); only the few
     ranges that hold a wanted rank are then reduced to distinct values and ordered."""
     d = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    sketch = F.percentile_approx("_v", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("_cuts")
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(10 * RANGES)).alias("_cuts")
     cuts = d.groupBy(*by).agg(sketch)
     d = d.join(cuts, by) if by else d.withColumn("_cuts", cuts.scalar())
     d = d.select(*by, "_v", _range_of("_v").alias("_range"))

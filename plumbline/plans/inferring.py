@@ -23,7 +23,7 @@ POS = f"SELECT *, row_number() OVER (PARTITION BY task ORDER BY {hsh(42, 'zcta')
 DRAW = f"SELECT a.task, r.rep, b.* EXCLUDE (task, n) FROM h a CROSS JOIN (SELECT unnest(range(1, 31)) AS rep) r JOIN h b ON b.task = a.task AND b.pos = {hsh(42, 'rep', 'a.pos')} % a.n"
 
 
-@query("r01_resampling_kernel", W("oof", u=CNT, h=POS, d=DRAW) + "SELECT task, rep, count(DISTINCT zcta) AS n_distinct, count(*) AS n FROM d GROUP BY 1, 2")
+@query("r01_resampling_kernel", W("oof", u=CNT, h=POS, d=DRAW) + "SELECT task, CAST(rep AS INTEGER) AS rep, count(DISTINCT zcta) AS n_distinct, count(*) AS n FROM d GROUP BY 1, 2")
 def _(t):
     from plumbline.operators.ranking import hash_order
 
