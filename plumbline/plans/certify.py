@@ -263,12 +263,17 @@ def _(t):
     return rnd(G.hit_rates(G.evaluate_routing(w, CK, {"kappa_first": G.route_kappa_first(w)})).drop("near_optimal_rate"), 8, "hit_rate")
 
 
-@query("c19_gear_routing")
+GEARED = """SELECT w.*, CAST(zcta_id AS INT) % 6 - 1 AS gear, x.alpha AS aw, x.sigma AS sw FROM rt w LEFT JOIN (SELECT scenario_id, zcta_id, alpha, sigma FROM lv WHERE level = 'r3') x USING (scenario_id, zcta_id)"""
+HARD = "CASE WHEN r2_R > r2_s_sup AND r2_N < 0.5 THEN 'r2' WHEN r1_R > r1_s_sup AND r1_N < 0.5 THEN 'r1' WHEN r2_kappa_compat < 0.3 THEN NULL ELSE best END"
+
+
+@query("c19_gear_routing", W("certificate", g=GC, lv=LVL, wide=WIDE, rt=ROUTE, gr=GEARED, o=f"SELECT *, CASE WHEN gear = -1 THEN NULL WHEN gear = 1 AND aw >= 0.3 AND sw <= 0.1 THEN CASE WHEN r0_R > 0.3 THEN 'r0' ELSE best END WHEN gear >= 3 OR aw < 0.1 THEN {HARD} ELSE best END AS rec FROM gr")
+       + "SELECT scenario_id, zcta_id, rec AS recommended_arm, best AS actual_best_arm, coalesce(rec = best, false) AS correct FROM o")
 def _(t):
     w = G.cells_wide(_levels(t).filter("level <> 'r3'"), CK)
     gear = _levels(t).filter("level = 'r3'").select(*CK, (F.col("zcta_id").cast("int") % 6 - 1).alias("gear"), F.col("alpha").alias("alpha_warmup"), F.col("sigma").alias("warmup_sigma"), F.lit(0.1).alias("collapse_risk"))
     w = w.join(gear, CK, "left")
-    return G.evaluate_routing(w, CK, {"gear_informed": G.route_by_gear(w)})
+    return G.evaluate_routing(w, CK, {"gear_informed": G.route_by_gear(w)}).select(*CK, "recommended_arm", "actual_best_arm", "correct")
 
 
 TAU = "CASE WHEN omega * alpha + 0.5 * (1 - omega) > 0 THEN 1 / (omega * alpha + 0.5 * (1 - omega)) ELSE 999 END"
