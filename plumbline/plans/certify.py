@@ -16,11 +16,9 @@ REL = f"SELECT *, greatest(0, least(1, CASE WHEN tt = 'classification' THEN 2 *
 SIM = "SELECT *, CASE WHEN r > s AND r > 0 THEN greatest(0, least(1 - rr, (r - s) / greatest(abs(r), 0.01))) ELSE 0 END AS ss FROM rel"
 CERT = "SELECT *, 1 - rr - ss AS nn, CASE WHEN rr + (1 - rr - ss) > 0 THEN rr / (rr + (1 - rr - ss)) ELSE 0 END AS alpha FROM sim"
 CW = W("oof", "fold_metrics", cell=CELL, rel=REL, sim=SIM, cert=CERT)
-TYPE = F.when(F.col("task") == "R", "classification").otherwise("regression")
-
-
 def _cells(t):
-    return C.certify_cells(t.fold_metrics, ["task", "model_version"], "metric", "random_metric", TYPE)
+    kind = F.when(F.col("task") == "R", "classification").otherwise("regression")
+    return C.certify_cells(t.fold_metrics, ["task", "model_version"], "metric", "random_metric", kind)
 
 
 @query("c01_simplex", CW + 'SELECT task, model_version, round(rr, 7) AS "R", round(ss, 7) AS "S_sup", round(nn, 7) AS "N" FROM cert')
