@@ -70,6 +70,15 @@ def test_overlay_of_concave_and_reversed_polygons(spark):
     assert a.select(S.ring_area(F.col("ring")).alias("x")).distinct().collect()[0]["x"] == 12.0
 
 
+def test_overlap_of_two_concave_rings():
+    import pandas as pd
+
+    ell, other = ring([(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)]), ring([(1, 1), (5, 1), (5, 5), (3, 5), (3, 3), (1, 3)])
+    fork, bar = ring([(0, 0), (6, 0), (6, 6), (4, 6), (4, 2), (2, 2), (2, 6), (0, 6)]), ring([(-1, 3), (7, 3), (7, 4), (-1, 4)])
+    got = S.overlap_area.func(pd.Series([ell, ell, fork, bar, ell]), pd.Series([other, other[::-1], bar, fork, ell]))
+    assert got.tolist() == [4.0, 4.0, 4.0, 4.0, 12.0]
+
+
 def test_polygon_sizes_far_apart_still_meet(spark):
     big = spark.createDataFrame([("big", ring([(-100, -50), (100, -50), (100, 50), (-100, 50)]))], f"p string, ring {RING}")
     tiny = spark.createDataFrame([(f"t{i}", ring([(i, i), (i + 0.001, i), (i, i + 0.001)])) for i in range(-5, 5)], f"t string, ring {RING}")
