@@ -22,8 +22,8 @@ from plumbline.llm.common import table, text_or_empty
 
 #: pieces and pre-tokens whose ids a worker keeps; emptied when full
 CACHE_PIECES = 800_000
-#: only pieces up to this length are kept
-CACHE_LENGTH = 64
+#: characters of text that are encoded together
+CHUNK = 16_000_000
 #: two white-space characters in a row, or white space other than blanks at a piece's edge: such texts are split by the pattern as a whole
 _RUN = re.compile(r"\s\s|^\s|\s$")
 
@@ -34,96 +34,133 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Merger:
-    """Merges of one vocabulary. The bitmap is kept between calls: it is empty after each, as every pop clears its bit.
+    """Merges of one vocabulary, for many pre-tokens at once.
 
-    ``low`` has a bit per rank, ``mid`` one per word of ``low``, ``top`` one per word of ``mid``."""
+    All pre-tokens of a call share one linked list (no links across their ends) and one queue. They do not touch each other, and the lowest rank in the queue is
+    the lowest of every pre-token that has it, so popping ranks from one queue merges each pre-token as if it were alone.
+    The bitmap has a bit per rank in ``low``, one per word of ``low`` in ``mid``, one per word of ``mid`` in ``top``."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs = {}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    self.pairs[a << 24 | b] = rank
-        top = max(ranks.values())
-        self.low, self.mid = [0] * ((top >> 6) + 1), [0] * ((top >> 12) + 1)
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: the pair of lowest rank is merged first, the leftmost of equal ranks first.
-
-        All positions of a rank are merged in list order when the rank is popped. If one of these merges makes a pair of lower rank, the rest
-        of the bucket goes back, so the order is that of one merge at a time."""
-        get, low, mid = self.pairs.get, self.low, self.mid
-        n, single = len(piece), self.single
-        tok = [single[b] for b in piece]  # -1 once swallowed by the piece on the left
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        bucket: dict[int, list[int]] = {}
-        top = 0
-
-        def push(r: int, i: int) -> None:
+                    pairs[a << 24 | b] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.top_rank = max(ranks.values())
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 without one."""
+        key = left << 24 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
+
+    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of each pre-token: the pair of lowest rank is merged first, the leftmost of equal ranks first.
+
+        All positions of a popped rank are merged together. That is the order of one at a time unless such a merge makes a pair of lower rank while the
+        same pre-token has other positions in the bucket; these pre-tokens, if any, are merged again with one position a time."""
+        return self._run(pieces, False)
+
+    def _run(self, pieces: list[bytes], single_step: bool) -> list[np.ndarray]:
+        size = np.array([len(p) for p in pieces], np.int64)
+        n = int(size.sum())
+        ends = np.cumsum(size)
+        owner = np.repeat(np.arange(len(pieces)), size)
+        tok = np.append(self.single[np.frombuffer(b"".join(pieces), np.uint8)], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        full = size > 0
+        after[ends[full] - 1] = n
+        before[(ends - size)[full]] = n
+        rank = np.append(self.rank_of(tok[:n], tok[np.minimum(after[:n], n)]), -1)
+        rank[after == n] = -1
+        low, mid, top = [0] * ((self.top_rank >> 6) + 1), [0] * ((self.top_rank >> 12) + 1), 0
+        bucket: dict[int, list[np.ndarray]] = {}
+        again = np.zeros(len(pieces), bool)
+
+        def push(at: np.ndarray) -> None:
+            """Queue positions under their current rank."""
             nonlocal top
-            held = bucket.get(r)
-            if held is not None:
-                held.append(i)
-                return
-            bucket[r] = [i]
-            leaf = r >> 6
-            word = low[leaf]
-            if not word:
-                node = leaf >> 6
-                if not mid[node]:
-                    top |= 1 << node
-                mid[node] |= 1 << (leaf & 63)
-            low[leaf] = word | 1 << (r & 63)
-
-        left = tok[0] if n else 0
-        for i in range(1, n):
-            right = tok[i]
-            r = get(left << 24 | right)
-            if r is not None:
-                push(r, i - 1)
-            left = right
+            r = rank[at]
+            order = np.argsort(r, kind="stable")
+            at, r = at[order], r[order]
+            cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
+            starts = [0, *cuts.tolist(), len(r)]
+            for x, y in zip(starts, starts[1:]):
+                q = int(r[x])
+                held = bucket.get(q)
+                if held is not None:
+                    held.append(at[x:y])
+                    continue
+                bucket[q] = [at[x:y]]
+                leaf = q >> 6
+                if not low[leaf]:
+                    node = leaf >> 6
+                    if not mid[node]:
+                        top |= 1 << node
+                    mid[node] |= 1 << (leaf & 63)
+                low[leaf] |= 1 << (q & 63)
+
+        first = np.flatnonzero(rank >= 0)
+        if len(first):
+            push(first)
         while top:
             node = (top & -top).bit_length() - 1
             words = mid[node]
             leaf = node << 6 | ((words & -words).bit_length() - 1)
             bits = low[leaf]
-            rank = leaf << 6 | ((bits & -bits).bit_length() - 1)
-            bits &= bits - 1
-            low[leaf] = bits
+            r = leaf << 6 | ((bits & -bits).bit_length() - 1)
+            low[leaf] = bits = bits & (bits - 1)
             if not bits:
                 mid[node] = words = words & (words - 1)
                 if not words:
                     top &= top - 1
-            held = bucket.pop(rank)
-            if len(held) > 1:
-                held.sort()
-            for k, i in enumerate(held):
-                j = after[i]
-                if j >= n or tok[i] < 0 or get(tok[i] << 24 | tok[j]) != rank:
-                    continue  # stale
-                tok[i], tok[j] = rank, -1
-                after[i] = j = after[j]
-                least = rank
-                if j < n:
-                    before[j] = i
-                    r = get(rank << 24 | tok[j])
-                    if r is not None:
-                        push(r, i)
-                        least = r
-                j = before[i]
-                if j >= 0:
-                    r = get(tok[j] << 24 | rank)
-                    if r is not None:
-                        push(r, j)
-                        if r < least:
-                            least = r
-                if least < rank and k + 1 < len(held):
-                    for x in held[k + 1 :]:
-                        push(rank, x)
-                    break
-        return [t for t in tok if t >= 0]
+            held = bucket.pop(r)
+            at = held[0] if len(held) == 1 else np.concatenate(held)
+            at = at[rank[at] == r]  # the others are stale
+            if len(at) > 1:
+                at = np.sort(at)
+                at = at[np.append(True, at[1:] != at[:-1])]
+                if single_step:
+                    later = np.append(False, owner[at[1:]] == owner[at[:-1]])
+                    wait, at = at[later], at[~later]
+                    if len(wait):
+                        push(wait)
+                else:
+                    touching = np.append(False, after[at[:-1]] == at[1:])
+                    if touching.any():  # of a run of pairs that overlap, every other one
+                        index = np.arange(len(at))
+                        at = at[(index - np.maximum.accumulate(np.where(touching, 0, index))) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            right = after[gone]
+            tok[at], tok[gone], rank[gone] = r, -1, -1
+            after[at] = right
+            inside = right < n
+            before[right[inside]] = at[inside]
+            left = before[at]
+            rank[at] = np.where(inside, self.rank_of(tok[at], tok[right]), -1)
+            left = left[left < n]
+            rank[left] = self.rank_of(tok[left], tok[after[left]])
+            fresh = np.concatenate([at, left])
+            fresh = fresh[rank[fresh] >= 0]
+            if len(fresh):
+                if not single_step:
+                    under = fresh[rank[fresh] < r]
+                    if len(under):
+                        again[owner[under]] = True
+                push(fresh)
+        tok, owner = tok[:n], owner[tok[:n] >= 0]
+        out = np.split(tok[tok >= 0].astype("<u4"), np.cumsum(np.bincount(owner, minlength=len(pieces)))[:-1]) if len(pieces) else []
+        if again.any():
+            which = np.flatnonzero(again).tolist()
+            for i, ids in zip(which, self._run([pieces[i] for i in which], True)):
+                out[i] = ids
+        return out
 
 
 class Encoder:
@@ -142,36 +179,33 @@ class Encoder:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(width)), np.uint8)
 
-    def _match(self, match: str) -> bytes:
-        """Ids of one match of the pattern."""
-        got = self.matches.get(match)
-        if got is None:
-            piece = match.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(piece)
-            got = array("I", self.merger.merge(piece) if whole is None else (whole,)).tobytes()
-            if len(match) <= CACHE_LENGTH:
-                if len(self.matches) >= CACHE_PIECES:
-                    self.matches.clear()
-                self.matches[match] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian u32 ids. A blank between two non-blanks always opens a match of the pattern, so texts whose white space stands alone are cut there and
-        the pieces looked up; other texts are matched as a whole."""
-        if _RUN.search(text):
-            return b"".join(map(self._match, self.pattern.findall(text)))
-        head, *rest = text.split(" ")
-        words, out = self.words, list(map(self._match, self.pattern.findall(head)))
-        for w in rest:
-            got = words.get(w)
-            if got is None:
-                got = b"".join(map(self._match, self.pattern.findall(" " + w)))
-                if len(w) <= CACHE_LENGTH:
-                    if len(words) >= CACHE_PIECES:
-                        words.clear()
-                    words[w] = got
-            out.append(got)
-        return b"".join(out)
+    def _learn(self, matches: set[str]) -> None:
+        """Ids of new matches of the pattern: a match that is a token as it is, or all others in one call of the merger."""
+        if len(self.matches) > CACHE_PIECES:
+            self.matches.clear()
+        new = [m for m in matches if m not in self.matches]
+        pieces = [m.encode("utf-8", "surrogatepass") for m in new]
+        whole = [self.ranks.get(p) for p in pieces]
+        self.matches.update({m: array("I", (r,)).tobytes() for m, r in zip(new, whole) if r is not None})
+        rest = [(m, p) for m, p, r in zip(new, pieces, whole) if r is None]
+        for (m, _), ids in zip(rest, self.merger.merge([p for _, p in rest])):
+            self.matches[m] = ids.tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian u32 ids of each text. A blank between two non-blanks always opens a match of the pattern, so texts whose white space stands alone are cut there
+        and the pieces looked up; other texts are matched as a whole."""
+        find = self.pattern.findall
+        plain = [not _RUN.search(t) for t in texts]
+        split = [t.split(" ") if p else find(t) for t, p in zip(texts, plain)]
+        if len(self.words) > CACHE_PIECES:
+            self.words.clear()
+        heads = [find(s[0]) if p else s for s, p in zip(split, plain)]
+        fresh = set().union(*[s[1:] for s, p in zip(split, plain) if p]).difference(self.words)
+        parts = {w: find(" " + w) for w in fresh}
+        self._learn(set().union(*heads, *parts.values()))
+        match, word = self.matches.__getitem__, self.words.__getitem__
+        self.words.update({w: b"".join(map(match, p)) for w, p in parts.items()})
+        return [b"".join(map(match, h)) + (b"".join(map(word, s[1:])) if p else b"") for h, s, p in zip(heads, split, plain)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the ids: one gather over the token table."""
@@ -198,9 +232,9 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         enc = encoder(path)
         for pdf in batches:
-            for i in range(0, len(pdf), 500):
-                part = pdf.iloc[i : i + 500]
-                yield pd.DataFrame({id_col: part[id_col], "ids": [enc.encode(t) for t in part["_text"]]})
+            chunk = (pdf["_text"].str.len() + 1).cumsum() // CHUNK
+            for _, part in pdf.groupby(chunk, sort=False):
+                yield pd.DataFrame({id_col: part[id_col], "ids": enc.encode(part["_text"].tolist())})
 
     rows = docs.select(id_col, text_or_empty(text_col).alias("_text"))
     return rows.mapInPandas(run, f"{id_col} {dict(rows.dtypes)[id_col]}, ids binary")

@@ -36,6 +36,10 @@ LANGUAGES = 64
 LEAST_POSTERIOR = 0.5
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+#: bytes as letters: a-z, bytes beyond ASCII, else a blank
+_LETTERS = np.full(256, 32, np.uint32)
+_LETTERS[97:123] = _LETTERS[65:91] = np.arange(97, 123)
+_LETTERS[128:] = np.arange(128, 256)
 
 
 @dataclass(frozen=True)
@@ -46,15 +50,16 @@ class TextModel:
     table: np.ndarray
 
 
-def trigram_slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all byte trigrams (A-Z lower-cased, words by one blank) of each text, and how many each text has."""
-    raw = [b" " + t.encode("utf-8", "replace") + b" " for t in texts]
+def trigram_slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, counts, bytes of each text): the slot of the byte trigram at each place, and whether it counts. A-Z are lower-cased, all that is not a letter (or beyond
+    ASCII) is a blank; trigrams with two blanks, or across texts, do not count."""
+    raw = [b" " + t.encode("utf-8", "replace") + b"  " for t in texts]
     size = np.array([len(r) for r in raw], np.int64)
-    b = np.frombuffer(b"".join(raw), np.uint8)
-    b = np.where((b >= 65) & (b <= 90), b + 32, np.where(b < 32, 32, b)).astype(np.uint32)
+    b = _LETTERS[np.frombuffer(b"".join(raw), np.uint8)]
     slots = (b[:-2] * np.uint32(40503) + b[1:-1] * np.uint32(10007) + b[2:] * np.uint32(31)) % np.uint32(65521) % np.uint32(SLOTS)
-    slots = np.concatenate([slots, np.zeros(2, np.uint32)])
-    return slots, size
+    solid = (b != 32).astype(np.int8)
+    counts = solid[:-2] + solid[1:-1] + solid[2:] >= 2
+    return np.append(slots, np.zeros(2, np.uint32)), np.append(counts, [False, False]), size
 
 
 def sample_rows(rows: DataFrame, key: str, bound: int) -> DataFrame:
@@ -71,11 +76,8 @@ def fit_text_model(labelled: DataFrame, bound: int = TRAIN_ROWS) -> TextModel:
     def count(batches):
         for pdf in batches:
             for label, part in pdf.groupby("label"):
-                slots, size = trigram_slots(part["text"].tolist())
-                live = np.ones(len(slots), bool)
-                ends = np.cumsum(size)
-                live[ends - 1] = live[ends - 2] = False
-                n = np.bincount(slots[live], minlength=SLOTS)
+                slots, counts, _ = trigram_slots(part["text"].tolist())
+                n = np.bincount(slots[counts], minlength=SLOTS)
                 at = np.flatnonzero(n)
                 yield pd.DataFrame({"label": label, "slot": at, "n": n[at]})
 
@@ -91,16 +93,15 @@ def fit_text_model(labelled: DataFrame, bound: int = TRAIN_ROWS) -> TextModel:
 
 def text_evidence(model: TextModel, texts: list[str]) -> np.ndarray:
     """Log-likelihood per language of each text: the mean over its trigrams times a bounded count. 0 without text."""
-    slots, size = trigram_slots(texts)
-    ends = np.cumsum(size)
-    starts = ends - size
-    grams = np.maximum(size - 2, 0)
     out = np.zeros((len(texts), len(model.languages)))
-    spans = np.column_stack([starts, ends - 2]).ravel()
-    for k in range(len(model.languages) if len(texts) else 0):
-        out[:, k] = np.add.reduceat(model.table[:, k][slots].astype(np.float64), spans)[::2] / np.maximum(grams, 1)
+    if not texts:
+        return out
+    slots, counts, size = trigram_slots(texts)
+    starts = np.cumsum(size) - size
+    grams = np.add.reduceat(counts.astype(np.float64), starts)
+    for k in range(out.shape[1]):
+        out[:, k] = np.add.reduceat(np.where(counts, model.table[:, k][slots], 0).astype(np.float64), starts) / np.maximum(grams, 1)
     out *= np.minimum(grams, EFFECTIVE)[:, None]
-    out[grams == 0] = 0
     return out
 
 
@@ -177,8 +178,8 @@ def markup_language(html: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """Text between tags, without scripts, styles and comments."""
-    return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
+    """Text between tags, without scripts, styles, comments and character references."""
+    return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
