@@ -28,7 +28,7 @@ MAGIC = b"S8B1"
 SHARD_BYTES = 32 << 20
 END_ID = 1
 #: distinct words whose ids a worker keeps
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,23 +39,21 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     ids = np.asarray(ids, np.uint64)
-    bits = np.zeros(n, np.int8)
-    for k in (32, 16, 8, 4, 2, 1):  # binary search for the bit length
-        big = (ids >> np.uint64(k)) >> bits.astype(np.uint64) > 0
-        bits[big] += k
-    bits[ids > 0] += 1
+    high = (ids >> np.uint64(32)).astype(np.float64)  # each half is exact as a float, whose exponent is its bit length
+    bits = np.where(high > 0, np.frexp(high)[1] + 32, np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.int8)
     if bits.max() > 60:
         raise ValueError("an id needs more than 60 bits")
-    room = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))
+    room = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n)).astype(np.int16)
     choice = np.full(n, 15, np.int8)
+    widest, span = bits, 1  # bit length of the widest of the next ``span`` ids
     for s in range(14, -1, -1):
-        c = int(COUNTS[s])
-        wide = bits > WIDTHS[s]
-        if c > BLOCK or wide.all():
-            continue
-        upto = np.concatenate([[0], np.cumsum(wide)])
-        end = np.minimum(np.arange(n) + c, n)
-        choice[(upto[end] == upto[:n]) & (room >= c)] = s
+        c, width = int(COUNTS[s]), WIDTHS[s]
+        while span * 2 <= min(c, n):
+            widest = np.append(np.maximum(widest[:-span], widest[span:]), np.full(span, 64, np.int8))
+            span *= 2
+        if c <= n:
+            fits = np.maximum(widest[: n - c + 1], widest[c - span : n - span + 1]) <= width
+            choice[: n - c + 1][fits & (room[: n - c + 1] >= c)] = s
     blocks = -(-n // BLOCK)
     at, last = np.arange(blocks) * BLOCK, np.minimum((np.arange(blocks) + 1) * BLOCK, n)
     starts = np.zeros(n, bool)
@@ -148,13 +146,15 @@ class WordEncoder:
             self.store[w] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        # lower-casing is the vocabulary's own first step; sigma is left to it, whose lower case Python makes depend on the place
+        split = [(t if "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
         store = self.store
         if len(store) > CACHE_WORDS:
             store.clear()
             store[""] = b""
+        # the lower case of U+0130 ends in a mark, which joins what follows
         fresh = set().union(*split).difference(store)
-        tails = {w: w[:-1] for w in fresh if w[-1] in ".," and w[-2:-1].isalpha()}
+        tails = {w: w[:-1] for w in fresh if w[-1] in ".," and w[-2:-1].isalpha() and w[-2] != "\u0130"}
         bare = (fresh - tails.keys()).union(tails.values(), ".,") - store.keys()
         self._learn(list(bare))
         store.update({w: store[b] + store[w[-1]] for w, b in tails.items()})
