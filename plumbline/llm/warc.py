@@ -48,8 +48,8 @@ def range_shards(rows: DataFrame, id_col: str, weight: Column, shard_bytes: int
     return bounds
 
 
-def sharded(rows: DataFrame, id_col: str, bounds: list[int]) -> DataFrame:
-    """Rows with their ``shard``, whole shards to a task, sorted by shard and id. Null ids come first, in shard 0.
+def sharded(rows: DataFrame, id_col: str, bounds: list[int], *then: str) -> DataFrame:
+    """Rows with their ``shard``, whole shards to a task, sorted by shard, id and the columns of ``then``. Null ids come first, in shard 0.
     The shard is found by a binary search in nested conditions."""
     def cut(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -58,7 +58,7 @@ def sharded(rows: DataFrame, id_col: str, bounds: list[int]) -> DataFrame:
         return F.when(F.col(id_col) >= bounds[mid], cut(mid + 1, hi)).otherwise(cut(lo, mid))
 
     shard = F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(cut(0, len(bounds)))
-    return rows.withColumn("shard", shard.cast("int")).repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", id_col)
+    return rows.withColumn("shard", shard.cast("int")).repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", id_col, *then)
 
 
 def block_digest(data: bytes) -> str:
@@ -84,13 +84,13 @@ def gzip_member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def first_holders(rows: DataFrame, id_col: str, payload: Column, least: int) -> DataFrame:
-    """``rows`` with ``sha1`` (hex) and ``first``: for a payload of at least ``least`` bytes the smallest id that has it.
+def revisits(rows: DataFrame, least: int) -> DataFrame:
+    """(id, sha1, first) of the rows whose payload, of at least ``least`` bytes, has a holder of smaller id.
 
-    The aggregate has one row per payload and is combined before its shuffle; hot payloads are cut by the adaptive join."""
-    rows = rows.withColumn("sha1", F.sha1(payload)).withColumn("size", F.octet_length(payload).cast("long"))
-    least_id = rows.groupBy("sha1", "size").agg(F.min(id_col).alias("first"))
-    return rows.join(least_id, ["sha1", "size"]).withColumn("first", F.when(F.col("size") >= least, F.col("first")))
+    Only ids and digests are shuffled. The aggregate has one row per payload and is combined before its shuffle; hot payloads are cut by the adaptive join."""
+    keys = rows.select("id", "sha1", "size").filter(F.col("size") >= least)
+    holders = keys.groupBy("sha1", "size").agg(F.min("id").alias("first")).filter("first is not null")
+    return keys.join(holders, ["sha1", "size"]).filter(~F.col("id").eqNullSafe(F.col("first"))).select("id", "sha1", "first").distinct()
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, roll: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -100,17 +100,17 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     is written first and holds no payload for others unless all ids of its payload are null; rows that repeat the smallest id are all
     responses. A lost task writes under new temporary names; only files named in the manifest are renamed, so leftovers of lost tasks are never read."""
     payload = text_or_empty(html_col).cast("binary")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    weight = (F.octet_length("payload") + 400).cast("long")
-    bounds = range_shards(rows, "id", weight, shard_bytes)
-    rows = first_holders(rows, "id", F.col("payload"), least)
-    keep = F.when(F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first")), F.col("payload"))
-    rows = sharded(rows.select("id", "url", keep.alias("payload"), "first", "sha1", "size"), "id", bounds)
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("size"))
+    bounds = range_shards(rows, "id", F.col("size") + 400, shard_bytes)
+    # payloads are shuffled once: a revisit is told by a row that sorts just before the record it belongs to
+    told = revisits(rows, least).select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha1", F.lit(0).cast("long").alias("size"), "first")
+    rows = rows.select("*", F.lit(None).cast("long").alias("first")).unionByName(told)
+    rows = sharded(rows.withColumn("told", F.col("first").isNull()), "id", bounds, "sha1", "told")
 
     def write(batches):
         store, root = filesystem(folder)
         store.create_dir(root)
-        out = None
+        out, told = None, None
         done = []
 
         def close():
@@ -120,14 +120,17 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
         for pdf in batches:
             for i, url, data, first, sha, size, shard in zip(pdf["id"], pdf["url"], pdf["payload"], pdf["first"], pdf["sha1"], pdf["size"], pdf["shard"]):
-                i, first = (None if pd.isna(x) else int(x) for x in (i, first))
+                i = None if pd.isna(i) else int(i)
+                if not pd.isna(first):
+                    told = (i, sha, int(first))
+                    continue
+                first = told[2] if told and told[:2] == (i, sha) else None
                 if out is None or out["shard"] != shard or out["bytes"] >= roll:
                     close()
                     part = out["part"] + 1 if out and out["shard"] == shard else 0
                     temp = f"_temp-{uuid.uuid4().hex}"
                     out = {"temp": temp, "file": store.open_output_stream(f"{root}/{temp}", compression=None), "shard": int(shard), "part": part, "records": 0, "bytes": 0, "hash": hashlib.sha256()}
-                again = first is not None and first != i
-                member = gzip_member(record(i, url, b"" if again else data, first if again else None, base64.b32encode(bytes.fromhex(sha)).decode(), size))
+                member = gzip_member(record(i, url, data, first, base64.b32encode(bytes.fromhex(sha)).decode(), size))
                 out["file"].write(member)
                 out["hash"].update(member)
                 out["bytes"] += len(member)
