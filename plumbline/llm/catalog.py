@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, exact_dedup, language_id, packing, progressive_jpeg, quality, token_output, url_filter, warc
+from plumbline.llm import byte_bpe, exact_dedup, language_id, ngram_join, packing, progressive_jpeg, quality, token_output, url_filter, warc
 
-_MODULES = [language_id, quality, progressive_jpeg, byte_bpe, packing, exact_dedup, warc, token_output, url_filter]
+_MODULES = [language_id, quality, progressive_jpeg, ngram_join, byte_bpe, packing, exact_dedup, warc, token_output, url_filter]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
