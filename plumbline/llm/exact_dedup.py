@@ -73,14 +73,20 @@ def exact_duplicates_dropped(docs: DataFrame, id_col: str = "doc_id", text_col:
     """The rows of ``docs`` that stay, all columns kept: of equal texts the one with the largest id.
 
     Only the dropped ids are joined to the documents. Rows that repeat an id count as one document told several times: one of them stays."""
-    found = cut_lineage(exact_groups(docs, id_col, text_col))
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    again = cut_lineage(found.groupBy(F.col(id_col).alias("_again")).count().filter("count > 1").select("_again"))
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    text = lower_ascii(text_or_empty(text_col))
+    found = cut_lineage(exact_groups(docs, id_col, text_col, {"told": F.xxhash64(text)}))  # tells apart the texts of one id, no more
+    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("g_id"), F.col("told").alias("g_told")).distinct()
+    again = cut_lineage(found.filter(F.col(id_col).eqNullSafe(F.col("keep_id"))).groupBy(F.col(id_col).alias("a_id"), F.col("told").alias("a_told")).count().filter("count > 1").drop("count"))
+
+    def meet(d: DataFrame, other: DataFrame, c: str, how: str) -> DataFrame:
+        return d.join(other, d[id_col].eqNullSafe(other[f"{c}_id"]) & (F.xxhash64(text) == other[f"{c}_told"]), how)
+
+    kept = meet(docs, gone, "g", "left_anti")
     if again.isEmpty():
         return kept
-    told = kept.join(again, kept[id_col].eqNullSafe(again["_again"]), "left_semi")
-    return kept.join(again, kept[id_col].eqNullSafe(again["_again"]), "left_anti").unionByName(told.withColumn("_t", lower_ascii(text_or_empty(text_col))).dropDuplicates([id_col, "_t"]).drop("_t"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = meet(kept, again, "a", "left_semi").groupBy(F.col(id_col).alias("i"), text.alias("t")).agg(F.first(whole).alias("w")).select("w.*")
+    return meet(kept, again, "a", "left_anti").unionByName(one)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,11 +191,11 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is known, all columns kept. Only the rejected ids are joined back."""
     rows = document_rows(docs)
     model = fit_text_model(rows.select("id", "text", F.col("declared").alias("label")))
-    # equal id, text and evidence give equal decisions; rows that share an id are told apart by a hash of the text
-    key = F.struct(F.col("id"), F.xxhash64("text").alias("h"))
-    gone = fuse(rows.withColumn("id", key), model).filter(~F.col("accepted")).select("id.*").distinct()
-    d = docs.withColumn("_h", F.xxhash64("text"))
-    return d.join(gone, d["doc_id"].eqNullSafe(gone["id"]) & (d["_h"] == gone["h"]), "left_anti").drop("_h")
+    # equal id, text and evidence give equal decisions; rows that share an id are told apart by their evidence
+    key = F.struct(F.col("id"), F.xxhash64("text", "declared", "host").alias("h"))
+    gone = fuse(rows.withColumn("id", key), model).filter(~F.col("accepted")).select(F.col("id.id").alias("gone_id"), F.col("id.h").alias("gone_h")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"], docs["lang"], docs["source"]) == gone["gone_h"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

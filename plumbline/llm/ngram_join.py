@@ -5,8 +5,8 @@ D of their elements, D known from their sizes, so when the order is cut in more
 the key under which they meet. Within what meets, sets are compared by walking the trie of one side: paths are sorted, the part a path shares with
 the one before is not counted again, and a path is left as soon as the elements that remain on either side cannot reach the overlap it needs.
 
-Links are only needed up to connectivity, which keeps dense groups linear: first every set meets the smallest id under each of its keys; then
-keys that still hold several components are walked in blocks. Sets in one component are not compared again.
+Links are only needed up to connectivity, which keeps dense groups linear: first every set meets the smallest id under each of its keys; then the sets of
+keys that still hold several components are compared in blocks by bitmaps, which rule out most pairs, and the rest is walked. Sets in one component are not compared again.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from plumbline.llm.common import components, table, text_or_empty
 from plumbline.session import cut_lineage
 
 WORDS, PERCENT = 5, 80
-#: characters of text per numpy step; sets per trie block
+#: characters of text per numpy step; sets per trie or block
 CHUNK, BLOCK = 6_000_000, 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: white space that separates words: 0x20 and 0x09-0x0D
@@ -133,14 +133,15 @@ def needed(a: int, b: int, percent: int) -> int:
 class Walk:
     """Overlaps of one set with the paths of a trie that come in sorted order."""
 
-    STEP = 64
+    STEP = 128
 
     def __init__(self, query: np.ndarray, percent: int):
         self.query, self.percent = query, percent
         self.path = np.zeros(0, np.uint64)
         self.overlap = np.zeros(1, np.int64)  # by depth on the current path, as far as it was walked
 
-    def linked(self, path: np.ndarray) -> bool:
+    def meet(self, path: np.ndarray, whole: bool = False) -> tuple[bool, int]:
+        """(linked, overlap). Unless the ``whole`` overlap is wanted, the walk ends where it can no longer reach a link."""
         q, n = len(self.query), len(path)
         need = needed(q, n, self.percent)
         same = min(len(self.path), n)
@@ -150,16 +151,15 @@ class Walk:
         got = int(self.overlap[depth])
         self.path = path
         passed = int(np.searchsorted(self.query, path[depth - 1], side="right")) if depth else 0
-        while depth < n and got + min(n - depth, q - passed) >= need:
+        while depth < n and (whole or got + min(n - depth, q - passed) >= need):
             piece = path[depth : depth + self.STEP]
             at = np.searchsorted(self.query, piece)
-            hit = np.append(self.query, np.uint64(0))[at] == piece if q else np.zeros(len(piece), bool)
-            hit &= at < q
+            hit = (at < q) & (self.query[np.minimum(at, q - 1)] == piece)
             sums = got + np.cumsum(hit)
             known.append(sums)
             got, depth, passed = int(sums[-1]), depth + len(piece), int(at[-1] + hit[-1])
         self.overlap = np.concatenate(known)
-        return depth == n and got >= need
+        return depth == n and got >= need, got
 
 
 def _pack(grams: np.ndarray) -> bytes:
@@ -193,18 +193,19 @@ def _meetings(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, grams) of the documents in ``ids`` (distinct)."""
+    """(id, n, bits, grams) of the documents in ``ids`` (distinct): size, bitmap and path."""
 
     def make(batches):
         for pdf in batches:
             for _, part in pdf.groupby((pdf["text"].str.len() + 1).cumsum() // CHUNK, sort=False):
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "grams": [_pack(s) for s in gram_sets(part["text"].tolist(), width)]})
+                sets = gram_sets(part["text"].tolist(), width)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "n": [len(s) for s in sets], "bits": [sketch(s).tobytes() for s in sets], "grams": [_pack(s) for s in sets]})
 
-    return cut_lineage(rows.join(ids, "id", "left_semi").mapInPandas(make, "id long, grams binary"))
+    return cut_lineage(rows.join(ids, "id", "left_semi").mapInPandas(make, "id long, n long, bits binary, grams binary"))
 
 
-def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Linked pairs (a, b) of candidate pairs. The paths of all b of one a form a trie; a popular a has several, of about ``BLOCK`` paths."""
+def _star_walks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, distance) of candidate pairs, distance one less their similarity. The paths of all b of one a form a trie; a popular a has several, of about ``BLOCK`` paths."""
     tries = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("tries"))
     pairs = pairs.join(tries, "a").select("a", "b", F.pmod(F.xxhash64("b"), "tries").alias("trie"))
     heads = pairs.select("a", "trie").distinct().join(sets.select(F.col("id").alias("a"), "grams"), "a").select("a", "trie", F.lit(None).cast("long").alias("b"), "grams")
@@ -217,48 +218,98 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for a, trie, b, grams in zip(pdf["a"], pdf["trie"], pdf["b"], pdf["grams"]):
                 if (a, trie) != now:  # the row without b comes first
                     now, state = (a, trie), Walk(_unpack(grams), percent)
-                elif state.linked(_unpack(grams)):
-                    out.append((a, int(b)))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                    continue
+                path = _unpack(grams)
+                linked, both = state.meet(path, whole=True)
+                out.append((a, int(b), linked, 1 - both / (len(path) + len(state.query) - both)))
+            yield pd.DataFrame(out, columns=["a", "b", "linked", "distance"])
 
     rows = heads.union(paths).repartition("a", "trie").sortWithinPartitions("a", "trie", F.col("b").isNotNull(), "grams")
-    return cut_lineage(rows.mapInPandas(walk, "a long, b long"))
+    return cut_lineage(rows.mapInPandas(walk, "a long, b long, linked boolean, distance double"))
+
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parity bitmap: a bit for each residue of the hashes, set when an odd number of elements has it. Two bitmaps differ in no more bits than their sets in elements.
+    It has at least two bits per element, a power of two, and folds to half its length by exclusive or."""
+    bits = 64
+    while bits < 2 * len(grams):
+        bits *= 2
+    odd = np.bincount((grams % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def close_pairs(ids: list[int], groups: list[int], sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs (smaller id first) of different groups that sizes and bitmaps do not rule out."""
+    out = []
+    short = min(map(len, sketches))
+    folded = []
+    for x in sketches:
+        while len(x) > short:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        folded.append(x)
+    maps = np.stack(folded)
+    group = np.array(groups)
+    for i in range(len(ids) - 1):
+        rest = slice(i + 1, None)
+        both = sizes[i] + sizes[rest]
+        most = both - 2 * -(-percent * both // (100 + percent))
+        fits = (group[rest] != group[i]) & (100 * np.minimum(sizes[i], sizes[rest]) >= percent * np.maximum(sizes[i], sizes[rest]))
+        fits &= np.bitwise_count(maps[rest] ^ maps[i]).sum(axis=1, dtype=np.int64) <= most
+        out += [(min(ids[i], ids[i + 1 + k]), max(ids[i], ids[i + 1 + k])) for k in np.flatnonzero(fits).tolist()]
+    return out
 
 
-def _block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Linked pairs of different components under keys (key, id, component) that hold several.
+def _block_pairs(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components under keys (key, id, component) that hold several.
 
-    A key of many sets is cut in sub-blocks that meet two at a time, so a block has about ``BLOCK`` sets at most. Blocks of the same sets are walked once."""
-    half = BLOCK // 2
-    subs = mixed.groupBy("key").agg(F.ceil(F.count("*") / half).cast("int").alias("subs"))
+    A key of many sets is cut in sub-blocks that meet two at a time, so a block has about ``BLOCK`` sets at most. Blocks of the same sets are compared once."""
+    subs = mixed.groupBy("key").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("subs"))
     rows = mixed.join(subs, "key").withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     rows = rows.groupBy("key", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j")).agg(F.sort_array(F.collect_set(F.struct("id", "component"))).alias("members"))
     blocks = rows.filter(F.size(F.array_distinct(F.col("members.component"))) > 1).select("members").distinct()
-    flat = blocks.select(F.xxhash64("members.id").alias("block"), F.explode("members").alias("m")).select("block", "m.id", "m.component").join(sets, "id")
+    flat = blocks.select(F.xxhash64("members.id").alias("block"), F.explode("members").alias("m")).select("block", "m.id", "m.component").join(sketches, "id")
 
-    def walk(batches):
+    def compare(batches):
         now, held = None, []
 
-        def links():
-            out = []
-            for x, (a, comp, query) in enumerate(held):
-                state = Walk(query, percent)
-                for b, other, path in held[x + 1 :]:
-                    if other != comp and 100 * min(len(query), len(path)) >= percent * max(len(query), len(path)) and state.linked(path):
-                        out.append((a, b))
-            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        def pairs():
+            found = close_pairs([h[0] for h in held], [h[1] for h in held], np.array([h[2] for h in held]), [h[3] for h in held], percent) if len(held) > 1 else []
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
         for pdf in batches:
-            for block, i, comp, grams in zip(pdf["block"], pdf["id"], pdf["component"], pdf["grams"]):
+            for block, i, comp, n, bits in zip(pdf["block"], pdf["id"], pdf["component"], pdf["n"], pdf["bits"]):
                 if block != now:
-                    yield links()
+                    yield pairs()
                     now, held = block, []
-                held.append((int(i), int(comp), _unpack(grams)))
-        yield links()
+                held.append((int(i), int(comp), int(n), np.frombuffer(bits, np.uint64)))
+        yield pairs()
+
+    rows = flat.select("block", "id", "component", "n", "bits").repartition("block").sortWithinPartitions("block", "id")
+    return cut_lineage(rows.mapInPandas(compare, "a long, b long").distinct())
 
-    rows = flat.select("block", "id", "component", "grams").repartition("block").sortWithinPartitions("block", "grams")
-    return cut_lineage(rows.mapInPandas(walk, "a long, b long").distinct())
+
+def _links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect what is linked among sets that share a key (key, id).
+
+    Each set is compared with the smallest id under its key, the pivot. Distance is a metric: sets whose distances from the pivot differ by more than that of a
+    link cannot be linked, so a key falls apart where the sorted distances have such a gap. Parts that lie in one component are done, the others are compared in blocks."""
+    by_key = Window.partitionBy("key").orderBy("id")
+    starred = held.withColumn("pivot", F.first("id").over(by_key.rowsBetween(Window.unboundedPreceding, 0))).filter("id <> pivot")
+    walks = _star_walks(starred.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sets, percent)
+    links = walks.filter("linked").select("a", "b")
+    groups = cut_lineage(components(links))
+    far = starred.join(walks.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), ["pivot", "id"]).join(groups.withColumnRenamed("node", "id"), "id", "left")
+    far = far.select("key", "id", "distance", F.coalesce("component", "id").alias("component"))
+    by_distance = Window.partitionBy("key").orderBy("distance", "id")
+    gap = F.coalesce((F.col("distance") - F.lag("distance").over(by_distance) > 1 - percent / 100 + 1e-9).cast("int"), F.lit(0))
+    far = far.withColumn("gap", gap).withColumn("part", F.sum("gap").over(by_distance.rowsBetween(Window.unboundedPreceding, 0))).select(F.xxhash64("key", "part").alias("key"), "id", "component")
+    far = cut_lineage(far)
+    several = far.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    pairs = _block_pairs(far.join(several, "key"), sets.select("id", "n", "bits"), percent)
+    if pairs.isEmpty():
+        return links
+    return links.union(_star_walks(pairs, sets, percent).filter("linked").select("a", "b"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -276,19 +327,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.join(again, "id", "left_anti").unionByName(told)
     met = _meetings(rows, width, percent)
     copies = cut_lineage(met.filter("n is not null and id <> leader").groupBy("id").agg(F.min("leader").alias("rep")))
-    own = met.filter("n is null").join(copies.select("id"), "id", "left_anti")
-    # the leader of a key is its smallest id, and equal sets have the same keys, so a leader is never a copy
-    pairs = own.filter("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = cut_lineage(pairs)
-    sets = _sets(rows, own.select("id").union(pairs.select("a")).distinct(), width)
-    links = _star_links(pairs, sets, percent)
-    groups = cut_lineage(components(links))
-    held = own.select("key", "id").distinct().join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    several = held.groupBy("key").agg(F.count("*").alias("ids"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("ids > 2 and lo <> hi").select("key")
-    mixed = cut_lineage(held.join(several, "key"))
-    if not mixed.isEmpty():
-        links = links.union(_block_links(mixed, sets, percent))
-        groups = cut_lineage(components(links))
+    held = cut_lineage(met.filter("n is null").select("key", "id").join(copies.select("id"), "id", "left_anti").select("key", "id"))
+    sets = _sets(rows, held.select("id").distinct(), width)
+    groups = cut_lineage(components(_links(held, sets, percent)))
     sizes = met.filter("n is not null").select("id", "n")
     known = sizes.join(copies, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")).join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("id", "n", F.coalesce("component", "rep").alias("component"))

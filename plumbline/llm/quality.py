@@ -234,9 +234,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """The rows of ``docs`` that score at least ``threshold``, all columns kept; only the rejected are joined back."""
     model = fit(docs, labels)
     scored = score(docs, model, extra={"h": F.xxhash64("text")})
-    gone = scored.filter(F.col("score") < threshold).select(F.col("doc_id").alias("_gone"), "h").distinct()
-    d = docs.withColumn("_h", F.xxhash64("text"))
-    return d.join(gone, d["doc_id"].eqNullSafe(gone["_gone"]) & (d["_h"] == gone["h"]), "left_anti").drop("_h")
+    gone = scored.filter(F.col("score") < threshold).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_h"]), "left_anti")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
