@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import table, text_or_empty
 
 #: pieces and pre-tokens whose ids a worker keeps; emptied when full
-CACHE_PIECES = 800_000
+CACHE_PIECES = 200_000
 #: characters of text that are encoded together
-CHUNK = 16_000_000
+CHUNK = 4_000_000
 #: two white-space characters in a row, or white space other than blanks at a piece's edge: such texts are split by the pattern as a whole
 _RUN = re.compile(r"\s\s|^\s|\s$")
 
