@@ -58,13 +58,14 @@ def haversine_km(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
 
 
 def seeded_hash(seed, *keys) -> Column:
-    """32-bit draw that depends on seed and keys only, so any partitioning gives the same value."""
+    """60-bit draw that depends on seed and keys only, so any partitioning gives the same value. Taken modulo a population
+    of n it reaches every position, with a bias below n / 2**60."""
     parts = [seed if isinstance(seed, Column) else F.lit(str(seed))] + [col(k).cast("string") for k in keys]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
 def seeded_unit(seed, *keys) -> Column:
-    return seeded_hash(seed, *keys) / F.lit(4294967296.0)
+    return seeded_hash(seed, *keys) / F.lit(float(1 << 60))
 
 
 def fsum(cols) -> Column:

@@ -1,12 +1,12 @@
 """Deterministic splits and folds. Every draw is a seeded hash of the id, so a rerun, another
 cluster or another partitioning gives the same split.
 
-Units are never collected. Greedy packing works on block, county or state summaries; their number
-is bounded by the code length (at most 100,000 five-digit codes)."""
+Units are never collected. Greedy placing works on block, county or state summaries; their number
+is bounded by the code length (at most 100,000 five-digit codes), and one array of them is folded
+by a built-in aggregate."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,50 +36,56 @@ def block_keys(units: DataFrame, n_folds: int, key: str = "zcta_id", county: str
     return b.join(big, "block", "left").select(key, F.when(F.col("_big"), F.concat_ws("_", "block", F.substring(key, 1, 4))).otherwise(F.col("block")).alias("block"))
 
 
-def merge_small_blocks(sizes: dict[str, int], minimum: int) -> dict[str, str]:
-    """Small blocks, largest first, each join the big block that is smallest at that moment."""
-    order = sorted(sizes, key=lambda b: (-sizes[b], b))
-    now = {b: sizes[b] for b in order if sizes[b] >= minimum}
-    target = {b: b for b in sizes}
-    for b in order:
-        if now and sizes[b] < minimum:
-            t = min(now, key=lambda x: (now[x], x))
-            target[b], now[t] = t, now[t] + sizes[b]
-    return target
-
-
-def pack(sizes: dict[str, int], order: list[str], n_folds: int) -> dict[str, int]:
-    """Each block in turn goes to the fold with the fewest units so far."""
-    load, out = [0] * n_folds, {}
-    for b in order:
-        out[b] = load.index(min(load))
-        load[out[b]] += sizes[b]
-    return out
-
-
-def _fold_plan(blocks: pd.DataFrame, n_folds: int, min_block: int, min_fold: int) -> pd.DataFrame:
-    sizes = dict(zip(blocks["block"], (int(n) for n in blocks["n"])))
-    draw = dict(zip(blocks["block"], blocks["h"]))
-    target = merge_small_blocks(sizes, min_block)
-    merged: dict[str, int] = {}
-    for b, t in target.items():
-        merged[t] = merged.get(t, 0) + sizes[b]
-    order = sorted(merged, key=lambda b: (draw[b], b))
-    for k in range(min(n_folds, len(merged)), 1, -1):
-        fold = pack(merged, order, k)
-        counts = [sum(merged[b] for b in merged if fold[b] == f) for f in range(k)]
-        if min(counts) >= min_fold:
-            break
-    else:
-        fold = pack(merged, order, 2)
-    return pd.DataFrame({"block": list(target), "merged": [target[b] for b in target], "fold": [fold[target[b]] for b in target]})
+def _place(items: Column, bins: Column | int, size: str = "n") -> Column:
+    """Struct (load, place) after each of ``items`` in turn has joined the bin that is lightest then, the first of equals; ``bins`` is their number or their starting loads.
+
+    One pass of ``aggregate`` over the summary array; the state is the loads and the places so far."""
+    start = F.array_repeat(F.lit(0).cast("long"), bins) if isinstance(bins, int) else bins
+    state = F.struct(start.alias("load"), F.array().cast("array<int>").alias("place"))
+
+    def step(s: Column, x: Column) -> Column:
+        at = F.array_position(s["load"], F.array_min(s["load"])).cast("int")
+        load = F.transform(s["load"], lambda v, i: v + F.when(i + 1 == at, x[size]).otherwise(F.lit(0).cast("long")))
+        return F.struct(load.alias("load"), F.concat(s["place"], F.array(at - 1)).alias("place"))
+
+    return F.aggregate(items, state, step)
+
+
+def _by(items: Column, *order: str) -> Column:
+    """Array of structs sorted by the named fields; ``-name`` for falling order of a number."""
+    keyed = F.transform(items, lambda x: F.struct(*[(-x[o[1:]] if o[0] == "-" else x[o]).alias(f"o{k}") for k, o in enumerate(order)], x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda k: k["x"])
+
+
+def merge_targets(sizes: DataFrame, minimum: int) -> DataFrame:
+    """(block, n, h, merged): blocks below ``minimum``, largest first, join the big block that is smallest at that moment; without big blocks nothing moves.
+
+    ``sizes`` (block, n, h) has a row per block, at most 100,000 by the code length, and is folded as one array."""
+    every = sizes.agg(F.collect_list(F.struct("block", "n", "h")).alias("all"))
+    split = every.select("all", _by(F.filter("all", lambda x: x["n"] >= minimum), "block").alias("big"), _by(F.filter("all", lambda x: x["n"] < minimum), "-n", "block").alias("small"))
+    split = split.withColumn("to", F.when((F.size("big") > 0) & (F.size("small") > 0), _place(F.col("small"), F.transform("big", lambda x: x["n"]))["place"]).otherwise(F.transform("small", lambda x: F.lit(None).cast("int"))))
+    moved = split.select(F.explode(F.arrays_zip("small", "to")).alias("z"), "big").select("z.small.*", F.coalesce(F.try_element_at("big", F.col("z.to") + 1)["block"], F.col("z.small.block")).alias("merged"))
+    return split.select(F.explode("big").alias("x")).select("x.*", F.col("x.block").alias("merged")).unionByName(moved)
+
+
+def place_folds(merged: DataFrame, n_folds: int, min_fold: int) -> DataFrame:
+    """(merged, fold): merged blocks in hash order, each to the lightest fold. Of n_folds, n_folds - 1, ... 2 folds (never more than blocks) the first number counts
+    whose smallest fold has ``min_fold`` units; if none has, two."""
+    whole = merged.groupBy("merged").agg(F.sum("n").alias("n"), F.max(F.when(F.col("block") == F.col("merged"), F.col("h"))).alias("h"))
+    one = whole.agg(F.collect_list(F.struct("merged", "n", "h")).alias("all")).select(_by(F.col("all"), "h", "merged").alias("items"))
+    one = one.select("items", *[_place(F.col("items"), k).alias(f"k{k}") for k in range(2, max(2, n_folds) + 1)])
+    best = F.col("k2")
+    for k in range(2, n_folds + 1):
+        best = F.when((F.array_min(F.col(f"k{k}")["load"]) >= min_fold) & (F.size("items") >= k), F.col(f"k{k}")).otherwise(best)
+    return one.select(F.explode(F.arrays_zip("items", best["place"].alias("fold"))).alias("z")).select("z.items.merged", "z.fold")
 
 
 def spatial_folds(units: DataFrame, n_folds: int = 5, seed: int = 42, key: str = "zcta_id", county: str = "county_fips", min_block: int = MIN_BLOCK, min_fold: int = MIN_FOLD) -> DataFrame:
     """(unit, block, merged block, fold) with whole blocks kept together."""
     b = block_keys(units, n_folds, key, county)
     sizes = b.groupBy("block").agg(F.count(F.lit(1)).alias("n")).withColumn("h", seeded_hash(seed, "block"))
-    plan = sizes.groupBy(F.lit(0).alias("_")).applyInPandas(lambda g: _fold_plan(g, n_folds, min_block, min_fold), "block string, merged string, fold int")
+    merged = merge_targets(sizes, min_block)
+    plan = merged.join(place_folds(merged, n_folds, min_fold), "merged").select("block", "merged", "fold")
     return b.join(plan, "block").select(key, "block", "merged", "fold")
 
 
@@ -100,24 +106,30 @@ def county_summary(units: DataFrame, stratum: str, state: str = "state_fips") ->
     return c.groupBy("county_fips").agg(F.min("_s").alias("state"), F.sum("_n").alias("n_zctas"), F.min(F.struct((-F.col("_n")).alias("k"), F.col(stratum).alias("v")))["v"].alias("stratum"))
 
 
-def _balanced(g: pd.DataFrame, n_folds: int) -> pd.DataFrame:
-    """Fold with the fewest units of the county's stratum, then with the fewest units."""
-    total, per = [0] * n_folds, {}
-    rows = []
-    for _, r in g.sort_values(["h", "county_fips"]).iterrows():
-        mine = per.setdefault(r["stratum"], [0] * n_folds)
-        f = min(range(n_folds), key=lambda i: (mine[i], total[i], i))
-        mine[f] += r["n_zctas"]
-        total[f] += r["n_zctas"]
-        rows.append((r["county_fips"], f"valid{f + 1}"))
-    return pd.DataFrame(rows, columns=["county_fips", "split"])
+def balance_by_stratum(items: DataFrame, n_folds: int) -> DataFrame:
+    """(county_fips, fold): counties in hash order, each to the fold lightest in its stratum, then lightest at all, then first.
+
+    ``items`` (county_fips, stratum, n_zctas, h) has a row per county. The loads are one array, a stretch of folds per stratum after one for all."""
+    one = items.agg(F.collect_list(F.struct("county_fips", "stratum", F.col("n_zctas").cast("long").alias("n"), "h")).alias("all"), F.sort_array(F.collect_set("stratum")).alias("strata"))
+    one = one.select(_by(F.col("all"), "h", "county_fips").alias("items"), "strata")
+    one = one.withColumn("items", F.transform("items", lambda x: x.withField("from", F.coalesce(F.array_position("strata", x["stratum"]), F.lit(0)).cast("int") * n_folds)))
+    folds = F.sequence(F.lit(0), F.lit(n_folds - 1))
+    state = F.struct(F.flatten(F.array_repeat(F.array_repeat(F.lit(0).cast("long"), n_folds), F.size("strata") + 1)).alias("load"), F.array().cast("array<int>").alias("place"))
+
+    def step(s: Column, x: Column) -> Column:
+        at = F.array_min(F.transform(folds, lambda f: F.struct(s["load"][x["from"] + f].alias("own"), s["load"][f].alias("whole"), f.alias("f"))))["f"]
+        load = F.transform(s["load"], lambda v, i: v + F.when((i == at) | (i == x["from"] + at), x["n"]).otherwise(F.lit(0).cast("long")))
+        return F.struct(load.alias("load"), F.concat(s["place"], F.array(at)).alias("place"))
+
+    placed = one.select("items", F.aggregate("items", state, step)["place"].alias("fold"))
+    return placed.select(F.explode(F.arrays_zip("items", "fold")).alias("z")).select("z.items.county_fips", "z.fold")
 
 
 def imputation_split(units: DataFrame, counties: DataFrame, n_folds: int = 5, seed: int = 42) -> DataFrame:
     """Stratified test counties; the others are spread over folds, balanced by stratum."""
     c = holdout(counties, ["stratum"], "county_fips", seed, rounding="even")
     rest = c.filter("split = 'train'").select("county_fips", "stratum", "n_zctas", seeded_hash(seed, "county_fips").alias("h"))
-    folds = rest.groupBy(F.lit(0).alias("_")).applyInPandas(lambda g: _balanced(g, n_folds), "county_fips string, split string")
+    folds = balance_by_stratum(rest, n_folds).select("county_fips", F.concat(F.lit("valid"), (F.col("fold") + 1).cast("string")).alias("split"))
     both = c.filter("split = 'test'").select("county_fips", "split").unionByName(folds)
     return units.select("zcta_id", "county_fips").join(both, "county_fips", "left").select("zcta_id", F.coalesce("split", F.lit("test")).alias("split_imputation"))
 
@@ -126,12 +138,8 @@ def extrapolation_split(units: DataFrame, test_states: list[str], n_folds: int =
     """Fixed test states; the others, largest first, go to the lightest fold."""
     s = units.filter(~F.col(state).isin(*test_states)).groupBy(F.col(state).alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
-    def plan(g: pd.DataFrame) -> pd.DataFrame:
-        sizes = dict(zip(g["state"], (int(n) for n in g["n"])))
-        f = pack(sizes, sorted(sizes, key=lambda x: (-sizes[x], x)), n_folds)
-        return pd.DataFrame({"state": list(f), "split": [f"valid{v + 1}" for v in f.values()]})
-
-    p = s.groupBy(F.lit(0).alias("_")).applyInPandas(plan, "state string, split string")
+    one = s.agg(F.collect_list(F.struct("state", "n")).alias("all")).select(_by(F.col("all"), "-n", "state").alias("items"))
+    p = one.select(F.explode(F.arrays_zip("items", _place(F.col("items"), n_folds)["place"].alias("fold"))).alias("z")).select("z.items.state", F.concat(F.lit("valid"), (F.col("z.fold") + 1).cast("string")).alias("split"))
     return units.select("zcta_id", F.col(state).alias("state")).join(p, "state", "left").select("zcta_id", F.coalesce("split", F.lit("test")).alias("split_extrapolation"))
 
 

@@ -77,7 +77,7 @@ def hash_order(df: DataFrame, by: list[str], key: str, seed) -> DataFrame:
     """Add ``pos`` (0-based place in seeded hash order inside ``by``) and ``n`` (group size).
 
     Hash values are uniform, so their first three digits cut every group into 4096 even ranges."""
-    h = F.concat(F.lpad(F.hex(seeded_hash(seed, key)), 8, "0"), F.lit("|"), F.col(key).cast("string"))
+    h = F.concat(F.lpad(F.hex(seeded_hash(seed, key)), 15, "0"), F.lit("|"), F.col(key).cast("string"))
     d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
     g = [F.col(b) for b in by] or [F.lit(0)]
     before = W.partitionBy(*g).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

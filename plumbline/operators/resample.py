@@ -99,25 +99,27 @@ def permutation_p(df: DataFrame, by: list[str], group: Column, value: str, key:
     return sh.groupBy(*by, "observed").agg(add_one_p(F.col("observed"), F.col("null")).alias("p_value"))
 
 
-def sign_flip_p(df: DataFrame, by: list[str], diff: str, exact_up_to: int = 15, reps: int = 999, seed: int = 42) -> DataFrame:
-    """Two-sided sign-flip test of a mean paired difference.
-
-    All 2^n sign patterns up to ``exact_up_to`` pairs, seeded random signs beyond; in both cases a
-    pattern is an integer (or hash) exploded next to the small list of differences."""
-    n = df.filter(F.col(diff).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(diff).alias("observed"))
-    small = df.filter(F.col(diff).isNotNull()).join(n.filter(F.col("n") <= exact_up_to).select(*by), by, "left_semi") if by else df.filter(F.col(diff).isNotNull())
-    arr = small.groupBy(*by).agg(F.array_sort(F.collect_list(diff)).alias("d")).filter(F.size("d") <= exact_up_to)  # at most exact_up_to values
-    pat = arr.withColumn("mask", F.explode(F.expr("sequence(0, shiftleft(1, size(d)) - 1)")))
-    signed = F.transform("d", lambda x, i: F.when(F.getbit(F.col("mask"), i) == 1, x).otherwise(-x))
-    mean = F.aggregate(signed, F.lit(0.0), lambda s, v: s + v) / F.size("d")
-    ex = pat.select(*by, mean.alias("null"))
-    ex = (ex.join(n, by) if by else ex.withColumn("observed", n.select("observed").scalar()))
-    exact = ex.groupBy(*by).agg(F.avg((F.abs("null") >= F.abs("observed") - 1e-12).cast("double")).alias("p_value"))
-    big = df.filter(F.col(diff).isNotNull())
-    big = (big.join(n.filter(F.col("n") > exact_up_to), by) if by else big.withColumns({"n": n.select("n").scalar(), "observed": n.select("observed").scalar()}).filter(F.col("n") > exact_up_to))
-    big = big.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    flip = F.when(seeded_hash(seed, "rep", F.col(diff)) % 2 == 0, 1.0).otherwise(-1.0)
-    sim = big.groupBy(*by, "rep", "observed").agg(F.avg(flip * F.col(diff)).alias("null"))
-    mc = sim.groupBy(*by).agg(((F.count_if(F.abs("null") >= F.abs("observed") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
-    p = exact.unionByName(mc)
-    return n.join(p, by) if by else n.withColumn("p_value", p.agg(F.max("p_value")).scalar())
+def sign_flip_p(df: DataFrame, by: list[str], diff: str, key: str, exact_up_to: int = 20, reps: int = 999, seed: int = 42, alternative: str = "greater") -> DataFrame:
+    """Sign-flip test of a mean paired difference: (by, n, observed, method, p_value).
+
+    ``greater`` asks how many sign patterns over the sizes of the differences have a mean of at least the observed one, ``two-sided`` how many
+    are at least as far from zero. All 2^n patterns count up to ``exact_up_to`` pairs (method ``exact``); beyond, ``reps``
+    random ones and the observed (method ``sampled``), or none when ``reps`` is 0 (null p). A pair's random sign depends on its
+    ``key``, so pairs of equal difference flip apart. The list of an exact group is at most ``exact_up_to`` long."""
+    if alternative not in ("greater", "two-sided"):
+        raise ValueError(f"alternative must be greater or two-sided, got {alternative}")
+    g = by or ["_all"]
+    d = df.filter(F.col(diff).isNotNull()).select(*by, F.col(key).alias("_key"), F.col(diff).alias("_d"))
+    d = d if by else d.withColumn("_all", F.lit(0))
+    n = d.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("observed"))
+    extreme = (F.col("null") >= F.col("observed") - 1e-12) if alternative == "greater" else (F.abs("null") >= F.abs("observed") - 1e-12)
+    rows = d.join(n, g)
+    arr = rows.filter(F.col("n") <= exact_up_to).groupBy(*g, "n", "observed").agg(F.array_sort(F.collect_list(F.abs("_d"))).alias("_a"))
+    pat = arr.withColumn("_mask", F.explode(F.expr("sequence(0, shiftleft(1, cast(n AS int)) - 1)")))
+    signed = F.transform("_a", lambda x, i: F.when(F.getbit(F.col("_mask"), i) == 1, x).otherwise(-x))
+    exact = pat.withColumn("null", F.aggregate(signed, F.lit(0.0), lambda s, v: s + v) / F.col("n")).groupBy(*g).agg(F.avg(extreme.cast("double")).alias("p_value"), F.lit("exact").alias("method"))
+    sampled = rows.filter((F.col("n") > exact_up_to) & F.lit(reps > 0)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(max(1, reps)))))
+    flip = F.when(seeded_hash(seed, "rep", "_key") % 2 == 0, 1.0).otherwise(-1.0)
+    sampled = sampled.groupBy(*g, "rep", "observed").agg(F.avg(flip * F.abs("_d")).alias("null"))
+    sampled = sampled.groupBy(*g).agg(((F.count_if(extreme) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"), F.lit("sampled").alias("method"))
+    return n.join(exact.unionByName(sampled), g, "left").select(*by, "n", "observed", F.coalesce("method", F.lit("none")).alias("method"), "p_value")

@@ -182,41 +182,40 @@ def _(t):
     return d.select("task", F.concat_ws(",", G.diagnostic_warnings(d, STRICTW)).alias("warnings"))
 
 
-LVL = "SELECT scenario_id, zcta_id, 'r' || CAST(snapshot_t // 24 AS VARCHAR) AS level, alpha, sigma, kappa_compat, R AS spatial_metric, R, N, s_sup, coherence, kappa_L FROM g WHERE embedding_arm = 'fusion_v1'"
+LVL = "SELECT scenario_id, zcta_id, embedding_arm, 'r' || CAST(snapshot_t // 24 AS VARCHAR) AS level, alpha, sigma, kappa_compat, R AS spatial_metric, R, N, s_sup, coherence, kappa_L FROM g"
 
 
 def _levels(t):
-    g = _gc(t).filter("embedding_arm = 'fusion_v1'")
-    return g.select("scenario_id", "zcta_id", F.concat(F.lit("r"), F.floor(F.col("snapshot_t") / 24).cast("string")).alias("level"), "alpha", "sigma", "kappa_compat", F.col("R").alias("spatial_metric"), "R", "N", "S_sup", "coherence", "kappa_L", F.lit("p").alias("preset_id"))
+    return _gc(t).select("scenario_id", "zcta_id", "embedding_arm", F.concat(F.lit("r"), F.floor(F.col("snapshot_t") / 24).cast("string")).alias("level"), "alpha", "sigma", "kappa_compat", F.col("R").alias("spatial_metric"), "R", "N", "S_sup", "coherence", "kappa_L", F.lit("p").alias("preset_id"))
 
 
-CK = ["scenario_id", "zcta_id"]
+CK = ["scenario_id", "zcta_id", "embedding_arm"]
 DEC = f"SELECT *, {gate_sql(FLAT)} AS decision FROM lv"
 
 
-@query("c16_routing_conflicts", W("certificate", g=GC, lv=LVL, d=DEC) + """SELECT scenario_id, zcta_id, decision, admitted, routed, admitted = decision AS admission_replay_match, concat_ws(',', CASE WHEN admitted <> decision THEN 'ADMISSION_REPLAY_MISMATCH' END,
+@query("c16_routing_conflicts", W("certificate", g=GC, lv=LVL, d=DEC) + """SELECT scenario_id, zcta_id, embedding_arm, level, decision, admitted, routed, admitted = decision AS admission_replay_match, concat_ws(',', CASE WHEN admitted <> decision THEN 'ADMISSION_REPLAY_MISMATCH' END,
     CASE WHEN decision = 'EXECUTE' AND routed IN ('RE_ENCODE', 'REPAIR') THEN 'ROUTING_OVER_CONSERVATIVE' WHEN decision = 'REPAIR' AND routed = 'REJECT' THEN 'ROUTING_ESCALATION' WHEN routed <> decision THEN 'ROUTING_CONFLICT' END) AS conflicts
-    FROM (SELECT scenario_id, zcta_id, decision, CASE WHEN CAST(zcta_id AS INT) % 2 = 0 THEN 'EXECUTE' ELSE 'BLOCK' END AS admitted, CASE CAST(zcta_id AS INT) % 3 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'RE_ENCODE' END AS routed FROM d WHERE level = 'r0')""")
+    FROM (SELECT scenario_id, zcta_id, embedding_arm, level, decision, CASE WHEN CAST(zcta_id AS INT) % 2 = 0 THEN 'EXECUTE' ELSE 'BLOCK' END AS admitted, CASE CAST(zcta_id AS INT) % 3 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'RE_ENCODE' END AS routed FROM d)""")
 def _(t):
-    d = G.gate_decision(_levels(t), FLAT).filter("level = 'r0'")
+    d, keys = G.gate_decision(_levels(t), FLAT), [*CK, "level"]
     z = F.col("zcta_id").cast("int")
-    adm = d.select(*CK, F.when(z % 2 == 0, "EXECUTE").otherwise("BLOCK").alias("enforcement_decision"))
-    rt = d.select(*CK, F.when(z % 3 == 0, "REJECT").when(z % 3 == 1, "RE_ENCODE").alias("internal_decision"))
-    return G.routing_conflicts(d, CK, adm, rt).withColumn("conflicts", F.concat_ws(",", "conflicts"))
+    adm = d.select(*keys, F.when(z % 2 == 0, "EXECUTE").otherwise("BLOCK").alias("enforcement_decision"))
+    rt = d.select(*keys, F.when(z % 3 == 0, "REJECT").when(z % 3 == 1, "RE_ENCODE").alias("internal_decision"))
+    return G.routing_conflicts(d, keys, adm, rt).withColumn("conflicts", F.concat_ws(",", "conflicts"))
 
 
-TRJ = """SELECT a.scenario_id, a.zcta_id, b.level AS from_level, a.level AS to_level, CASE WHEN a.alpha - b.alpha > 0.02 THEN 'improving' WHEN a.alpha - b.alpha < -0.02 THEN 'regressing' ELSE 'stalled' END AS alpha_trend, CASE WHEN a.sigma - b.sigma > 0.02 THEN 'destabilizing' WHEN a.sigma - b.sigma < -0.02 THEN 'stabilizing' ELSE 'flat' END AS sigma_trend,
-    100 * (a.spatial_metric - b.spatial_metric) / b.spatial_metric AS up, a.alpha, a.kappa_compat FROM lv a JOIN lv b ON a.scenario_id = b.scenario_id AND a.zcta_id = b.zcta_id AND a.level = 'r3' AND b.level = 'r2'"""
+TRJ = """SELECT a.scenario_id, a.zcta_id, a.embedding_arm, b.level AS from_level, a.level AS to_level, CASE WHEN a.alpha - b.alpha > 0.02 THEN 'improving' WHEN a.alpha - b.alpha < -0.02 THEN 'regressing' ELSE 'stalled' END AS alpha_trend, CASE WHEN a.sigma - b.sigma > 0.02 THEN 'destabilizing' WHEN a.sigma - b.sigma < -0.02 THEN 'stabilizing' ELSE 'flat' END AS sigma_trend,
+    100 * (a.spatial_metric - b.spatial_metric) / b.spatial_metric AS up, a.alpha, a.kappa_compat FROM lv a JOIN lv b ON a.scenario_id = b.scenario_id AND a.zcta_id = b.zcta_id AND a.embedding_arm = b.embedding_arm AND a.level = 'r3' AND b.level = 'r2'"""
 CONV = "CASE WHEN up < 0 THEN 'regressing' WHEN abs(up) >= 1 THEN 'active' WHEN alpha >= 0.5 AND kappa_compat >= 0.5 THEN 'healthy_converged' ELSE 'prematurely_stalled' END"
 
 
-@query("w15_trajectory", W("certificate", g=GC, lv=LVL, tr=TRJ) + f"SELECT scenario_id, zcta_id, from_level, to_level, alpha_trend, sigma_trend, round(up, 6) AS uplift_pct, {CONV} AS convergence_state, true AS provenance_valid FROM tr")
+@query("w15_trajectory", W("certificate", g=GC, lv=LVL, tr=TRJ) + f"SELECT scenario_id, zcta_id, embedding_arm, from_level, to_level, alpha_trend, sigma_trend, round(up, 6) AS uplift_pct, {CONV} AS convergence_state, true AS provenance_valid FROM tr")
 def _(t):
     return rnd(G.trajectory(_levels(t), CK, FLAT), 6, "uplift_pct")
 
 
-@query("c17_health_cards", W("certificate", g=GC, lv=LVL, d=DEC, tr=TRJ) + f"""SELECT d.scenario_id, d.zcta_id, d.level, decision, CASE WHEN decision IN ('REJECT', 'BLOCK') OR (decision <> 'EXECUTE' AND alpha_trend = 'regressing') THEN 'critical' WHEN decision <> 'EXECUTE' THEN 'failing'
-    WHEN alpha_trend = 'regressing' OR {CONV.replace('alpha >=', 'tr.alpha >=').replace('kappa_compat', 'tr.kappa_compat')} = 'prematurely_stalled' THEN 'warning' ELSE 'healthy' END AS overall_health FROM d LEFT JOIN tr USING (scenario_id, zcta_id)""")
+@query("c17_health_cards", W("certificate", g=GC, lv=LVL, d=DEC, tr=TRJ) + f"""SELECT d.scenario_id, d.zcta_id, d.embedding_arm, d.level, decision, CASE WHEN decision IN ('REJECT', 'BLOCK') OR (decision <> 'EXECUTE' AND alpha_trend = 'regressing') THEN 'critical' WHEN decision <> 'EXECUTE' THEN 'failing'
+    WHEN alpha_trend = 'regressing' OR {CONV.replace('alpha >=', 'tr.alpha >=').replace('kappa_compat', 'tr.kappa_compat')} = 'prematurely_stalled' THEN 'warning' ELSE 'healthy' END AS overall_health FROM d LEFT JOIN tr USING (scenario_id, zcta_id, embedding_arm)""")
 def _(t):
     return G.health_cards(_levels(t), CK, FLAT).select(*CK, "level", "decision", "overall_health")
 
@@ -244,12 +243,12 @@ def _(t):
     return G.assign_gear(s, G.gear_boundaries(s)).select("task", "model_version", "gear")
 
 
-WIDE = "SELECT scenario_id, zcta_id, " + ", ".join(f"max({c}) FILTER (level = '{l}') AS {l}_{c}" for l in G.LEVELS for c in ("spatial_metric", "kappa_compat", "R", "N", "s_sup", "sigma")) + " FROM lv GROUP BY 1, 2"
+WIDE = "SELECT scenario_id, zcta_id, embedding_arm, " + ", ".join(f"max({c}) FILTER (level = '{l}') AS {l}_{c}" for l in G.LEVELS for c in ("spatial_metric", "kappa_compat", "R", "N", "s_sup", "sigma")) + " FROM lv GROUP BY 1, 2, 3"
 BEST = "CASE WHEN r0_spatial_metric >= r1_spatial_metric AND r0_spatial_metric >= r2_spatial_metric THEN 'r0' WHEN r1_spatial_metric >= r2_spatial_metric THEN 'r1' ELSE 'r2' END"
 ROUTE = f"""SELECT *, {BEST} AS best, CASE WHEN r0_kappa_compat >= 0.7 THEN 'r0' WHEN r0_s_sup > 0.2 AND r1_kappa_compat >= 0.7 THEN 'r1' WHEN r2_sigma > 0.15 OR r2_kappa_compat < 0.3 THEN NULL ELSE 'r2' END AS arm FROM wide"""
 
 
-@query("c19_routing_table", W("certificate", g=GC, lv=LVL, wide=WIDE, rt=ROUTE) + """SELECT scenario_id, zcta_id, 'certificates' AS strategy, best AS recommended_arm, best AS actual_best_arm, true AS correct FROM rt UNION ALL SELECT scenario_id, zcta_id, 'kappa_first', arm, best, coalesce(arm = best, false) FROM rt""")
+@query("c19_routing_table", W("certificate", g=GC, lv=LVL, wide=WIDE, rt=ROUTE) + """SELECT scenario_id, zcta_id, embedding_arm, 'certificates' AS strategy, best AS recommended_arm, best AS actual_best_arm, true AS correct FROM rt UNION ALL SELECT scenario_id, zcta_id, embedding_arm, 'kappa_first', arm, best, coalesce(arm = best, false) FROM rt""")
 def _(t):
     w = G.cells_wide(_levels(t).filter("level <> 'r3'"), CK)
     return G.evaluate_routing(w, CK, {"certificates": G.route_by_certificates(w), "kappa_first": G.route_kappa_first(w)}).select(*CK, "strategy", "recommended_arm", "actual_best_arm", "correct")
@@ -261,12 +260,12 @@ def _(t):
     return rnd(G.hit_rates(G.evaluate_routing(w, CK, {"kappa_first": G.route_kappa_first(w)})).drop("near_optimal_rate"), 8, "hit_rate")
 
 
-GEARED = """SELECT w.*, CAST(zcta_id AS INT) % 6 - 1 AS gear, x.alpha AS aw, x.sigma AS sw FROM rt w LEFT JOIN (SELECT scenario_id, zcta_id, alpha, sigma FROM lv WHERE level = 'r3') x USING (scenario_id, zcta_id)"""
+GEARED = """SELECT w.*, CAST(zcta_id AS INT) % 6 - 1 AS gear, x.alpha AS aw, x.sigma AS sw FROM rt w LEFT JOIN (SELECT scenario_id, zcta_id, embedding_arm, alpha, sigma FROM lv WHERE level = 'r3') x USING (scenario_id, zcta_id, embedding_arm)"""
 HARD = "CASE WHEN r2_R > r2_s_sup AND r2_N < 0.5 THEN 'r2' WHEN r1_R > r1_s_sup AND r1_N < 0.5 THEN 'r1' WHEN r2_kappa_compat < 0.3 THEN NULL ELSE best END"
 
 
 @query("c19_gear_routing", W("certificate", g=GC, lv=LVL, wide=WIDE, rt=ROUTE, gr=GEARED, o=f"SELECT *, CASE WHEN gear = -1 THEN NULL WHEN gear = 1 AND aw >= 0.3 AND sw <= 0.1 THEN CASE WHEN r0_R > 0.3 THEN 'r0' ELSE best END WHEN gear >= 3 OR aw < 0.1 THEN {HARD} ELSE best END AS rec FROM gr")
-       + "SELECT scenario_id, zcta_id, rec AS recommended_arm, best AS actual_best_arm, coalesce(rec = best, false) AS correct FROM o")
+       + "SELECT scenario_id, zcta_id, embedding_arm, rec AS recommended_arm, best AS actual_best_arm, coalesce(rec = best, false) AS correct FROM o")
 def _(t):
     w = G.cells_wide(_levels(t).filter("level <> 'r3'"), CK)
     gear = _levels(t).filter("level = 'r3'").select(*CK, (F.col("zcta_id").cast("int") % 6 - 1).alias("gear"), F.col("alpha").alias("alpha_warmup"), F.col("sigma").alias("warmup_sigma"), F.lit(0.1).alias("collapse_risk"))
@@ -329,10 +328,10 @@ def _(t):
     return t.certificate.select("certificate_id", F.round(C.reblend("alpha", 1 - F.col("s_sup")), 8).alias("alpha_omega"))
 
 
-@query("c23_carry_forward", W("certificate", o="SELECT *, row_number() OVER (PARTITION BY scenario_id, zcta_id ORDER BY snapshot_t) - 1 AS step FROM certificate WHERE embedding_arm = 'fusion_v1'").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, z AS (SELECT scenario_id, zcta_id, step, (1 - s_sup) * alpha + s_sup * 0.5 AS v FROM o WHERE step = 0
-    UNION ALL SELECT o.scenario_id, o.zcta_id, o.step, (1 - s_sup) * alpha + s_sup * z.v FROM z JOIN o ON o.scenario_id = z.scenario_id AND o.zcta_id = z.zcta_id AND o.step = z.step + 1) SELECT scenario_id, zcta_id, CAST(step AS INTEGER) AS step, round(v, 8) AS alpha_omega FROM z""")
+@query("c23_carry_forward", W("certificate", o="SELECT *, row_number() OVER (PARTITION BY scenario_id, zcta_id, embedding_arm ORDER BY snapshot_t) - 1 AS step FROM certificate").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, z AS (SELECT scenario_id, zcta_id, embedding_arm, step, (1 - s_sup) * alpha + s_sup * 0.5 AS v FROM o WHERE step = 0
+    UNION ALL SELECT o.scenario_id, o.zcta_id, o.embedding_arm, o.step, (1 - s_sup) * alpha + s_sup * z.v FROM z JOIN o ON o.scenario_id = z.scenario_id AND o.zcta_id = z.zcta_id AND o.embedding_arm = z.embedding_arm AND o.step = z.step + 1) SELECT scenario_id, zcta_id, embedding_arm, CAST(step AS INTEGER) AS step, round(v, 8) AS alpha_omega FROM z""")
 def _(t):
-    c = t.certificate.filter("embedding_arm = 'fusion_v1'").withColumn("omega", 1 - F.col("s_sup"))
+    c = t.certificate.withColumn("omega", 1 - F.col("s_sup"))
     return rnd(C.carry_forward(c, CK, "snapshot_t", "alpha", "omega"), 8, "alpha_omega").select(*CK, "step", "alpha_omega")
 
 

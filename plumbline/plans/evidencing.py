@@ -122,7 +122,7 @@ def _(t):
 
 @query("e09_oof_gbt")
 def _(t):
-    return E.oof_predictions(_lines(t), "id", "fold", [0, 1], FEATS, "l_quantity", "gbt", depth=3, iters=3)
+    return E.oof_predictions(_lines(t), "id", "fold", [0, 1, 2], FEATS, "l_quantity", "gbt", depth=3, iters=3)
 
 
 @query("e09_oof_logistic")

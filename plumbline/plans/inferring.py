@@ -61,11 +61,33 @@ def _(t):
     return rnd(R.fold_direction(t.fold_metrics.withColumn("d", F.col("metric") - 0.5), ["task", "model_version"], "d").select("task", "model_version", "n_positive", "n_negative", "direction_stability"), 8, "direction_stability")
 
 
-@query("r04_sign_flip_exact", W("oof", f="SELECT task, state_fips, avg(y_pred - y_true) + 0.05 AS d FROM oof GROUP BY 1, 2", a="SELECT task, count(*) AS n, avg(d) AS o FROM f GROUP BY 1", p="SELECT task, state_fips, d, row_number() OVER (PARTITION BY task ORDER BY d) - 1 AS i FROM f",
-       s="SELECT p.task, m, avg(CASE WHEN (m >> i) & 1 = 1 THEN d ELSE -d END) AS nul FROM p CROSS JOIN (SELECT unnest(range(0, 256)) AS m) GROUP BY 1, 2") + "SELECT a.task, any_value(n) AS n, round(any_value(o), 8) AS observed, avg((abs(nul) >= abs(o) - 1e-12)::INT) AS p_value FROM a JOIN s USING (task) GROUP BY 1")
+def _flips(n: str, alternative: str) -> str:
+    """Exact sign flips over the rows of f (task, state_fips, d), up to ``n`` pairs."""
+    worse = "nul >= o - 1e-12" if alternative == "greater" else "abs(nul) >= abs(o) - 1e-12"
+    return W("oof", f="SELECT task, state_fips, avg(y_pred - y_true) + 0.05 AS d FROM oof GROUP BY 1, 2", a="SELECT task, count(*) AS n, avg(d) AS o FROM f GROUP BY 1", p="SELECT task, abs(d) AS d, row_number() OVER (PARTITION BY task ORDER BY abs(d)) - 1 AS i FROM f",
+             s="SELECT p.task, m, avg(CASE WHEN (m >> i) & 1 = 1 THEN d ELSE -d END) AS nul FROM p JOIN a USING (task), (SELECT unnest(range(0, 1048576)) AS m) WHERE m < (1 << n) GROUP BY 1, 2") + f"SELECT a.task, any_value(n) AS n, round(any_value(o), 8) AS observed, 'exact' AS method, avg(({worse})::INT) AS p_value FROM a JOIN s USING (task) GROUP BY 1"
+
+
+@query("r04_sign_flip_exact", _flips("n", "greater"))
+def _(t):
+    f = t.oof.groupBy("task", "state_fips").agg((F.avg(F.col("y_pred") - F.col("y_true")) + 0.05).alias("d"))
+    return rnd(R.sign_flip_p(f, ["task"], "d", "state_fips"), 8, "observed")
+
+
+@query("r04_sign_flip_two_sided", _flips("n", "two-sided"))
 def _(t):
     f = t.oof.groupBy("task", "state_fips").agg((F.avg(F.col("y_pred") - F.col("y_true")) + 0.05).alias("d"))
-    return rnd(R.sign_flip_p(f, ["task"], "d"), 8, "observed")
+    return rnd(R.sign_flip_p(f, ["task"], "d", "state_fips", alternative="two-sided"), 8, "observed")
+
+
+FLIP = hsh("='42' || '|' || CAST(rep AS VARCHAR)", "zcta")
+
+
+@query("r04_sign_flip_sampled", W("oof", f="SELECT task, zcta, round(avg(y_pred - y_true), 1) AS d FROM oof GROUP BY 1, 2", a="SELECT task, count(*) AS n, avg(d) AS o FROM f GROUP BY 1",
+       s=f"SELECT task, rep, avg(CASE WHEN {FLIP} % 2 = 0 THEN abs(d) ELSE -abs(d) END) AS nul FROM f CROSS JOIN (SELECT unnest(range(1, 1000)) AS rep) GROUP BY 1, 2") + "SELECT a.task, any_value(n) AS n, round(any_value(o), 8) AS observed, 'sampled' AS method, (count(*) FILTER (nul >= o - 1e-12) + 1) / (count(*) + 1) AS p_value FROM a JOIN s USING (task) GROUP BY 1")
+def _(t):
+    f = t.oof.groupBy("task", "zcta").agg(F.round(F.avg(F.col("y_pred") - F.col("y_true")), 1).alias("d"))
+    return rnd(R.sign_flip_p(f, ["task"], "d", "zcta"), 8, "observed")
 
 
 def order_of(tag: str) -> str:
@@ -214,7 +236,7 @@ def _(t):
 def _probe(t):
     e = t.raw("embeddings")
     y = F.col("embedding")[0].cast("double") * 3 - F.col("embedding")[5].cast("double") + (F.col("vec_id") * 37 % 11 - 5) / 50.0
-    return e.select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("z"), y.alias("y"), (F.col("vec_id") % 5).cast("string").alias("block"))
+    return e.select("vec_id", F.col("embedding").cast("array<double>").alias("z"), y.alias("y"), (F.col("vec_id") % 5).cast("string").alias("block"))
 
 
 @query("r18_ridge_out_of_block")

@@ -79,14 +79,14 @@ def _(t):
     return R.parse_envelopes(_envelopes(t), "value", "file").select("kind", "level", "preset_id", "scenario", "target", "R", "alpha")
 
 
-@query("s08_run_cells", W("oof", "fold_metrics") + "SELECT task AS scenario, 't' AS target, round(max(metric), 6) AS best_metric, count(*) AS n_folds, 0::BIGINT AS n_null_folds, 'valid' AS status FROM fold_metrics GROUP BY 1")
+@query("s08_run_cells", W("oof", "fold_metrics") + "SELECT task AS scenario, 't' AS target, round(max(metric), 6) AS best_metric, count(*) AS n_folds, 0::BIGINT AS n_null_folds, 'VALID' AS status FROM fold_metrics GROUP BY 1")
 def _(t):
     run = F.struct(F.col("task").alias("scenario"), F.lit("t").alias("target"), F.lit("regression").alias("task"), F.col("model_version").alias("solver"), F.lit("spatial").alias("split"), F.col("fold").cast("string").alias("fold"), F.struct(F.col("metric").alias("r2")).alias("metrics"))
     f = t.fold_metrics.groupBy("task", "model_version").agg(F.to_json(F.struct(F.lit("x").alias("experiment"), F.collect_list(run).alias("runs"))).alias("value"))
     return rnd(R.run_cells(f, "value"), 6, "best_metric").select("scenario", "target", "best_metric", "n_folds", "n_null_folds", "status")
 
 
-@query("s08_level_cells", "SELECT CAST(l_suppkey AS VARCHAR) AS scenario, 'x' AS target, round(avg(l_tax), 8) AS best_metric, CASE WHEN avg(l_tax) IS NULL THEN 'null' ELSE 'valid' END AS status FROM lineitem GROUP BY l_suppkey")
+@query("s08_level_cells", "SELECT CAST(l_suppkey AS VARCHAR) AS scenario, 'x' AS target, round(avg(l_tax), 8) AS best_metric, CASE WHEN avg(l_tax) IS NULL THEN 'NULL' ELSE 'VALID' END AS status FROM lineitem GROUP BY l_suppkey")
 def _(t):
     c = t.raw("lineitem").groupBy(F.col("l_suppkey").cast("string").alias("scenario")).agg(F.avg("l_discount").alias("r0_metric"), F.avg("l_tax").alias("r1_metric"), F.lit(None).cast("double").alias("r2_metric")).withColumn("target", F.lit("x"))
     return rnd(R.level_cells(c), 8, "best_metric")

@@ -25,7 +25,7 @@ def hav(a: str, b: str, c: str, d: str, radius: float = 6371.0) -> str:
 
 def hsh(seed, *keys: str) -> str:
     parts = ", ".join([f"'{seed}'" if not str(seed).startswith("=") else str(seed)[1:]] + [f"CAST({k} AS VARCHAR)" for k in keys])
-    return f"CAST('0x' || substr(md5(concat_ws('|', {parts})), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5(concat_ws('|', {parts})), 1, 15) AS BIGINT)"
 
 
 def sclip(x: str, lo, hi) -> str:

@@ -14,7 +14,7 @@ from plumbline.functions.text import damage_thousands
 
 # Fixed values.
 FEATURE_PREFIXES = ("acs_", "lag_acs_", "svi_", "flood_", "hifld_", "drive_min_")
-FLOOD_EVENT_TYPES = ("Flood", "Flash Flood", "Coastal Flood", "Lakeshore Flood", "Storm Surge/Tide")
+FLOOD_EVENT_TYPES = ("Flood", "Flash Flood", "Coastal Flood", "Lakeshore Flood")
 
 
 def unit_key(df: DataFrame, key: str = "zcta_id") -> DataFrame:
@@ -143,7 +143,7 @@ def load_envelopes(spark: SparkSession, folder: str, strict: bool = False) -> Da
 
 
 def _cell_status(v: Column) -> Column:
-    return F.when(v.isNotNull(), "valid").otherwise("null")
+    return F.when(v.isNotNull(), "VALID").otherwise("NULL")
 
 
 def run_cells(files: DataFrame, text: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 import uuid
 
 import pandas as pd
@@ -34,9 +35,47 @@ def test_folds_keep_blocks_whole(units):
     assert dict(zip(f["zcta_id"], f["fold"])) == dict(zip(again["zcta_id"], again["fold"]))
 
 
-def test_merge_and_pack():
-    assert D.merge_small_blocks({"a": 10, "b": 8, "c": 2, "d": 3}, 5) == {"a": "a", "b": "b", "c": "a", "d": "b"}
-    assert D.pack({"a": 5, "b": 4, "c": 3}, ["a", "b", "c"], 2) == {"a": 0, "b": 1, "c": 1}
+def lightest(items, loads):
+    """Bin of each (name, size) in turn, by a heap-free scan."""
+    loads, where = dict(loads), {}
+    for name, size in items:
+        where[name] = min(loads, key=lambda b: (loads[b], b))
+        loads[where[name]] += size
+    return where, loads
+
+
+def test_small_blocks_join_the_lightest(spark):
+    r = random.Random(3)
+    for n, low in ((12, 5), (30, 5), (6, 50), (5, 0)):
+        size = {f"b{i:02d}": r.randint(1, 12) for i in range(n)}
+        big = {b: v for b, v in size.items() if v >= low}
+        small = sorted((b for b in size if b not in big), key=lambda b: (-size[b], b))
+        want = {b: b for b in size} | (lightest([(b, size[b]) for b in small], big)[0] if big else {})
+        sizes = spark.createDataFrame([(b, v, r.randrange(1000)) for b, v in size.items()], "block string, n long, h long")
+        merged = D.merge_targets(sizes, low)
+        assert {x["block"]: x["merged"] for x in merged.collect()} == want
+        groups, draw = {}, {x["block"]: x["h"] for x in sizes.collect()}
+        for b, t in want.items():
+            groups[t] = groups.get(t, 0) + size[b]
+        order = sorted(groups, key=lambda t: (draw[t], t))
+        for k in (4, 3, 2):
+            place, loads = lightest([(t, groups[t]) for t in order], {f: 0 for f in range(k)})
+            if k <= len(groups) and min(loads.values()) >= 9:
+                break
+        assert {x["merged"]: x["fold"] for x in D.place_folds(merged, 4, 9).collect()} == place
+
+
+def test_counties_are_balanced_by_stratum(spark):
+    r = random.Random(4)
+    rows = [(f"{i:03d}", r.choice("abc"), r.randint(1, 9), r.randrange(50)) for i in range(40)]
+    own, whole, want = {}, [0] * 3, {}
+    for c, s, n, _ in sorted(rows, key=lambda x: (x[3], x[0])):
+        load = own.setdefault(s, [0] * 3)
+        want[c] = f = min(range(3), key=lambda i: (load[i], whole[i], i))
+        load[f] += n
+        whole[f] += n
+    got = D.balance_by_stratum(spark.createDataFrame(rows, "county_fips string, stratum string, n_zctas int, h long"), 3)
+    assert {x["county_fips"]: x["fold"] for x in got.collect()} == want
 
 
 def test_splits_do_not_leak(units):
@@ -93,7 +132,7 @@ def test_envelopes_and_runs(spark, home):
         R.load_envelopes(spark, home, strict=True)
     runs = {"runs": [{"scenario": "h", "target": "t", "task": "regression", "solver": s, "metrics": {"r2": v}} for s, v in (("a", 0.2), ("b", 0.4), ("c", None))]}
     r = R.run_cells(spark.createDataFrame([(json.dumps(runs),)], "v string"), "v").first()
-    assert (r["best_metric"], r["solver"], r["n_folds"], r["n_null_folds"], r["status"]) == (0.4, "b", 3, 1, "valid")
+    assert (r["best_metric"], r["solver"], r["n_folds"], r["n_null_folds"], r["status"]) == (0.4, "b", 3, 1, "VALID")
 
 
 def test_release_is_in_z_order_and_hashed(spark, home):

@@ -105,3 +105,43 @@ def test_krippendorff(spark):
     assert krippendorff_alpha(full, ["x", "y"]).first()["alpha"] == 1.0
     mixed = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "a")], "x string, y string")
     assert abs(krippendorff_alpha(mixed, ["x", "y"]).first()["alpha"] - (1 - 7 * 4 / 32)) < 1e-12
+
+
+def test_sign_flips_by_enumeration(spark):
+    from itertools import product
+
+    from plumbline.operators import resample as R
+
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for g, n in (("a", 6), ("b", 11), ("tied", 9)):
+        d = np.round(rng.normal(0.3, 1, n), 1) if g != "tied" else np.ones(n)
+        rows += [(g, f"{g}{i}", float(x)) for i, x in enumerate(d)]
+        null = np.array([np.mean(np.abs(d) * s) for s in product((-1, 1), repeat=n)])
+        want[g] = (np.mean(null >= d.mean() - 1e-12), np.mean(np.abs(null) >= abs(d.mean()) - 1e-12))
+    df = spark.createDataFrame(rows, "g string, k string, d double")
+    for which, alternative in enumerate(("greater", "two-sided")):
+        got = {r["g"]: (r["method"], r["p_value"]) for r in R.sign_flip_p(df, ["g"], "d", "k", alternative=alternative).collect()}
+        assert all(got[g][0] == "exact" and abs(got[g][1] - want[g][which]) < 1e-12 for g in want)
+
+
+def test_sign_flips_beyond_the_exact_range(spark):
+    from plumbline.operators import resample as R
+
+    rows = [("same", i, 1.0) for i in range(24)] + [("none", i, (-1.0) ** i) for i in range(24)]
+    df = spark.createDataFrame(rows, "g string, k long, d double")
+    got = {r["g"]: r for r in R.sign_flip_p(df, ["g"], "d", "k").collect()}
+    assert got["same"]["method"] == "sampled" and got["same"]["p_value"] == 1 / 1000  # equal differences flip apart
+    assert got["none"]["p_value"] > 0.3
+    assert {r["method"] for r in R.sign_flip_p(df, ["g"], "d", "k", reps=0).collect()} == {"none"}
+    twenty = df.filter("g = 'same' and k < 20").drop("g")
+    r = R.sign_flip_p(twenty, [], "d", "k").first()
+    assert (r["n"], r["method"]) == (20, "exact") and abs(r["p_value"] - 2.0**-20) < 1e-12
+
+
+def test_draws_reach_beyond_32_bits(spark):
+    from plumbline.functions.core import seeded_hash
+
+    n = 1 << 40
+    got = [r[0] for r in spark.range(2000).select(F.pmod(seeded_hash(1, "id"), F.lit(n))).collect()]
+    assert sum(x >= 1 << 39 for x in got) in range(900, 1100) and len(set(got)) == 2000
