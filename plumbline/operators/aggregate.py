@@ -27,14 +27,15 @@ def event_claims(claims: DataFrame, by: list[str]) -> DataFrame:
 def history_before(claims: DataFrame, events: DataFrame, units: DataFrame) -> DataFrame:
     """Frequency and severity of claims strictly before each event start.
 
-    ``events`` is a short list (event, start), so claims carry a day-level pre-aggregate before
-    they meet it and the cutoff is applied to a running total instead of to every claim."""
-    daily = claims.groupBy("zcta_id", F.col("claim_date").alias("_d")).agg(F.count("building").alias("_n"), F.sum(F.coalesce("building", F.lit(0.0))).alias("_s"))
+    ``events`` is a short list (event, start). Claims become one row per unit and time, whose running totals are read off at each start in one
+    ordered pass per unit; the cost is claims plus units x events, which is the size of the result. At equal times the start comes first."""
+    daily = claims.groupBy("zcta_id", F.col("claim_date").cast("timestamp").alias("_t")).agg(F.count("building").alias("_n"), F.sum(F.coalesce("building", F.lit(0.0))).alias("_s"))
     starts = events.agg(F.collect_set(F.struct("event", "start"))).scalar()
-    hits = daily.withColumn("_e", F.explode(starts)).filter(F.col("_d") < F.col("_e.start"))
-    g = hits.groupBy("zcta_id", F.col("_e.event").alias("event")).agg(F.sum("_n").alias("historical_frequency"), div(F.sum("_s"), F.sum("_n")).alias("historical_severity"))
-    base = units.select("zcta_id").withColumn("_e", F.explode(starts)).select("zcta_id", F.col("_e.event").alias("event"))
-    return base.join(g, ["zcta_id", "event"], "left").na.fill(0, ["historical_frequency", "historical_severity"])
+    asked = units.select("zcta_id").withColumn("_e", F.explode(starts)).select("zcta_id", F.col("_e.start").cast("timestamp").alias("_t"), F.col("_e.event").alias("event"))
+    both = daily.withColumns({"event": F.lit(None).cast("string"), "_k": F.lit(1)}).unionByName(asked.withColumns({"event": F.col("event").cast("string"), "_n": F.lit(0).cast("long"), "_s": F.lit(0.0), "_k": F.lit(0)}))
+    so_far = W.partitionBy("zcta_id").orderBy("_t", "_k").rowsBetween(W.unboundedPreceding, 0)
+    g = both.withColumns({"_n": F.sum("_n").over(so_far), "_s": F.sum("_s").over(so_far)}).filter("_k = 0")
+    return g.select("zcta_id", "event", F.col("_n").alias("historical_frequency"), F.coalesce(div("_s", "_n"), F.lit(0.0)).alias("historical_severity"))
 
 
 def county_totals(events: DataFrame, recent_from: int, n_years: int) -> DataFrame:

@@ -91,10 +91,17 @@ TASK_WITHHELD = {
 
 
 def refuse_forbidden_classes(columns: list[str], contract: DataFrame, forbidden: list[str]) -> DataFrame:
-    """Contract rows of used features whose temporal class is forbidden; the caller raises if any."""
+    """Contract rows of used features whose temporal class is forbidden."""
     return contract.filter(F.col("feature").isin(*columns) & F.col("temporal_class").isin(*forbidden))
 
 
+def require_allowed_classes(columns: list[str], contract: DataFrame, forbidden: list[str]) -> None:
+    """Raise when a used feature's temporal class is forbidden."""
+    bad = refuse_forbidden_classes(columns, contract, forbidden).select("feature").limit(20).collect()
+    if bad:
+        raise ValueError(f"features of a forbidden temporal class: {sorted(r[0] for r in bad)}")
+
+
 def complete_rows(df: DataFrame, flags: list[str]) -> DataFrame:
     return df.filter(all_of([F.col(f) for f in flags]))
 

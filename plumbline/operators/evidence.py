@@ -63,9 +63,9 @@ def extract_claims(responses: DataFrame, key: str, text_fields: list[str], list_
 
 
 def numbers_in(text) -> Column:
-    """Percentages (without the boilerplate 1 % and 0.2 % annual chance), dollars and counts in context."""
+    """Percentages (without the boilerplate 1 % and 0.2 %, told by "annual" or "chance" within the next 15 characters), dollars and counts in context."""
     t = F.lower(col(text))
-    plain = F.regexp_replace(t, r"(?<![\d.])(?:1(?:\.0+)?|0\.20*)\s*%(?=.{0,14}(?:annual|chance))", " ")
+    plain = F.regexp_replace(t, r"(?<![\d.])(?:1(?:\.0+)?|0\.20*)\s*%(?=.{0,9}(?:annual|chance))", " ")
     num = lambda pattern, src: F.transform(F.regexp_extract_all(src, F.lit(pattern), 1), lambda s: F.regexp_replace(s, ",", "").try_cast("double"))
     every = F.concat(num(r"(\d+\.?\d*)\s*%", plain), num(r"\$\s*([\d,]+\.?\d*)", t), num(r"(?:population|claims|score)[:\s]+(?:of\s+)?([\d,]+)", t))
     return F.filter(every, lambda x: x.isNotNull())
@@ -81,8 +81,9 @@ def _numeric_verdict(t: Column, nums: Column, features: list[str]) -> Column:
 
 def _category_verdict(t: Column, cols: set[str]) -> Column:
     val = lambda c: F.col(c).cast("double") if c in cols else F.lit(None).cast("double")
-    zone_a, x500, svi = val("flood_pct_zone_a"), val("flood_pct_zone_x500"), val("svi_overall")
-    invented = _any(t, ("zone ve", "coastal high hazard")) & (zone_a == 0) & (x500 == 0)
+    known = lambda c: F.coalesce(val(c), F.lit(0.0))  # a source without the column counts as 0
+    zone_a, svi = val("flood_pct_zone_a"), known("svi_overall")
+    invented = _any(t, ("zone ve", "coastal high hazard")) & (known("flood_pct_zone_a") == 0) & (known("flood_pct_zone_x500") == 0)
     wrong = (t.contains("low") & t.contains("vulnerability") & (svi >= 0.5)) | (_any(t, ("very high", "extremely")) & t.contains("vulnerability") & (svi < 0.5))
     named = (_any(t, ("zone a", "zone ae", "1%")) & zone_a.isNotNull()) | (t.contains("zone x") & ~_any(t, ("x500", "x-500")) & val("flood_pct_zone_x").isNotNull())
     return F.when(F.coalesce(invented | wrong, F.lit(False)), "N_claim").when(F.coalesce(named, F.lit(False)), "verified")

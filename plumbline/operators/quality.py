@@ -166,8 +166,9 @@ DECISIONS = ("EXECUTE", "CAUTION", "REFUSE")
 def certificate_constraints(cert: DataFrame, snapshots: DataFrame, zctas: DataFrame) -> DataFrame:
     unit = lambda c: F.col(c).between(0.0, 1.0)
     rules = {f"unit:{c}": unit(c) for c in ("r", "s_sup", "n", "alpha", "kappa_compat")}
-    rules |= {"sigma": F.col("sigma") >= 0, "decision": F.col("public_decision").isin(*DECISIONS), "simplex": F.abs(F.col("r") + F.col("s_sup") + F.col("n") - 1) <= 1e-6}
-    parts = [check_constraints(cert, "certificate", rules), unique_constraint(cert, "certificate", ["certificate_id"]), unique_constraint(cert, "certificate", ["scenario_id", "snapshot_t", "zcta_id", "embedding_arm"]),
+    rules |= {"sigma": F.col("sigma") >= 0, "decision": F.col("public_decision").isin(*DECISIONS), "simplex": F.abs(F.col("r") + F.col("s_sup") + F.col("n") - 1) <= 1e-6,
+              "floor_or_reason": F.col("task_residual_floor").isNotNull() | F.col("task_residual_floor_unavailable_reason").isNotNull(), "gate_pairing": F.col("gate_reached").isNotNull() | F.col("gate_reason").isNull()}
+    parts = [check_constraints(cert, "certificate", rules), unique_constraint(cert, "certificate", ["certificate_id"]), unique_constraint(cert, "certificate", ["scenario_id", "snapshot_t", "zcta_id", "embedding_arm", "target"]),
              foreign_key(cert, snapshots, "certificate", ["scenario_id", "snapshot_t"]), foreign_key(cert, zctas, "certificate", ["scenario_id", "zcta_id"])]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

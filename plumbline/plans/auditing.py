@@ -106,9 +106,18 @@ def _(t):
     return Q.manifest_columns(["Brand#2", "other"], t.raw("part").select(F.col("p_brand").alias("name")).distinct())
 
 
-@query("q11_schema_constraints", W("certificate", "snapshots", "scenario_zctas") + """SELECT 'certificate' AS "table", c AS "constraint", n AS n_violations FROM (SELECT unnest(['unit:r', 'unit:s_sup', 'unit:n', 'unit:alpha', 'unit:kappa_compat', 'sigma', 'decision', 'simplex', 'unique:certificate_id', 'unique:scenario_id,snapshot_t,zcta_id,embedding_arm', 'fk:scenario_id,snapshot_t', 'fk:scenario_id,zcta_id']) AS c, 0::BIGINT AS n)""")
+AUDITED = """SELECT certificate_id, scenario_id, snapshot_t, zcta_id, embedding_arm, CASE WHEN z % 11 = 0 THEN 'a' ELSE zcta_id END AS target, CASE WHEN z % 3 > 0 THEN 0.1 END AS task_residual_floor, CASE WHEN z % 4 > 0 THEN 'no data' END AS why, CASE WHEN z % 5 > 0 THEN 'g1' END AS gate_reached, CASE WHEN z % 2 > 0 THEN 'late' END AS gate_reason
+    FROM (SELECT *, CAST(zcta_id AS INT) AS z FROM certificate) UNION ALL SELECT certificate_id || 'x', scenario_id, snapshot_t, zcta_id, embedding_arm, 'a', 0.1, NULL, NULL, NULL FROM certificate WHERE CAST(zcta_id AS INT) % 11 < 2"""
+
+
+@query("q11_schema_constraints", W("certificate", "snapshots", "scenario_zctas", a=AUDITED) + """SELECT 'certificate' AS "table", c AS "constraint", n AS n_violations FROM (SELECT unnest(['unit:r', 'unit:s_sup', 'unit:n', 'unit:alpha', 'unit:kappa_compat', 'sigma', 'decision', 'simplex', 'unique:certificate_id', 'fk:scenario_id,snapshot_t', 'fk:scenario_id,zcta_id']) AS c, 0::BIGINT AS n)
+    UNION ALL SELECT 'certificate', 'unique:scenario_id,snapshot_t,zcta_id,embedding_arm,target', count(*) FROM (SELECT 1 FROM a GROUP BY scenario_id, snapshot_t, zcta_id, embedding_arm, target HAVING count(*) > 1)
+    UNION ALL SELECT 'certificate', 'floor_or_reason', count(*) FROM a WHERE task_residual_floor IS NULL AND why IS NULL UNION ALL SELECT 'certificate', 'gate_pairing', count(*) FROM a WHERE gate_reached IS NULL AND gate_reason IS NOT NULL""")
 def _(t):
-    return Q.certificate_constraints(t.certificate, t.snapshots, t.scenario_zctas)
+    z, none = F.col("zcta_id").cast("int"), F.lit(None).cast("string")
+    c = t.certificate.withColumns({"target": F.when(z % 11 == 0, "a").otherwise(F.col("zcta_id")), "task_residual_floor": F.when(z % 3 > 0, 0.1), "task_residual_floor_unavailable_reason": F.when(z % 4 > 0, "no data"), "gate_reached": F.when(z % 5 > 0, "g1"), "gate_reason": F.when(z % 2 > 0, "late")})
+    more = t.certificate.filter(z % 11 < 2).withColumns({"certificate_id": F.concat("certificate_id", F.lit("x")), "target": F.lit("a"), "task_residual_floor": F.lit(0.1), "task_residual_floor_unavailable_reason": none, "gate_reached": none, "gate_reason": none})
+    return Q.certificate_constraints(c.unionByName(more), t.snapshots, t.scenario_zctas)
 
 
 @query("q11_constraint_violations", "SELECT 'lineitem' AS \"table\", 'quantity' AS \"constraint\", count(*) FILTER (NOT l_quantity < 45) AS n_violations FROM lineitem UNION ALL SELECT 'lineitem', 'unique:l_orderkey', (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'lineitem', 'fk:l_orderkey', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))")
