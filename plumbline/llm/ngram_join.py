@@ -20,8 +20,8 @@ from plumbline.llm.common import components, table, text_or_empty
 from plumbline.session import cut_lineage
 
 WORDS, PERCENT = 5, 80
-#: characters of text per numpy step; sets per trie or block
-CHUNK, BLOCK = 6_000_000, 64
+#: characters of text per numpy step; paths of a trie; bitmaps of a block
+CHUNK, BLOCK, BITMAPS = 6_000_000, 64, 1_024
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: white space that separates words: 0x20 and 0x09-0x0D
 _BLANK = np.zeros(256, bool)
@@ -172,7 +172,8 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _meetings(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, id, leader, n): the smallest id under each key, for keys that several ids have; and every document's whole-set row with its n."""
+    """(key, id, leader, many, n): the smallest id under each key, and whether there are three or more, for keys that several ids have; and every document's whole-set
+    row with its n."""
 
     def keys(batches):
         maker = Keys(percent)
@@ -187,8 +188,10 @@ def _meetings(rows: DataFrame, width: int, percent: int) -> DataFrame:
     # an id appears once under a key, so a key's rows are never more than the distinct ids, and an id's rows are spread over all its keys
     some = flat.filter("key is not null")
     w = Window.partitionBy("key").orderBy("id")
-    met = some.select("key", "id", "n", F.first("id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("leader"), F.lead("id").over(w).alias("after"), F.lag("id").over(w).alias("prior"))
-    met = met.filter("n is not null or after is not null or prior is not null").select("key", "id", "leader", "n")
+    place, ahead = F.row_number().over(w), lambda k: F.lead("id", k).over(w)
+    met = some.select("key", "id", "n", F.first("id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("leader"), place.alias("place"), ahead(1).alias("after"), ahead(2).alias("later"))
+    many = (F.col("place") > 2) | F.when(F.col("place") == 1, F.col("later")).otherwise(F.col("after")).isNotNull()
+    met = met.filter("n is not null or place > 1").select("key", "id", "leader", many.alias("many"), "n")
     return cut_lineage(met)
 
 
@@ -262,8 +265,8 @@ def close_pairs(ids: list[int], groups: list[int], sizes: np.ndarray, sketches:
 def _block_pairs(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of different components under keys (key, id, component) that hold several.
 
-    A key of many sets is cut in sub-blocks that meet two at a time, so a block has about ``BLOCK`` sets at most. Blocks of the same sets are compared once."""
-    subs = mixed.groupBy("key").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("subs"))
+    A key of many sets is cut in sub-blocks that meet two at a time, so a block has about ``BITMAPS`` sets at most. Blocks of the same sets are compared once."""
+    subs = mixed.groupBy("key").agg(F.ceil(F.count("*") / (BITMAPS // 2)).cast("int").alias("subs"))
     rows = mixed.join(subs, "key").withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     rows = rows.groupBy("key", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j")).agg(F.sort_array(F.collect_set(F.struct("id", "component"))).alias("members"))
@@ -289,18 +292,16 @@ def _block_pairs(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFra
     return cut_lineage(rows.mapInPandas(compare, "a long, b long").distinct())
 
 
-def _links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect what is linked among sets that share a key (key, id).
+def _links(starred: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect what is linked among sets that share a key: (key, id, leader, many), the leader being the key's smallest id and not among the rows.
 
-    Each set is compared with the smallest id under its key, the pivot. Distance is a metric: sets whose distances from the pivot differ by more than that of a
+    Each set is compared with its leader. Distance is a metric: sets whose distances from the leader differ by more than that of a
     link cannot be linked, so a key falls apart where the sorted distances have such a gap. Parts that lie in one component are done, the others are compared in blocks."""
-    by_key = Window.partitionBy("key").orderBy("id")
-    starred = held.withColumn("pivot", F.first("id").over(by_key.rowsBetween(Window.unboundedPreceding, 0))).filter("id <> pivot")
-    walks = _star_walks(starred.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sets, percent)
+    walks = _star_walks(starred.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets, percent)
     links = walks.filter("linked").select("a", "b")
     groups = cut_lineage(components(links))
-    far = starred.join(walks.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), ["pivot", "id"]).join(groups.withColumnRenamed("node", "id"), "id", "left")
-    far = far.select("key", "id", "distance", F.coalesce("component", "id").alias("component"))
+    placed = walks.join(groups.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("id"), "distance", F.coalesce("component", "b").alias("component"))
+    far = starred.filter("many").join(placed, ["leader", "id"])
     by_distance = Window.partitionBy("key").orderBy("distance", "id")
     gap = F.coalesce((F.col("distance") - F.lag("distance").over(by_distance) > 1 - percent / 100 + 1e-9).cast("int"), F.lit(0))
     far = far.withColumn("gap", gap).withColumn("part", F.sum("gap").over(by_distance.rowsBetween(Window.unboundedPreceding, 0))).select(F.xxhash64("key", "part").alias("key"), "id", "component")
@@ -327,9 +328,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.join(again, "id", "left_anti").unionByName(told)
     met = _meetings(rows, width, percent)
     copies = cut_lineage(met.filter("n is not null and id <> leader").groupBy("id").agg(F.min("leader").alias("rep")))
-    held = cut_lineage(met.filter("n is null").select("key", "id").join(copies.select("id"), "id", "left_anti").select("key", "id"))
-    sets = _sets(rows, held.select("id").distinct(), width)
-    groups = cut_lineage(components(_links(held, sets, percent)))
+    # equal sets have the same keys, so a key's smallest id is never a copy
+    starred = cut_lineage(met.filter("n is null").join(copies.select("id"), "id", "left_anti").select("key", "id", "leader", "many"))
+    sets = _sets(rows, starred.select("id").union(starred.select("leader")).distinct(), width)
+    groups = cut_lineage(components(_links(starred, sets, percent)))
     sizes = met.filter("n is not null").select("id", "n")
     known = sizes.join(copies, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")).join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("id", "n", F.coalesce("component", "rep").alias("component"))
