@@ -164,16 +164,17 @@ def _(t):
     return rnd(G.permute_weights(_nbr(t), t.units, [0.2, 0.6], 2), 8, "weight")
 
 
-REG = "SELECT 'r' || CAST(label AS VARCHAR) || '_' || CAST(vec_id % 4 AS VARCHAR) AS id, avg(embedding[1]::DOUBLE) AS e1, avg(embedding[2]::DOUBLE) AS e2, avg(embedding[3]::DOUBLE) AS e3, avg(vec_id * 37 % 101)::DOUBLE AS x, avg(vec_id * 61 % 97)::DOUBLE AS y FROM embeddings GROUP BY 1"
+DIMS = 64
+REG = "SELECT 'r' || CAST(label AS VARCHAR) || '_' || CAST(vec_id % 4 AS VARCHAR) AS id, " + ", ".join(f"avg(embedding[{i}]::DOUBLE) AS e{i}" for i in range(1, DIMS + 1)) + ", avg(vec_id * 37 % 101)::DOUBLE AS x, avg(vec_id * 61 % 97)::DOUBLE AS y FROM embeddings GROUP BY 1"
 
 
 def _regions(t):
     e, v = F.col("embedding"), F.col("vec_id")
     return t.raw("embeddings").groupBy(F.concat(F.lit("r"), F.col("label").cast("string"), F.lit("_"), (v % 4).cast("string")).alias("id")).agg(
-        F.array(*[F.avg(e[i].cast("double")) for i in range(3)]).alias("vec"), F.avg(v * 37 % 101).alias("x"), F.avg(v * 61 % 97).alias("y"))
+        F.array(*[F.avg(e[i].cast("double")) for i in range(DIMS)]).alias("vec"), F.avg(v * 37 % 101).alias("x"), F.avg(v * 61 % 97).alias("y"))
 
 
-D2 = "(a.e1 - b.e1) ** 2 + (a.e2 - b.e2) ** 2 + (a.e3 - b.e3) ** 2"
+D2 = " + ".join(f"(a.e{i} - b.e{i}) ** 2" for i in range(1, DIMS + 1))
 GAB = f"SELECT a.id AS i, b.id AS j FROM r a JOIN r b ON a.id < b.id WHERE NOT EXISTS (SELECT 1 FROM d p JOIN d q ON p.j = q.i WHERE p.i = a.id AND q.j = b.id AND p.d2 + q.d2 < {D2})"
 DD = f"SELECT a.id AS i, b.id AS j, {D2} AS d2 FROM r a JOIN r b ON a.id <> b.id"
 
@@ -199,7 +200,7 @@ def _(t):
 
 @query("g22_kappa_reconstruct")
 def _(t):
-    return G.kappa_reconstruct(_gabriel(t), _regions(t).select("id", "x", "y"), 5)
+    return G.kappa_reconstruct(_gabriel(t), _regions(t).select("id", "x", "y"), 20)
 
 
 @query("g23_mantel_stress", f"WITH r AS ({REG}), q AS (SELECT sqrt({D2}) AS x, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS y FROM r a JOIN r b ON a.id < b.id) SELECT round(corr(x, y), 8) AS mantel_r, round(sqrt(sum((x - y) ** 2) / sum(x * x)), 5) AS stress, count(*) AS n_pairs FROM q")
