@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import table, text_or_empty
 
 #: pieces and pre-tokens whose ids a worker keeps; emptied when full
-CACHE_PIECES = 200_000
+CACHE_PIECES = 300_000
 #: characters of text that are encoded together
 CHUNK = 4_000_000
 #: two white-space characters in a row, or white space other than blanks at a piece's edge: such texts are split by the pattern as a whole
@@ -58,14 +59,14 @@ class Merger:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each pre-token: the pair of lowest rank is merged first, the leftmost of equal ranks first.
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian u32 ids of each pre-token: the pair of lowest rank is merged first, the leftmost of equal ranks first.
 
         All positions of a popped rank are merged together. That is the order of one at a time unless such a merge makes a pair of lower rank while the
         same pre-token has other positions in the bucket; these pre-tokens, if any, are merged again with one position a time."""
         return self._run(pieces, False)
 
-    def _run(self, pieces: list[bytes], single_step: bool) -> list[np.ndarray]:
+    def _run(self, pieces: list[bytes], single_step: bool) -> list[bytes]:
         size = np.array([len(p) for p in pieces], np.int64)
         n = int(size.sum())
         ends = np.cumsum(size)
@@ -155,7 +156,8 @@ class Merger:
                         again[owner[under]] = True
                 push(fresh)
         tok, owner = tok[:n], owner[tok[:n] >= 0]
-        out = np.split(tok[tok >= 0].astype("<u4"), np.cumsum(np.bincount(owner, minlength=len(pieces)))[:-1]) if len(pieces) else []
+        flat, cuts = tok[tok >= 0].astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))).tolist()
+        out = [flat[a:b] for a, b in zip([0, *cuts], cuts)]
         if again.any():
             which = np.flatnonzero(again).tolist()
             for i, ids in zip(which, self._run([pieces[i] for i in which], True)):
@@ -169,7 +171,6 @@ class Encoder:
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.merger = Merger(self.ranks)
         #: ids by word after a blank, and by match
         self.words: dict[str, bytes] = {}
         self.matches: dict[str, bytes] = {}
@@ -179,6 +180,10 @@ class Encoder:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(width)), np.uint8)
 
+    @cached_property
+    def merger(self) -> Merger:
+        return Merger(self.ranks)
+
     def _learn(self, matches: set[str]) -> None:
         """Ids of new matches of the pattern: a match that is a token as it is, or all others in one call of the merger."""
         if len(self.matches) > CACHE_PIECES:
@@ -189,7 +194,7 @@ class Encoder:
         self.matches.update({m: array("I", (r,)).tobytes() for m, r in zip(new, whole) if r is not None})
         rest = [(m, p) for m, p, r in zip(new, pieces, whole) if r is None]
         for (m, _), ids in zip(rest, self.merger.merge([p for _, p in rest])):
-            self.matches[m] = ids.tobytes()
+            self.matches[m] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text. A blank between two non-blanks always opens a match of the pattern, so texts whose white space stands alone are cut there
@@ -201,10 +206,12 @@ class Encoder:
             self.words.clear()
         heads = [find(s[0]) if p else s for s, p in zip(split, plain)]
         fresh = set().union(*[s[1:] for s, p in zip(split, plain) if p]).difference(self.words)
-        parts = {w: find(" " + w) for w in fresh}
-        self._learn(set().union(*heads, *parts.values()))
+        fresh = list(fresh)
+        flat = find(" " + " ".join(fresh)) if fresh else []  # a match that opens with a blank opens the next word
+        opens = [k for k, m in enumerate(flat) if m[0] == " "] + [len(flat)]
+        self._learn(set().union(flat, *heads))
         match, word = self.matches.__getitem__, self.words.__getitem__
-        self.words.update({w: b"".join(map(match, p)) for w, p in parts.items()})
+        self.words.update({w: b"".join(map(match, flat[a:b])) for w, a, b in zip(fresh, opens, opens[1:])})
         return [b"".join(map(match, h)) + (b"".join(map(word, s[1:])) if p else b"") for h, s, p in zip(heads, split, plain)]
 
     def decode(self, ids: np.ndarray) -> bytes:
