@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.core import clip, col, div, seeded_hash
-from plumbline.operators.ranking import hash_order, quantile_scalar, quantiles, value_ranks
+from plumbline.operators.ranking import P_RANGES, hash_order, quantile_scalar, quantiles, value_ranks
 from plumbline.operators.spatial import bbox_pairs
 from plumbline.session import cut_lineage
 
@@ -118,13 +118,13 @@ def local_moran_p(lisa: DataFrame, permutations: int, seed: int, key: str = "zct
 
 
 def bh_adjust(df: DataFrame, p: str, by: list[str] = (), out: str = "p_adj") -> DataFrame:
-    """Benjamini-Hochberg adjusted p-values; running minima are taken range by range."""
+    """Benjamini-Hochberg adjusted p-values; running minima are taken range by range; the ranges are even in rank, so small values, the usual case, spread over them."""
     by = list(by)
     r = value_ranks(df, by, p).withColumn("_q", F.col(p) * F.col("n") / (F.col("below") + F.col("ties")))
-    r = r.withColumn("_b", F.floor(F.col(p) * 64))
+    r = r.withColumn("_b", F.floor(F.col("below") * P_RANGES / F.col("n")))
     tail = r.groupBy(*by, "_b").agg(F.min("_q").alias("_mq"))
     after = W.partitionBy(*([F.col(b) for b in by] or [F.lit(0)])).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
-    tail = tail.withColumn("_later", F.min("_mq").over(after)).drop("_mq")  # at most 65 rows per group
+    tail = tail.withColumn("_later", F.min("_mq").over(after)).drop("_mq")  # at most P_RANGES rows per group
     inside = W.partitionBy(*by, "_b").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
     adj = r.join(tail, [*by, "_b"]).select(*by, p, F.least(F.lit(1.0), F.least(F.min("_q").over(inside), F.coalesce("_later", F.lit(1.0)))).alias(out))
     return df.join(adj, [*by, p], "left")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.core import clip, col, div, seeded_hash
-from plumbline.operators.ranking import quantiles, spearman, value_ranks, with_avg_rank
+from plumbline.operators.ranking import P_RANGES, quantiles, spearman, value_ranks, with_avg_rank
 from plumbline.operators.resample import draws, fit_sums, number_blocks, percentile_ci
 
 # Fixed values.
@@ -119,9 +119,9 @@ def welch(df: DataFrame, by: list[str], group: Column, value: str) -> DataFrame:
 
 
 def holm_adjust(df: DataFrame, p: str, by: list[str] = (), out: str = "p_holm") -> DataFrame:
-    """Holm-Bonferroni adjusted p-values; the running maximum is taken range by range."""
+    """Holm-Bonferroni adjusted p-values; the running maximum is taken over ranges that are even in rank."""
     by = list(by)
-    r = value_ranks(df, by, p).withColumn("_q", F.least(F.lit(1.0), F.col(p) * (F.col("n") - F.col("below")))).withColumn("_b", F.floor(F.col(p) * 64))
+    r = value_ranks(df, by, p).withColumn("_q", F.least(F.lit(1.0), F.col(p) * (F.col("n") - F.col("below")))).withColumn("_b", F.floor(F.col("below") * P_RANGES / F.col("n")))
     head = r.groupBy(*by, "_b").agg(F.max("_q").alias("_mq"))
     before = W.partitionBy(*([F.col(b) for b in by] or [F.lit(0)])).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     head = head.withColumn("_earlier", F.max("_mq").over(before)).drop("_mq")

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from plumbline.functions.core import div, seeded_hash
 
 RANGES = 256  # a power of two
+P_RANGES = 1024  # ranges, even in rank, over which running extremes of p-values are taken
 
 
 def _with_code(df: DataFrame, value: str) -> DataFrame:
