@@ -145,3 +145,15 @@ def test_draws_reach_beyond_32_bits(spark):
     n = 1 << 40
     got = [r[0] for r in spark.range(2000).select(F.pmod(seeded_hash(1, "id"), F.lit(n))).collect()]
     assert sum(x >= 1 << 39 for x in got) in range(900, 1100) and len(set(got)) == 2000
+
+
+def test_queue_places_with_ties_and_one_large_group(spark):
+    from plumbline.operators.served import positions
+
+    g = np.random.default_rng(9)
+    n = 3000
+    p = pd.DataFrame({"s": np.where(np.arange(n) % 10 > 0, "hot", "b"), "a": g.integers(0, 3, n), "b": g.integers(0, 2, n), "id": [f"unit-with-a-long-prefix-{x:04d}" for x in g.integers(0, 1500, n)]})
+    got = positions(spark.createDataFrame(p), ["s"], [F.col("a"), F.col("b")], "id").toPandas()
+    want = p.assign(k=list(zip(p["a"], p["b"], p["id"])))
+    want["place"] = want.groupby("s")["k"].rank(method="min").astype(int)
+    assert sorted(zip(got["s"], got["a"], got["b"], got["id"], got["ordinal_position"])) == sorted(zip(want["s"], want["a"], want["b"], want["id"], want["place"]))
