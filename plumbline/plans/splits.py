@@ -20,7 +20,17 @@ def _(t):
     return D.block_keys(t.units, 7, "zcta_id", "state_fips")
 
 
-@query("f03_f04_spatial_folds")
+FOLDS = W("units", b="SELECT zcta_id, CASE WHEN (SELECT count(DISTINCT county_fips) FROM units) >= 5 THEN coalesce(county_fips, 'unknown') ELSE substr(zcta_id, 1, 3) END AS b FROM units", g="SELECT b, count(*) AS n FROM b GROUP BY 1",
+          k="SELECT zcta_id, CASE WHEN n > floor((SELECT count(*) FROM units) * 0.4) THEN b || '_' || substr(zcta_id, 1, 4) ELSE b END AS block FROM b JOIN g USING (b)", sz=f"SELECT block, count(*) AS n, {hsh(42, 'block')} AS h FROM k GROUP BY block",
+          big="SELECT block, n, row_number() OVER (ORDER BY block) AS j FROM sz WHERE n >= 5", small="SELECT block, n, row_number() OVER (ORDER BY n DESC, block) AS i FROM sz WHERE n < 5").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+ m AS (SELECT 0::BIGINT AS i, (SELECT list(n ORDER BY block) FROM big) AS l, NULL::VARCHAR AS block, 0::BIGINT AS j UNION ALL SELECT i, list_transform(l, lambda v, q: v + CASE WHEN q = j THEN n ELSE 0 END), block, j FROM (SELECT x.i, x.n, x.block, m.l, CAST(list_position(m.l, list_min(m.l)) AS BIGINT) AS j FROM m JOIN small x ON x.i = m.i + 1)),
+ t AS (SELECT block, n, h, coalesce((SELECT big.block FROM m JOIN big USING (j) WHERE m.block = sz.block), block) AS merged FROM sz),
+ o AS (SELECT merged, n, row_number() OVER (ORDER BY h, merged) AS i FROM (SELECT merged, sum(n)::BIGINT AS n, max(h) FILTER (block = merged) AS h FROM t GROUP BY 1)),
+ p AS (SELECT 0::BIGINT AS i, [0::BIGINT, 0, 0, 0, 0] AS l, NULL::VARCHAR AS merged, 0 AS f UNION ALL SELECT i, list_transform(l, lambda v, q: v + CASE WHEN q = f + 1 THEN n ELSE 0 END), merged, f FROM (SELECT o.i, o.n, o.merged, p.l, CAST(list_position(p.l, list_min(p.l)) AS INTEGER) - 1 AS f FROM p JOIN o ON o.i = p.i + 1))
+ SELECT zcta_id, block, merged, f AS fold FROM k JOIN t USING (block) JOIN p USING (merged)"""  # five folds always reach the least size here
+
+
+@query("f03_f04_spatial_folds", FOLDS)
 def _(t):
     return D.spatial_folds(t.units, 5)
 
@@ -39,12 +49,29 @@ def _(t):
     return D.county_summary(t.units, "segment")
 
 
-@query("f06_imputation_split")
+def _least(loads: list[str], also: list[str] | None = None) -> str:
+    """Number of the smallest load (then of the smallest second load, then the first)."""
+    rows = [f"{{'a': {x}, 'b': {y}, 'f': {f}}}" for f, (x, y) in enumerate(zip(loads, also or loads))]
+    return f"list_min([{', '.join(rows)}]).f"
+
+
+OWN = [f"z.l[x.s * 5 + {f + 1}]" for f in range(5)]
+ALL = [f"z.l[{f + 1}]" for f in range(5)]
+GREEDY = f"""r AS (SELECT county_fips, stratum, n_zctas, dense_rank() OVER (ORDER BY stratum) AS s, row_number() OVER (ORDER BY {hsh(42, 'county_fips')}, county_fips) AS i FROM h WHERE NOT test),
+ z AS (SELECT 0::BIGINT AS i, list_transform(range(60), lambda q: 0::BIGINT) AS l, NULL::VARCHAR AS county_fips, 0 AS f UNION ALL
+ SELECT i, list_transform(l, lambda v, q: v + CASE WHEN q = f + 1 OR q = s * 5 + f + 1 THEN n ELSE 0 END) AS l, county_fips, f FROM (SELECT x.i, x.s, x.n_zctas AS n, x.county_fips, z.l, {_least(OWN, ALL)} AS f FROM z JOIN r x ON x.i = z.i + 1))"""
+
+
+@query("f06_imputation_split", W("units", c=CTY, h=f"SELECT *, {ORD.format(p='PARTITION BY stratum', h=hsh(42, 'county_fips'), k='county_fips')} <= greatest(1, round_even(count(*) OVER (PARTITION BY stratum) * 0.2, 0)) AS test FROM c").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + GREEDY
+       + " SELECT zcta_id, coalesce('valid' || CAST(f + 1 AS VARCHAR), 'test') AS split_imputation FROM units LEFT JOIN (SELECT county_fips, f FROM z WHERE i > 0) USING (county_fips)")
 def _(t):
     return D.imputation_split(t.units, D.county_summary(t.units, "segment"))
 
 
-@query("f07_extrapolation_split")
+@query("f07_extrapolation_split", W("units", s="SELECT state_fips, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, state_fips) AS i FROM units WHERE state_fips NOT IN ('00', '03') GROUP BY 1").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+       + f""", z AS (SELECT 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, NULL::VARCHAR AS state_fips, 0 AS f UNION ALL
+ SELECT i, a + CASE WHEN f = 0 THEN n ELSE 0 END, b + CASE WHEN f = 1 THEN n ELSE 0 END, c + CASE WHEN f = 2 THEN n ELSE 0 END, state_fips, f FROM (SELECT s.i, s.n, s.state_fips, z.a, z.b, z.c, {_least(['z.a', 'z.b', 'z.c'])} AS f FROM z JOIN s ON s.i = z.i + 1))
+ SELECT zcta_id, coalesce('valid' || CAST(f + 1 AS VARCHAR), 'test') AS split_extrapolation FROM units LEFT JOIN (SELECT state_fips, f FROM z WHERE i > 0) USING (state_fips)""")
 def _(t):
     return D.extrapolation_split(t.units, ["00", "03"], 3)
 
