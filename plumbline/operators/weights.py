@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -84,39 +82,43 @@ def product_cells(cells: DataFrame, target_margins: DataFrame, cols: list[str],
 def rake_cells(cells: DataFrame, target_margins: DataFrame, cols: list[str], cap: float = 10.0, max_iter: int = 500, tol: float = 1e-6) -> DataFrame:
     """Iterative proportional fitting on the cell table (cells, w, iterations, converged).
 
-    Only cells and margins travel to the fitting task: product of bins and sum of bins in number."""
-    margins = target_margins.agg(F.collect_list(F.struct("descriptor", F.col("bin").cast("long").alias("bin"), "mass"))).scalar()
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema)
-
-    def fit(t: pd.DataFrame) -> pd.DataFrame:
-        goal = {}
-        for m in t["_m"].iloc[0]:
-            goal.setdefault(m["descriptor"], {})[m["bin"]] = m["mass"]
-        n = t["n"].to_numpy(float)
-        w = np.ones(len(t))
-        used = [c for c in cols if c in goal]
-        codes = {c: pd.factorize(t[c]) for c in used}
-        want = {c: np.array([goal[c].get(int(v), 0.0) for v in codes[c][1]]) for c in used}
-        step, change = 0, 0.0
-        while step < max_iter:
-            step += 1
-            old = w.copy()
-            for c in used:
-                total = float((w * n).sum())
-                if total <= 0:
-                    break
-                have = np.bincount(codes[c][0], weights=w * n, minlength=len(want[c]))
-                need = total * want[c]
-                f = np.divide(need, have, out=np.zeros_like(need), where=have > 0)
-                f = np.where(need > 0, np.clip(f, 1 / cap, cap) if cap > 1 else f, 0.0)
-                w = w * f[codes[c][0]]
-            change = float(np.max(np.abs(w - old) / np.maximum(np.abs(old), 1e-12)))
-            if change < tol:
+    A fitted weight is a product of one factor per descriptor and bin, so the state is that table of factors: as many numbers as there are bins. Each
+    adjustment is one aggregate of the cells by a descriptor's bin, combined before its shuffle; the cells stay distributed and are never rewritten."""
+    goal: dict[str, dict[str, float]] = {}
+    for m in target_margins.select("descriptor", F.col("bin").cast("long").cast("string").alias("bin"), "mass").collect():
+        goal.setdefault(m["descriptor"], {})[m["bin"]] = m["mass"]
+    used = [c for c in cols if c in goal]
+    cells = cut_lineage(cells)
+    bin_of = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("~"))
+
+    def product(factors: dict[str, dict[str, float]]) -> Column:
+        w = F.lit(1.0)
+        for c, f in factors.items():
+            if f:
+                w = w * F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in f.items() for v in kv]), bin_of(c)), F.lit(1.0))
+        return w
+
+    factor: dict[str, dict[str, float]] = {c: {} for c in used}
+    step, change = 0, 0.0
+    while step < max_iter:
+        step += 1
+        before = {c: dict(f) for c, f in factor.items()}
+        moved: dict[str, dict[str, float]] = {}
+        for c in used:
+            have = {r["b"]: r["h"] for r in cells.groupBy(bin_of(c).alias("b")).agg(F.sum(product(factor) * F.col("n")).alias("h")).collect()}
+            total = sum(have.values())
+            if total <= 0:
                 break
-        return t.drop(columns=["_m", "_g"]).assign(w=w, iterations=step, converged=change < tol)
-
-    d = cells.withColumns({"_m": margins, "_g": F.lit(0)})
-    return d.groupBy("_g").applyInPandas(fit, f"{fields}, w double, iterations int, converged boolean")
+            moved[c] = {}
+            for b, h in have.items():
+                need = total * goal[c].get(b, 0.0)
+                f = need / h if h > 0 else 0.0
+                moved[c][b] = (min(max(f, 1 / cap), cap) if cap > 1 else f) if need > 0 else 0.0
+                factor[c][b] = factor[c].get(b, 1.0) * moved[c][b]
+        change = cells.agg(F.max(F.when(product(before) > 0, F.abs(product(moved) - 1)).otherwise(0.0))).first()[0] or 0.0
+        if change < tol:
+            break
+    return cells.withColumns({"w": product(factor), "iterations": F.lit(step), "converged": F.lit(change < tol)})
 
 
 def shrink_cells(cells: DataFrame, lam: float) -> DataFrame:

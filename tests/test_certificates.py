@@ -133,3 +133,29 @@ def test_unknown_boolean_token_raises(spark):
         clean.Rule("none", "notnull").test(d)
     with pytest.raises(clean.EmptyDomain):
         clean.Domain("x", (clean.Rule("flag", "eq", "no"),)).select_checked(d)
+
+
+def test_raked_weights_by_plain_fitting(spark):
+    import numpy as np
+
+    from plumbline.operators import weights as B
+
+    g = np.random.default_rng(12)
+    v = [(int(a), int(b)) for a, b in zip(g.choice(4, 400, p=[0.4, 0.3, 0.2, 0.1]), g.choice(3, 400, p=[0.6, 0.3, 0.1]))]
+    t = [(int(a), int(b)) for a, b in zip(g.choice(4, 900), g.choice(3, 900, p=[0.2, 0.3, 0.5]))]
+    cols = ["d1", "d2"]
+    frame = lambda rows: spark.createDataFrame(rows, "d1 int, d2 int")
+    got = B.rake_cells(B.cells_of(frame(v), cols), B.long_bins(frame(t), cols), cols).collect()
+    n = np.zeros((4, 3))
+    np.add.at(n, tuple(np.array(v).T), 1)
+    goal = [np.bincount([x[k] for x in t], minlength=m) / len(t) for k, m in ((0, 4), (1, 3))]
+    w, steps = np.ones((4, 3)), 0
+    while True:
+        steps, old = steps + 1, w.copy()
+        for axis in (0, 1):
+            have = (w * n).sum(axis=1 - axis)
+            f = np.clip((w * n).sum() * goal[axis] / have, 0.1, 10)
+            w = w * (f[:, None] if axis == 0 else f[None, :])
+        if np.abs(w / old - 1).max() < 1e-6:
+            break
+    assert all(r["converged"] and r["iterations"] == steps and abs(r["w"] - w[r["d1"], r["d2"]]) < 1e-7 for r in got) and len(got) == (n > 0).sum()
