@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table, text_or_empty
+from plumbline.llm.common import map_batches, table, text_or_empty
 
 #: pieces and pre-tokens whose ids a worker keeps; emptied when full
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 #: characters of text that are encoded together
 CHUNK = 4_000_000
 #: two white-space characters in a row, or white space other than blanks at a piece's edge: such texts are split by the pattern as a whole
@@ -244,7 +244,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 yield pd.DataFrame({id_col: part[id_col], "ids": enc.encode(part["_text"].tolist())})
 
     rows = docs.select(id_col, text_or_empty(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"{id_col} {dict(rows.dtypes)[id_col]}, ids binary")
+    return map_batches(rows, run, f"{id_col} {dict(rows.dtypes)[id_col]}, ids binary")
 
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -255,7 +255,7 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFra
         for pdf in batches:
             yield pdf.assign(decoded=[enc.decode(np.frombuffer(b, "<u4")) for b in pdf["ids"]])
 
-    return encoded.mapInPandas(run, f"{id_col} {dict(encoded.dtypes)[id_col]}, ids binary, decoded binary")
+    return map_batches(encoded, run, f"{id_col} {dict(encoded.dtypes)[id_col]}, ids binary, decoded binary")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

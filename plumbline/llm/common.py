@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
@@ -27,6 +28,20 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: bytes of rows that reach a Python worker at once
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInPandas`` with batches bounded in bytes, so long texts do not pile up in a worker. The bound is a session setting; one that
+    the session's owner has made smaller stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(re.sub(r"[^-\d]", "", conf.get(_BATCH_SETTING))) <= BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInPandas(function, schema)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared checkpoint folder; every executor and the driver see it."""
     return f"{ensure_checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"

@@ -21,22 +21,20 @@ PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 # language ID
 
 
-def test_languages_of_the_documents(spark, small):
-    found = language_id_rows(spark, small)
-    docs = {r["doc_id"]: r["lang"] for r in table(spark, small, "documents").collect()}
-    right = [found[("doc", i)]["lang"] == lang for i, lang in docs.items()]
-    assert np.mean(right) > 0.97
-    assert np.mean([found[("doc", i)]["accepted"] for i in docs]) > 0.97
+@pytest.fixture(scope="module")
+def judged(spark, small):
+    rows = entry_point.queries()["op1_language_id"](spark, small).collect()
+    return {("doc", r["doc_id"]) if r["page_id"] is None else ("page", r["page_id"]): r for r in rows}
 
 
-def language_id_rows(spark, folder):
-    rows = entry_point.queries()["op1_language_id"](spark, folder).collect()
-    return {("doc", r["doc_id"]) if r["page_id"] is None else ("page", r["page_id"]): r for r in rows}
+def test_languages_of_the_documents(spark, small, judged):
+    docs = {r["doc_id"]: r["lang"] for r in table(spark, small, "documents").collect()}
+    assert np.mean([judged["doc", i]["lang"] == lang for i, lang in docs.items()]) > 0.97
+    assert np.mean([judged["doc", i]["accepted"] for i in docs]) > 0.97
 
 
-def test_every_page_and_document_is_judged(spark, small):
-    found = language_id_rows(spark, small)
-    assert len(found) == table(spark, small, "documents").count() + table(spark, small, "pages").count()
+def test_every_page_and_document_is_judged(spark, small, judged):
+    assert len(judged) == table(spark, small, "documents").count() + table(spark, small, "pages").count()
 
 
 def model_of(spark):
