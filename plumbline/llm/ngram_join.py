@@ -6,7 +6,7 @@ the key under which they meet. Within what meets, sets are compared by walking t
 the one before is not counted again, and a path is left as soon as the elements that remain on either side cannot reach the overlap it needs.
 
 Links are only needed up to connectivity, which keeps dense groups linear: first every set meets the smallest id under each of its keys; then the sets of
-keys that still hold several components are compared in blocks by bitmaps, which rule out most pairs, and the rest is walked. Sets in one component are not compared again.
+keys that still hold several components meet in blocks. Bitmaps rule out most pairs before sets are shipped and walked. Sets in one component are not compared again.
 """
 
 from __future__ import annotations
@@ -207,8 +207,8 @@ def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return cut_lineage(rows.join(ids, "id", "left_semi").mapInPandas(make, "id long, n long, bits binary, grams binary"))
 
 
-def _star_walks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, distance) of candidate pairs, distance one less their similarity. The paths of all b of one a form a trie; a popular a has several, of about ``BLOCK`` paths."""
+def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs (a, b) of candidate pairs. The paths of all b of one a form a trie; a popular a has several, of about ``BLOCK`` paths."""
     tries = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("tries"))
     pairs = pairs.join(tries, "a").select("a", "b", F.pmod(F.xxhash64("b"), "tries").alias("trie"))
     heads = pairs.select("a", "trie").distinct().join(sets.select(F.col("id").alias("a"), "grams"), "a").select("a", "trie", F.lit(None).cast("long").alias("b"), "grams")
@@ -221,14 +221,12 @@ def _star_walks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for a, trie, b, grams in zip(pdf["a"], pdf["trie"], pdf["b"], pdf["grams"]):
                 if (a, trie) != now:  # the row without b comes first
                     now, state = (a, trie), Walk(_unpack(grams), percent)
-                    continue
-                path = _unpack(grams)
-                linked, both = state.meet(path, whole=True)
-                out.append((a, int(b), linked, 1 - both / (len(path) + len(state.query) - both)))
-            yield pd.DataFrame(out, columns=["a", "b", "linked", "distance"])
+                elif state.meet(_unpack(grams))[0]:
+                    out.append((a, int(b)))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     rows = heads.union(paths).repartition("a", "trie").sortWithinPartitions("a", "trie", F.col("b").isNotNull(), "grams")
-    return cut_lineage(rows.mapInPandas(walk, "a long, b long, linked boolean, distance double"))
+    return cut_lineage(rows.mapInPandas(walk, "a long, b long"))
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
@@ -245,12 +243,7 @@ def close_pairs(ids: list[int], groups: list[int], sizes: np.ndarray, sketches:
     """Pairs (smaller id first) of different groups that sizes and bitmaps do not rule out."""
     out = []
     short = min(map(len, sketches))
-    folded = []
-    for x in sketches:
-        while len(x) > short:
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        folded.append(x)
-    maps = np.stack(folded)
+    maps = np.stack([fold(x, short) for x in sketches])
     group = np.array(groups)
     for i in range(len(ids) - 1):
         rest = slice(i + 1, None)
@@ -292,25 +285,55 @@ def _block_pairs(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFra
     return cut_lineage(rows.mapInPandas(compare, "a long, b long").distinct())
 
 
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap of so many 64-bit words, at most its own."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def _bounds(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b, near, apart, reach) of candidate pairs: whether sizes and bitmaps leave a link possible; in how many bits b differs from a at half the length of a's
+    bitmap; and the most bits in which two linked sets under a key led by a can differ there."""
+
+    def compare(batches):
+        for pdf in batches:
+            out = []
+            for a, b, na, nb, xa, xb in zip(pdf["a"], pdf["b"], pdf["na"], pdf["nb"], pdf["xa"], pdf["xb"]):
+                x, y = np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64)
+                same = min(len(x), len(y))
+                most = na + nb - 2 * needed(na, nb, percent)
+                near = 100 * min(na, nb) >= percent * max(na, nb) and int(np.bitwise_count(fold(x, same) ^ fold(y, same)).sum()) <= most
+                half = max(1, len(x) // 2)
+                # sets under a key are at most a factor (100 / percent) ** 2 larger than its smallest
+                out.append((a, b, near, int(np.bitwise_count(fold(x, half) ^ fold(y, half)).sum()), 2 * (na * 10_000 // (percent * percent) + 1) * (100 - percent) // (100 + percent)))
+            yield pd.DataFrame(out, columns=["a", "b", "near", "apart", "reach"])
+
+    side = lambda k: sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
+    return cut_lineage(rows.mapInPandas(compare, "a long, b long, near boolean, apart long, reach long"))
+
+
 def _links(starred: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that connect what is linked among sets that share a key: (key, id, leader, many), the leader being the key's smallest id and not among the rows.
 
-    Each set is compared with its leader. Distance is a metric: sets whose distances from the leader differ by more than that of a
-    link cannot be linked, so a key falls apart where the sorted distances have such a gap. Parts that lie in one component are done, the others are compared in blocks."""
-    walks = _star_walks(starred.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets, percent)
-    links = walks.filter("linked").select("a", "b")
+    Each set is compared with its leader, by bitmaps first. Bits that differ are a metric: sets whose distances from the leader differ by more than linked sets
+    can cannot be linked, so a key falls apart where the sorted distances have such a gap. Parts that lie in one component are done, the others are compared in blocks."""
+    sketches = sets.select("id", "n", "bits")
+    bounds = _bounds(starred.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sketches, percent)
+    links = _star_links(bounds.filter("near").select("a", "b"), sets, percent)
     groups = cut_lineage(components(links))
-    placed = walks.join(groups.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("id"), "distance", F.coalesce("component", "b").alias("component"))
+    placed = bounds.join(groups.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("id"), "apart", "reach", F.coalesce("component", "b").alias("component"))
     far = starred.filter("many").join(placed, ["leader", "id"])
-    by_distance = Window.partitionBy("key").orderBy("distance", "id")
-    gap = F.coalesce((F.col("distance") - F.lag("distance").over(by_distance) > 1 - percent / 100 + 1e-9).cast("int"), F.lit(0))
+    by_distance = Window.partitionBy("key").orderBy("apart", "id")
+    gap = F.coalesce((F.col("apart") - F.lag("apart").over(by_distance) > F.col("reach")).cast("int"), F.lit(0))
     far = far.withColumn("gap", gap).withColumn("part", F.sum("gap").over(by_distance.rowsBetween(Window.unboundedPreceding, 0))).select(F.xxhash64("key", "part").alias("key"), "id", "component")
     far = cut_lineage(far)
     several = far.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    pairs = _block_pairs(far.join(several, "key"), sets.select("id", "n", "bits"), percent)
+    pairs = _block_pairs(far.join(several, "key"), sketches, percent)
     if pairs.isEmpty():
         return links
-    return links.union(_star_walks(pairs, sets, percent).filter("linked").select("a", "b"))
+    return links.union(_star_links(pairs, sets, percent))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
