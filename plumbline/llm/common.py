@@ -47,6 +47,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: lineage is cut, and columns are compressed, which a checkpoint's rows are not."""
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder and the path inside it; ``file:/x`` is what Hadoop prints for ``file:///x``."""
     if uri.startswith("file:/") and not uri.startswith("file://"):

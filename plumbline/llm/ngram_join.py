@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, table, text_or_empty
+from plumbline.llm.common import components, stored, table, text_or_empty
 from plumbline.session import cut_lineage
 
 WORDS, PERCENT = 5, 80
@@ -192,7 +192,7 @@ def _meetings(rows: DataFrame, width: int, percent: int) -> DataFrame:
     met = some.select("key", "id", "n", F.first("id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("leader"), place.alias("place"), ahead(1).alias("after"), ahead(2).alias("later"))
     many = (F.col("place") > 2) | F.when(F.col("place") == 1, F.col("later")).otherwise(F.col("after")).isNotNull()
     met = met.filter("n is not null or place > 1").select("key", "id", "leader", many.alias("many"), "n")
-    return cut_lineage(met)
+    return stored(met, "ngram-keys")
 
 
 def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -352,7 +352,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = _meetings(rows, width, percent)
     copies = cut_lineage(met.filter("n is not null and id <> leader").groupBy("id").agg(F.min("leader").alias("rep")))
     # equal sets have the same keys, so a key's smallest id is never a copy
-    starred = cut_lineage(met.filter("n is null").join(copies.select("id"), "id", "left_anti").select("key", "id", "leader", "many"))
+    starred = stored(met.filter("n is null").join(copies.select("id"), "id", "left_anti").select("key", "id", "leader", "many"), "ngram-stars")
     sets = _sets(rows, starred.select("id").union(starred.select("leader")).distinct(), width)
     groups = cut_lineage(components(_links(starred, sets, percent)))
     sizes = met.filter("n is not null").select("id", "n")
