@@ -7,6 +7,7 @@ so any block can be decoded alone, and all words of one selector decode in one v
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 
@@ -115,7 +116,7 @@ def decode_range(offsets: np.ndarray, words: np.ndarray, start: int, stop: int)
 
 
 class WordEncoder:
-    """Texts to little-endian u32 ids of a vocabulary whose tokens never reach across white space and never join letters with other characters.
+    """Texts without added tokens (their spellings are plain text here) to little-endian u32 ids of a vocabulary whose tokens never reach across white space and never join letters with other characters.
 
     So each blank-separated piece is encoded by the library once and remembered (the store is emptied when full), and a stop or comma after a letter
     apart from its word. New pieces of letters only are one pre-token each: they go to the library as one text, and the end-of-word tokens show where
@@ -162,13 +163,38 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in split]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+class TextEncoder:
+    """Texts to the ids of the library's ``encode(text, add_special_tokens=False)`` with its settings as loaded.
 
+    A text that holds one of the vocabulary's added tokens, raw or in lower case, goes to the library whole, which finds them before all other steps; the others
+    go through the word store."""
 
-def word_encoder(path: str) -> WordEncoder:
+    def __init__(self, path: str):
+        self.words = WordEncoder(path)
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        added = {t.content for t in self.tok.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, sorted(added | {t.lower() for t in added}, key=len, reverse=True)))) if added else None
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        whole = [k for k, t in enumerate(texts) if self.added.search(t) or self.added.search(t.lower())] if self.added else []
+        if not whole:
+            return self.words(texts)
+        held = set(whole)
+        out = self.words(["" if k in held else t for k, t in enumerate(texts)])
+        for k, e in zip(whole, self.tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
+            out[k] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def text_encoder(path: str) -> TextEncoder:
     """The worker's encoder of a vocabulary file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
 
 
@@ -183,7 +209,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
     def write(batches):
         store, root = filesystem(folder)
         store.create_dir(root)
-        encode, tail = word_encoder(path), struct.pack("<I", end_id)
+        encode, tail = text_encoder(path), struct.pack("<I", end_id)
         open_shard, part, held, size, done = None, 0, [], 0, []
 
         def close():

@@ -344,6 +344,23 @@ def test_words_equal_the_library():
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_equal_the_unmodified_library(spark):
+    tok = Tokenizer.from_file(WORDS)
+    assert T.TextEncoder(WORDS)(["hello <|endoftext|> you"]) == [np.array([3306, 49407, 592], "<u4").tobytes()]
+    r = random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "Hello", "don't", "é", "İ", "Σ", " ", "\n", ".", ","]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(600)]
+    for text, got in zip(texts, T.TextEncoder(WORDS)(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+    folder = shared_folder(spark, "test-tokens")
+    T.write_tokens(spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string"), folder, WORDS)
+    start = 0
+    for row in sorted(T.read_tokens(spark, folder).collect(), key=lambda x: x["doc_id"]):
+        ids = tok.encode(texts[row["doc_id"]], add_special_tokens=False).ids + [1]
+        assert row["start"] == start and np.frombuffer(row["ids"], "<u4").tolist() == ids
+        start += len(ids)
+
+
 def test_token_query(spark, small):
     tok = Tokenizer.from_file(WORDS)
     rows = {r["doc_id"]: r for r in entry_point.queries()["op9_token_output"](spark, small).collect()}
