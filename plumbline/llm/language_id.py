@@ -24,17 +24,20 @@ from plumbline.llm.common import table
 from plumbline.llm.url_filter import url_parts
 from plumbline.session import cut_lineage
 
-#: about so many labelled rows fit the text model
+#: about so many labelled rows of each language fit the text model
 TRAIN_ROWS = 8_000
+#: values of the hash by which rows are drawn
+HASHES = 1 << 44
 SLOTS = 1 << 14
 #: trigrams a text counts for at most
 EFFECTIVE = 40.0
 #: pseudo-counts of the parent level in a host's or domain's shares, and of each cell in the other tables
 HOST_WEIGHT, CELL_WEIGHT = 10.0, 1.0
-#: languages that training may find; the most frequent stay
-LANGUAGES = 64
+#: languages with a column of their own, those with the most rows; all others share the column ``OTHER``
+LANGUAGES = 256
 LEAST_POSTERIOR = 0.5
 UNKNOWN = "und"
+OTHER = "other"
 _LETTER = re.compile(r"[^\W\d_]")
 #: bytes as letters: a-z, bytes beyond ASCII, else a blank
 _LETTERS = np.full(256, 32, np.uint32)
@@ -68,25 +71,40 @@ def sample_rows(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return rows if n <= bound else rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int((1 << 20) * bound / n))
 
 
-def fit_text_model(labelled: DataFrame, bound: int = TRAIN_ROWS) -> TextModel:
-    """Fit on about ``bound`` rows of (id, text, label). Counts are summed in Spark; what reaches the driver is bounded by slots x languages."""
+def training_rows(rows: DataFrame, bound: int, most: int) -> DataFrame:
+    """(column, text): about ``bound`` rows of each label by a hash of the row, all of them when it has no more.
+
+    The ``most`` labels with the most rows are columns of their own; the rows of the others are drawn as those of one column, ``OTHER``. Labels are counted over
+    all rows; what reaches the driver is one row per column."""
+    sizes = cut_lineage(rows.groupBy("label").agg(F.count("*").alias("n")))
+    own = sizes.orderBy(F.desc("n"), "label").limit(most).collect()
+    rest = (sizes.agg(F.sum("n")).first()[0] or 0) - sum(r["n"] for r in own)
+    limit = lambda n: min(HASHES, int(HASHES * bound / max(n, 1)))
+    limits = rows.sparkSession.createDataFrame([(r["label"], r["label"], limit(r["n"])) for r in own], "label string, column string, below long")
+    joined = rows.join(F.broadcast(limits), "label", "left")
+    drawn = joined.filter(F.pmod(F.xxhash64("id", "text"), F.lit(HASHES)) < F.coalesce("below", F.lit(limit(rest))))
+    return drawn.select(F.coalesce("column", F.lit(OTHER)).alias("column"), "text")
+
+
+def fit_text_model(labelled: DataFrame, bound: int = TRAIN_ROWS, most: int = LANGUAGES) -> TextModel:
+    """Fit on about ``bound`` rows of each label of (id, text, label). Counts are summed in Spark; what reaches the driver is bounded by slots x languages."""
     rows = labelled.filter("text is not null and label is not null and label <> ''")
-    rows = sample_rows(rows, "id", bound)
+    rows = training_rows(rows, bound, most)
 
     def count(batches):
         for pdf in batches:
-            for label, part in pdf.groupby("label"):
+            for label, part in pdf.groupby("column"):
                 slots, counts, _ = trigram_slots(part["text"].tolist())
                 n = np.bincount(slots[counts], minlength=SLOTS)
                 at = np.flatnonzero(n)
                 yield pd.DataFrame({"label": label, "slot": at, "n": n[at]})
 
-    counts = rows.select("label", "text").mapInPandas(count, "label string, slot int, n long").groupBy("label", "slot").agg(F.sum("n").alias("n"))
-    counts = cut_lineage(counts)
-    labels = sorted(r["label"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect())
+    counts = rows.mapInPandas(count, "label string, slot int, n long").groupBy("label", "slot").agg(F.sum("n").alias("n"))
+    counts = cut_lineage(counts.groupBy("label").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns")))
+    labels = sorted(r["label"] for r in counts.select("label").collect())
     grid = np.zeros((SLOTS, len(labels)))
-    found = counts.filter(F.col("label").isin(labels)).toPandas()
-    grid[found["slot"], [labels.index(x) for x in found["label"]]] = found["n"]
+    for r in counts.toLocalIterator():
+        grid[r["slots"], labels.index(r["label"])] = r["ns"]
     share = (grid + 0.1) / (grid + 0.1).sum(axis=0)
     return TextModel((*labels, UNKNOWN), np.log(np.column_stack([share, np.full(SLOTS, 1 / SLOTS)])).astype(np.float32))
 
@@ -121,7 +139,8 @@ def fuse(rows: DataFrame, model: TextModel, least: float = LEAST_POSTERIOR) -> D
     """``rows``: (id struct or value, text, declared, host); returns (id, lang, posterior, accepted, letters).
 
     Null or empty declared, host and text are no evidence, not evidence against. Text without a letter is never accepted; else a row is accepted when
-    its best language is one of the model's (not ``und``) with a posterior of at least ``least``. Ties go to the first language in order. Repeated rows get equal
+    its best language is one of the model's (not ``und``) with a posterior of at least ``least``. A row whose best is ``other`` has the language it states, when that
+    is one of those without a column, else ``other``. Ties go to the first language in order. Repeated rows get equal
     results; an empty table gives no rows. Hosts join as one aggregated row each, so a hot host is cut by the adaptive join."""
     langs = model.languages
     n = len(langs)
@@ -134,12 +153,13 @@ def fuse(rows: DataFrame, model: TextModel, least: float = LEAST_POSTERIOR) -> D
                 logs = text_evidence(model, texts)
                 yield part.drop(columns="text").assign(ll=list(logs), letters=[_LETTER.search(t) is not None for t in texts])
 
-    known = F.when(F.lower("declared").isin(*langs), F.lower("declared")).when(F.coalesce(F.col("declared"), F.lit("")) != "", "other").otherwise("")
+    known = F.when(F.lower("declared").isin(*langs), F.lower("declared")).when(F.coalesce(F.col("declared"), F.lit("")) != "", OTHER).otherwise("")
+    stated = F.when(known == OTHER, F.lower("declared")).otherwise("") if OTHER in langs else F.lit("")
     host = F.coalesce(F.col("host"), F.lit(""))
     labels = F.split(host, r"\.")
-    rows = rows.select("id", "text", known.alias("declared"), host.alias("host"), F.when(F.size(labels) > 2, F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))).otherwise(host).alias("domain"), F.when(F.size(labels) > 1, F.element_at(labels, -1)).otherwise("").alias("suffix"))
+    rows = rows.select("id", "text", known.alias("declared"), stated.alias("stated"), host.alias("host"), F.when(F.size(labels) > 2, F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))).otherwise(host).alias("domain"), F.when(F.size(labels) > 1, F.element_at(labels, -1)).otherwise("").alias("suffix"))
     kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInPandas(score, f"id {kind}, declared string, host string, domain string, suffix string, ll array<double>, letters boolean")
+    scored = rows.mapInPandas(score, f"id {kind}, declared string, stated string, host string, domain string, suffix string, ll array<double>, letters boolean")
     scored = cut_lineage(scored.withColumn("q", _soft(F.col("ll"))))
 
     total = scored.agg(*[F.sum(F.col("q")[k]) for k in range(n)]).first()
@@ -156,9 +176,10 @@ def fuse(rows: DataFrame, model: TextModel, least: float = LEAST_POSTERIOR) -> D
     flat = F.array(*[F.lit(0.0)] * n)
     parts = F.arrays_zip(F.coalesce("hp", whole).alias("h"), F.coalesce("suffix_ll", flat).alias("s"), F.coalesce("declared_ll", flat).alias("d"), F.col("ll").alias("t"))
     posterior = _soft(F.transform(parts, lambda z: F.log(z["h"]) + z["s"] + z["d"] + z["t"]))
-    done = joined.select("id", "letters", posterior.alias("p"))
+    done = joined.select("id", "letters", "stated", posterior.alias("p"))
     best = F.array_position("p", F.array_max("p"))
     lang = F.element_at(F.array(*[F.lit(x) for x in langs]), best.cast("int"))
+    lang = F.when((lang == OTHER) & (F.col("stated") != ""), F.col("stated")).otherwise(lang)
     done = done.select("id", lang.alias("lang"), F.array_max("p").alias("posterior"), "letters")
     return done.withColumn("accepted", (F.col("lang") != UNKNOWN) & (F.col("posterior") >= least) & F.col("letters"))
 

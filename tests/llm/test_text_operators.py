@@ -42,6 +42,25 @@ def model_of(spark):
     return language_id.fit_text_model(spark.createDataFrame(rows, "id long, text string, label string"))
 
 
+def test_rare_labels_are_drawn_in_full(spark):
+    rows = spark.range(20_000).selectExpr("id", "concat(if(id % 2000 = 0, 'zz ', 'aa '), id) as text", "if(id % 2000 = 0, 'rare', 'common') as label")
+    got = Counter(r["column"] for r in language_id.training_rows(rows, 100, 5).select("column").collect())
+    assert got["rare"] == 10 and 50 < got["common"] < 160
+    assert language_id.fit_text_model(rows, bound=100).languages == ("common", "rare", "und")
+
+
+def test_languages_beyond_the_columns_stay(spark):
+    r = random.Random(3)
+    words = {f"l{k:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(70)}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(30)), lang, None) for i, lang in enumerate(sorted(words) * 4)]
+    d = spark.createDataFrame(rows, "id long, text string, declared string, host string")
+    for most in (language_id.LANGUAGES, 20):
+        model = language_id.fit_text_model(d.withColumnRenamed("declared", "label"), most=most)
+        assert len(model.languages) == (71 if most > 70 else 22)
+        got = {r["id"]: r for r in language_id.fuse(d, model).collect()}
+        assert all(got[i]["accepted"] and got[i]["lang"] == lang for i, _, lang, _ in rows)
+
+
 def test_fusion_by_hand(spark):
     model = model_of(spark)
     rows = [(1, "the dog and the cat", "en", "a.org"), (2, "le chien et le chat", None, "a.org"), (3, "", "fr", "b.fr"), (4, None, None, None), (5, "### 123", "en", "a.org"), (6, "the hill", "fr", "b.fr"), (6, "the hill", "fr", "b.fr")]
