@@ -19,7 +19,7 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 DAMPING = 0.85
 ROUNDS = 12
 CUT_EVERY = 4
-#: a host is a seed when more than this share of its pages has the same verdict by rule
+#: of the check SQL only, which still drops the seeds of hosts where rules decide no majority of the pages
 SEED_SHARE = 0.5
 #: a host is blocked when its distrust is above its trust and above this share of all distrust
 LEAST_DISTRUST = 1e-9
@@ -87,17 +87,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:
     """One row per page: (id_col, host, path, rule, verdict, trust, distrust).
 
-    The verdict is the longest rule's; where none fits, the host is blocked if distrust exceeds its trust. Hosts out
+    The verdict is the longest rule's; where none fits, the host is blocked if distrust exceeds its trust. Every host with allowed (blocked) pages is a
+    seed of trust (distrust) in proportion to their number. Hosts out
     of reach of every seed, and pages without a host, are allowed. Other columns of ``pages`` are not read; repeated rows are judged
     alike; an empty table gives no rows; null html has no links."""
     host, path = url_parts(F.col(url_col))
     flat = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
     rule, action = matched_rule(F.col("host"), F.col("path"), rules)
     flat = flat.withColumn("rule", rule).withColumn("action", action)
-    by_host = cut_lineage(flat.filter("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("action") == "allow").alias("good"), F.count_if(F.col("action") == "block").alias("bad")))
-    seed = lambda c: F.when(F.col(c) > SEED_SHARE * F.col("pages"), F.col(c)).otherwise(0)
-    sums = by_host.agg(F.sum(seed("good")).alias("g"), F.sum(seed("bad")).alias("b")).first()
-    share = lambda c, s: (seed(c) / F.lit(float(s or 1)))
+    by_host = cut_lineage(flat.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("good"), F.count_if(F.col("action") == "block").alias("bad")))
+    sums = by_host.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
+    share = lambda c, s: F.col(c) / F.lit(float(s or 1))
     scores = propagate(host_edges(flat), by_host.select("host", share("good", sums["g"]).alias("trust"), share("bad", sums["b"]).alias("distrust")))
     joined = flat.drop("html").join(scores, "host", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))

@@ -114,6 +114,14 @@ def test_urls_by_brute_force(spark):
     assert rows[9]["rule"] == "net/fr/" and (rows[10]["host"], rows[10]["path"]) == ("b:", "//c/d")
 
 
+def test_partly_blocked_hosts_are_seeds(spark):
+    urls = ["http://part.net/es/1", *[f"http://part.net/{k}" for k in range(5)], "http://sub.part.net/a", "http://far.net/a", "http://most.example.com/en/1"]
+    rows = url_filter.judge_urls(spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")).collect()
+    got = {r["page_id"]: r for r in rows}
+    assert got[0]["verdict"] == "block" and all(got[i]["rule"] is None and got[i]["distrust"] > 0 and got[i]["verdict"] == "block" for i in range(1, 7))
+    assert (got[7]["distrust"], got[7]["verdict"]) == (0.0, "allow")
+
+
 def test_propagation_by_dense_matrix(spark):
     names = "abcde"
     edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("d", "c", 1), ("e", "d", 1)]
