@@ -21,7 +21,7 @@ ROUNDS = 12
 CUT_EVERY = 4
 #: of the check SQL only, which still drops the seeds of hosts where rules decide no majority of the pages
 SEED_SHARE = 0.5
-#: a host is blocked when its distrust is above its trust and above this share of all distrust
+#: of the check SQL only, which still allows hosts with no more than this share of all distrust
 LEAST_DISTRUST = 1e-9
 LINK = r'(?i)href\s*=\s*"([^"]*)"'
 
@@ -63,12 +63,18 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.union(tree).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
+def significant(x: Column) -> Column:
+    """``x`` rounded to 12 significant digits, so that small scores keep theirs."""
+    return F.format_string("%.11e", x).cast("double")
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) from ``edges`` (src, dst, n) and ``seeds`` (host, trust, distrust; each sums to 1 or 0).
 
     Both walks go through the same joins, told apart by ``kind``; distrust uses the reversed edges. What a host
     without outgoing edges holds leaves the walk. Each round is one equi-join on the source and one sum that is combined before its shuffle;
-    lineage is cut every few rounds. Scores are rounded to 12 digits, so that the order of sums does not show."""
+    lineage is cut every few rounds. Scores are rounded to 12 significant digits, so that the order of sums does not show and
+    nothing depends on the number of seeds."""
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "n"))
     total = both.groupBy("kind", "src").agg(F.sum("n").alias("w"))
     steps = cut_lineage(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.lit(damping) * F.col("n") / F.col("w")).alias("p")))
@@ -77,7 +83,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     base = start.select("kind", "host", ((1 - damping) * F.col("s")).alias("r"))
     for k in range(1, rounds + 1):
         moved = rank.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("r") * F.col("p")).alias("r"))
-        rank = moved.union(base).groupBy("kind", "host").agg(F.round(F.sum("r"), 12).alias("r"))
+        rank = moved.union(base).groupBy("kind", "host").agg(significant(F.sum("r")).alias("r"))
         if k % CUT_EVERY == 0:
             rank = cut_lineage(rank)
     score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("r"))), F.lit(0.0)).alias(kind)
@@ -101,7 +107,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     scores = propagate(host_edges(flat), by_host.select("host", share("good", sums["g"]).alias("trust"), share("bad", sums["b"]).alias("distrust")))
     joined = flat.drop("html").join(scores, "host", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    method = F.when((zero("distrust") > zero("trust")) & (zero("distrust") > LEAST_DISTRUST), "block").otherwise("allow")
+    method = F.when(zero("distrust") > zero("trust"), "block").otherwise("allow")
     return joined.select(id_col, "host", "path", "rule", F.coalesce("action", method).alias("verdict"), zero("trust").alias("trust"), zero("distrust").alias("distrust"))
 
 

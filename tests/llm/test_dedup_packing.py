@@ -122,6 +122,16 @@ def test_partly_blocked_hosts_are_seeds(spark):
     assert (got[7]["distrust"], got[7]["verdict"]) == (0.0, "allow")
 
 
+def test_verdicts_do_not_depend_on_the_number_of_seeds(spark):
+    # a blocked host, and one four links from it through domains of 300 hosts each; other seeds only make both scores small
+    urls = ["http://bad.a.q.net/es/1", "http://t.b.q.net/x", "http://a.q.net/x", "http://b.q.net/x", *[f"http://h{k}.{d}/x" for d in ("a.q.net", "b.q.net", "q.net") for k in range(300)]]
+    pages = [(i, u, "") for i, u in enumerate(urls)]
+    more = pages + [(10_000 + k, f"http://far.net/es/{k}", "") for k in range(2_000)]
+    alone, among = ({r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(p, "page_id long, url string, html string")).collect()} for p in (pages, more))
+    assert alone[1]["verdict"] == among[1]["verdict"] == "block" and among[1]["distrust"] < url_filter.LEAST_DISTRUST
+    assert abs(among[1]["distrust"] * 2_001 / alone[1]["distrust"] - 1) < 1e-9
+
+
 def test_propagation_by_dense_matrix(spark):
     names = "abcde"
     edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("d", "c", 1), ("e", "d", 1)]
