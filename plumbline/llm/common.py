@@ -33,11 +33,17 @@ BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def _in_bytes(size: str) -> int:
+    """A size setting in bytes: digits and an optional unit, such as ``64m``; negative is unbounded."""
+    digits, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", size.lower()).groups()
+    return int(digits) << 10 * " kmgtp".index(unit or " ")
+
+
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInPandas`` with batches bounded in bytes, so long texts do not pile up in a worker. The bound is a session setting; one that
-    the session's owner has made smaller stays."""
+    """``mapInPandas`` with batches bounded in bytes, so long texts do not pile up in a worker. Spark reads the bound from the session when the result is
+    computed, so it is set there and stays; one that the session's owner has made smaller is kept."""
     conf = df.sparkSession.conf
-    if not 0 < int(re.sub(r"[^-\d]", "", conf.get(_BATCH_SETTING))) <= BATCH_BYTES:
+    if not 0 < _in_bytes(conf.get(_BATCH_SETTING)) <= BATCH_BYTES:
         conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInPandas(function, schema)
 
@@ -86,29 +92,26 @@ def write_manifest(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.sparkSession.read.parquet(f"{folder}/manifest")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of a link list: (node, component) with the smallest node of each component.
 
-    Alternating large-star and small-star steps; each is a group-by that is combined with a minimum before
-    its shuffle, so a hub costs no more than its rows. Every round is cut with a reliable checkpoint. Nodes
+    Alternating large-star and small-star steps until the links stay the same, about the logarithm of the longest path in number; each is a group-by that is
+    combined with a minimum before its shuffle, so a hub costs no more than its rows. Every round is cut with a reliable checkpoint. Nodes
     without links are not returned; null ends and self links are ignored."""
     edges = cut_lineage(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v").distinct())
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    before = None
-    for _ in range(rounds):
+    before, state = None, ()
+    while state != before:
+        before = state
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("x"), "u", "m")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("x"), "u", "m")
         edges = small.select(F.col("x").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = cut_lineage(edges)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
-        if state == before:
-            break
-        before = state
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import map_batches, table
 from plumbline.llm.url_filter import url_parts
 from plumbline.session import cut_lineage
 
@@ -99,7 +99,7 @@ def fit_text_model(labelled: DataFrame, bound: int = TRAIN_ROWS, most: int = LAN
                 at = np.flatnonzero(n)
                 yield pd.DataFrame({"label": label, "slot": at, "n": n[at]})
 
-    counts = rows.mapInPandas(count, "label string, slot int, n long").groupBy("label", "slot").agg(F.sum("n").alias("n"))
+    counts = map_batches(rows, count, "label string, slot int, n long").groupBy("label", "slot").agg(F.sum("n").alias("n"))
     counts = cut_lineage(counts.groupBy("label").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns")))
     labels = sorted(r["label"] for r in counts.select("label").collect())
     grid = np.zeros((SLOTS, len(labels)))
@@ -159,7 +159,7 @@ def fuse(rows: DataFrame, model: TextModel, least: float = LEAST_POSTERIOR) -> D
     labels = F.split(host, r"\.")
     rows = rows.select("id", "text", known.alias("declared"), stated.alias("stated"), host.alias("host"), F.when(F.size(labels) > 2, F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))).otherwise(host).alias("domain"), F.when(F.size(labels) > 1, F.element_at(labels, -1)).otherwise("").alias("suffix"))
     kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInPandas(score, f"id {kind}, declared string, stated string, host string, domain string, suffix string, ll array<double>, letters boolean")
+    scored = map_batches(rows, score, f"id {kind}, declared string, stated string, host string, domain string, suffix string, ll array<double>, letters boolean")
     scored = cut_lineage(scored.withColumn("q", _soft(F.col("ll"))))
 
     total = scored.agg(*[F.sum(F.col("q")[k]) for k in range(n)]).first()

@@ -16,12 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, stored, table, text_or_empty
+from plumbline.llm.common import components, map_batches, stored, table, text_or_empty
 from plumbline.session import cut_lineage
 
 WORDS, PERCENT = 5, 80
 #: characters of text per numpy step; paths of a trie; bitmaps of a block
-CHUNK, BLOCK, BITMAPS = 6_000_000, 64, 1_024
+CHUNK, BLOCK, BITMAPS = 500_000, 64, 1_024
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: white space that separates words: 0x20 and 0x09-0x0D
 _BLANK = np.zeros(256, bool)
@@ -182,7 +182,7 @@ def _meetings(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 sets = gram_sets(part["text"].tolist(), width)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "n": [len(s) for s in sets], "keys": [maker.of(s) for s in sets]})
 
-    found = rows.mapInPandas(keys, "id long, n long, keys array<long>")
+    found = map_batches(rows, keys, "id long, n long, keys array<long>")
     flat = found.select("id", "n", F.explode_outer("keys").alias("key"))
     flat = flat.select("key", "id", F.when(F.col("key").isNull() | (F.col("key") % 2 == 0), F.col("n")).alias("n"))
     # an id appears once under a key, so a key's rows are never more than the distinct ids, and an id's rows are spread over all its keys
@@ -204,7 +204,7 @@ def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 sets = gram_sets(part["text"].tolist(), width)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "n": [len(s) for s in sets], "bits": [sketch(s).tobytes() for s in sets], "grams": [_pack(s) for s in sets]})
 
-    return cut_lineage(rows.join(ids, "id", "left_semi").mapInPandas(make, "id long, n long, bits binary, grams binary"))
+    return cut_lineage(map_batches(rows.join(ids, "id", "left_semi"), make, "id long, n long, bits binary, grams binary"))
 
 
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,7 +226,7 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     rows = heads.union(paths).repartition("a", "trie").sortWithinPartitions("a", "trie", F.col("b").isNotNull(), "grams")
-    return cut_lineage(rows.mapInPandas(walk, "a long, b long"))
+    return cut_lineage(map_batches(rows, walk, "a long, b long"))
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
@@ -282,7 +282,7 @@ def _block_pairs(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFra
         yield pairs()
 
     rows = flat.select("block", "id", "component", "n", "bits").repartition("block").sortWithinPartitions("block", "id")
-    return cut_lineage(rows.mapInPandas(compare, "a long, b long").distinct())
+    return cut_lineage(map_batches(rows, compare, "a long, b long").distinct())
 
 
 def fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -311,7 +311,7 @@ def _bounds(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     side = lambda k: sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
-    return cut_lineage(rows.mapInPandas(compare, "a long, b long, near boolean, apart long, reach long"))
+    return cut_lineage(map_batches(rows, compare, "a long, b long, near boolean, apart long, reach long"))
 
 
 def _links(starred: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table, text_or_empty
+from plumbline.llm.common import map_batches, table, text_or_empty
 from plumbline.llm.language_id import sample_rows
 
 #: about so many labelled documents fit the model; those of more lines are left out of the fit
@@ -22,7 +22,7 @@ TRAIN_DOCS, TRAIN_LINES = 6_000, 256
 STEPS, RATE, PENALTY = 200, 0.1, 2e-4
 THRESHOLD = 0.3
 #: characters of text scored together
-CHUNK = 8_000_000
+CHUNK = 500_000
 
 #: byte classes: 0 other, 1 A-Z, 2 a-z and beyond ASCII, 3 digit, 4 white space, 5 stop or comma, 6 ! or ?, 7 bar, 8 symbol
 _CLASS = np.zeros(256, np.int64)
@@ -191,13 +191,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def take(batches):
         for pdf in batches:
-            features, size, lines = line_features(pdf["_text"].tolist())
-            ends = np.cumsum(lines)
-            keep = np.flatnonzero(lines <= TRAIN_LINES)
-            cut = [slice(ends[i] - lines[i], ends[i]) for i in keep]
-            yield pd.DataFrame({"features": [features[c].tobytes() for c in cut], "size": [size[c].tobytes() for c in cut], "good": pdf["_good"].to_numpy()[keep]})
+            for _, part in pdf.groupby((pdf["_text"].str.len() + 1).cumsum() // CHUNK, sort=False):
+                features, size, lines = line_features(part["_text"].tolist())
+                ends = np.cumsum(lines)
+                keep = np.flatnonzero(lines <= TRAIN_LINES)
+                cut = [slice(ends[i] - lines[i], ends[i]) for i in keep]
+                yield pd.DataFrame({"features": [features[c].tobytes() for c in cut], "size": [size[c].tobytes() for c in cut], "good": part["_good"].to_numpy()[keep]})
 
-    got = rows.mapInPandas(take, "features binary, size binary, good boolean").collect()
+    got = map_batches(rows, take, "features binary, size binary, good boolean").collect()
     got = sorted(map(tuple, got))  # the fit does not depend on the order of rows
     good = np.array([g for _, _, g in got], bool)
     if len(set(good.tolist())) < 2:
@@ -227,7 +228,7 @@ def score(docs: DataFrame, model: LineModel, id_col: str = "doc_id", text_col: s
                 odds, bad = document_odds(features, size, lines, model.weights, model.moves)
                 yield part.drop(columns="_text").assign(score=1 / (1 + np.exp(-np.clip(model.slope * odds + model.shift, -500, 500))), lines=lines, bad_lines=bad)
 
-    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double, lines long, bad_lines long")
+    return map_batches(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double, lines long, bad_lines long")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
