@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, exact_dedup, filter_audit, language_id, ngram_join, packing, progressive_jpeg, quality, token_output, url_filter, vector_dedup, warc
+from plumbline.llm import byte_bpe, exact_dedup, filter_audit, language_id, ngram_join, packing, progressive_jpeg, quality, token_alignment, token_output, url_filter, vector_dedup, warc
 
-_MODULES = [language_id, quality, progressive_jpeg, ngram_join, byte_bpe, packing, exact_dedup, warc, token_output, url_filter, filter_audit, vector_dedup]
+_MODULES = [language_id, quality, progressive_jpeg, ngram_join, byte_bpe, packing, exact_dedup, warc, token_output, url_filter, token_alignment, filter_audit, vector_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
