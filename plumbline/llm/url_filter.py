@@ -17,13 +17,11 @@ from plumbline.session import cut_lineage
 #: (action, host, path); the longest fitting rule decides.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 DAMPING = 0.85
-ROUNDS = 12
+#: rounds end when no score grows by more than this share of itself; distrust must exceed trust by more than this share
+TOLERANCE, MARGIN = 1e-6, 1e-5
 CUT_EVERY = 4
-#: of the check SQL only, which still drops the seeds of hosts where rules decide no majority of the pages
-SEED_SHARE = 0.5
-#: of the check SQL only, which still allows hosts with no more than this share of all distrust
-LEAST_DISTRUST = 1e-9
-LINK = r'(?i)href\s*=\s*"([^"]*)"'
+#: an href value in double, single or no quotes
+LINK = r"""(?i)href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -56,6 +54,7 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
 
     ``pages`` has ``host``. Relative links stay on the host and make no edge."""
     links = pages.filter("host <> ''").select("host", F.explode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINK), F.lit(1))).alias("href"))
+    links = links.select("host", F.regexp_replace("href", "^[\"']|[\"']$", "").alias("href"))
     target = url_parts(F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), "href")).otherwise(F.col("href")))[0]
     links = links.select(F.col("host").alias("src"), target.alias("dst")).filter("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").alias("n"))
     own = pages.filter("host <> ''").select("host").distinct().select("host", parent_of(F.col("host")).alias("up")).filter("up is not null")
@@ -63,29 +62,26 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.union(tree).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def significant(x: Column) -> Column:
-    """``x`` rounded to 12 significant digits, so that small scores keep theirs."""
-    return F.format_string("%.11e", x).cast("double")
-
-
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) from ``edges`` (src, dst, n) and ``seeds`` (host, trust, distrust; each sums to 1 or 0).
 
     Both walks go through the same joins, told apart by ``kind``; distrust uses the reversed edges. What a host
-    without outgoing edges holds leaves the walk. Each round is one equi-join on the source and one sum that is combined before its shuffle;
-    lineage is cut every few rounds. Scores are rounded to 12 significant digits, so that the order of sums does not show and
-    nothing depends on the number of seeds."""
+    without outgoing edges holds leaves the walk. A score is the sum of what arrives over walks of 0, 1, 2, ... links, each length weighing ``damping`` times
+    the one before. A round moves what arrived last by one equi-join on the source and one sum that is combined before its shuffle. Rounds go on until no host's score
+    grew by more than ``tolerance`` of itself, so a host however far from the seeds is reached; as what moves shrinks by ``damping`` or more per round, they end.
+    One number per round comes to the driver; lineage is cut every few rounds."""
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "n"))
     total = both.groupBy("kind", "src").agg(F.sum("n").alias("w"))
     steps = cut_lineage(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.lit(damping) * F.col("n") / F.col("w")).alias("p")))
-    start = cut_lineage(seeds.unpivot(["host"], ["trust", "distrust"], "kind", "s").filter("s > 0"))
-    rank = start.select("kind", "host", F.col("s").alias("r"))
-    base = start.select("kind", "host", ((1 - damping) * F.col("s")).alias("r"))
-    for k in range(1, rounds + 1):
-        moved = rank.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("r") * F.col("p")).alias("r"))
-        rank = moved.union(base).groupBy("kind", "host").agg(significant(F.sum("r")).alias("r"))
-        if k % CUT_EVERY == 0:
-            rank = cut_lineage(rank)
+    start = seeds.unpivot(["host"], ["trust", "distrust"], "kind", "s").filter("s > 0")
+    rank = cut_lineage(start.select("kind", "host", ((1 - damping) * F.col("s")).alias("r"), ((1 - damping) * F.col("s")).alias("last")))
+    grown = None if rank.isEmpty() else 1.0
+    while grown is not None and grown > tolerance:
+        for _ in range(CUT_EVERY):
+            moved = rank.filter("last > 0").withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("r"), (F.col("last") * F.col("p")).alias("last"))
+            rank = moved.union(rank.select("kind", "host", "r", F.lit(0.0).alias("last"))).groupBy("kind", "host").agg((F.sum("r") + F.sum("last")).alias("r"), F.sum("last").alias("last"))
+        rank = cut_lineage(rank)
+        grown = rank.agg(F.max(F.col("last") / F.col("r"))).first()[0]
     score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("r"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(score("trust"), score("distrust"))
 
@@ -93,7 +89,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:
     """One row per page: (id_col, host, path, rule, verdict, trust, distrust).
 
-    The verdict is the longest rule's; where none fits, the host is blocked if distrust exceeds its trust. Every host with allowed (blocked) pages is a
+    The verdict is the longest rule's; where none fits, the host is blocked if its distrust exceeds its trust by more than the share ``MARGIN``, far above what is left of either walk. Every host with allowed (blocked) pages is a
     seed of trust (distrust) in proportion to their number. Hosts out
     of reach of every seed, and pages without a host, are allowed. Other columns of ``pages`` are not read; repeated rows are judged
     alike; an empty table gives no rows; null html has no links."""
@@ -107,7 +103,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     scores = propagate(host_edges(flat), by_host.select("host", share("good", sums["g"]).alias("trust"), share("bad", sums["b"]).alias("distrust")))
     joined = flat.drop("html").join(scores, "host", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    method = F.when(zero("distrust") > zero("trust"), "block").otherwise("allow")
+    method = F.when(zero("distrust") > zero("trust") * (1 + MARGIN), "block").otherwise("allow")
     return joined.select(id_col, "host", "path", "rule", F.coalesce("action", method).alias("verdict"), zero("trust").alias("trust"), zero("distrust").alias("distrust"))
 
 
@@ -116,7 +112,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same steps as common table expressions, one per round."""
+    """The same walks as a recursive common table expression, 400 rounds of them."""
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     ranked = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ranked) + " END"
@@ -128,22 +124,20 @@ def _sql() -> str:
         f"f0 AS (SELECT page_id, html, {low('regexp_extract(rest, ' + chr(39) + '^([^/?#]*)' + chr(39) + ', 1)')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
         f"f AS (SELECT *, {rule} AS rule, {action} AS action FROM f0)",
         "h AS (SELECT host, count(*) AS n, count(*) FILTER (action = 'allow') AS good, count(*) FILTER (action = 'block') AS bad FROM f WHERE host <> '' GROUP BY host)",
-        f"s0 AS (SELECT host, CASE WHEN good > {SEED_SHARE} * n THEN good ELSE 0 END AS g, CASE WHEN bad > {SEED_SHARE} * n THEN bad ELSE 0 END AS b FROM h)",
-        "s AS (SELECT 'trust' AS kind, host, g / (SELECT CAST(sum(g) AS DOUBLE) FROM s0) AS r FROM s0 WHERE g > 0 UNION ALL SELECT 'distrust', host, b / (SELECT CAST(sum(b) AS DOUBLE) FROM s0) FROM s0 WHERE b > 0)",
-        "l0 AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*\"([^\"]*)\"', 1)) AS href FROM f WHERE host <> '')",
-        "l1 AS (SELECT src, CASE WHEN starts_with(href, '//') THEN 'http:' || href ELSE href END AS u FROM l0)",
+        "s AS (SELECT 'trust' AS kind, host, good / (SELECT CAST(sum(good) AS DOUBLE) FROM h) AS r FROM h WHERE good > 0 UNION ALL SELECT 'distrust', host, bad / (SELECT CAST(sum(bad) AS DOUBLE) FROM h) FROM h WHERE bad > 0)",
+        f"l0 AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{LINK.replace(chr(39), chr(39) * 2)}', 1)) AS raw FROM f WHERE host <> '')",
+        "lq AS (SELECT src, regexp_replace(raw, '^[\"'']|[\"'']$', '', 'g') AS href FROM l0)",
+        "l1 AS (SELECT src, CASE WHEN starts_with(href, '//') THEN 'http:' || href ELSE href END AS u FROM lq)",
         f"l2 AS (SELECT src, {host_of('u')} AS dst FROM l1)",
         "t AS (SELECT host, regexp_extract(host, '^[^.]*\\.(.*)$', 1) AS up FROM h WHERE len(string_split(host, '.')) >= 3)",
         "e0 AS (SELECT src, dst FROM l2 WHERE dst <> '' AND dst <> src UNION ALL SELECT host, up FROM t UNION ALL SELECT up, host FROM t)",
         "e1 AS (SELECT src, dst, count(*) AS n FROM e0 GROUP BY src, dst)",
         "e2 AS (SELECT 'trust' AS kind, src, dst, n FROM e1 UNION ALL SELECT 'distrust', dst, src, n FROM e1)",
         f"e AS MATERIALIZED (SELECT kind, src, dst, {DAMPING} * n / sum(n) OVER (PARTITION BY kind, src) AS p FROM e2)",
-        "r0 AS MATERIALIZED (SELECT * FROM s)",
+        f"r AS (SELECT 0 AS k, kind, host, {1 - DAMPING} * r AS r FROM s UNION ALL SELECT k + 1, kind, host, sum(r) FROM (SELECT r.k, e.kind, e.dst AS host, r.r * e.p AS r FROM r JOIN e ON e.kind = r.kind AND e.src = r.host WHERE r.k < 400) GROUP BY k, kind, host)",
+        "z AS (SELECT host, coalesce(sum(r) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(r) FILTER (kind = 'distrust'), 0) AS distrust FROM r GROUP BY host)",
     ]
-    for k in range(1, ROUNDS + 1):
-        ctes.append(f"r{k} AS MATERIALIZED (SELECT kind, host, round(sum(r), 12) AS r FROM (SELECT e.kind, e.dst AS host, r.r * e.p AS r FROM r{k - 1} r JOIN e ON e.kind = r.kind AND e.src = r.host UNION ALL SELECT kind, host, {1 - DAMPING} * r FROM s) GROUP BY kind, host)")
-    ctes.append(f"z AS (SELECT host, coalesce(sum(r) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(r) FILTER (kind = 'distrust'), 0) AS distrust FROM r{ROUNDS} GROUP BY host)")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, f.host, path, rule, coalesce(action, CASE WHEN distrust > trust AND distrust > {LEAST_DISTRUST} THEN 'block' ELSE 'allow' END) AS verdict FROM f LEFT JOIN z ON z.host = f.host"
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"\nSELECT page_id, f.host, path, rule, coalesce(action, CASE WHEN distrust > trust * {1 + MARGIN} THEN 'block' ELSE 'allow' END) AS verdict FROM f LEFT JOIN z ON z.host = f.host"
 
 
 QUERIES = {"op10_url_filter": op10_url_filter}
