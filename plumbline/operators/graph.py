@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.core import clip, col, div, seeded_hash
 from plumbline.operators.ranking import P_RANGES, hash_order, quantile_scalar, quantiles, value_ranks
+from plumbline.operators.replicates import places, word
 from plumbline.operators.spatial import bbox_pairs
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, spread
+
+#: permuted places that a task computes at once
+DRAWS = 1 << 20
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -99,24 +104,132 @@ def local_moran(edges: DataFrame, values: DataFrame, x: str, key: str = "zcta_id
     return r.select(key, "z", "lag", "degree", "n", ((F.col("n") - 1) / F.col("n") * F.col("z") * F.col("lag")).alias("local_i"), quad.alias("quadrant"))
 
 
+#: up to so many values (32 MB) a task holds those of all units; beyond, draws meet them by join
+HELD_VALUES = 1 << 22
+
+
+def _numbered(units: DataFrame, key: str) -> DataFrame:
+    """``units`` with dense places ``pos`` in the order of their keys, from sorted ranges instead of one sort."""
+    return units.join(value_ranks(units.select(key), [], key).select(key, F.col("below").alias("pos")), key)
+
+
+def _held_values(spark, numbered: DataFrame, value: str):
+    """A broadcast of the values by place, or None when there are more than ``HELD_VALUES``."""
+    n = numbered.count()
+    if n > HELD_VALUES:
+        return None
+    rows = numbered.select("pos", value).toPandas()
+    z = np.zeros(n)
+    z[rows["pos"].to_numpy()] = rows[value].to_numpy()
+    return spark.sparkContext.broadcast(z)
+
+
 def local_moran_p(lisa: DataFrame, permutations: int, seed: int, key: str = "zcta_id") -> DataFrame:
-    """Conditional pseudo-p: the value stays, its neighbours are drawn from the other units.
+    """Conditional pseudo-p: the value stays, its neighbours are drawn from the other units without replacement.
+
+    A unit's neighbours in a replicate are the first ``degree`` places of a permutation keyed by (seed, replicate, unit), so nothing is sorted and
+    nothing depends on partitioning. Replicates are counted in the unit's task, with the values of all units at hand; only when these are more
+    than ``HELD_VALUES``, draws are rows that meet them by join."""
+    ranked = cut_lineage(_numbered(lisa, key).select(key, "z", "degree", "n", "local_i", F.col("pos").cast("long").alias("pos")))
+    held = _held_values(lisa.sparkSession, ranked, "z")
+    linked = ranked.filter("degree > 0")
+    kind = dict(ranked.dtypes)[key]
+
+    def drawn(pos: int, degree: int, n: int, reps: np.ndarray) -> np.ndarray:
+        keys = word(seed, reps[:, None], pos)
+        j = places(np.broadcast_to(np.arange(degree), (len(reps), degree)), n - 1, keys)
+        return j + (j >= pos)
+
+    steps = lambda degree: range(1, permutations + 1, max(1, DRAWS // max(degree, 1)))
+    reps_of = lambda at, degree: np.arange(at, min(at + max(1, DRAWS // max(degree, 1)), permutations + 1))
+    if held is not None:
+
+        def count(batches):
+            z = held.value
+            for pdf in batches:
+                ge = []
+                for own, degree, n, local, pos in zip(pdf["z"], pdf["degree"], pdf["n"], pdf["local_i"], pdf["pos"]):
+                    sums = np.concatenate([z[drawn(pos, degree, n, reps_of(at, degree))].sum(axis=1) for at in steps(degree)])
+                    ge.append(int(((n - 1) / n * own * sums / degree >= local - 1e-12 * max(1.0, abs(local))).sum()))
+                yield pdf[[key]].assign(ge=ge)
+
+        p = spread(linked).mapInPandas(count, f"`{key}` {kind}, ge long")
+    else:
 
-    A draw is a hash of (seed, replicate, unit, slot), so it does not depend on partitioning.
-    Units get dense positions from sorted range buckets, without a single-task sort."""
-    ranked = lisa.join(value_ranks(lisa.select(key), [], key).select(key, F.col("below").alias("pos")), key)
-    ranked = cut_lineage(ranked)
-    rows = ranked.filter("degree > 0").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("degree").cast("int"))))
-    j = F.pmod(seeded_hash(seed, "rep", "pos", "slot"), F.col("n") - 1)
-    rows = rows.withColumn("draw", j + F.when(j >= F.col("pos"), 1).otherwise(0))
-    drawn = rows.join(ranked.select(F.col("pos").alias("draw"), F.col("z").alias("dz")), "draw")
-    sim = drawn.groupBy(key, "rep", "z", "degree", "n", "local_i").agg(F.sum("dz").alias("s"))
-    sim = sim.withColumn("sim_i", (F.col("n") - 1) / F.col("n") * F.col("z") * F.col("s") / F.col("degree"))
-    p = sim.groupBy(key).agg(F.count_if(F.col("sim_i") >= F.col("local_i")).alias("ge"))
+        def draw(batches):
+            for pdf in batches:
+                for name, degree, n, pos in zip(pdf[key], pdf["degree"], pdf["n"], pdf["pos"]):
+                    for at in steps(degree):
+                        reps = reps_of(at, degree)
+                        yield pd.DataFrame({key: name, "rep": np.repeat(reps, degree), "draw": drawn(pos, degree, n, reps).ravel()})
+
+        rows = linked.mapInPandas(draw, f"`{key}` {kind}, rep int, draw long").join(ranked.select(F.col("pos").alias("draw"), F.col("z").alias("dz")), "draw")
+        sims = rows.groupBy(key, "rep").agg(F.sum("dz").alias("s")).join(linked, key)
+        reached = (F.col("n") - 1) / F.col("n") * F.col("z") * F.col("s") / F.col("degree") >= F.col("local_i") - 1e-12 * F.greatest(F.lit(1.0), F.abs("local_i"))
+        p = sims.groupBy(key).agg(F.count_if(reached).alias("ge"))
     extreme = F.least(F.col("ge"), F.lit(permutations) - F.col("ge"))
     return lisa.join(p, key, "left").withColumn("p_sim", F.when(F.col("ge").isNotNull(), (extreme + 1) / F.lit(permutations + 1.0)).otherwise(1.0)).drop("ge")
 
 
+def global_autocorrelation_p(edges: DataFrame, values: DataFrame, x: str, permutations: int = 999, seed: int = 42, key: str = "zcta_id") -> DataFrame:
+    """``global_autocorrelation`` of one set of units with permutation p-values: (..., moran_p, geary_p, permutations).
+
+    A replicate puts the values on other units by a permutation keyed by (seed, replicate). Each task evaluates all replicates on its own edges and sends one array
+    of sums; values of more than ``HELD_VALUES`` units meet the permuted ends by join, replicate by replicate in rows. One-sided as is usual: the smaller of
+    the shares on either side, one added to both counts. Null where the statistic is."""
+    v = centred(values, x, []).select(key, "z")
+    ranked = cut_lineage(_numbered(v, key).select(key, "z", F.col("pos").cast("long").alias("pos")))
+    held = _held_values(values.sparkSession, ranked, "z")
+    at = lambda end: ranked.select(F.col(key).alias(end), F.col("pos").alias(f"{end}_pos"))
+    inside = edges.join(at("src"), "src").join(at("dst"), "dst").select("src_pos", "dst_pos", "weight")
+    n = ranked.count()
+
+    def ends(pdf, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = word(seed, reps)[:, None]
+        go = lambda pos: places(np.broadcast_to(pos.to_numpy(np.int64), (len(reps), len(pdf))), n, keys)
+        return go(pdf["src_pos"]), go(pdf["dst_pos"])
+
+    pieces = lambda pdf: (np.arange(k, min(k + max(1, DRAWS // len(pdf)), permutations + 1)) for k in range(1, permutations + 1, max(1, DRAWS // len(pdf))))
+    if held is not None:
+
+        def sums(batches):
+            z, moran, geary = held.value, np.zeros(permutations), np.zeros(permutations)
+            for pdf in batches:
+                if len(pdf):
+                    w = pdf["weight"].to_numpy(float)
+                    for reps in pieces(pdf):
+                        a, b = (z[e] for e in ends(pdf, reps))
+                        moran[reps - 1] += (a * b) @ w
+                        geary[reps - 1] += ((a - b) ** 2) @ w
+            yield pd.DataFrame({"rep": np.arange(1, permutations + 1), "num": moran, "sq": geary})
+
+        sims = spread(inside).mapInPandas(sums, "rep int, num double, sq double").groupBy("rep").agg(F.sum("num").alias("num"), F.sum("sq").alias("sq"))
+    else:
+
+        def rows(batches):
+            for pdf in batches:
+                for reps in pieces(pdf) if len(pdf) else ():
+                    a, b = ends(pdf, reps)
+                    yield pd.DataFrame({"rep": np.repeat(reps, len(pdf)), "a": a.ravel(), "b": b.ravel(), "weight": np.tile(pdf["weight"].to_numpy(float), len(reps))})
+
+        z = lambda c: ranked.select(F.col("pos").alias(c), F.col("z").alias(f"z{c}"))
+        far = inside.mapInPandas(rows, "rep int, a long, b long, weight double").join(z("a"), "a").join(z("b"), "b")
+        sims = far.groupBy("rep").agg(F.sum(F.col("weight") * F.col("za") * F.col("zb")).alias("num"), F.sum(F.col("weight") * (F.col("za") - F.col("zb")) ** 2).alias("sq"))
+    own = global_autocorrelation(edges, values, x, key)
+    tot = ranked.agg(F.sum(F.col("z") * F.col("z")).alias("ss")).crossJoin(inside.agg(F.sum("weight").alias("s0")))  # one row each
+    sims = sims.crossJoin(F.broadcast(tot)).select((F.lit(float(n)) / F.col("s0") * F.col("num") / F.col("ss")).alias("i"), ((F.lit(n) - 1) / (2 * F.col("s0")) * F.col("sq") / F.col("ss")).alias("c"))
+    reached = sims.crossJoin(F.broadcast(own)).agg(*[F.count_if(F.col(s) >= F.col(o) - 1e-12).alias(f"_{s}") for s, o in (("i", "moran_i"), ("c", "geary_c"))])
+    p = lambda s, o: F.when(F.col(o).isNotNull(), (F.least(F.col(f"_{s}"), F.lit(permutations) - F.col(f"_{s}")) + 1) / F.lit(permutations + 1.0))
+    return own.crossJoin(F.broadcast(reached)).withColumns({"moran_p": p("i", "moran_i"), "geary_p": p("c", "geary_c"), "permutations": F.lit(permutations)}).drop("_i", "_c")
+
+
+def turbulence(global_p: DataFrame, lisa: DataFrame, p: str = "p_sim", alpha: float = 0.05) -> DataFrame:
+    """One row: the global statistics with their p and the counts of significant local clusters."""
+    on = F.col(p) < alpha
+    local = lisa.agg(F.count_if(on & (F.col("quadrant") == "HH")).alias("n_hotspots"), F.count_if(on & (F.col("quadrant") == "LL")).alias("n_coldspots"), F.count_if(on & F.col("quadrant").isin("HL", "LH")).alias("n_outliers"), F.avg(on.cast("double")).alias("fraction_significant"))
+    return global_p.select("moran_i", "moran_p", "geary_c", "geary_p").crossJoin(F.broadcast(local))
+
+
 def bh_adjust(df: DataFrame, p: str, by: list[str] = (), out: str = "p_adj") -> DataFrame:
     """Benjamini-Hochberg adjusted p-values; running minima are taken range by range; the ranges are even in rank, so small values, the usual case, spread over them."""
     by = list(by)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.core import clip, col, div, seeded_hash
 from plumbline.operators.ranking import P_RANGES, quantiles, spearman, value_ranks, with_avg_rank
+from plumbline.operators.replicates import multinomial_cells
 from plumbline.operators.resample import draws, fit_sums, number_blocks, percentile_ci
 
 # Fixed values.
@@ -199,16 +200,10 @@ def krippendorff_alpha(df: DataFrame, labels: list[str], by: list[str] = ()) ->
 
 
 def alpha_lower(df: DataFrame, labels: list[str], reps: int = 1000, q: float = ALPHA_LOWER_Q, seed: int = 42) -> DataFrame:
-    """Lower bootstrap quantile. Units are drawn as points on the cumulative pattern counts."""
+    """Lower bootstrap quantile. Units are not drawn one by one: a replicate deals their number to the label patterns."""
     p = df.groupBy(*labels).agg(F.count(F.lit(1)).alias("w"))
-    arr = p.agg(F.sort_array(F.collect_list(F.struct(*labels, "w")))).scalar()  # categories squared
-    n = p.agg(F.sum("w")).scalar()
-    d = df.sparkSession.range(1, reps + 1).withColumnRenamed("id", "rep").withColumns({"_a": arr, "_n": n}).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    point = F.pmod(seeded_hash(seed, "rep", "slot"), F.col("_n"))
-    hit = F.aggregate("_a", F.struct(F.lit(0).cast("long").alias("s"), F.lit(-1).alias("i"), F.lit(0).alias("k")),
-                      lambda s, x: F.struct((s["s"] + x["w"]).alias("s"), F.when((s["i"] < 0) & (point < s["s"] + x["w"]), s["k"]).otherwise(s["i"]).alias("i"), (s["k"] + 1).alias("k")))["i"]
-    s = d.withColumn("i", hit).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("w")).withColumn("_a", arr).select("rep", "w", F.array(*[F.element_at("_a", F.col("i") + 1)[c] for c in labels]).alias("labels"))
-    a = _alpha(s, ["rep"]).filter("alpha IS NOT NULL")
+    drawn = multinomial_cells(p, labels, "w", p.agg(F.sum("w")).scalar(), reps, seed)  # categories squared
+    a = _alpha(drawn.select("rep", F.col("m").alias("w"), F.array(*labels).alias("labels")), ["rep"]).filter("alpha IS NOT NULL")
     return a.agg(F.element_at(F.sort_array(F.collect_list("alpha")), F.greatest(F.lit(1), F.floor(q * F.count(F.lit(1))).cast("int") + 1)).alias("alpha_lower"), F.count(F.lit(1)).alias("n_reps"))
 
 

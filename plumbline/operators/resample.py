@@ -1,8 +1,8 @@
 """Seeded resampling at scale.
 
 A replicate's draws are hashes of (seed, replicate, slot). What is resampled are summaries (block
-sums), not rows: a replicate of a billion rows in fifty states moves fifty rows. Where rows
-themselves are the units, they get dense positions in hash order and draws meet them by join.
+sums), not rows: a replicate of a billion rows in fifty states moves fifty rows. Means over rows
+are dealt down a tree (``replicates``); only rank statistics still meet their draws by join.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.core import div, seeded_hash
 from plumbline.operators.ranking import hash_order
+from plumbline.operators.replicates import LEAF_ROWS, replicate_sums
 
 
 def draws(positioned: DataFrame, by: list[str], reps: int, seed, keep: list[str]) -> DataFrame:
@@ -53,16 +54,16 @@ def percentile_ci(reps: DataFrame, by: list[str], value: str, level: float = 0.9
     return reps.groupBy(*by).agg(F.percentile(value, a).alias(f"{prefix}ci_lower"), F.percentile(value, 1 - a).alias(f"{prefix}ci_upper"), F.avg(value).alias(f"{prefix}boot_mean"), F.count(value).alias(f"{prefix}n_reps"))
 
 
-def bootstrap_mean(df: DataFrame, by: list[str], value: str, key: str, reps: int, seed: int = 42) -> DataFrame:
-    """Mean of every replicate over rows drawn with replacement."""
-    rows = hash_order(df.filter(F.col(value).isNotNull()).select(*by, key, value), by, key, seed)
-    return draws(rows, by, reps, seed, [value]).groupBy(*by, "rep").agg(F.avg(value).alias("mean"))
+def bootstrap_mean(df: DataFrame, by: list[str], value: str, key: str, reps: int, seed: int = 42, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Mean of every replicate over rows drawn with replacement; rows are dealt, not repeated (``replicates``)."""
+    sums = replicate_sums(df.filter(F.col(value).isNotNull()), by, [value], key, reps, seed, leaf_rows)
+    return sums.select(*by, "rep", (F.col(f"sum_{value}") / F.col("n")).alias("mean"))
 
 
-def paired_bootstrap_delta(df: DataFrame, by: list[str], first: str, second: str, key: str, reps: int, seed: int = 42, level: float = 0.95) -> DataFrame:
+def paired_bootstrap_delta(df: DataFrame, by: list[str], first: str, second: str, key: str, reps: int, seed: int = 42, level: float = 0.95, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Mean difference of two columns with its interval; pairs are drawn together."""
     d = df.withColumn("_d", F.col(second) - F.col(first))
-    ci = percentile_ci(bootstrap_mean(d, by, "_d", key, reps, seed), by, "mean", level)
+    ci = percentile_ci(bootstrap_mean(d, by, "_d", key, reps, seed, leaf_rows), by, "mean", level)
     obs = d.groupBy(*by).agg(F.avg("_d").alias("delta"), F.count("_d").alias("n"))
     out = obs.join(ci, by) if by else obs.withColumns({c: ci.select(c).scalar() for c in ci.columns})
     return out.withColumn("excludes_zero", (F.col("ci_lower") > 0) | (F.col("ci_upper") < 0))

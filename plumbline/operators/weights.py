@@ -14,7 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.core import clip, div, seeded_hash
+from plumbline.functions.core import clip, div
+from plumbline.operators.replicates import multinomial_cells
 from plumbline.session import cut_lineage
 
 SENTINEL_BIN = -1
@@ -164,18 +165,12 @@ def density_ratio(validation: DataFrame, target: DataFrame, features: list[str],
     return out.withColumn("weight", F.col("weight") / tot)
 
 
-def js_null_threshold(target: DataFrame, cols: list[str], n_validation: int, reps: int = 200, q: float = 0.95, seed: int = 0) -> DataFrame:
-    """Quantile of the mean divergence of samples drawn from the target itself.
+def js_null_threshold(target: DataFrame, cols: list[str], n_validation: int | Column, reps: int = 200, q: float = 0.95, seed: int = 0) -> DataFrame:
+    """Quantile of the mean divergence of samples of ``n_validation`` rows drawn from the target itself.
 
-    A draw picks a point on the cumulative cell counts, so rows are never repeated."""
+    A sample deals its rows to the cells (products of bins) by binomial splitting, so no row is drawn or repeated."""
     cells = target.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-    arr = cells.agg(F.sort_array(F.collect_list(F.struct(*cols, "n")))).scalar()  # product of bins
-    d = target.sparkSession.range(1, reps + 1).withColumnRenamed("id", "rep").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n_validation)))).withColumn("_c", arr)
-    tot = F.aggregate("_c", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    point = F.pmod(seeded_hash(seed, "rep", "slot"), tot)
-    hit = F.aggregate("_c", F.struct(F.lit(0).cast("long").alias("s"), F.lit(-1).alias("i"), F.lit(0).alias("k")),
-                      lambda s, x: F.struct((s["s"] + x["n"]).alias("s"), F.when((s["i"] < 0) & (point < s["s"] + x["n"]), s["k"]).otherwise(s["i"]).alias("i"), (s["k"] + 1).alias("k")))["i"]
-    s = d.select("rep", F.element_at("_c", hit + 1).alias("x")).groupBy("rep", *[F.col("x")[c].alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("m"))
+    s = multinomial_cells(cells, cols, "n", n_validation if isinstance(n_validation, Column) else F.lit(n_validation), reps, seed)
     v = s.unpivot(["rep", "m"], cols, "descriptor", "bin").filter("bin IS NOT NULL").groupBy("rep", "descriptor", "bin").agg(F.sum("m").alias("m"))
     v = v.join(v.groupBy("rep", "descriptor").agg(F.sum("m").alias("_t")), ["rep", "descriptor"]).select("rep", "descriptor", "bin", (F.col("m") / F.col("_t")).alias("p"))
     t = long_bins(target, cols).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).select("rep", "descriptor", "bin", F.col("mass").alias("q"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import graph as G
+from plumbline.plans import drawsql as D
 from plumbline.plans.assembly import rnd
 from plumbline.plans.registry import query
 from plumbline.plans.standins import W, hsh, zf
@@ -66,19 +67,49 @@ def _(t):
     return rnd(G.local_moran(_nbr(t), _vals(t), "acct"), 6, "local_i").select("zcta_id", "local_i", "degree", "quadrant")
 
 
-PERM = f""", d AS (SELECT zcta_id, rep, z, n, degree, local_i, pos, {hsh(7, 'rep', 'pos', 'slot')} % (n - 1) AS j FROM li, unnest(range(1, 20)) r(rep), unnest(range(1, degree + 1)) q(slot)),
+DK = D.word("SELECT zcta_id, rep, z, n, degree, local_i, pos FROM li, unnest(range(1, 1000)) r(rep) WHERE degree > 0", 7, "rep", "pos")
+WALK = D.placed("SELECT zcta_id, rep, z, n, degree, local_i, pos, h AS k, unnest(range(0, degree)) AS slot FROM dk", "slot", "(n - 1)", "k", "j") + " UNION ALL SELECT * RENAME (j2 AS j) FROM (SELECT * EXCLUDE (j) FROM (" + D.placed("SELECT * FROM walk WHERE j >= n - 1", "j", "(n - 1)", "k", "j2") + "))"
+PERM = f""", dk AS ({DK}), walk AS ({WALK}), d AS (SELECT * FROM walk WHERE j < n - 1),
  sim AS (SELECT d.zcta_id, rep, any_value(local_i) AS o, (any_value(d.n) - 1) / any_value(d.n) * any_value(d.z) * sum(s.z) / any_value(degree) AS i FROM d JOIN s ON s.pos = d.j + CASE WHEN d.j >= d.pos THEN 1 ELSE 0 END GROUP BY 1, 2),
- p AS (SELECT zcta_id, (least(count(*) FILTER (i >= o), 19 - count(*) FILTER (i >= o)) + 1) / 20.0 AS p_sim FROM sim GROUP BY 1), lp AS (SELECT li.*, coalesce(p_sim, 1.0) AS p_sim FROM li LEFT JOIN p USING (zcta_id)),
+ p AS (SELECT zcta_id, (least(count(*) FILTER (i >= o - 1e-12 * greatest(1, abs(o))), 999 - count(*) FILTER (i >= o - 1e-12 * greatest(1, abs(o)))) + 1) / 1000.0 AS p_sim FROM sim GROUP BY 1), lp AS (SELECT li.*, coalesce(p_sim, 1.0) AS p_sim FROM li LEFT JOIN p USING (zcta_id)),
  adj AS (SELECT *, least(1, min(p_sim * n / r) OVER (ORDER BY p_sim ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adj FROM (SELECT *, count(*) OVER (ORDER BY p_sim RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM lp)),
  f AS (SELECT *, min(p_adj) OVER (PARTITION BY p_sim) AS pf, CASE WHEN min(p_adj) OVER (PARTITION BY p_sim) < 0.3 THEN quadrant ELSE 'ns' END AS cluster_label FROM adj)"""
-LISA_W = W("units", "edges", "nbr", v=VAL).rstrip() + LISA + PERM
+LISA_W = W("units", "edges", "nbr", v=VAL).rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + LISA + PERM
 
 
 def _lisa(t):
-    li = G.local_moran_p(G.local_moran(_nbr(t), _vals(t), "acct"), 19, 7)
+    li = G.local_moran_p(G.local_moran(_nbr(t), _vals(t), "acct"), 999, 7)
     return G.significant_clusters(G.bh_adjust(li, "p_sim"), "p_adj", 0.3)
 
 
+GV = "SELECT zcta_id, CASE WHEN k % 11 > 0 THEN pop + acct END AS x FROM units"
+GZ = f"SELECT zcta_id, x - avg(x) OVER () AS z, count(*) OVER () AS n, row_number() OVER (ORDER BY zcta_id) - 1 AS pos FROM ({GV}) WHERE x IS NOT NULL"
+GWALK = D.placed("SELECT rep, n, h AS k, unnest(range(0, n)) AS pos FROM gk", "pos", "n", "k", "j") + " UNION ALL SELECT * RENAME (j2 AS j) FROM (SELECT * EXCLUDE (j) FROM (" + D.placed("SELECT * FROM gwalk WHERE j >= n", "j", "n", "k", "j2") + "))"
+GSTAT = "any_value({n}) / sum(weight) * sum(weight * {a} * {b}) / (SELECT sum(z * z) FROM gz) AS i, (any_value({n}) - 1) / (2 * sum(weight)) * sum(weight * ({a} - {b}) * ({a} - {b})) / (SELECT sum(z * z) FROM gz) AS c"
+GLOBAL = f""", gz AS ({GZ}), ge AS MATERIALIZED (SELECT a.pos AS sp, b.pos AS dp, a.z AS sz, b.z AS dz, a.n AS n, weight FROM nbr JOIN gz a ON a.zcta_id = src JOIN gz b ON b.zcta_id = dst),
+ gk AS ({D.word("SELECT rep, (SELECT count(*) FROM gz) AS n FROM unnest(range(1, 1000)) r(rep)", 42, "rep")}), gwalk AS ({GWALK}), gp AS MATERIALIZED (SELECT rep, gwalk.pos, gz.z FROM gwalk JOIN gz ON gz.pos = gwalk.j WHERE j < gwalk.n),
+ ga AS MATERIALIZED (SELECT gp.rep, ge.dp, ge.n, ge.weight, gp.z AS az FROM ge JOIN gp ON gp.pos = ge.sp),
+ gs AS (SELECT ga.rep, {GSTAT.format(n="ga.n", a="ga.az", b="gp.z")} FROM ga JOIN gp ON gp.rep = ga.rep AND gp.pos = ga.dp GROUP BY 1), go AS (SELECT {GSTAT.format(n="n", a="sz", b="dz")} FROM ge),
+ gt AS (SELECT any_value(go.i) AS i, any_value(go.c) AS c, count(*) FILTER (gs.i >= go.i - 1e-12) AS li, count(*) FILTER (gs.c >= go.c - 1e-12) AS lc FROM gs, go)"""
+GP = "round(i, 6) AS moran_i, (least(li, 999 - li) + 1) / 1000 AS moran_p, round(c, 6) AS geary_c, (least(lc, 999 - lc) + 1) / 1000 AS geary_p"
+
+
+def _global(t):
+    v = t.units.select("zcta_id", F.when(F.col("k") % 11 > 0, F.col("pop") + F.col("acct")).alias("x"))
+    return G.global_autocorrelation_p(_nbr(t), v, "x", 999, 42)
+
+
+@query("g07_global_permutation_p", W("units", "edges", "nbr").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + GLOBAL + f" SELECT {GP} FROM gt")
+def _(t):
+    return rnd(_global(t).select("moran_i", "moran_p", "geary_c", "geary_p"), 6, "moran_i", "geary_c")
+
+
+@query("g10_turbulence", LISA_W + GLOBAL + f""" SELECT {GP}, n_hotspots, n_coldspots, n_outliers, fraction_significant FROM gt, (SELECT count(*) FILTER (p_sim < 0.05 AND quadrant = 'HH') AS n_hotspots, count(*) FILTER (p_sim < 0.05 AND quadrant = 'LL') AS n_coldspots,
+    count(*) FILTER (p_sim < 0.05 AND quadrant IN ('HL', 'LH')) AS n_outliers, round(avg((p_sim < 0.05)::INT), 8) AS fraction_significant FROM f)""")
+def _(t):
+    return rnd(rnd(G.turbulence(_global(t), _lisa(t)), 6, "moran_i", "geary_c"), 8, "fraction_significant")
+
+
 @query("g09_lisa_fdr_clusters", LISA_W + " SELECT zcta_id, p_sim, round(pf, 8) AS p_adj, cluster_label FROM f")
 def _(t):
     return rnd(_lisa(t), 8, "p_adj").select("zcta_id", "p_sim", "p_adj", "cluster_label")

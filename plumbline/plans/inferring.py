@@ -6,6 +6,8 @@ from plumbline.functions.core import zfill
 from plumbline.operators import inference as I
 from plumbline.operators import resample as R
 from plumbline.operators.ranking import kolmogorov_smirnov, mann_whitney, spearman
+from plumbline.operators.replicates import LEAF_ROWS, replicate_sums
+from plumbline.plans import drawsql as D
 from plumbline.plans.assembly import rnd
 from plumbline.plans.certify import ST
 from plumbline.plans.registry import query
@@ -23,12 +25,14 @@ POS = f"SELECT *, row_number() OVER (PARTITION BY task ORDER BY {hsh(42, 'zcta')
 DRAW = f"SELECT a.task, r.rep, b.* EXCLUDE (task, n) FROM h a CROSS JOIN (SELECT unnest(range(1, 31)) AS rep) r JOIN h b ON b.task = a.task AND b.pos = {hsh(42, 'rep', 'a.pos')} % a.n"
 
 
-@query("r01_resampling_kernel", W("oof", u=CNT, h=POS, d=DRAW) + "SELECT task, CAST(rep AS INTEGER) AS rep, count(DISTINCT zcta) AS n_distinct, count(*) AS n FROM d GROUP BY 1, 2")
-def _(t):
-    from plumbline.operators.ranking import hash_order
+def _boot(value: str, leaf_rows: int) -> dict[str, str]:
+    """1,000 replicates of a column of the units, by task."""
+    return D.bootstrap("u", "task", "zcta", [value], 1000, 42, leaf_rows, 6, hsh(42, "zcta"))
+
 
-    rows = hash_order(_units(t), ["task"], "zcta", 42)
-    return R.draws(rows, ["task"], 30, 42, ["zcta"]).groupBy("task", "rep").agg(F.count_distinct("zcta").alias("n_distinct"), F.count(F.lit(1)).alias("n"))
+@query("r01_resampling_kernel", W("oof", u=CNT, **_boot("a0", 32)) + "SELECT g AS task, CAST(rep AS INTEGER) AS rep, n, n_distinct, round(sum_a0, 6) AS sum_a0 FROM sums")
+def _(t):
+    return rnd(replicate_sums(_units(t), ["task"], ["a0"], "zcta", 1000, 42, 32), 6, "sum_a0")
 
 
 @query("r01_permutation_within_blocks", W("oof", u=CNT, t=f"SELECT rep, task, zcta, row_number() OVER (PARTITION BY task, rep ORDER BY {hsh('=' + chr(39) + '42t' + chr(39) + ' || CAST(rep AS VARCHAR)', 'zcta')}, zcta) AS pos FROM u CROSS JOIN (SELECT unnest(range(1, 4)) AS rep)",
@@ -37,9 +41,9 @@ def _(t):
     return rnd(R.permute_within(_units(t), ["task"], "zcta", "d0", 3), 8, "d0")
 
 
-@query("r02_bootstrap_mean_ci", W("oof", u=CNT, h=POS, d=DRAW, m="SELECT task, rep, avg(a0) AS m FROM d GROUP BY 1, 2") + "SELECT task, round(quantile_cont(m, 0.025), 7) AS ci_lower, round(quantile_cont(m, 0.975), 7) AS ci_upper, round(avg(m), 7) AS boot_mean, count(*) AS n_reps FROM m GROUP BY 1")
+@query("r02_bootstrap_mean_ci", W("oof", u=CNT, **_boot("a0", LEAF_ROWS)) + "SELECT g AS task, round(quantile_cont(sum_a0 / n, 0.025), 7) AS ci_lower, round(quantile_cont(sum_a0 / n, 0.975), 7) AS ci_upper, round(avg(sum_a0 / n), 7) AS boot_mean, count(*) AS n_reps FROM sums GROUP BY 1")
 def _(t):
-    b = R.bootstrap_mean(_units(t), ["task"], "a0", "zcta", 30)
+    b = R.bootstrap_mean(_units(t), ["task"], "a0", "zcta", 1000)
     return rnd(R.percentile_ci(b, ["task"], "mean"), 7, "ci_lower", "ci_upper", "boot_mean")
 
 
@@ -51,9 +55,9 @@ def _(t):
     return rnd(I.bootstrap_spearman(_units(t), ["task"], "y", "p", "zcta", 30).select("task", "ci_lower", "ci_upper"), 7, "ci_lower", "ci_upper")
 
 
-@query("r03_paired_bootstrap_delta", W("oof", u=CNT, h=POS, d=DRAW, m="SELECT task, rep, avg(a0 - y) AS m FROM d GROUP BY 1, 2", o="SELECT task, avg(a0 - y) AS delta, count(*) AS n FROM u GROUP BY 1") + "SELECT o.task, round(any_value(delta), 7) AS delta, any_value(n) AS n, round(quantile_cont(m, 0.025), 7) AS ci_lower, round(quantile_cont(m, 0.975), 7) AS ci_upper FROM m JOIN o USING (task) GROUP BY 1")
+@query("r03_paired_bootstrap_delta", W("oof", u0=CNT, u="SELECT *, a0 - y AS d FROM u0", **_boot("d", LEAF_ROWS), o="SELECT task, avg(d) AS delta, count(*) AS n FROM u GROUP BY 1") + "SELECT o.task, round(any_value(delta), 7) AS delta, any_value(o.n) AS n, round(quantile_cont(sum_d / sums.n, 0.025), 7) AS ci_lower, round(quantile_cont(sum_d / sums.n, 0.975), 7) AS ci_upper, quantile_cont(sum_d / sums.n, 0.025) > 0 OR quantile_cont(sum_d / sums.n, 0.975) < 0 AS excludes_zero FROM sums JOIN o ON o.task = g GROUP BY 1")
 def _(t):
-    return rnd(R.paired_bootstrap_delta(_units(t), ["task"], "y", "a0", "zcta", 30).select("task", "delta", "n", "ci_lower", "ci_upper"), 7, "delta", "ci_lower", "ci_upper")
+    return rnd(R.paired_bootstrap_delta(_units(t), ["task"], "y", "a0", "zcta", 1000).select("task", "delta", "n", "ci_lower", "ci_upper", "excludes_zero"), 7, "delta", "ci_lower", "ci_upper")
 
 
 @query("r03_fold_direction", W("oof", "fold_metrics", d="SELECT task, model_version, metric - 0.5 AS d FROM fold_metrics") + "SELECT task, model_version, count(*) FILTER (d > 0) AS n_positive, count(*) FILTER (d < 0) AS n_negative, round(CASE WHEN avg(d) >= 0 THEN count(*) FILTER (d > 0) ELSE count(*) FILTER (d < 0) END / count(*), 8) AS direction_stability FROM d GROUP BY 1, 2")
@@ -201,12 +205,19 @@ def _(t):
 
 def _gate(t):
     j = _judged(t).withColumns({"fa": F.lit("x"), "fb": F.lit("y"), "ab": F.lit(True)})
-    return I.calibration_gate(j, "a", "b", "fa", "fb", "ab", 50)
+    return I.calibration_gate(j, "a", "b", "fa", "fb", "ab")
+
+
+GATE = W(j=JL, pat="SELECT a, b, count(*) AS w FROM j GROUP BY 1, 2", **D.cell_draws("pat", ["a", "b"], "w", "SELECT sum(w) FROM pat", 1000, 42, 5),
+         fv="SELECT * FROM fallen WHERE a IS NOT NULL AND b IS NOT NULL UNION ALL SELECT 0, a, b, w FROM pat WHERE a IS NOT NULL AND b IS NOT NULL", fc="SELECT rep, c, sum(m) AS nc FROM (SELECT rep, a AS c, m FROM fv UNION ALL SELECT rep, b, m FROM fv) GROUP BY 1, 2",
+         fa="SELECT rep, 1 - (n - 1) * (n - dg) / (n * n - q) AS alpha FROM (SELECT rep, sum(nc)::DOUBLE AS n, sum(nc * nc)::DOUBLE AS q FROM fc GROUP BY 1) JOIN (SELECT rep, 2.0 * coalesce(sum(m) FILTER (a = b), 0) AS dg FROM fv GROUP BY 1) USING (rep)",
+         lo=f"SELECT list_sort(list(alpha))[greatest(1, CAST(floor({I.ALPHA_LOWER_Q} * count(*)) AS BIGINT) + 1)] AS alpha_lower FROM fa WHERE rep > 0")
 
 
-@query("r13_calibration_gate")
+@query("r13_calibration_gate", GATE + f"""SELECT n_records, n_pairable, n_missing_a, n_missing_b, n_records AS n_ablation_available, round(alpha, 8) AS alpha, round(alpha_lower, 8) AS alpha_lower, alpha >= {I.ALPHA_FLOOR} AND alpha_lower >= {I.ALPHA_FLOOR} AND n_pairable >= {I.MIN_PAIRABLE} AS passed
+    FROM (SELECT count(*) AS n_records, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_pairable, count(*) FILTER (a IS NULL) AS n_missing_a, count(*) FILTER (b IS NULL) AS n_missing_b FROM j), (SELECT alpha FROM fa WHERE rep = 0), lo""")
 def _(t):
-    return _gate(t)
+    return rnd(_gate(t), 8, "alpha", "alpha_lower")
 
 
 @query("r14_two_way_eta2", W("oof", g="SELECT avg(y_true - y_pred) AS m, var_pop(y_true - y_pred) * count(*) AS ss FROM oof", a="SELECT sum(n * (x - m) ** 2) AS s FROM (SELECT task, count(*) AS n, avg(y_true - y_pred) AS x FROM oof GROUP BY 1), g", b="SELECT sum(n * (x - m) ** 2) AS s FROM (SELECT model_version, count(*) AS n, avg(y_true - y_pred) AS x FROM oof GROUP BY 1), g",

@@ -6,6 +6,7 @@ from plumbline.functions.core import zfill
 from plumbline.operators import timeseries as S
 from plumbline.operators import weights as B
 from plumbline.operators.ranking import percentile_rank
+from plumbline.plans import drawsql as D
 from plumbline.plans.assembly import rnd
 from plumbline.plans.registry import query
 from plumbline.plans.spatial import TRACK, _track
@@ -225,9 +226,17 @@ def _(t):
     return rnd(rnd(rnd(s, 4, "ess"), 8, "ess_fraction", "dropped_fraction"), 7, "max_weight_x_uniform")
 
 
-@query("b08_js_null_threshold")
+NULL_JS = D.cell_draws("tc", BINS, "n", "SELECT count(*) FROM val", 1000, 0, 7) | {
+    "fm": " UNION ALL ".join(f"SELECT rep, '{c}' AS descriptor, {c} AS bin, sum(m) / sum(sum(m)) OVER (PARTITION BY rep) AS p FROM fallen GROUP BY rep, {c}" for c in BINS),
+    "fj": "SELECT r.rep, tm.descriptor, coalesce(fm.p, 0) AS p, tm.mass AS q FROM (SELECT DISTINCT rep FROM fallen) r CROSS JOIN tm LEFT JOIN fm ON fm.rep = r.rep AND fm.descriptor = tm.descriptor AND fm.bin = tm.bin",
+    "fe": "SELECT rep, descriptor, (p + 1e-12) / sum(p + 1e-12) OVER (PARTITION BY rep, descriptor) AS p, (q + 1e-12) / sum(q + 1e-12) OVER (PARTITION BY rep, descriptor) AS q FROM fj",
+    "fs": "SELECT rep, avg(js) AS js FROM (SELECT rep, descriptor, sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2 AS js FROM fe GROUP BY 1, 2) GROUP BY 1"}
+
+
+@query("b08_js_null_threshold", BW + LM + f", tc AS (SELECT {', '.join(BINS)}, count(*) AS n FROM tgt GROUP BY ALL), " + ", ".join(f"{k} AS ({v})" for k, v in NULL_JS.items()) + " SELECT round(quantile_cont(js, 0.95), 8) AS js_null_threshold, count(*) AS n_reps FROM fs")
 def _(t):
-    return B.js_null_threshold(_bins(t)[1], BINS, 400, 50)
+    v, g = _bins(t)
+    return rnd(B.js_null_threshold(g, BINS, v.agg(F.count(F.lit(1))).scalar(), 1000), 8, "js_null_threshold")
 
 
 @query("b09_alignment_decision", BW + LM + JOINB + FAC + f", s AS (SELECT count(*) AS n, sum(w) ** 2 / sum(w * w) / count(*) AS ef, max(w) / sum(w) * count(*) AS mw, avg((w <= 0)::INT) AS dr FROM w), j AS (SELECT avg(js) AS j FROM ({JS})) SELECT n AS n_validation, round(ef, 8) AS ess_fraction, round(j, 8) AS mean_js_divergence, CASE WHEN ef < 0.1 OR dr > 0.2 THEN 'FAIL' WHEN ef >= 0.3 AND mw <= 10 AND j <= 0.2 THEN 'PASS' ELSE 'WARN' END AS alignment_decision FROM s, j")
