@@ -68,32 +68,6 @@ def relevance_gate(pairs: DataFrame, model, features: str, threshold: float = 0.
     return out.withColumns({"action": F.when(go, "PROCEED").otherwise("RE_ENCODE"), "confidence": F.when(go, 1 - F.col("p_superfluous")).otherwise(F.col("p_superfluous"))})
 
 
-QUERY_LIMIT = 4096
-
-
-def cosine_top_k(queries: DataFrame, passages: DataFrame, qid: str, pid: str, vector: str, k: int = 5) -> DataFrame:
-    """The k most similar passages of every query, exact.
-
-    Queries are dealt into chunks and every passage meets each chunk as one array: a passage row
-    scores a chunk's queries in place, so no pair table is shuffled. Each task keeps the best k
-    per query of its own rows (a partial top-k per partition bucket) before the final top-k."""
-    q = queries.select(F.col(qid).alias("q"), F.col(vector).cast("array<double>").alias("v")).withColumn("n", norm("v"))
-    total = q.count()
-    chunks = max(1, -(-total // QUERY_LIMIT))
-    best = None
-    for c in range(chunks):
-        part = q if chunks == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(chunks)) == c)
-        arr = part.agg(F.collect_list(F.struct("q", "v", "n"))).scalar()  # about QUERY_LIMIT queries
-        p = passages.select(F.col(pid).alias("p"), F.col(vector).cast("array<double>").alias("w")).withColumns({"pn": norm("w"), "_q": arr})
-        s = p.select("p", F.explode(F.transform("_q", lambda x: F.struct(x["q"].alias("q"), (F.aggregate(F.zip_with(x["v"], F.col("w"), lambda a, b: a * b), F.lit(0.0), lambda t, z: t + z) / (x["n"] * F.col("pn") + EPS)).alias("s")))).alias("x")).select("p", "x.q", "x.s").filter(F.col("p") != F.col("q"))
-        top = s.withColumn("_b", F.pmod(F.xxhash64("p"), F.lit(64)))
-        order = (F.desc("s"), F.asc("p"))
-        top = top.withColumn("_r", F.row_number().over(W.partitionBy("q", "_b").orderBy(*order))).filter(F.col("_r") <= k)
-        top = top.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(*order))).filter(F.col("rank") <= k).select(F.col("q").alias(qid), F.col("p").alias(f"match_{pid}"), F.col("s").alias("cosine"), "rank")
-        best = top if best is None else best.unionByName(top)
-    return best
-
-
 def label_matches(top: DataFrame, relevant: float = 0.5, noise: float = 0.2) -> DataFrame:
     """R at or above the first bound, N below the second, S between."""
     s = F.col("cosine")

@@ -185,9 +185,10 @@ def global_autocorrelation_p(edges: DataFrame, values: DataFrame, x: str, permut
     n = ranked.count()
 
     def ends(pdf, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = word(seed, reps)[:, None]
-        go = lambda pos: places(np.broadcast_to(pos.to_numpy(np.int64), (len(reps), len(pdf))), n, keys)
-        return go(pdf["src_pos"]), go(pdf["dst_pos"])
+        units, at = np.unique(pdf[["src_pos", "dst_pos"]].to_numpy(np.int64), return_inverse=True)
+        went = places(np.broadcast_to(units, (len(reps), len(units))), n, word(seed, reps)[:, None])
+        at = at.reshape(-1, 2)
+        return went[:, at[:, 0]], went[:, at[:, 1]]
 
     pieces = lambda pdf: (np.arange(k, min(k + max(1, DRAWS // len(pdf)), permutations + 1)) for k in range(1, permutations + 1, max(1, DRAWS // len(pdf))))
     if held is not None:
@@ -448,7 +449,7 @@ def permute_weights(edges: DataFrame, units: DataFrame, levels: list[float], see
 # ---- recoverability of regions ----------------------------------------------------------------
 
 def region_distances(regions: DataFrame, rid: str, vector: str) -> DataFrame:
-    """Squared distance of every two regions. The statistics on it (Mantel, stress, Gabriel) are
+    """Squared distance of every two regions. The statistics on it (Mantel, stress) are
     defined on all region pairs; regions are aggregates, and block numbers spread the pairs."""
     blocks = 16
     r = regions.select(F.col(rid).alias("id"), F.col(vector).alias("vec")).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
@@ -458,25 +459,6 @@ def region_distances(regions: DataFrame, rid: str, vector: str) -> DataFrame:
     return a.join(b, ["ba", "bb"]).filter(F.col("i") < F.col("j")).select("i", "j", d2.alias("d2"))
 
 
-def gabriel_edges(d2: DataFrame, k: int = 8) -> DataFrame:
-    """Pairs with no third region inside their diametral ball.
-
-    A third point blocks (i, j) when d2(i,k) + d2(k,j) < d2(i,j). Near neighbours block most
-    pairs, so they are tried first; only survivors meet all others."""
-    full = d2.unionByName(d2.select(F.col("j").alias("i"), F.col("i").alias("j"), "d2"))
-    full = cut_lineage(full)
-    near = full.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "j"))), 1, k).alias("nn")).select("i", F.explode("nn").alias("n")).select(F.col("i"), F.col("n.j").alias("k"), F.col("n.d2").alias("dik"))
-
-    def blocked(pairs: DataFrame, third: DataFrame) -> DataFrame:
-        kj = full.select(F.col("i").alias("k"), "j", F.col("d2").alias("dkj"))
-        return pairs.join(third, "i").join(kj, ["k", "j"]).filter(F.col("dik") + F.col("dkj") < F.col("d2")).select("i", "j").distinct()
-
-    pairs = d2.join(blocked(d2, near), ["i", "j"], "left_anti")
-    pairs = cut_lineage(pairs)
-    every = full.select("i", F.col("j").alias("k"), F.col("d2").alias("dik"))
-    return pairs.join(blocked(pairs, every), ["i", "j"], "left_anti").select("i", "j")
-
-
 def crossings(edges: DataFrame, at: DataFrame, by: list[str] = ()) -> DataFrame:
     """Properly crossing edge pairs without shared ends; candidates meet in grid cells."""
     pos = lambda s: at.select(F.col("id").alias(s), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))

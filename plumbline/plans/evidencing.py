@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import embeddings as E
 from plumbline.operators import evidence as V
+from plumbline.operators.balls import cosine_top_k
 from plumbline.plans.assembly import rnd
 from plumbline.plans.registry import query
 from plumbline.plans.standins import W
@@ -47,7 +48,13 @@ CEN = "SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding
 def _(t):
     e = _emb(t)
     q = e.select("label", F.posexplode("e").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy((F.col("label") - 1000).alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("e"))
-    return rnd(E.cosine_top_k(q, e, "label", "vec_id", "e", 5), 6, "cosine").select("label", "match_vec_id", "cosine", "rank")
+    return rnd(cosine_top_k(q, e, "label", "vec_id", "e", 5), 6, "cosine").select("label", "match_vec_id", "cosine", "rank")
+
+
+@query("e04_cosine_neighbours", "WITH v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS q, b.vec_id AS p, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-8) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, p) AS k FROM s) SELECT q AS vec_id, p AS match_vec_id, round(c, 6) AS cosine, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 5")
+def _(t):
+    e = _emb(t)
+    return rnd(cosine_top_k(e, e, "vec_id", "vec_id", "e", 5), 6, "cosine")
 
 
 SENT = r"""WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.;])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents), q AS (SELECT doc_id, unnest(CASE WHEN length(s) > 150 THEN string_split(regexp_replace(s, ',\s+(which|where|while|and|suggesting|indicating)', chr(1), 'g'), chr(1)) ELSE [s] END) AS s FROM p), c AS (SELECT doc_id, regexp_replace(s, '^\s+|\s+$', '', 'g') AS text FROM q)"""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import graph as G
+from plumbline.operators.balls import gabriel_graph
 from plumbline.plans import drawsql as D
 from plumbline.plans.assembly import rnd
 from plumbline.plans.registry import query
@@ -211,7 +212,7 @@ DD = f"SELECT a.id AS i, b.id AS j, {D2} AS d2 FROM r a JOIN r b ON a.id <> b.id
 
 
 def _gabriel(t):
-    return G.gabriel_edges(G.region_distances(_regions(t), "id", "vec"))
+    return gabriel_graph(_regions(t), "id", "vec")
 
 
 @query("g20_gabriel_graph", f"WITH r AS ({REG}), d AS ({DD}), p AS (SELECT p.i, q.j, min(p.d2 + q.d2) AS m FROM d p JOIN d q ON p.j = q.i WHERE p.i < q.j GROUP BY 1, 2) SELECT i, j FROM d JOIN p USING (i, j) WHERE m >= d2")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import graph as G
+from plumbline.operators.balls import gabriel_graph
 from plumbline.operators import spatial as S
 
 
@@ -123,7 +124,7 @@ def test_crossings_and_gabriel(spark):
     e = spark.createDataFrame([("a", "b"), ("c", "d"), ("a", "c")], "i string, j string")
     assert G.crossings(e, at).count() == 1
     reg = spark.createDataFrame([("p", [0.0, 0.0]), ("q", [2.0, 0.0]), ("m", [1.0, 0.1])], "id string, vec array<double>")
-    assert {(r["i"], r["j"]) for r in G.gabriel_edges(G.region_distances(reg, "id", "vec")).collect()} == {("m", "p"), ("m", "q")}
+    assert {(r["i"], r["j"]) for r in gabriel_graph(reg, "id", "vec").collect()} == {("m", "p"), ("m", "q")}
 
 
 def test_permuted_weights_move_every_chosen_id_and_stay_normalised(spark):
