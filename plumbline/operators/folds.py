@@ -2,11 +2,14 @@
 cluster or another partitioning gives the same split.
 
 Units are never collected. Greedy placing works on block, county or state summaries; their number
-is bounded by the code length (at most 100,000 five-digit codes), and one array of them is folded
-by a built-in aggregate."""
+is bounded by the code length (at most 100,000 five-digit codes), and one array of them is placed
+in a single pass over a heap of the loads."""
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,19 +39,46 @@ def block_keys(units: DataFrame, n_folds: int, key: str = "zcta_id", county: str
     return b.join(big, "block", "left").select(key, F.when(F.col("_big"), F.concat_ws("_", "block", F.substring(key, 1, 4))).otherwise(F.col("block")).alias("block"))
 
 
-def _place(items: Column, bins: Column | int, size: str = "n") -> Column:
-    """Struct (load, place) after each of ``items`` in turn has joined the bin that is lightest then, the first of equals; ``bins`` is their number or their starting loads.
-
-    One pass of ``aggregate`` over the summary array; the state is the loads and the places so far."""
-    start = F.array_repeat(F.lit(0).cast("long"), bins) if isinstance(bins, int) else bins
-    state = F.struct(start.alias("load"), F.array().cast("array<int>").alias("place"))
+@F.pandas_udf("struct<load: array<long>, place: array<int>>")
+def _lightest(sizes: pd.Series, loads: pd.Series) -> pd.DataFrame:
+    """For every row: each size in turn joins the load that is least then, the first of equals. A heap holds the loads, so a size costs the logarithm of their number."""
+    out = []
+    for items, start in zip(sizes, loads):
+        if items is None or start is None or not len(start):
+            out.append((None, None))
+            continue
+        heap = [(int(v), k) for k, v in enumerate(start)]
+        heapq.heapify(heap)
+        place = []
+        for n in items:
+            load, k = heap[0]
+            heapq.heapreplace(heap, (load + int(n), k))
+            place.append(k)
+        out.append(([v for _, v in sorted((k, v) for v, k in heap)], place))
+    return pd.DataFrame(out, columns=["load", "place"])
+
+
+@F.pandas_udf("array<int>")
+def _lightest_in_stratum(sizes: pd.Series, strata: pd.Series, folds: pd.Series) -> pd.Series:
+    """For every row: each size in turn joins the fold that is lightest in its stratum, then lightest at all, then first."""
+    out = []
+    for items, own, n_folds in zip(sizes, strata, folds):
+        whole, parts, place = [0] * n_folds, {}, []
+        for n, s in zip(items, own):
+            part = whole if s is None else parts.setdefault(s, [0] * n_folds)
+            at = min(range(n_folds), key=lambda f: (part[f], whole[f], f))
+            whole[at] += int(n)
+            if s is not None:
+                part[at] += int(n)
+            place.append(at)
+        out.append(place)
+    return pd.Series(out)
 
-    def step(s: Column, x: Column) -> Column:
-        at = F.array_position(s["load"], F.array_min(s["load"])).cast("int")
-        load = F.transform(s["load"], lambda v, i: v + F.when(i + 1 == at, x[size]).otherwise(F.lit(0).cast("long")))
-        return F.struct(load.alias("load"), F.concat(s["place"], F.array(at - 1)).alias("place"))
 
-    return F.aggregate(items, state, step)
+def _place(items: Column, bins: Column | int, size: str = "n") -> Column:
+    """Struct (load, place) after each of ``items`` in turn has joined the bin that is lightest then, the first of equals; ``bins`` is their number or their starting loads."""
+    start = F.array_repeat(F.lit(0).cast("long"), bins) if isinstance(bins, int) else bins
+    return _lightest(F.transform(items, lambda x: x[size]), start)
 
 
 def _by(items: Column, *order: str) -> Column:
@@ -109,19 +139,10 @@ def county_summary(units: DataFrame, stratum: str, state: str = "state_fips") ->
 def balance_by_stratum(items: DataFrame, n_folds: int) -> DataFrame:
     """(county_fips, fold): counties in hash order, each to the fold lightest in its stratum, then lightest at all, then first.
 
-    ``items`` (county_fips, stratum, n_zctas, h) has a row per county. The loads are one array, a stretch of folds per stratum after one for all."""
-    one = items.agg(F.collect_list(F.struct("county_fips", "stratum", F.col("n_zctas").cast("long").alias("n"), "h")).alias("all"), F.sort_array(F.collect_set("stratum")).alias("strata"))
-    one = one.select(_by(F.col("all"), "h", "county_fips").alias("items"), "strata")
-    one = one.withColumn("items", F.transform("items", lambda x: x.withField("from", F.coalesce(F.array_position("strata", x["stratum"]), F.lit(0)).cast("int") * n_folds)))
-    folds = F.sequence(F.lit(0), F.lit(n_folds - 1))
-    state = F.struct(F.flatten(F.array_repeat(F.array_repeat(F.lit(0).cast("long"), n_folds), F.size("strata") + 1)).alias("load"), F.array().cast("array<int>").alias("place"))
-
-    def step(s: Column, x: Column) -> Column:
-        at = F.array_min(F.transform(folds, lambda f: F.struct(s["load"][x["from"] + f].alias("own"), s["load"][f].alias("whole"), f.alias("f"))))["f"]
-        load = F.transform(s["load"], lambda v, i: v + F.when((i == at) | (i == x["from"] + at), x["n"]).otherwise(F.lit(0).cast("long")))
-        return F.struct(load.alias("load"), F.concat(s["place"], F.array(at)).alias("place"))
-
-    placed = one.select("items", F.aggregate("items", state, step)["place"].alias("fold"))
+    ``items`` (county_fips, stratum, n_zctas, h) has a row per county."""
+    one = items.agg(F.collect_list(F.struct("county_fips", "stratum", F.col("n_zctas").cast("long").alias("n"), "h")).alias("all"))
+    one = one.select(_by(F.col("all"), "h", "county_fips").alias("items"))
+    placed = one.select("items", _lightest_in_stratum(F.transform("items", lambda x: x["n"]), F.transform("items", lambda x: x["stratum"].cast("string")), F.lit(n_folds)).alias("fold"))
     return placed.select(F.explode(F.arrays_zip("items", "fold")).alias("z")).select("z.items.county_fips", "z.fold")
 
 
