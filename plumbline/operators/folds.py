@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.core import seeded_hash
 from plumbline.operators.ranking import hash_order
@@ -39,7 +40,7 @@ def block_keys(units: DataFrame, n_folds: int, key: str = "zcta_id", county: str
     return b.join(big, "block", "left").select(key, F.when(F.col("_big"), F.concat_ws("_", "block", F.substring(key, 1, 4))).otherwise(F.col("block")).alias("block"))
 
 
-@F.pandas_udf("struct<load: array<long>, place: array<int>>")
+@F.pandas_udf(T.StructType([T.StructField("load", T.ArrayType(T.LongType())), T.StructField("place", T.ArrayType(T.IntegerType()))]))
 def _lightest(sizes: pd.Series, loads: pd.Series) -> pd.DataFrame:
     """For every row: each size in turn joins the load that is least then, the first of equals. A heap holds the loads, so a size costs the logarithm of their number."""
     out = []
@@ -58,7 +59,7 @@ def _lightest(sizes: pd.Series, loads: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["load", "place"])
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _lightest_in_stratum(sizes: pd.Series, strata: pd.Series, folds: pd.Series) -> pd.Series:
     """For every row: each size in turn joins the fold that is lightest in its stratum, then lightest at all, then first."""
     out = []
