@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -80,11 +82,36 @@ def product_cells(cells: DataFrame, target_margins: DataFrame, cols: list[str],
     return c.withColumn("w", w).drop("_m")
 
 
+#: up to so many cells one task fits all rounds of a raking; beyond, every adjustment is an aggregate of its own
+RAKED_AT_ONCE = 1 << 20
+
+
+def fit_margins(codes: list[np.ndarray], goals: list[np.ndarray], n: np.ndarray, cap: float, max_iter: int, tol: float) -> tuple[np.ndarray, int, float]:
+    """(weights, rounds, last change) of iterative proportional fitting; ``codes`` has the bin of every cell and ``goals`` the target mass of every bin, by descriptor."""
+    w, step, change = np.ones(len(n)), 0, 0.0
+    while step < max_iter:
+        step += 1
+        before = w.copy()
+        for code, goal in zip(codes, goals):
+            have = np.bincount(code, weights=w * n, minlength=len(goal))
+            total = have.sum()
+            if total <= 0:
+                break
+            need = total * goal
+            f = np.divide(need, have, out=np.zeros_like(need), where=have > 0)
+            w = w * np.where(need > 0, np.clip(f, 1 / cap, cap) if cap > 1 else f, 0.0)[code]
+        live = before > 0
+        change = float(np.abs(w[live] / before[live] - 1).max(initial=0.0))
+        if change < tol:
+            break
+    return w, step, change
+
+
 def rake_cells(cells: DataFrame, target_margins: DataFrame, cols: list[str], cap: float = 10.0, max_iter: int = 500, tol: float = 1e-6) -> DataFrame:
     """Iterative proportional fitting on the cell table (cells, w, iterations, converged).
 
-    A fitted weight is a product of one factor per descriptor and bin, so the state is that table of factors: as many numbers as there are bins. Each
-    adjustment is one aggregate of the cells by a descriptor's bin, combined before its shuffle; the cells stay distributed and are never rewritten."""
+    Cells are an aggregate over products of bins. Up to ``RAKED_AT_ONCE`` of them, counted first, one task fits all rounds in one job; more stay distributed: a
+    fitted weight is a product of one factor per descriptor and bin, so the state is that table of factors, and each adjustment is one aggregate of the cells by a descriptor's bin."""
     goal: dict[str, dict[str, float]] = {}
     for m in target_margins.select("descriptor", F.col("bin").cast("long").cast("string").alias("bin"), "mass").collect():
         goal.setdefault(m["descriptor"], {})[m["bin"]] = m["mass"]
@@ -92,6 +119,21 @@ def rake_cells(cells: DataFrame, target_margins: DataFrame, cols: list[str], cap
     cells = cut_lineage(cells)
     bin_of = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("~"))
 
+    if cells.count() <= RAKED_AT_ONCE:
+        names = cells.columns
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema) + ", w double, iterations int, converged boolean"
+
+        def fit(batches):
+            held = [pdf for pdf in batches if len(pdf)]
+            if held:
+                pdf = pd.concat(held, ignore_index=True)
+                factored = [pd.factorize(pdf[f"_b_{c}"]) for c in used]
+                goals = [np.array([goal[c].get(b, 0.0) for b in bins]) for c, (_, bins) in zip(used, factored)]
+                w, step, change = fit_margins([code for code, _ in factored], goals, pdf["n"].to_numpy(float), cap, max_iter, tol)
+                yield pdf[names].assign(w=w, iterations=step, converged=change < tol)
+
+        return cut_lineage(cells.select(*names, *[bin_of(c).alias(f"_b_{c}") for c in used]).coalesce(1).mapInPandas(fit, schema))
+
     def product(factors: dict[str, dict[str, float]]) -> Column:
         w = F.lit(1.0)
         for c, f in factors.items():

@@ -213,6 +213,21 @@ def _(t):
     return rnd(B.long_bins(c, BINS, F.col("w") * F.col("n")), 4, "mass")
 
 
+RAKE = f""", cl AS (SELECT {', '.join(BINS)}, count(*)::DOUBLE AS n FROM val GROUP BY ALL),
+ rk AS (SELECT 0 AS step, q_bin, x_bin, d_bin, n, 1.0::DOUBLE AS w FROM cl UNION ALL
+ SELECT step + 1, q_bin, x_bin, d_bin, n, w * CASE WHEN mass IS NULL OR mass <= 0 THEN 0 ELSE greatest(0.1, least(10, tot * mass / have)) END FROM
+ (SELECT rk.*, tm.mass, sum(w * n) OVER () AS tot, sum(w * n) OVER (PARTITION BY CASE step % 3 WHEN 0 THEN q_bin WHEN 1 THEN x_bin ELSE d_bin END) AS have
+ FROM rk LEFT JOIN tm ON tm.descriptor = CASE step % 3 WHEN 0 THEN 'q_bin' WHEN 1 THEN 'x_bin' ELSE 'd_bin' END AND tm.bin = CASE step % 3 WHEN 0 THEN q_bin WHEN 1 THEN x_bin ELSE d_bin END WHERE step < 600))"""
+
+
+@query("b05_raked_weights", BW.replace("WITH ", "WITH RECURSIVE ", 1) + LM + RAKE + f" SELECT {', '.join(BINS)}, CAST(n AS BIGINT) AS n, round(1e3 * w / sum(w * n) OVER (), 7) AS w FROM rk WHERE step = 600")
+def _(t):
+    v, g = _bins(t)
+    c = B.rake_cells(B.cells_of(v, BINS), B.long_bins(g, BINS), BINS, tol=1e-12)
+    total = c.agg(F.sum(F.col("w") * F.col("n"))).scalar()
+    return c.withColumn("t", total).select(*BINS, "n", F.round(1e3 * F.col("w") / F.col("t"), 7).alias("w"))
+
+
 @query("b06_density_ratio_weights")
 def _(t):
     v, g = _bins(t)
