@@ -22,7 +22,7 @@ def _rc(t):
         c.filter("n > 0.25").select("certificate_id", F.lit("N_ABOVE_THRESHOLD"), F.lit(0)))
 
 
-@query("f1_select_event", W("scenarios", "snapshots") + "SELECT s.scenario_id, display_name, build_phase, string_agg(CAST(snapshot_t AS VARCHAR), ',' ORDER BY snapshot_t DESC) AS available_snapshots FROM scenarios s JOIN snapshots USING (scenario_id) GROUP BY 1, 2, 3")
+@query("f1_select_event", W("scenarios", "snapshots") + "SELECT s.scenario_id, display_name, anchor_storm, flood_archetype, build_phase, string_agg(CAST(snapshot_t AS VARCHAR), ',' ORDER BY snapshot_t DESC) AS available_snapshots FROM scenarios s JOIN snapshots USING (scenario_id) GROUP BY 1, 2, 3, 4, 5")
 def _(t):
     return joined(S.select_event(t.spark, t.scenarios, t.snapshots), "available_snapshots")
 
@@ -32,12 +32,13 @@ def _(t):
     return S.select_snapshot(t.spark, t.snapshots, t.certificate)
 
 
-@query("f3_list_zctas", W("certificate", "snapshots", "scenario_zctas", rc=RC) + """SELECT z.scenario_id, n.snapshot_t, z.zcta_id, z.state_fips, c.certificate_id, round(c.kappa_compat, 8) AS kappa_compat, c.public_decision, c.gate_reached, string_agg(reason_code, ',' ORDER BY sort_order) AS reason_codes,
+@query("f3_list_zctas", W("certificate", "snapshots", "scenario_zctas", rc=RC) + """SELECT z.scenario_id, n.snapshot_t, z.zcta_id, z.state_fips, z.county_fips, z.huc8_id, c.certificate_id, round(c.r, 8) AS r, round(c.s_sup, 8) AS s_sup, round(c.n, 8) AS n, round(c.alpha, 8) AS alpha, round(c.kappa_compat, 8) AS kappa_compat, round(c.kappa_modal_min, 8) AS kappa_modal_min, round(c.sigma, 8) AS sigma,
+    round(c.task_residual_floor, 8) AS task_residual_floor, c.task_residual_floor_unavailable_reason, c.public_decision, c.gate_reached, c.gate_reason, string_agg(reason_code, ',' ORDER BY sort_order) AS reason_codes,
     CASE WHEN c.certificate_id IS NULL THEN 'NOT_COMPUTED' END AS unavailable_reason FROM scenario_zctas z JOIN snapshots n ON n.scenario_id = z.scenario_id LEFT JOIN certificate c ON c.scenario_id = z.scenario_id AND c.zcta_id = z.zcta_id AND c.snapshot_t = n.snapshot_t AND c.embedding_arm = 'graphsage_v1'
     LEFT JOIN rc ON rc.certificate_id = c.certificate_id GROUP BY ALL""")
 def _(t):
     d = S.list_zctas(t.spark, t.scenario_zctas, t.snapshots, t.certificate, _rc(t))
-    return rnd(joined(d, "reason_codes"), 8, "kappa_compat").select("scenario_id", "snapshot_t", "zcta_id", "state_fips", "certificate_id", "kappa_compat", "public_decision", "gate_reached", "reason_codes", "unavailable_reason")
+    return rnd(joined(d, "reason_codes"), 8, "r", "s_sup", "n", "alpha", "kappa_compat", "kappa_modal_min", "sigma", "task_residual_floor")
 
 
 @query("f3_session_decisions", W("certificate", "units") + "SELECT 's' AS session_id, certificate_id, scenario_id, public_decision, u.acct AS y_true, u.acct >= CASE WHEN scenario_id = 'storm_A' THEN 3000 ELSE 5000 END AS actually_flooded FROM certificate c LEFT JOIN units u USING (zcta_id) WHERE embedding_arm = 'graphsage_v1'")
@@ -91,9 +92,9 @@ def _(t):
     return rnd(S.summarize_session(t.spark, t.session_decision), 8, "precision_at_execute", "recall_at_execute", "f1_at_execute")
 
 
-@query("f6_list_scenarios", W("cert_base", "scenarios", "snapshots", "scenario_zctas") + "SELECT s.scenario_id, display_name, build_phase, total_claims, round(total_loss, 2) AS total_loss, n.h AS snapshot_hours, z.k AS in_scope_zcta_count FROM scenarios s JOIN (SELECT scenario_id, string_agg(CAST(snapshot_t AS VARCHAR), ',' ORDER BY snapshot_t DESC) AS h FROM snapshots GROUP BY 1) n USING (scenario_id) JOIN (SELECT scenario_id, count(DISTINCT zcta_id) AS k FROM scenario_zctas GROUP BY 1) z USING (scenario_id)")
+@query("f6_list_scenarios", W("cert_base", "scenarios", "snapshots", "scenario_zctas") + "SELECT s.scenario_id, display_name, anchor_storm, region, flood_archetype, primary_decision, build_phase, total_nfip_claims, round(total_loss_usd, 2) AS total_loss_usd, affected_zctas, peak_extent_km2, fatality_count, n.h AS snapshot_hours, z.k AS in_scope_zcta_count FROM scenarios s JOIN (SELECT scenario_id, string_agg(CAST(snapshot_t AS VARCHAR), ',' ORDER BY snapshot_t DESC) AS h FROM snapshots GROUP BY 1) n USING (scenario_id) JOIN (SELECT scenario_id, count(DISTINCT zcta_id) AS k FROM scenario_zctas GROUP BY 1) z USING (scenario_id)")
 def _(t):
-    return rnd(joined(S.list_scenarios(t.spark, t.scenarios, t.snapshots, t.scenario_zctas), "snapshot_hours"), 2, "total_loss")
+    return rnd(joined(S.list_scenarios(t.spark, t.scenarios, t.snapshots, t.scenario_zctas), "snapshot_hours"), 2, "total_loss_usd")
 
 
 PS = """, p AS (SELECT d.session_id, d.scenario_id, count(DISTINCT d.zcta_id) AS zctas_evaluated, count(*) FILTER (d.public_decision = 'EXECUTE') AS n_execute, count(*) FILTER (d.public_decision = 'CAUTION') AS n_caution, count(*) FILTER (d.public_decision = 'REFUSE') AS n_refuse,
@@ -107,16 +108,16 @@ def _(t):
     return rnd(S.portfolio_rows(t.spark, t.session_decision, t.certificate).drop("core_fields_complete"), 8, "precision_at_execute", "recall_at_execute", "ground_truth_alignment")
 
 
-@query("f7_summarize_portfolio", SD.rstrip() + PS + " SELECT session_id, count(*) AS scenarios_evaluated, string_agg(scenario_id || ':' || n_execute || ':' || n_caution || ':' || n_refuse, ',' ORDER BY scenario_id) AS per_scenario, true AS schema_fields_identical, 3::BIGINT AS scenarios_available FROM p GROUP BY 1")
+@query("f7_summarize_portfolio", SD.rstrip() + PS + " SELECT session_id, count(*) AS scenarios_evaluated, string_agg(scenario_id || ':' || n_execute || ':' || n_caution || ':' || n_refuse, ',' ORDER BY scenario_id) AS per_scenario, true AS schema_fields_identical, 3::BIGINT AS scenarios_available, count(DISTINCT scenario_id) AS scenarios_with_certs FROM p GROUP BY 1")
 def _(t):
     d = S.summarize_portfolio(t.spark, t.session_decision, t.certificate, t.scenarios)
     return d.withColumn("per_scenario", F.array_join(F.transform("per_scenario", lambda s: F.concat_ws(":", s["scenario_id"], s["n_execute"].cast("string"), s["n_caution"].cast("string"), s["n_refuse"].cast("string"))), ","))
 
 
-@query("j18_ablation", W("certificate") + "SELECT c.certificate_id, round(c.kappa_compat - d.kappa_compat, 8) AS kappa_compat_delta, c.public_decision <> d.public_decision AS would_change_decision FROM certificate c JOIN certificate d USING (scenario_id, snapshot_t, zcta_id) WHERE d.embedding_arm = 'graphsage_v1'")
+@query("j18_ablation", W("certificate") + """SELECT c.scenario_id, c.snapshot_t, c.zcta_id, c.embedding_arm, round(c.r, 8) AS r, round(c.s_sup, 8) AS s_sup, round(c.n, 8) AS n, round(c.alpha, 8) AS alpha, round(c.kappa_compat, 8) AS kappa_compat, round(c.kappa_compat - d.kappa_compat, 8) AS kappa_compat_delta, round(c.kappa_modal_min, 8) AS kappa_modal_min,
+    round(c.sigma, 8) AS sigma, round(c.task_residual_floor, 8) AS task_residual_floor, c.public_decision, c.gate_reached, c.gate_reason, c.public_decision <> d.public_decision AS would_change_decision, c.live_sensors_used, c.computed_at FROM certificate c JOIN certificate d USING (scenario_id, snapshot_t, zcta_id) WHERE d.embedding_arm = 'graphsage_v1'""")
 def _(t):
-    a = S.ablation(t.spark, t.certificate)
-    return a.select(F.concat_ws("-", "scenario_id", F.col("snapshot_t").cast("string"), "zcta_id", "embedding_arm").alias("certificate_id"), F.round("kappa_compat_delta", 8).alias("kappa_compat_delta"), "would_change_decision")
+    return rnd(S.ablation(t.spark, t.certificate), 8, "r", "s_sup", "n", "alpha", "kappa_compat", "kappa_compat_delta", "kappa_modal_min", "sigma", "task_residual_floor")
 
 
 @query("a26_decision_instability", W("certificate") + "SELECT scenario_id, snapshot_t, count(*) AS total_zctas, count(*) FILTER (b.public_decision <> p.public_decision) AS decision_changes, count(*) FILTER (b.public_decision = 'EXECUTE' AND p.public_decision <> 'EXECUTE') AS execute_to_other, count(*) FILTER (b.public_decision <> 'EXECUTE' AND p.public_decision = 'EXECUTE') AS other_to_execute, round(count(*) FILTER (b.public_decision <> p.public_decision) / count(*), 4) AS instability_rate FROM certificate b JOIN certificate p USING (scenario_id, snapshot_t, zcta_id) WHERE b.embedding_arm = 'graphsage_v1' AND p.embedding_arm = 'fusion_v1' GROUP BY 1, 2")

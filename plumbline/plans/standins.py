@@ -63,12 +63,15 @@ VIEWS = {
     "certificate": """SELECT concat_ws('-', scenario_id, snapshot_t, zcta_id, embedding_arm) AS certificate_id, scenario_id, snapshot_t, zcta_id, embedding_arm,
         r, s_sup, n, r / (r + n) AS alpha, r * (1 - n) AS kappa_compat, sigma, loss,
         CASE WHEN r * (1 - n) >= 0.36 THEN 'EXECUTE' WHEN r * (1 - n) >= 0.28 THEN 'CAUTION' ELSE 'REFUSE' END AS public_decision,
-        CASE WHEN r * (1 - n) >= 0.36 THEN NULL WHEN r / (r + n) < 0.6 THEN 'integrity' WHEN sigma > 0.3 THEN 'stability' ELSE 'admissibility' END AS gate_reached
+        CASE WHEN r * (1 - n) >= 0.36 THEN NULL WHEN r / (r + n) < 0.6 THEN 'integrity' WHEN sigma > 0.3 THEN 'stability' ELSE 'admissibility' END AS gate_reached,
+        0.9 * least(r, 1 - n) AS kappa_modal_min, CASE WHEN sigma > 0.05 THEN sigma / 2 END AS task_residual_floor, CASE WHEN sigma <= 0.05 THEN 'NO_HOLDOUT' END AS task_residual_floor_unavailable_reason,
+        CASE WHEN r * (1 - n) < 0.36 THEN 'below_' || CAST(snapshot_t AS VARCHAR) END AS gate_reason, snapshot_t >= 48 AS live_sensors_used, DATE '2024-01-01' + snapshot_t AS computed_at
         FROM cert_simplex""",
     "scenarios": """SELECT 'storm_' || l_returnflag AS scenario_id, 'Storm ' || l_returnflag AS display_name, 'core' AS build_phase,
-        CAST(count(*) AS BIGINT) AS total_claims, sum(l_extendedprice) AS total_loss FROM lineitem GROUP BY l_returnflag""",
+        CAST(count(*) AS BIGINT) AS total_nfip_claims, sum(l_extendedprice) AS total_loss_usd, 'Anchor ' || l_returnflag AS anchor_storm, 'region_' || l_returnflag AS region,
+        CASE WHEN l_returnflag = 'A' THEN 'surge' ELSE 'pluvial' END AS flood_archetype, 'evacuate' AS primary_decision, count(DISTINCT l_suppkey) AS affected_zctas, max(l_quantity) * 10.0 AS peak_extent_km2, CAST(min(l_linenumber) AS INTEGER) AS fatality_count FROM lineitem GROUP BY l_returnflag""",
     "snapshots": "SELECT DISTINCT scenario_id, snapshot_t FROM cert_base",
-    "scenario_zctas": "SELECT DISTINCT scenario_id, zcta_id, substr(zcta_id, 4, 2) AS state_fips, zcta_id AS county_fips FROM cert_base",
+    "scenario_zctas": "SELECT DISTINCT scenario_id, zcta_id, substr(zcta_id, 4, 2) AS state_fips, zcta_id AS county_fips, '080' || zcta_id AS huc8_id FROM cert_base",
     "session_decision": """SELECT 'session-' || CAST(snapshot_t AS VARCHAR) AS session_id, certificate_id, zcta_id, scenario_id, snapshot_t, public_decision, loss AS y_true,
         loss >= 700000.0 AS actually_flooded FROM certificate WHERE embedding_arm = 'graphsage_v1'""",
     "docs": "SELECT doc_id, text, lang, source, n_chars FROM documents",
@@ -169,13 +172,16 @@ class Tables:
             F.concat_ws("-", "scenario_id", F.col("snapshot_t").cast("string"), "zcta_id", "embedding_arm").alias("certificate_id"),
             "scenario_id", "snapshot_t", "zcta_id", "embedding_arm", "r", "s_sup", "n", alpha.alias("alpha"), kap.alias("kappa_compat"), "sigma", "loss",
             F.when(kap >= 0.36, "EXECUTE").when(kap >= 0.28, "CAUTION").otherwise("REFUSE").alias("public_decision"),
-            F.when(kap < 0.36, F.when(alpha < 0.6, "integrity").when(F.col("sigma") > 0.3, "stability").otherwise("admissibility")).alias("gate_reached"))
+            F.when(kap < 0.36, F.when(alpha < 0.6, "integrity").when(F.col("sigma") > 0.3, "stability").otherwise("admissibility")).alias("gate_reached"),
+            (0.9 * F.least(F.col("r"), 1 - F.col("n"))).alias("kappa_modal_min"), F.when(F.col("sigma") > 0.05, F.col("sigma") / 2).alias("task_residual_floor"), F.when(F.col("sigma") <= 0.05, "NO_HOLDOUT").alias("task_residual_floor_unavailable_reason"),
+            F.when(kap < 0.36, F.concat(F.lit("below_"), F.col("snapshot_t").cast("string"))).alias("gate_reason"), (F.col("snapshot_t") >= 48).alias("live_sensors_used"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("snapshot_t")).alias("computed_at"))
 
     @cached_property
     def scenarios(self) -> DataFrame:
-        return self.raw("lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("total_claims"), F.sum("l_extendedprice").alias("total_loss")).select(
+        return self.raw("lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("total_nfip_claims"), F.sum("l_extendedprice").alias("total_loss_usd"), F.count_distinct("l_suppkey").alias("affected_zctas"), (F.max("l_quantity") * 10.0).alias("peak_extent_km2"), F.min("l_linenumber").cast("int").alias("fatality_count")).select(
             F.concat(F.lit("storm_"), "l_returnflag").alias("scenario_id"), F.concat(F.lit("Storm "), "l_returnflag").alias("display_name"),
-            F.lit("core").alias("build_phase"), "total_claims", "total_loss")
+            F.lit("core").alias("build_phase"), "total_nfip_claims", "total_loss_usd", F.concat(F.lit("Anchor "), "l_returnflag").alias("anchor_storm"), F.concat(F.lit("region_"), "l_returnflag").alias("region"),
+            F.when(F.col("l_returnflag") == "A", "surge").otherwise("pluvial").alias("flood_archetype"), F.lit("evacuate").alias("primary_decision"), "affected_zctas", "peak_extent_km2", "fatality_count")
 
     @cached_property
     def snapshots(self) -> DataFrame:
@@ -183,7 +189,7 @@ class Tables:
 
     @cached_property
     def scenario_zctas(self) -> DataFrame:
-        return self.cert_base.select("scenario_id", "zcta_id", F.substring("zcta_id", 4, 2).alias("state_fips"), F.col("zcta_id").alias("county_fips")).distinct()
+        return self.cert_base.select("scenario_id", "zcta_id", F.substring("zcta_id", 4, 2).alias("state_fips"), F.col("zcta_id").alias("county_fips"), F.concat(F.lit("080"), "zcta_id").alias("huc8_id")).distinct()
 
     @cached_property
     def session_decision(self) -> DataFrame:
