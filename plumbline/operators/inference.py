@@ -21,6 +21,7 @@ from plumbline.operators.resample import draws, fit_sums, number_blocks, percent
 # Fixed values.
 ALPHA_FLOOR, ALPHA_LOWER_Q, MIN_PAIRABLE = 0.67, 0.05, 100
 MORAN_RESOLVED, RETENTION = 0.10, 0.50
+LAG_EFFECT, LAG_P = 0.20, 0.10
 
 
 def kendall_tau_b(df: DataFrame, by: list[str], x: str, y: str, min_n: int = 2) -> DataFrame:
@@ -408,6 +409,49 @@ def overall_verdict(cells: DataFrame, geometry: str, otherwise: str) -> DataFram
     return g.select(F.lit(geometry).alias("geometry"), F.when(F.col("n_supported") * 2 > F.col("n_cells"), "SUPPORTED").otherwise(otherwise).alias("verdict"), "n_cells", "n_supported")
 
 
+def relational_verdict(folds: DataFrame, scenario: str, variant: str, fold: str, rmse: str, full: str = "full", without: str = "no_lag", only: str = "lag_only") -> DataFrame:
+    """What the neighbour features are worth in every scenario that has a full run: errors with and without them, fold by fold.
+
+    One row per scenario: mean errors and fold counts of the three runs, mean loss without the features, Cohen's d over the pooled spread, two-sided Wilcoxon p (1 without any
+    difference) and the verdict: SUPPORTED from ``LAG_EFFECT`` on with p below ``LAG_P``, PROVISIONAL without that p, else NOT_LOAD_BEARING; INSUFFICIENT when fold counts
+    differ, PENDING without the run that lacks the features. A scenario whose other two runs are both missing has no row."""
+    by = F.col(scenario)
+    runs = folds.filter(F.col(rmse).isNotNull() & F.col(variant).isin(full, without, only))
+    of = lambda name, agg: agg(F.when(F.col(variant) == name, F.col(rmse)))
+    g = runs.groupBy(by.alias("scenario")).agg(*[of(v, F.avg).alias(f"{c}_mean_rmse") for v, c in ((full, "full"), (without, "without"), (only, "only"))], *[of(v, F.count).alias(f"{c}_n_folds") for v, c in ((full, "full"), (without, "without"), (only, "only"))],
+                                               of(full, F.var_samp).alias("_vf"), of(without, F.var_samp).alias("_vw")).filter("full_n_folds > 0 AND without_n_folds + only_n_folds > 0")
+    side = lambda name, c: runs.filter(F.col(variant) == name).select(by.alias("scenario"), F.col(fold).alias("_fold"), F.col(rmse).alias(c))
+    pairs = side(full, "a").join(side(without, "b"), ["scenario", "_fold"]).withColumn("_delta", F.col("b") - F.col("a"))
+    tested = signed_rank(pairs, ["scenario"], "_delta").select("scenario", F.coalesce("wilcoxon_p", F.lit(1.0)).alias("wilcoxon_p"))
+    g = g.join(tested, "scenario", "left")
+    even = (F.col("without_n_folds") > 0) & (F.col("full_n_folds") == F.col("without_n_folds"))
+    delta = F.when(even, F.col("without_mean_rmse") - F.col("full_mean_rmse"))
+    pooled = F.sqrt((F.col("_vf") + F.col("_vw")) / 2)
+    d = F.when(even, F.coalesce(F.try_divide(delta, pooled), F.lit(0.0)))
+    p = F.when(even, F.col("wilcoxon_p"))
+    verdict = F.when(F.col("without_n_folds") == 0, "PENDING").when(~even, "INSUFFICIENT").when((F.abs(d) >= LAG_EFFECT) & (p < LAG_P), "SUPPORTED").when(F.abs(d) >= LAG_EFFECT, "PROVISIONAL").otherwise("NOT_LOAD_BEARING")
+    return g.select("scenario", "full_mean_rmse", "full_n_folds", "without_mean_rmse", "without_n_folds", "only_mean_rmse", "only_n_folds", delta.alias("rmse_delta_mean"), d.alias("cohens_d"), p.alias("wilcoxon_p"), verdict.alias("verdict"))
+
+
+def relational_rollup(cells: DataFrame) -> DataFrame:
+    """One verdict over the scenarios of ``relational_verdict``: SUPPORTED by more than half of those decided, PROVISIONAL by any or when mixed, NOT_LOAD_BEARING when all say so,
+    PENDING when none is decided."""
+    is_ = lambda *v: F.count_if(F.col("verdict").isin(*v))
+    g = cells.agg(F.count(F.lit(1)).alias("n_scenarios"), is_("SUPPORTED", "PROVISIONAL", "NOT_LOAD_BEARING").alias("n_resolved"), is_("SUPPORTED").alias("n_supported"), is_("NOT_LOAD_BEARING").alias("n_not_load_bearing"), is_("PENDING", "INSUFFICIENT").alias("n_pending"))
+    n, yes = F.col("n_resolved"), F.col("n_supported")
+    verdict = F.when(n == 0, "PENDING").when(yes * 2 > n, "SUPPORTED").when(yes > 0, "PROVISIONAL").when(F.col("n_not_load_bearing") == n, "NOT_LOAD_BEARING").otherwise("PROVISIONAL")
+    return g.select(F.lit("relational").alias("geometry"), verdict.alias("verdict"), *g.columns)
+
+
+def allocation_verdict(events: DataFrame, scenario: str, event: str, when: str, boundary: str) -> DataFrame:
+    """How many events of every scenario have rainfall timing, which exists from ``boundary`` on, with the totals and the verdict, which is PARTIAL by design: the rest lack
+    support by their age. One row per scenario; an event counts once, by its earliest date."""
+    e = events.groupBy(F.col(scenario).alias("scenario"), F.col(event)).agg(F.min(when).alias("_at"))
+    g = e.groupBy("scenario").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("_at") >= F.lit(boundary).cast("date")).alias("n_covered"))
+    total = g.agg(F.struct(F.sum("n_events").alias("n"), F.sum("n_covered").alias("c"))).scalar()
+    return g.withColumn("_t", total).select("scenario", "n_events", "n_covered", (F.col("n_events") - F.col("n_covered")).alias("n_uncovered"), F.col("_t.n").alias("total_events"), F.col("_t.c").alias("covered_events"), F.lit("allocation").alias("geometry"), F.lit("PARTIAL").alias("verdict"))
+
+
 def exchangeability(vectors: DataFrame, name: str, signals: list[str], reps: int, seed: int = 42) -> DataFrame:
     """Permutation p of every pairwise construct distance: vectors are dealt to labels anew per
     replicate. There are five constructs."""

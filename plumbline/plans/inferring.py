@@ -325,6 +325,40 @@ def _(t):
     return I.overall_verdict(I.clustering_verdict(_vc(t), "mi"), "clustering", "INSUFFICIENT")
 
 
+RUNS = """SELECT task AS scenario, CASE model_version WHEN 'm1_seed0' THEN 'full' WHEN 'm2_seed0' THEN 'no_lag' ELSE 'lag_only' END AS variant, fold, 1 - metric + CASE WHEN model_version = 'm2_seed0' AND task <> 'N' THEN 0.2 - 0.01 * fold ELSE 0 END AS rmse
+    FROM fold_metrics WHERE model_version IN ('m1_seed0', 'm2_seed0', 'm3_seed0') AND NOT (task = 'R' AND model_version = 'm2_seed0' AND fold = 4)"""
+REL = W("oof", "fold_metrics", x=RUNS, g="SELECT scenario, avg(rmse) FILTER (variant = 'full') AS full_mean_rmse, count(*) FILTER (variant = 'full') AS full_n_folds, avg(rmse) FILTER (variant = 'no_lag') AS without_mean_rmse, count(*) FILTER (variant = 'no_lag') AS without_n_folds, avg(rmse) FILTER (variant = 'lag_only') AS only_mean_rmse, count(*) FILTER (variant = 'lag_only') AS only_n_folds, sqrt((var_samp(rmse) FILTER (variant = 'full') + var_samp(rmse) FILTER (variant = 'no_lag')) / 2) AS sd FROM x GROUP BY 1",
+        d="SELECT a.scenario, b.rmse - a.rmse AS d FROM x a JOIN x b USING (scenario, fold) WHERE a.variant = 'full' AND b.variant = 'no_lag'", k="SELECT scenario, d, rank() OVER (PARTITION BY scenario ORDER BY abs(d)) AS r, count(*) OVER (PARTITION BY scenario) AS n FROM d",
+        o="SELECT scenario, least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) AS w0, coalesce(sum(r) FILTER (d > 0), 0) AS wp, coalesce(sum(r) FILTER (d < 0), 0) AS wm, any_value(n) AS n FROM k GROUP BY 1",
+        s="SELECT o.scenario, m, sum(CASE WHEN (m >> (r - 1)) & 1 = 1 THEN r ELSE 0 END) AS w FROM o JOIN k USING (scenario), unnest(range(0, 1024)) q(m) WHERE m < (1 << o.n) GROUP BY 1, 2", p="SELECT s.scenario, least(1, 2 * avg((w <= least(wp, wm))::INT)) AS p FROM s JOIN o USING (scenario) GROUP BY 1",
+        v="SELECT g.*, CASE WHEN full_n_folds = without_n_folds THEN without_mean_rmse - full_mean_rmse END AS delta, CASE WHEN full_n_folds = without_n_folds THEN (without_mean_rmse - full_mean_rmse) / sd END AS cd, CASE WHEN full_n_folds = without_n_folds THEN p END AS pv FROM g JOIN p USING (scenario)",
+        y=f"SELECT *, CASE WHEN full_n_folds <> without_n_folds THEN 'INSUFFICIENT' WHEN abs(cd) >= {I.LAG_EFFECT} AND pv < {I.LAG_P} THEN 'SUPPORTED' WHEN abs(cd) >= {I.LAG_EFFECT} THEN 'PROVISIONAL' ELSE 'NOT_LOAD_BEARING' END AS verdict FROM v")
+
+
+def _relational(t):
+    m, task = F.col("model_version"), F.col("task")
+    worse = F.when((m == "m2_seed0") & (task != "N"), 0.2 - 0.01 * F.col("fold")).otherwise(0.0)
+    x = t.fold_metrics.filter(m.isin("m1_seed0", "m2_seed0", "m3_seed0") & ~((task == "R") & (m == "m2_seed0") & (F.col("fold") == 4)))
+    x = x.select(task.alias("scenario"), F.when(m == "m1_seed0", "full").when(m == "m2_seed0", "no_lag").otherwise("lag_only").alias("variant"), "fold", (1 - F.col("metric") + worse).alias("rmse"))
+    return I.relational_verdict(x, "scenario", "variant", "fold", "rmse")
+
+
+@query("r22_relational_verdict", REL + "SELECT scenario, round(full_mean_rmse, 8) AS full_mean_rmse, full_n_folds, round(without_mean_rmse, 8) AS without_mean_rmse, without_n_folds, round(only_mean_rmse, 8) AS only_mean_rmse, only_n_folds, round(delta, 8) AS rmse_delta_mean, round(cd, 6) AS cohens_d, round(pv, 8) AS wilcoxon_p, verdict FROM y")
+def _(t):
+    return rnd(rnd(_relational(t), 8, "full_mean_rmse", "without_mean_rmse", "only_mean_rmse", "rmse_delta_mean", "wilcoxon_p"), 6, "cohens_d")
+
+
+@query("r22_relational_rollup", REL + """SELECT 'relational' AS geometry, CASE WHEN r = 0 THEN 'PENDING' WHEN s * 2 > r THEN 'SUPPORTED' WHEN s > 0 THEN 'PROVISIONAL' WHEN nl = r THEN 'NOT_LOAD_BEARING' ELSE 'PROVISIONAL' END AS verdict, n AS n_scenarios, r AS n_resolved, s AS n_supported, nl AS n_not_load_bearing, n - r AS n_pending
+    FROM (SELECT count(*) AS n, count(*) FILTER (verdict <> 'INSUFFICIENT') AS r, count(*) FILTER (verdict = 'SUPPORTED') AS s, count(*) FILTER (verdict = 'NOT_LOAD_BEARING') AS nl FROM y)""")
+def _(t):
+    return I.relational_rollup(_relational(t))
+
+
+@query("r22_allocation_verdict", "WITH e AS (SELECT o_orderpriority AS scenario, o_custkey AS event, min(o_orderdate) AS d FROM orders GROUP BY 1, 2), g AS (SELECT scenario, count(*) AS n, count(*) FILTER (d >= DATE '1994-10-01') AS c FROM e GROUP BY 1) SELECT scenario, n AS n_events, c AS n_covered, n - c AS n_uncovered, CAST(sum(n) OVER () AS BIGINT) AS total_events, CAST(sum(c) OVER () AS BIGINT) AS covered_events, 'allocation' AS geometry, 'PARTIAL' AS verdict FROM g")
+def _(t):
+    return I.allocation_verdict(t.raw("orders"), "o_orderpriority", "o_custkey", "o_orderdate", "1994-10-01")
+
+
 @query("r23_label_summary", f"WITH j AS ({JL}) SELECT count(*) AS n_records, round(count(*) FILTER (a = 'R_claim') / count(*) FILTER (a IN ('R_claim', 'S_sup_claim')), 8) AS grounded_signal_rate, round(count(*) FILTER (a = 'S_sup_claim') / count(*) FILTER (a IN ('R_claim', 'S_sup_claim')), 8) AS filler_rate, round(count(*) FILTER (a = 'unresolved') / count(*), 8) AS unresolved_rate, round(count(*) FILTER (a IN ('R_claim', 'S_sup_claim')) / count(*), 8) AS coverage_rate FROM j")
 def _(t):
     j = _judged(t).withColumn("st", F.when(F.col("b").isNull(), "adjudicated_by_c").otherwise("agreed"))
