@@ -106,15 +106,15 @@ def _(t):
     return rnd(R.permutation_p(_units(t), ["task"], F.col("d0") > 0, "a0", "zcta", 49), 8, "observed")
 
 
-@query("r05_block_bootstrap_r2", W("oof", st=ST) + f"SELECT a.task, a.model_version, CAST(rep AS INTEGER) AS rep, round(1 - sum(b.sse) / (sum(b.syy) - sum(b.sy) * sum(b.sy) / sum(b.m)), 7) AS r2 FROM st a CROSS JOIN (SELECT unnest(range(1, 21)) AS rep) JOIN st b ON a.task = b.task AND a.model_version = b.model_version AND b.pos = {hsh(42, 'rep', 'a.pos')} % a.n GROUP BY 1, 2, 3")
+@query("r05_block_bootstrap_r2", W("oof", st=ST) + f"SELECT a.task, a.model_version, CAST(rep AS INTEGER) AS rep, round(1 - sum(b.sse) / (sum(b.syy) - sum(b.sy) * sum(b.sy) / sum(b.m)), 7) AS r2 FROM st a CROSS JOIN (SELECT unnest(range(1, 1001)) AS rep) JOIN st b ON a.task = b.task AND a.model_version = b.model_version AND b.pos = {hsh(42, 'rep', 'a.pos')} % a.n GROUP BY 1, 2, 3")
 def _(t):
-    return rnd(R.block_bootstrap_r2(t.oof, ["task", "model_version"], "state_fips", 20), 7, "r2")
+    return rnd(R.block_bootstrap_r2(t.oof, ["task", "model_version"], "state_fips", 1000), 7, "r2")
 
 
-@query("r06_fold_block_bootstrap_floor", W("oof", st=ST.replace("state_fips", "fold"), b=f"SELECT a.task, a.model_version, rep, 1 - sum(b.sse) / (sum(b.syy) - sum(b.sy) * sum(b.sy) / sum(b.m)) AS r2 FROM st a CROSS JOIN (SELECT unnest(range(1, 31)) AS rep) JOIN st b ON a.task = b.task AND a.model_version = b.model_version AND b.pos = {hsh(42, 'rep', 'a.pos')} % a.n GROUP BY 1, 2, 3",
+@query("r06_fold_block_bootstrap_floor", W("oof", st=ST.replace("state_fips", "fold"), b=f"SELECT a.task, a.model_version, rep, 1 - sum(b.sse) / (sum(b.syy) - sum(b.sy) * sum(b.sy) / sum(b.m)) AS r2 FROM st a CROSS JOIN (SELECT unnest(range(1, 1001)) AS rep) JOIN st b ON a.task = b.task AND a.model_version = b.model_version AND b.pos = {hsh(42, 'rep', 'a.pos')} % a.n GROUP BY 1, 2, 3",
        f="SELECT task, rep, 1 - max(r2) AS trf FROM b GROUP BY 1, 2") + "SELECT task, round(quantile_cont(trf, 0.025), 7) AS ci_lower, round(quantile_cont(trf, 0.975), 7) AS ci_upper, round(avg(trf), 7) AS boot_mean FROM f GROUP BY 1")
 def _(t):
-    b = R.block_bootstrap_r2(t.oof, ["task", "model_version"], "fold", 30).groupBy("task", "rep").agg((1 - F.max("r2")).alias("trf"))
+    b = R.block_bootstrap_r2(t.oof, ["task", "model_version"], "fold", 1000).groupBy("task", "rep").agg((1 - F.max("r2")).alias("trf"))
     return rnd(R.percentile_ci(b, ["task"], "trf").select("task", "ci_lower", "ci_upper", "boot_mean"), 7, "ci_lower", "ci_upper", "boot_mean")
 
 
