@@ -7,13 +7,15 @@ are dealt down a tree (``replicates``); only rank statistics still meet their dr
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.core import div, seeded_hash
 from plumbline.operators.ranking import hash_order
-from plumbline.operators.replicates import LEAF_ROWS, replicate_sums
+from plumbline.operators.replicates import LEAF_ROWS, places, replicate_sums, word
 
 
 def draws(positioned: DataFrame, by: list[str], reps: int, seed, keep: list[str]) -> DataFrame:
@@ -91,13 +93,33 @@ def add_one_p(observed: Column, null_values: Column) -> Column:
 
 
 def permutation_p(df: DataFrame, by: list[str], group: Column, value: str, key: str, reps: int, seed: int = 42) -> DataFrame:
-    """Label-shuffling test of a mean difference."""
-    d = df.withColumn("_g", group.cast("double"))
-    gap = lambda g: F.avg(F.when(g == 1, F.col(value))) - F.avg(F.when(g == 0, F.col(value)))
-    obs = d.groupBy(*by).agg(gap(F.col("_g")).alias("observed"))
-    sh = permute_within(d, by, key, "_g", reps, seed).join(d.select(*by, key, value), [*by, key]).groupBy(*by, "rep").agg(gap(F.col("_g")).alias("null"))
-    sh = sh.join(obs, by) if by else sh.withColumn("observed", obs.scalar())
-    return sh.groupBy(*by, "observed").agg(add_one_p(F.col("observed"), F.col("null")).alias("p_value"))
+    """Label-shuffling test of a mean difference: (by, observed, p_value); rows without a label or a value do not take part.
+
+    Rows have dense places. In a replicate those whose place a keyed permutation takes below the number of labelled rows carry the label, so labels are
+    shuffled without a sort or a join; a task sends one sum per group and replicate."""
+    d = df.withColumns({"_g": group.cast("int"), "_x": F.col(value).cast("double")}).filter("_g IS NOT NULL AND _x IS NOT NULL").select(*by, key, "_g", "_x")
+    gap = F.avg(F.when(F.col("_g") == 1, F.col("_x"))) - F.avg(F.when(F.col("_g") == 0, F.col("_x")))
+    obs = d.groupBy(*by).agg(gap.alias("observed"), F.sum("_g").alias("_n1"), F.sum("_x").alias("_sum"), F.count(F.lit(1)).alias("_all"))
+    rows = hash_order(d, by, key, seed).select(*by, F.col("pos").cast("long").alias("_pos"), "_x")
+    own = [F.struct(*[F.col(c) for c in by]).alias("_by")] if by else [F.lit(0).alias("_by")]
+    rows = (rows.join(obs, by) if by else rows.crossJoin(F.broadcast(obs))).select(*own, "_pos", "_x", "_n1", "_all")  # without groups obs is one row
+    kind = rows.schema["_by"].dataType.simpleString()
+
+    def sums(batches):
+        for pdf in batches:
+            code, names = pd.factorize(pdf["_by"].map(str))
+            for k in range(len(names)):
+                part = pdf[code == k]
+                pos, x, n1, n = part["_pos"].to_numpy(np.int64), part["_x"].to_numpy(float), int(part["_n1"].iloc[0]), int(part["_all"].iloc[0])
+                step = max(1, (1 << 20) // len(part))
+                found = [(places(np.broadcast_to(pos, (len(r), len(pos))), n, word(seed, r)[:, None]) < n1) @ x for r in np.array_split(np.arange(1, reps + 1), -(-reps // step))]
+                yield pd.DataFrame({"_by": [part["_by"].iloc[0]] * reps, "rep": np.arange(1, reps + 1), "_s": np.concatenate(found)})
+
+    sims = rows.mapInPandas(sums, f"_by {kind}, rep int, _s double").groupBy("_by", "rep").agg(F.sum("_s").alias("_s"))
+    sims = sims.select("_by.*", "rep", "_s") if by else sims.drop("_by")
+    sims = sims.join(obs, by) if by else sims.crossJoin(F.broadcast(obs))
+    null = F.try_divide(F.col("_s"), F.col("_n1")) - F.try_divide(F.col("_sum") - F.col("_s"), F.col("_all") - F.col("_n1"))
+    return sims.withColumn("null", null).groupBy(*by, "observed").agg(add_one_p(F.col("observed"), F.col("null")).alias("p_value"))
 
 
 def sign_flip_p(df: DataFrame, by: list[str], diff: str, key: str, exact_up_to: int = 20, reps: int = 999, seed: int = 42, alternative: str = "greater") -> DataFrame:

@@ -99,11 +99,14 @@ def order_of(tag: str) -> str:
     return f"row_number() OVER (PARTITION BY task, rep ORDER BY {h}, zcta)"
 
 
-@query("r04_permutation_p", W("oof", u=CNT, g="SELECT task, zcta, a0, d0 > 0 AS g FROM u", x="SELECT task, rep, zcta, a0, g FROM g CROSS JOIN (SELECT unnest(range(1, 50)) AS rep)", a=f"SELECT task, rep, a0, {order_of('t')} AS pos FROM x", b=f"SELECT task, rep, g, {order_of('f')} AS pos FROM x",
-       n="SELECT task, rep, avg(a0) FILTER (g) - avg(a0) FILTER (NOT g) AS d FROM a JOIN b USING (task, rep, pos) GROUP BY 1, 2", o="SELECT task, avg(a0) FILTER (g) - avg(a0) FILTER (NOT g) AS o FROM g GROUP BY 1")
+SHUFFLE = D.placed("SELECT task, pos, n, n1, a0, rep, h AS k FROM sk", "pos", "n", "k", "j") + " UNION ALL SELECT * RENAME (j2 AS j) FROM (SELECT * EXCLUDE (j) FROM (" + D.placed("SELECT * FROM walk WHERE j >= n", "j", "n", "k", "j2") + "))"
+
+
+@query("r04_permutation_p", W("oof", u=CNT, g=f"SELECT task, zcta, a0, d0 > 0 AS g, row_number() OVER (PARTITION BY task ORDER BY {hsh(42, 'zcta')}, zcta) - 1 AS pos, count(*) OVER (PARTITION BY task) AS n, sum((d0 > 0)::INT) OVER (PARTITION BY task) AS n1 FROM u",
+       sk=D.word("SELECT task, pos, n, n1, a0, rep FROM g, unnest(range(1, 1000)) r(rep)", 42, "rep"), walk=SHUFFLE, n="SELECT task, rep, avg(a0) FILTER (j < n1) - avg(a0) FILTER (j >= n1) AS d FROM walk WHERE j < n GROUP BY 1, 2", o="SELECT task, avg(a0) FILTER (g) - avg(a0) FILTER (NOT g) AS o FROM g GROUP BY 1").replace("WITH ", "WITH RECURSIVE ", 1)
        + "SELECT task, round(any_value(o), 8) AS observed, (count(*) FILTER (abs(d) >= abs(o) - 1e-12) + 1) / (count(*) + 1) AS p_value FROM n JOIN o USING (task) GROUP BY 1")
 def _(t):
-    return rnd(R.permutation_p(_units(t), ["task"], F.col("d0") > 0, "a0", "zcta", 49), 8, "observed")
+    return rnd(R.permutation_p(_units(t), ["task"], F.col("d0") > 0, "a0", "zcta", 999), 8, "observed")
 
 
 @query("r05_block_bootstrap_r2", W("oof", st=ST) + f"SELECT a.task, a.model_version, CAST(rep AS INTEGER) AS rep, round(1 - sum(b.sse) / (sum(b.syy) - sum(b.sy) * sum(b.sy) / sum(b.m)), 7) AS r2 FROM st a CROSS JOIN (SELECT unnest(range(1, 1001)) AS rep) JOIN st b ON a.task = b.task AND a.model_version = b.model_version AND b.pos = {hsh(42, 'rep', 'a.pos')} % a.n GROUP BY 1, 2, 3")
