@@ -26,7 +26,7 @@ from plumbline.llm.common import map_batches, stored, table, text_or_empty
 #: characters of texts whose pairs are packed together; buckets of B ids; packed bytes of a bucket that one task looks up
 CHUNK, BUCKETS, TASK_BYTES = 1_000_000, 64, 64 << 20
 #: units that a worker remembers; distinct pairs it sums up before it passes them on
-UNITS, PAIRS = 150_000, 2_000_000
+UNITS, PAIRS = 300_000, 2_000_000
 B_BITS = 16
 
 
@@ -57,33 +57,60 @@ class Aligner:
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.bytes_b = {i: piece(i) for i in range(self.b.get_piece_size())}
         self.cut = re.compile(r"(?<=[^ ]) (?=\S)")
+        lengths = lambda held: np.array([len(held.get(i, b"")) for i in range(max(held) + 1)])
+        self.lengths_a, self.lengths_b = lengths(self.bytes_a), lengths(self.bytes_b)
+        #: decimal ids with what follows them: within a group, at the end of its A ids, at the end of its B ids
+        size = max(len(self.lengths_a), len(self.lengths_b))
+        self.size, self.told = size, [f"{i}{end}" for end in ",|;" for i in range(size)]
         self.store: dict[str, tuple | None] = {}
 
-    def align(self, a: list[int], b: list[int]) -> tuple[int, int, int, np.ndarray, str]:
-        """(tokens of A, of B, groups, linked id pairs, groups as text) of one unit.
+    def align(self, units: list[str], a: np.ndarray, b: np.ndarray, size: np.ndarray) -> None:
+        """Remember units from the tokens of all of them, one after the other, and their bytes with the space.
 
         The ends of all tokens cut the bytes into segments; each lies in one token of A and one of B, and two tokens that overlap share just one."""
-        ends_a, ends_b = np.cumsum([len(self.bytes_a[i]) for i in a]), np.cumsum([len(self.bytes_b[i]) for i in b])
-        common = np.intersect1d(ends_a, ends_b)
-        ends = np.union1d(ends_a, ends_b)
-        pairs = np.array(a, np.int64)[np.searchsorted(ends_a, ends)] << B_BITS | np.array(b, np.int64)[np.searchsorted(ends_b, ends)]
-        told, i, j = [], 0, 0
-        for x, y in zip((np.searchsorted(ends_a, common) + 1).tolist(), (np.searchsorted(ends_b, common) + 1).tolist()):
-            told.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-            i, j = x, y
-        return len(a), len(b), len(told), pairs.astype(np.uint32).tobytes(), ";".join(told)
+        stop, ends_a, ends_b = np.cumsum(size), np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
+        common, ends = np.intersect1d(ends_a, ends_b, assume_unique=True), np.union1d(ends_a, ends_b)
+        pairs = (a[np.searchsorted(ends_a, ends)] << B_BITS | b[np.searchsorted(ends_b, ends)]).astype(np.uint32).tobytes()
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        last = lambda g: np.append(g[1:] != g[:-1], True)
+        told = np.empty(len(a) + len(b), np.int64)  # the tokens of A and then of B, group by group
+        told[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = a + self.size * last(group_a)
+        told[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b + 2 * self.size * last(group_b)
+        told = list(map(self.told.__getitem__, told.tolist()))
+        cut = lambda ends: np.searchsorted(ends, stop, "right")
+        counts = lambda at: np.diff(at, prepend=0).tolist()
+        at_a, at_b, at_pair, at_group = cut(ends_a), cut(ends_b), cut(ends), cut(common)
+        i = j = 0
+        for u, n_a, n_b, n, p, w in zip(units, counts(at_a), counts(at_b), counts(at_group), (4 * at_pair).tolist(), (at_a + at_b).tolist()):
+            self.store[u] = n_a, n_b, n, pairs[i:p], "".join(told[j:w])[:-1]
+            i, j = p, w
 
     def learn(self, units: list[str]) -> None:
-        for at in range(0, len(units), 5_000):
-            part = units[at : at + 5_000]
-            for u, e, b in zip(part, self.a.encode_batch_fast([" " + u for u in part], add_special_tokens=False), self.b.encode(part, num_threads=1)):
-                a, whole = e.ids, b" " + u.encode()
-                if len(a) == len(b) == 1 and self.bytes_a[a[0]] == whole == self.bytes_b[b[0]]:
-                    self.store[u] = 1, 1, 1, np.array([a[0] << B_BITS | b[0]], np.uint32).tobytes(), f"{a[0]}|{b[0]}"
-                elif b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b)):
-                    self.store[u] = self.align(a, b)
+        """Tokenise and align new units. Those that start with no white space and end with no space go to the libraries as one text, which falls apart at them again."""
+        plain = [u for u in units if u and u[-1] != " " and not u[0].isspace()]
+        apart = set(units).difference(plain)
+        for at in range(0, len(plain), 2_000):
+            part = plain[at : at + 2_000]
+            text = " ".join(part)
+            a = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64)
+            b = np.array(self.b.encode(text), np.int64)
+            if b"".join(map(self.bytes_a.__getitem__, a.tolist())) == b"".join(map(self.bytes_b.__getitem__, b.tolist())) == (" " + text).encode():
+                self.align(part, a, b, np.array([len(u.encode()) + 1 for u in part]))
+            else:
+                apart.update(part)
+        apart = sorted(apart)
+        for at in range(0, len(apart), 2_000):
+            part = apart[at : at + 2_000]
+            fine, a, b = [], [], []
+            for u, e, y in zip(part, self.a.encode_batch_fast([" " + u for u in part], add_special_tokens=False), self.b.encode(part, num_threads=1)):
+                if b"".join(map(self.bytes_a.__getitem__, e.ids)) == b"".join(map(self.bytes_b.__getitem__, y)) == b" " + u.encode():
+                    fine.append(u)
+                    a += e.ids
+                    b += y
                 else:
                     self.store[u] = None
+            if fine:
+                self.align(fine, np.array(a, np.int64), np.array(b, np.int64), np.array([len(u.encode()) + 1 for u in fine]))
 
     def __call__(self, texts: list[str]) -> list[tuple[int, int, int, bytes, str] | None]:
         """(tokens of A, of B, groups, packed pairs, groups as text) of each text; None when the bytes of its tokens differ from the text's. No text may be empty."""
