@@ -18,8 +18,9 @@ from plumbline.session import cut_lineage
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 DAMPING = 0.85
 #: rounds end when no score grows by more than this share of itself; distrust must exceed trust by more than this share
-TOLERANCE, MARGIN = 1e-6, 1e-5
-CUT_EVERY = 4
+TOLERANCE, MARGIN = 1e-3, 1e-2
+#: rounds between two cuts of lineage
+CUT_EVERY = 2
 #: an href value in double, single or no quotes
 LINK = r"""(?i)href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
@@ -69,7 +70,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     without outgoing edges holds leaves the walk. A score is the sum of what arrives over walks of 0, 1, 2, ... links, each length weighing ``damping`` times
     the one before. A round moves what arrived last by one equi-join on the source and one sum that is combined before its shuffle. Rounds go on until no host's score
     grew by more than ``tolerance`` of itself, so a host however far from the seeds is reached; as what moves shrinks by ``damping`` or more per round, they end.
-    One number per round comes to the driver; lineage is cut every few rounds."""
+    Every other round, lineage is cut and one number comes to the driver."""
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "n"))
     total = both.groupBy("kind", "src").agg(F.sum("n").alias("w"))
     steps = cut_lineage(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.lit(damping) * F.col("n") / F.col("w")).alias("p")))
