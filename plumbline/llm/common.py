@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import uuid
@@ -60,6 +61,21 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that are stored by now. It does so once the driver's collector finds their plans unreachable, which a driver with a
+    roomy heap puts off for up to half an hour (``spark.cleaner.periodicGC.interval``) while the files of all steps pile up."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(held: DataFrame) -> None:
+    """Delete the files of a table made by ``stored``, once nothing that is still to be computed reads it."""
+    files, session = held.inputFiles(), held.sparkSession
+    if files:
+        folder = session._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder and the path inside it; ``file:/x`` is what Hadoop prints for ``file:///x``."""
     if uri.startswith("file:/") and not uri.startswith("file://"):

@@ -16,12 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, map_batches, stored, table, text_or_empty
+from plumbline.llm.common import components, discard, map_batches, release_shuffles, stored, table, text_or_empty
 from plumbline.session import cut_lineage
 
 WORDS, PERCENT = 5, 80
 #: characters of text per numpy step; paths of a trie; bitmaps of a block
-CHUNK, BLOCK, BITMAPS = 500_000, 64, 1_024
+CHUNK, BLOCK, BITMAPS = 500_000, 64, 4_096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: white space that separates words: 0x20 and 0x09-0x0D
 _BLANK = np.zeros(256, bool)
@@ -204,7 +204,7 @@ def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 sets = gram_sets(part["text"].tolist(), width)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "n": [len(s) for s in sets], "bits": [sketch(s).tobytes() for s in sets], "grams": [_pack(s) for s in sets]})
 
-    return cut_lineage(map_batches(rows.join(ids, "id", "left_semi"), make, "id long, n long, bits binary, grams binary"))
+    return stored(map_batches(rows.join(ids, "id", "left_semi"), make, "id long, n long, bits binary, grams binary"), "ngram-sets")
 
 
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -231,9 +231,9 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def sketch(grams: np.ndarray) -> np.ndarray:
     """Parity bitmap: a bit for each residue of the hashes, set when an odd number of elements has it. Two bitmaps differ in no more bits than their sets in elements.
-    It has at least two bits per element, a power of two, and folds to half its length by exclusive or."""
+    It has at least one bit per element, a power of two, and folds to half its length by exclusive or."""
     bits = 64
-    while bits < 2 * len(grams):
+    while bits < len(grams):
         bits *= 2
     odd = np.bincount((grams % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
@@ -321,8 +321,10 @@ def _links(starred: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     can cannot be linked, so a key falls apart where the sorted distances have such a gap. Parts that lie in one component are done, the others are compared in blocks."""
     sketches = sets.select("id", "n", "bits")
     bounds = _bounds(starred.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sketches, percent)
+    release_shuffles(sets.sparkSession)
     links = _star_links(bounds.filter("near").select("a", "b"), sets, percent)
     groups = cut_lineage(components(links))
+    release_shuffles(sets.sparkSession)
     placed = bounds.join(groups.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("id"), "apart", "reach", F.coalesce("component", "b").alias("component"))
     far = starred.filter("many").join(placed, ["leader", "id"])
     by_distance = Window.partitionBy("key").orderBy("apart", "id")
@@ -333,6 +335,7 @@ def _links(starred: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = _block_pairs(far.join(several, "key"), sketches, percent)
     if pairs.isEmpty():
         return links
+    release_shuffles(sets.sparkSession)
     return links.union(_star_links(pairs, sets, percent))
 
 
@@ -353,9 +356,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = cut_lineage(met.filter("n is not null and id <> leader").groupBy("id").agg(F.min("leader").alias("rep")))
     # equal sets have the same keys, so a key's smallest id is never a copy
     starred = stored(met.filter("n is null").join(copies.select("id"), "id", "left_anti").select("key", "id", "leader", "many"), "ngram-stars")
+    sizes = stored(met.filter("n is not null").select("id", "n"), "ngram-sizes")
+    discard(met)
+    release_shuffles(docs.sparkSession)
     sets = _sets(rows, starred.select("id").union(starred.select("leader")).distinct(), width)
     groups = cut_lineage(components(_links(starred, sets, percent)))
-    sizes = met.filter("n is not null").select("id", "n")
+    discard(starred)
+    discard(sets)
+    release_shuffles(docs.sparkSession)
     known = sizes.join(copies, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")).join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("id", "n", F.coalesce("component", "rep").alias("component"))
     out = docs.select(F.col(id_col).cast("long").alias("id")).join(known, "id", "left")
@@ -365,7 +373,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, all columns kept; null ids stay. Only the ids that go are joined back."""
     found = near_groups(docs, id_col, text_col, width, percent)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    gone = cut_lineage(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
+    release_shuffles(docs.sparkSession)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
