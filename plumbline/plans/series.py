@@ -10,7 +10,7 @@ from plumbline.plans import drawsql as D
 from plumbline.plans.assembly import rnd
 from plumbline.plans.registry import query
 from plumbline.plans.spatial import TRACK, _track
-from plumbline.plans.standins import W, hav
+from plumbline.plans.standins import W, exact_mean, hav, sql_mean
 
 DENSE = "SELECT u.zcta_id, u.event, h.hour, coalesce(x.rain, 0) AS rain, row_number() OVER (PARTITION BY u.zcta_id, u.event ORDER BY h.hour) AS i FROM (SELECT DISTINCT zcta_id, event FROM hourly) u JOIN (SELECT event, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM hourly GROUP BY 1) h USING (event) LEFT JOIN hourly x ON x.zcta_id = u.zcta_id AND x.event = u.event AND x.hour = h.hour"
 ROLL = "SELECT *, sum(rain) OVER (PARTITION BY zcta_id, event ORDER BY hour ROWS 2 PRECEDING) AS s3, sum(rain) OVER (PARTITION BY zcta_id, event ORDER BY hour ROWS 5 PRECEDING) AS s6 FROM d"
@@ -80,9 +80,9 @@ def _(t):
     return percentile_rank(d, [], "x", "pct_rank").select("zcta_id", F.round("pct_rank", 8).alias("pct_rank"))
 
 
-@query("w09_rank_disagreement", W("oof", m="SELECT zcta, model_version AS c, avg(y_pred) AS v FROM oof GROUP BY 1, 2", r="SELECT zcta, c, " + PR.format(p="PARTITION BY c", q="PARTITION BY c, v", v="v") + " AS r FROM m") + "SELECT a.zcta, round(max(abs(a.r - b.r)), 8) AS max_divergence, round(avg(abs(a.r - b.r)), 8) AS mean_divergence FROM r a JOIN r b ON a.zcta = b.zcta AND a.c < b.c GROUP BY 1")
+@query("w09_rank_disagreement", W("oof", m="SELECT zcta, model_version AS c, avg(round(y_pred * 10)) AS v FROM oof GROUP BY 1, 2", r="SELECT zcta, c, " + PR.format(p="PARTITION BY c", q="PARTITION BY c, v", v="v") + " AS r FROM m") + "SELECT a.zcta, round(max(abs(a.r - b.r)), 8) AS max_divergence, round(avg(abs(a.r - b.r)), 8) AS mean_divergence FROM r a JOIN r b ON a.zcta = b.zcta AND a.c < b.c GROUP BY 1")
 def _(t):
-    return rnd(S.rank_disagreement(t.oof, "zcta", "model_version", "y_pred").drop("n_constructs"), 8, "max_divergence", "mean_divergence")
+    return rnd(S.rank_disagreement(t.oof.withColumn("y_pred", F.round(F.col("y_pred") * 10)), "zcta", "model_version", "y_pred").drop("n_constructs"), 8, "max_divergence", "mean_divergence")
 
 
 def edge_sql(col, n, src):
@@ -113,11 +113,11 @@ def _(t):
     return S.strata(u, "acct", "pop", "h").select("zcta_id", "strat_key")
 
 
-LEVELS = "SELECT l_suppkey AS cell, 'r' || CAST(l_linenumber % 3 AS VARCHAR) AS level, avg(l_discount) AS m, avg(l_tax) AS d FROM lineitem GROUP BY 1, 2"
+LEVELS = f"SELECT l_suppkey AS cell, 'r' || CAST(l_linenumber % 3 AS VARCHAR) AS level, {sql_mean('l_discount', 100)} AS m, {sql_mean('l_tax', 100)} AS d FROM lineitem GROUP BY 1, 2"
 
 
 def _levels(t):
-    return t.raw("lineitem").groupBy(F.col("l_suppkey").alias("cell"), F.concat(F.lit("r"), (F.col("l_linenumber") % 3).cast("string")).alias("level")).agg(F.avg("l_discount").alias("m"), F.avg("l_tax").alias("d"))
+    return t.raw("lineitem").groupBy(F.col("l_suppkey").alias("cell"), F.concat(F.lit("r"), (F.col("l_linenumber") % 3).cast("string")).alias("level")).agg(exact_mean(F.col("l_discount"), 100).alias("m"), exact_mean(F.col("l_tax"), 100).alias("d"))
 
 
 @query("w16_ladder_deltas", f"WITH l AS ({LEVELS}) SELECT cell, level, round(m - lag(m) OVER (PARTITION BY cell ORDER BY level), 8) AS delta_m FROM l")
