@@ -8,7 +8,7 @@ from plumbline.operators import gates as G
 from plumbline.operators import resample as R
 from plumbline.plans.assembly import rnd
 from plumbline.plans.registry import query
-from plumbline.plans.standins import W, hsh
+from plumbline.plans.standins import W, exact_mean, hsh, sql_mean
 
 TT = "CASE WHEN task = 'R' THEN 'classification' ELSE 'regression' END"
 CELL = f"SELECT task, model_version, avg(metric) AS s, avg(random_metric) AS r, {TT} AS tt, CASE WHEN count(*) < 2 THEN 0 ELSE stddev_samp(metric) END AS sigma, CASE WHEN count(*) < 2 THEN 1 WHEN abs(avg(metric)) < 1e-10 THEN 0.5 ELSE 1 / (1 + stddev_samp(metric) / abs(avg(metric))) END AS tau, count(*) AS nf FROM fold_metrics GROUP BY 1, 2"
@@ -282,12 +282,12 @@ def _(t):
     return rnd(G.admission(_gc(t).withColumn("omega", 1 - F.col("S_sup")), FLAT).select(*KEY.split(", "), "decision", "tau", "admission_tier"), 7, "tau")
 
 
-BLK = "SELECT l_suppkey AS block, CASE WHEN l_linenumber <= 2 THEN 'block_only' WHEN l_linenumber <= 4 THEN 'full' ELSE 'drop_block' END AS contrast, CASE WHEN l_suppkey % 6 = 0 AND l_linenumber <= 2 THEN NULL ELSE avg(l_discount) END AS metric FROM lineitem GROUP BY 1, l_linenumber"
+BLK = f"SELECT l_suppkey AS block, CASE WHEN l_linenumber <= 2 THEN 'block_only' WHEN l_linenumber <= 4 THEN 'full' ELSE 'drop_block' END AS contrast, CASE WHEN l_suppkey % 6 = 0 AND l_linenumber <= 2 THEN NULL ELSE {sql_mean('l_discount', 100)} END AS metric FROM lineitem GROUP BY 1, l_linenumber"
 BE = "SELECT block, max(metric) FILTER (contrast = 'block_only') AS i, max(metric) FILTER (contrast = 'full') - max(metric) FILTER (contrast = 'drop_block') AS m FROM b GROUP BY 1"
 
 
 def _blocks(t):
-    b = t.raw("lineitem").groupBy(F.col("l_suppkey").alias("block"), "l_linenumber").agg(F.avg("l_discount").alias("m"))
+    b = t.raw("lineitem").groupBy(F.col("l_suppkey").alias("block"), "l_linenumber").agg(exact_mean(F.col("l_discount"), 100).alias("m"))
     ln = F.col("l_linenumber")
     return C.block_evidence(b.select("block", F.when(ln <= 2, "block_only").when(ln <= 4, "full").otherwise("drop_block").alias("contrast"), F.when((F.col("block") % 6 == 0) & (ln <= 2), F.lit(None)).otherwise(F.col("m")).alias("metric")), ["block"])
 
