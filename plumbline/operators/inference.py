@@ -288,7 +288,10 @@ def ridge_out_of_block(df: DataFrame, block: str, key: str, vector: str, targets
     """Leave-one-block-out ridge predictions for an array of right-hand sides.
 
     Every partition adds up its own Gram sums per block; those are summed by entry; each block is
-    solved from the total minus its own, once for all right-hand sides; predictions are a join."""
+    solved from the total minus its own, once for all right-hand sides; predictions are a join.
+    Rows whose vector or targets are null, of another length or not finite train nothing and have no prediction; rows
+    without a block are left out."""
+    df = df.filter(F.col(block).isNotNull())
 
     def partial(batches):
         acc: dict = {}
@@ -298,11 +301,14 @@ def ridge_out_of_block(df: DataFrame, block: str, key: str, vector: str, targets
                 m = g == k
                 a = np.concatenate([(z[m].T @ z[m]).ravel(), (z[m].T @ y[m]).ravel(), [float(m.sum())]])
                 acc[k] = acc[k] + a if k in acc else a
-        yield pd.DataFrame({"blk": list(acc), "sums": [a.tolist() for a in acc.values()]})
+        if acc:  # an empty partition has no row, and Arrow finds no type in an empty list of arrays
+            yield pd.DataFrame({"blk": list(acc), "sums": [a.tolist() for a in acc.values()]})
 
-    rows = df.select(F.col(block).cast("string").alias("blk"), F.col(vector).cast("array<double>").alias("z"), F.col(targets).cast("array<double>").alias("y"))
     dims = df.select(F.max(F.size(vector)).alias("d"), F.max(F.size(targets)).alias("r")).first()
-    d, r = int(dims["d"]), int(dims["r"])
+    d, r = max(dims["d"] or 0, 0), max(dims["r"] or 0, 0)
+    whole = lambda c, n: (F.size(c) == n) & F.forall(F.col(c).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    usable = F.coalesce(whole(vector, d) & whole(targets, r), F.lit(False))
+    rows = df.filter(usable).select(F.col(block).cast("string").alias("blk"), F.col(vector).cast("array<double>").alias("z"), F.col(targets).cast("array<double>").alias("y"))
     part = rows.mapInPandas(partial, "blk string, sums array<double>")
     s = part.select("blk", F.posexplode("sums").alias("i", "v")).groupBy("blk", "i").agg(F.sum("v").alias("v"))
     tot = s.groupBy("i").agg(F.sum("v").alias("t"))
@@ -319,7 +325,7 @@ def ridge_out_of_block(df: DataFrame, block: str, key: str, vector: str, targets
 
     w = rest.select(F.col("blk"), solve("a").alias("w"))
     dot = lambda c: F.aggregate(F.zip_with(c, F.col(vector).cast("array<double>"), lambda p, q: p * q), F.lit(0.0), lambda s_, v_: s_ + v_)
-    return df.withColumn("blk", F.col(block).cast("string")).join(w, "blk").select(key, block, targets, F.transform("w", dot).alias("predicted"))
+    return df.withColumn("blk", F.col(block).cast("string")).join(w, "blk", "left").select(key, block, targets, F.when(usable, F.transform("w", dot)).alias("predicted"))
 
 
 def checkability(df: DataFrame, block: str, key: str, vector: str, y: str, reps: int, seed: int = 42, ridge: float = 1.0, min_block: int = 3) -> DataFrame:
