@@ -85,13 +85,14 @@ def certify_cells(folds: DataFrame, by: list[str], spatial: str, random: str, ta
 def ceiling_certificates(preds: DataFrame, floors: DataFrame | None = None, by_task: str = "task", model: str = "model_version") -> DataFrame:
     """Per-prediction certificates: R and floor from model and task, proxy from the row's residual.
 
-    Group statistics are computed once and joined back."""
+    Group statistics are computed once and joined back. There are as many as tasks and models, so they are broadcast:
+    a shuffle by task would put all predictions of a task into one task."""
     one = lambda x: clip(x, 0, 1)
     models = preds.groupBy(by_task, model).agg(one(r_squared()).alias("r2_model"))
     if floors is None:
         floors = models.groupBy(by_task).agg((1 - F.max("r2_model")).alias("task_residual_floor"))
     var = preds.groupBy(by_task).agg(F.var_pop("y_true").alias("_v"))
-    d = preds.join(models, [by_task, model]).join(floors.select(by_task, "task_residual_floor").join(var, by_task), by_task)
+    d = preds.join(F.broadcast(models), [by_task, model]).join(F.broadcast(floors.select(by_task, "task_residual_floor").join(var, by_task)), by_task)
     proxy = F.when(F.col("_v") > 1e-12, one(1 - (F.col("y_true") - F.col("y_pred")) ** 2 / F.col("_v"))).otherwise(0.0)
     return d.withColumns({"R_ceiling": F.col("r2_model"), "S_ceiling": one(1 - F.col("r2_model") - F.col("task_residual_floor")), "R_proxy": proxy, "N_proxy": one(1 - proxy), "S_proxy": F.lit(0.0)}).drop("_v")
 
