@@ -19,8 +19,8 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 DAMPING = 0.85
 #: rounds end when no score grows by more than this share of itself; distrust must exceed trust by more than this share
 TOLERANCE, MARGIN = 1e-3, 1e-2
-#: rounds between two cuts of lineage
-CUT_EVERY = 2
+#: rounds between two cuts of lineage; rows of the walks that one task moves
+CUT_EVERY, ROWS = 2, 200_000
 #: an href value in double, single or no quotes
 LINK = r"""(?i)href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
@@ -63,6 +63,12 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.union(tree).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows``, lineage cut, in as many partitions as their number asks for, at most those they have."""
+    rows = cut_lineage(rows)
+    return rows.coalesce(-(-rows.count() // ROWS) or 1)
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) from ``edges`` (src, dst, n) and ``seeds`` (host, trust, distrust; each sums to 1 or 0).
 
@@ -70,18 +76,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     without outgoing edges holds leaves the walk. A score is the sum of what arrives over walks of 0, 1, 2, ... links, each length weighing ``damping`` times
     the one before. A round moves what arrived last by one equi-join on the source and one sum that is combined before its shuffle. Rounds go on until no host's score
     grew by more than ``tolerance`` of itself, so a host however far from the seeds is reached; as what moves shrinks by ``damping`` or more per round, they end.
-    Every other round, lineage is cut and one number comes to the driver."""
+    Every other round, lineage is cut and one number comes to the driver. Tasks are as many as the counted edges and scores need, so that a small graph is not
+    dealt over the many partitions of its pages, each a file per round; one task needs no shuffle."""
+    edges = _dealt(edges)
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "n"))
     total = both.groupBy("kind", "src").agg(F.sum("n").alias("w"))
-    steps = cut_lineage(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.lit(damping) * F.col("n") / F.col("w")).alias("p")))
+    steps = _dealt(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.lit(damping) * F.col("n") / F.col("w")).alias("p")))
     start = seeds.unpivot(["host"], ["trust", "distrust"], "kind", "s").filter("s > 0")
-    rank = cut_lineage(start.select("kind", "host", ((1 - damping) * F.col("s")).alias("r"), ((1 - damping) * F.col("s")).alias("last")))
+    rank = _dealt(start.select("kind", "host", ((1 - damping) * F.col("s")).alias("r"), ((1 - damping) * F.col("s")).alias("last")))
+    tasks = max(steps.rdd.getNumPartitions(), rank.rdd.getNumPartitions())
     grown = None if rank.isEmpty() else 1.0
     while grown is not None and grown > tolerance:
         for _ in range(CUT_EVERY):
             moved = rank.filter("last > 0").withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("r"), (F.col("last") * F.col("p")).alias("last"))
-            rank = moved.union(rank.select("kind", "host", "r", F.lit(0.0).alias("last"))).groupBy("kind", "host").agg((F.sum("r") + F.sum("last")).alias("r"), F.sum("last").alias("last"))
-        rank = cut_lineage(rank)
+            rank = moved.union(rank.select("kind", "host", "r", F.lit(0.0).alias("last"))).coalesce(tasks).groupBy("kind", "host").agg((F.sum("r") + F.sum("last")).alias("r"), F.sum("last").alias("last"))
+        rank = cut_lineage(rank.coalesce(tasks))
         grown = rank.agg(F.max(F.col("last") / F.col("r"))).first()[0]
     score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("r"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(score("trust"), score("distrust"))
@@ -98,7 +107,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     flat = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
     rule, action = matched_rule(F.col("host"), F.col("path"), rules)
     flat = flat.withColumn("rule", rule).withColumn("action", action)
-    by_host = cut_lineage(flat.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("good"), F.count_if(F.col("action") == "block").alias("bad")))
+    by_host = _dealt(flat.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("good"), F.count_if(F.col("action") == "block").alias("bad")))
     sums = by_host.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
     share = lambda c, s: F.col(c) / F.lit(float(s or 1))
     scores = propagate(host_edges(flat), by_host.select("host", share("good", sums["g"]).alias("trust"), share("bad", sums["b"]).alias("distrust")))
