@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.core import seeded_hash
@@ -22,6 +22,8 @@ from plumbline.session import cut_lineage
 CELL, MOST, SERVED = 64, 4096, 4096
 #: nearest points and pivots that are tried as blockers of whole cells; cells looked at before bounds are known
 BLOCKERS, FIRST_CELLS = 16, 4
+#: most points of a group of cells that one task holds in a search; rows looked at against all cells at once
+GROUP, PIECE = 65_536, 1_024
 SLACK = 1e-9
 
 
@@ -69,7 +71,7 @@ def ball_cells(rows: DataFrame, id_col: str, vector: str, unit: bool = False, se
     pivots = np.unique(np.stack([_vector(r["x"]) for r in chosen]), axis=0) if chosen else np.zeros((0, 0))
 
     def assign(batches):
-        for pdf in batches:
+        for pdf in _pieces(batches):
             if len(pdf):
                 x = _matrix(pdf["x"])
                 near = np.argmin(-2 * x @ pivots.T + (pivots * pivots).sum(axis=1), axis=1)
@@ -82,12 +84,12 @@ def ball_cells(rows: DataFrame, id_col: str, vector: str, unit: bool = False, se
     return Cells(points.select("id", "x", "cell"), pivots, radii, kind)
 
 
-def visit(cells: Cells, asked: DataFrame, serve: Callable, schema: str) -> DataFrame:
+def visit(cells: Cells, asked: DataFrame, serve: Callable, schema: str, served: int | None = None) -> DataFrame:
     """``serve(ids, x, requests)`` for the points of each cell and the requests (cell, ...) to it, in frames of bounded size.
 
     A cell with many requests is served by several tasks that all hold its points."""
     names = [c for c in asked.columns if c != "cell"]
-    loads = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SERVED).cast("int").alias("_tasks"))
+    loads = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (served or SERVED)).cast("int").alias("_tasks"))
     loads = cut_lineage(loads)
     points = cells.points.join(loads, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)).alias("_task"), F.col("id").alias("_id"), F.col("x").alias("_x"), *[F.lit(None).cast(t).alias(c) for c, t in asked.drop("cell").dtypes])
     none = [F.lit(None).cast(cells.kind).alias("_id"), F.lit(None).cast("binary").alias("_x")]
@@ -195,64 +197,140 @@ def gabriel_graph(regions: DataFrame, rid: str, vector: str) -> DataFrame:
 # ---- most similar vectors -----------------------------------------------------------------------
 
 
+def _neighbourhoods(pivots: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """Group of each cell: cells are halved across their widest dimension until a group has at most ``most`` points or one cell."""
+    group, todo, made = np.zeros(len(pivots), np.int64), [np.arange(len(pivots))], 0
+    while todo:
+        own = todo.pop()
+        if len(own) == 1 or counts[own].sum() <= most:
+            group[own], made = made, made + 1
+            continue
+        own = own[np.argsort(pivots[own, int(np.argmax(np.ptp(pivots[own], axis=0)))], kind="stable")]
+        half = min(max(int(np.searchsorted(np.cumsum(counts[own]), counts[own].sum() / 2)), 1), len(own) - 1)
+        todo += [own[:half], own[half:]]
+    return group
+
+
+def _pieces(batches):
+    """Frames of at most ``PIECE`` rows: what is computed for all cells at once stays small."""
+    for pdf in batches:
+        for at in range(0, len(pdf), PIECE):
+            yield pdf.iloc[at : at + PIECE]
+
+
 def cosine_top_k(queries: DataFrame, passages: DataFrame, qid: str, pid: str, vector: str, k: int = 5, eps: float = 1e-8, scored: list | None = None) -> DataFrame:
     """The k most similar passages of every query, exact: (qid, match_<pid>, cosine, rank); ties go to the smaller passage, a passage does not match its own id.
 
-    Passages lie in cells of unit vectors with an angular radius, which bounds the cosine of everything inside. A query looks at its best cells first; the k-th score found there
-    rules out all cells of a lower bound, and the others are looked at in one more pass. Zero vectors have a cosine of 0. ``scored`` is a list to which the
-    number of scored pairs and of all pairs are added."""
-    cells = ball_cells(passages, pid, vector, unit=True)
-    asks = ball_cells(queries, qid, vector, unit=True).points.select(F.col("id").alias("q"), F.col("x").alias("v"))
-    lengths = queries.filter(F.col(qid).isNotNull() & F.col(vector).isNotNull()).select(F.col(qid).alias("q"), _length(vector).alias("qn"))
-    sizes = passages.filter(F.col(pid).isNotNull() & F.col(vector).isNotNull()).select(F.col(pid).alias("p"), _length(vector).alias("pn"))
-    kq, kp, pivots = dict(asks.dtypes)["q"], cells.kind, cells.pivots
+    Equal vectors are searched once, and of equal passages the k + 1 smallest ids can be among the answers. Passages lie in cells of unit vectors with an angular radius, which bounds
+    the cosine of everything inside; neighbouring cells form groups of bounded size, and one task holds a group. A query looks at its best cells first; the k-th score found there rules out all
+    cells of a lower bound. In a second pass it goes once to every group that holds another cell, so what is moved is at most the queries times the groups, also where bounds
+    rule out nothing. Zero vectors have a cosine of 0. ``scored`` is a list to which the number of scored pairs and of all pairs are added."""
+    kp = dict(passages.dtypes)[pid]
+    told = F.col(vector).cast("array<double>").alias("v")
+    ask = queries.filter(F.col(qid).isNotNull() & F.col(vector).isNotNull()).select(F.col(qid).alias("q"), told)
+    have = passages.filter(F.col(pid).isNotNull() & F.col(vector).isNotNull()).select(F.col(pid).alias("p"), told)
+    have = have.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("p"))).filter(F.col("at") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    # in the order of their smallest ids, so that the smaller number wins a tie
+    have = cut_lineage(have.orderBy(F.col("ps")[0])).withColumn("d", F.monotonically_increasing_id())
+    asks = cut_lineage(ask.select("v").distinct()).withColumn("qd", F.monotonically_increasing_id())
+    cells = ball_cells(have, "d", "v", unit=True)
+    pivots = cells.pivots
     if not len(pivots):
         return queries.limit(0).select(F.col(qid), F.lit(None).cast(kp).alias(f"match_{pid}"), F.lit(None).cast("double").alias("cosine"), F.lit(None).cast("int").alias("rank"))
     angles = 2 * np.arcsin(np.clip(cells.radii / 2, 0, 1))  # a zero vector is 1 away from a unit pivot, and its cosine of 0 is within that angle and a right one
     angles = np.where((pivots * pivots).sum(axis=1) > 0.5, np.where(cells.radii >= 1 - 1e-9, np.maximum(angles, math.pi / 2), angles), math.pi)
-
-    def bounds(v: np.ndarray) -> np.ndarray:
-        gap = np.arccos(np.clip(v @ pivots.T, -1, 1)) - angles
+    counts = np.zeros(len(pivots), np.int64)
+    for r in cells.points.groupBy("cell").count().collect():
+        counts[r["cell"]] = r["count"]
+    group = _neighbourhoods(pivots, counts, int(np.clip(counts.sum() // 12, GROUP // 16, GROUP)))
+    width = pivots.shape[1]
+
+    def bounds(v: np.ndarray, own=slice(None)) -> np.ndarray:
+        gap = np.arccos(np.clip(v @ pivots[own].T, -1, 1)) - angles[own]
         return np.cos(np.maximum(gap, 0)) + 1e-7
 
-    def best(batches):
-        for pdf in batches:
-            if len(pdf):
-                top = np.argsort(-bounds(_matrix(pdf["v"])), axis=1)[:, :FIRST_CELLS]
-                yield pd.DataFrame({"cell": top.ravel(), "q": np.repeat(pdf["q"].to_numpy(), top.shape[1]), "v": np.repeat(pdf["v"].to_numpy(), top.shape[1])})
-
-    def score(ids, x, requests):
-        order = np.argsort(np.array(ids, object) if kp == "string" else np.array(ids), kind="stable")
-        names, s = np.array(ids, object)[order], _matrix(requests["v"]) @ x[order].T
+    def best_cells(v: np.ndarray) -> np.ndarray:
+        return np.argsort(-bounds(v), axis=1, kind="stable")[:, :FIRST_CELLS]
+
+    def opened(v: np.ndarray, kth: np.ndarray, own=slice(None)) -> np.ndarray:
+        """Which cells can hold a score of ``kth``; adding ``eps`` draws negative scores towards 0."""
+        b = bounds(v, own)
+        return np.where(b < 0, 1e-6, b) >= kth[:, None] - 1e-6
+
+    def unit(batches):
+        for pdf in _pieces(batches):
+            v = np.stack(pdf["v"].to_numpy())
+            n = np.sqrt((v * v).sum(axis=1))
+            yield pd.DataFrame({"q": pdf["qd"], "v": [r.tobytes() for r in v / np.where(n > 0, n, 1)[:, None]], "qn": n})
+
+    def placed(batches):
+        for pdf in _pieces(batches):
+            x = np.column_stack([_matrix(pdf["x"]), pdf["pn"], pdf["cell"]])
+            yield pd.DataFrame({"id": pdf["id"], "x": [r.tobytes() for r in x], "cell": group[pdf["cell"].to_numpy()]})
+
+    asks_unit = asks.mapInPandas(unit, "q long, v binary, qn double")
+    points = cells.points.join(have.select(F.col("d").alias("id"), _length("v").alias("pn")), "id").mapInPandas(placed, "id long, x binary, cell int")
+    groups = Cells(cut_lineage(points), pivots, cells.radii, "bigint")
+
+    def search(ids, x, requests):
+        """The k + 1 best vectors of a group for each request, cell by cell."""
+        names, own = np.array(ids, np.int64), x[:, width + 1].astype(np.int64)
+        order = np.lexsort((names, own))
+        cuts = np.flatnonzero(np.diff(own[order], prepend=-1))
+        here = own[order][cuts]
         out = []
-        for q, row in zip(requests["q"], s):
-            top = [j for j in np.argsort(-row, kind="stable")[: k + 1] if names[j] != q][:k]
-            out += [(q, names[j], row[j]) for j in top]
-        return pd.DataFrame(out, columns=["q", "p", "s"])
+        for part in _pieces([requests]):
+            v, qn, kth = _matrix(part["v"]), part["qn"].to_numpy(), part["kth"].to_numpy(np.float64)
+            first = np.isnan(kth)
+            kth = np.where(first, -9.0, kth)
+            look = opened(v, kth, here)
+            if first.any():
+                look[first] = (best_cells(v[first])[:, :, None] == here).any(axis=1)
+            score, name = np.full((len(v), k + 1), -np.inf), np.full((len(v), k + 1), np.iinfo(np.int64).max)
+            for c, (lo, hi) in enumerate(zip(cuts, np.append(cuts[1:], len(order)))):
+                rows, at = np.flatnonzero(look[:, c]), order[lo:hi]
+                if not len(rows):
+                    continue
+                both = qn[rows, None] * x[at, width]
+                s = (v[rows] @ x[at, :width].T) * both / (both + eps)
+                better = s.max(axis=1) >= np.maximum(score[rows, -1], kth[rows] - 1e-6)
+                rows, s = rows[better], s[better]
+                s, n = np.hstack([score[rows], s]), np.hstack([name[rows], np.broadcast_to(names[at], s.shape)])
+                top = np.lexsort((n, -s), axis=1)[:, : k + 1]
+                score[rows], name[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(n, top, 1)
+            row, col = np.nonzero(score > -np.inf)
+            out.append(pd.DataFrame({"q": part["q"].to_numpy()[row], "d": name[row, col], "s": score[row, col]}))
+        return pd.concat(out)
 
-    first = cut_lineage(asks.mapInPandas(best, f"cell int, q {kq}, v binary"))
-    found = cut_lineage(visit(cells, first, score, f"q {kq}, p {kp}, s double"))
-    floor = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list("s"), asc=False), k, 1).alias("kth"))  # k scores of a few cells
-    floor = asks.join(floor, "q", "left").select("q", "v", F.coalesce(F.get("kth", F.lit(0)), F.lit(-2.0)).alias("kth"))
+    def best(batches):
+        for pdf in _pieces(batches):
+            to = group[best_cells(_matrix(pdf["v"]))]
+            row, g = np.unique(np.stack([np.repeat(np.arange(len(to)), to.shape[1]), to.ravel()]), axis=1)
+            yield pd.DataFrame({"cell": g, "q": pdf["q"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "qn": pdf["qn"].to_numpy()[row], "kth": np.nan})
 
     def rest(batches):
-        for pdf in batches:
-            if len(pdf):
-                b = bounds(_matrix(pdf["v"]))
-                np.put_along_axis(b, np.argsort(-b, axis=1)[:, :FIRST_CELLS], -9.0, axis=1)
-                at, cell = np.nonzero(b >= pdf["kth"].to_numpy()[:, None] - 1e-6)
-                yield pd.DataFrame({"cell": cell, "q": pdf["q"].to_numpy()[at], "v": pdf["v"].to_numpy()[at]})
-
-    more = cut_lineage(floor.mapInPandas(rest, f"cell int, q {kq}, v binary"))
+        for pdf in _pieces(batches):
+            open_ = opened(_matrix(pdf["v"]), pdf["kth"].to_numpy())
+            hit = np.zeros((len(pdf), int(group.max()) + 1), bool)
+            for c in range(open_.shape[1]):
+                hit[:, group[c]] |= open_[:, c]
+            row, g = np.nonzero(hit)
+            yield pd.DataFrame({"cell": g, **{n: pdf[n].to_numpy()[row] for n in ("q", "v", "qn", "kth")}})
+
+    asked = "cell int, q long, v binary, qn double, kth double"
+    found = visit(groups, asks_unit.mapInPandas(best, asked), search, "q long, d long, s double", 8 * SERVED)
+    floor = found.groupBy("q").agg(F.get(F.sort_array(F.collect_list("s"), asc=False), F.lit(k)).alias("kth"))  # k + 1 scores of a few groups; one may be the query's own
+    floor = cut_lineage(asks_unit.join(floor, "q", "left").select("q", "v", "qn", F.coalesce("kth", F.lit(-2.0)).alias("kth")))
     if scored is not None:
-        per = cells.points.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
-        scored += [first.union(more).join(per, "cell").agg(F.sum("m")).first()[0] or 0, asks.count() * cells.points.count()]
-    found = found.unionByName(visit(cells, more, score, f"q {kq}, p {kp}, s double"))
-    s = F.col("s") * F.col("qn") * F.col("pn") / (F.col("qn") * F.col("pn") + eps)
-    found = found.join(lengths, "q").join(sizes, "p").select("q", "p", s.alias("s"))
-    place = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "p"))), 1, k)
-    top = found.groupBy("q").agg(place.alias("top")).select("q", F.posexplode("top").alias("at", "x"))  # at most k of each visited cell
-    return top.select(F.col("q").alias(qid), F.col("x.p").alias(f"match_{pid}"), (-F.col("x.s")).alias("cosine"), (F.col("at") + 1).alias("rank"))
+        share = lambda batches: (pd.DataFrame({"m": [int((opened(_matrix(d["v"]), d["kth"].to_numpy()) @ counts).sum())]}) for d in _pieces(batches))
+        scored += [floor.mapInPandas(share, "m long").agg(F.sum("m")).first()[0] or 0, asks.count() * int(counts.sum())]
+    found = visit(groups, floor.mapInPandas(rest, asked), search, "q long, d long, s double", 8 * SERVED)
+    lead = lambda n, *by: F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), *by))), 1, n)
+    near = found.groupBy("q").agg(lead(k + 1, "d").alias("top")).select("q", F.explode("top").alias("x")).select("q", "x.d", (-F.col("x.s")).alias("s"))  # at most k + 1 of each group
+    near = near.join(have.select("d", "ps"), "d").select("q", "s", F.explode("ps").alias("p")).groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "p"))), 1, k + 1).alias("top"))
+    top = ask.join(asks.select("v", F.col("qd")), "v").select(F.col("q").alias("id"), F.col("qd").alias("q")).join(near, "q")
+    top = top.select("id", F.slice(F.filter("top", lambda e: ~e["p"].eqNullSafe(F.col("id"))), 1, k).alias("top")).select("id", F.posexplode("top").alias("at", "x"))
+    return top.select(F.col("id").alias(qid), F.col("x.p").alias(f"match_{pid}"), (-F.col("x.s")).alias("cosine"), (F.col("at") + 1).alias("rank"))
 
 
 def _length(vector: str):

@@ -77,3 +77,22 @@ def test_popular_cells_are_served_by_several_tasks(spark, monkeypatch):
     want = top(spark, p, p, 3)
     monkeypatch.setattr(balls, "SERVED", 7)
     assert top(spark, p, p, 3) == want
+
+
+def test_top_k_of_many_copies_searches_each_vector_once(spark):
+    """Every vector 30 times: the answers are its smallest copies, and work does not grow with them."""
+    rng, scored = np.random.default_rng(5), []
+    p = np.tile(rng.standard_normal((40, 8)), (30, 1))
+    got = top(spark, p, p, 4, scored)
+    assert all([j for j, _ in m] == [j for j in range(q % 40, 1200, 40) if j != q][:4] for q, m in got.items()) and len(got) == 1200
+    assert scored[1] == 40 * 40
+
+
+def test_top_k_moves_a_query_once_to_a_group_where_bounds_rule_out_nothing(spark, monkeypatch):
+    asked, visit = [], balls.visit
+    monkeypatch.setattr(balls, "CELL", 4)
+    monkeypatch.setattr(balls, "visit", lambda cells, rows, *more: (asked.append(rows.count()), visit(cells, rows, *more))[1])
+    p = np.random.default_rng(6).standard_normal((400, 32))
+    got, want = top(spark, p, p, 5), plain_top(p, p, 5)
+    assert {q: [j for j, _ in m] for q, m in got.items()} == {q: [j for j, _ in m] for q, m in want.items()}
+    assert asked[1] == 400
