@@ -514,22 +514,51 @@ def mantel(d_first: DataFrame, d_second: DataFrame, ids: DataFrame, permutations
     return obs.withColumn("mantel_p", (ge + 1) / F.lit(permutations + 1.0))
 
 
+#: parts of a graph that grows in blocks, and least units of one; a step outwards, above every block number; no block yet
+PARTS, PART_UNITS = 64, 4_096
+STEP, NO_BLOCK = 1 << 31, 1 << 62
+
+
+def _relaxed(state: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """(part, n, k) of one part with every k lowered to the least k of a unit along ``links`` (ns, nd) plus ``STEP`` for each link."""
+    state = state.sort_values("n", ignore_index=True)
+    n, k = state["n"].to_numpy(), state["k"].to_numpy().copy()
+    links = links.sort_values("ns")
+    to = np.searchsorted(n, links["nd"].to_numpy())
+    begin, end = (np.searchsorted(links["ns"].to_numpy(), n, side=side) for side in ("left", "right"))
+    front = np.flatnonzero(k < NO_BLOCK)
+    while len(front):
+        size = end[front] - begin[front]
+        hit = to[np.repeat(begin[front] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        before = k[hit]
+        np.minimum.at(k, hit, np.repeat(k[front], size) + STEP)
+        front = np.unique(hit[k[hit] < before])
+    return state.assign(k=k)
+
+
 def grow_blocks(edges: DataFrame, units: DataFrame, n_blocks: int, seed: int = 42, key: str = "zcta_id") -> DataFrame:
     """Spatial blocks grown from hash-chosen seeds along the graph.
 
-    Each round every unassigned unit next to a block joins the smallest such block number; the
-    loop ends when nothing changes. Units no block can reach are dealt out by hash."""
+    Each round every unassigned unit next to a block joins the smallest such block number; the loop ends when nothing changes. That is the
+    smallest (links from a seed, block of the seed) of a unit, so whole parts of the graph are grown at once: units lie in at most ``PARTS`` ranges of their ids, shorter ones first as numbers go, a range is grown to its end
+    in one task, then what crosses ranges is passed on. Jobs are as many as ranges on a path, and not as its links. Units no block can reach are dealt out by hash."""
     u = units.select(F.col(key).alias("id")).withColumn("h", seeded_hash(seed, "id"))
     seeds = u.orderBy("h", "id").limit(n_blocks).select("id", F.struct("h", "id").alias("k"))  # a top-n, not a full sort
-    first = seeds.withColumn("block", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("k")) - 1).cast("int")).select("id", "block")
-    state = cut_lineage(u.join(first, "id", "left").select("id", "block"))
-    nb = cut_lineage(symmetric(edges).select("src", "dst").distinct())
-    left = state.filter("block IS NULL").count()
-    while left:
-        reach = nb.join(state.filter("block IS NOT NULL").select(F.col("id").alias("src"), F.col("block").alias("b")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("b").alias("b"))
-        state = cut_lineage(state.join(reach, "id", "left").select("id", F.coalesce("block", "b").alias("block")))
-        now = state.filter("block IS NULL").count()
-        if now == left:
-            break
-        left = now
-    return state.select(F.col("id").alias(key), F.coalesce("block", F.pmod(seeded_hash(seed, "id"), F.lit(n_blocks)).cast("int")).alias("block"))
+    first = seeds.withColumn("block", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("k")) - 1).cast("long")).groupBy("id").agg(F.min("block").alias("block"))
+    ids = cut_lineage(u.filter("id IS NOT NULL").select("id").distinct())
+    parts = min(PARTS, -(-ids.count() // PART_UNITS)) or 1
+    at = cut_lineage(ids.repartitionByRange(parts, F.length("id"), "id")).withColumn("n", F.monotonically_increasing_id())  # the partition's number is in the upper bits
+    part = lambda n: F.shiftright(n, 33).alias("part")
+    state = at.join(first, "id", "left").select(part("n"), "n", F.coalesce("block", F.lit(NO_BLOCK)).alias("k"))
+    links = symmetric(edges).select("src", "dst").distinct().join(at.select(F.col("id").alias("src"), F.col("n").alias("ns")), "src").join(at.select(F.col("id").alias("dst"), F.col("n").alias("nd")), "dst")
+    links = cut_lineage(links.select(part("ns"), part("nd").alias("to"), "ns", "nd"))
+    inside, across = links.filter("part = to").select("part", "ns", "nd"), links.filter("part <> to").select("ns", "nd")
+    moved = True
+    while moved:
+        state = cut_lineage(state.groupBy("part").cogroup(inside.groupBy("part")).applyInPandas(_relaxed, "part long, n long, k long"))
+        told = state.filter(F.col("k") < NO_BLOCK).join(across, F.col("n") == F.col("ns")).groupBy(F.col("nd").alias("n")).agg((F.min("k") + STEP).alias("m"))
+        told = cut_lineage(state.join(told, "n").filter("m < k").select("n", "m"))
+        moved = not told.isEmpty()
+        state = state.join(told, "n", "left").select("part", "n", F.coalesce("m", "k").alias("k")) if moved else state
+    grown = state.filter(F.col("k") < NO_BLOCK).join(at, "n").select("id", (F.col("k") % STEP).cast("int").alias("block"))
+    return u.join(grown, "id", "left").select(F.col("id").alias(key), F.coalesce("block", F.pmod(seeded_hash(seed, "id"), F.lit(n_blocks)).cast("int")).alias("block"))

@@ -145,6 +145,34 @@ def test_grown_blocks_cover_every_unit(spark):
     assert len(b) == 33 and b["block"].between(0, 3).all() and b["zcta_id"].is_unique
 
 
+def test_grown_blocks_equal_rounds_of_single_links_in_few_jobs(spark, monkeypatch):
+    """A random graph and a chain of 300 units in many parts, against one link per round."""
+    monkeypatch.setattr(G, "PART_UNITS", 40)
+    cuts, cut = [], G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: (cuts.append(1), cut(df))[1])
+    g = np.random.default_rng(11)
+    for links in (g.integers(0, 200, (260, 2)), np.stack([np.arange(299), np.arange(1, 300)], 1)):
+        links = np.array([(a, b) for a, b in links if a != b])
+        names = [f"{i:03}" for i in range(300)]
+        e = spark.createDataFrame([(names[a], names[b], 1.0) for a, b in links], "src string, dst string, weight double")
+        u = spark.createDataFrame([(i,) for i in names], "zcta_id string")
+        cuts.clear()
+        got = {r["zcta_id"]: r["block"] for r in G.grow_blocks(e, u, 5).collect()}
+        h = {r["zcta_id"]: r["h"] for r in u.select("zcta_id", G.seeded_hash(42, "zcta_id").alias("h")).collect()}
+        want = {i: k for k, i in enumerate(sorted(names, key=lambda i: (h[i], i))[:5])}
+        both = [(names[a], names[b]) for a, b in links] + [(names[b], names[a]) for a, b in links]
+        while True:
+            reach = {}
+            for a, b in both:
+                if a in want and b not in want:
+                    reach[b] = min(want[a], reach.get(b, 9))
+            if not reach:
+                break
+            want |= reach
+        assert got == {i: want.get(i, h[i] % 5) for i in names}
+        assert len(cuts) < 30
+
+
 def test_block_diameter_is_the_farthest_pair(spark):
     g = np.random.default_rng(4)
     p = pd.DataFrame({"lat": g.uniform(20, 40, 300), "lon": g.uniform(-100, -80, 300), "f": g.integers(0, 3, 300)})
