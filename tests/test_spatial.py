@@ -208,3 +208,33 @@ def test_overlap_of_touching_shapes_is_zero():
 
     a, b = ring([(0.1, 0.1), (0.4, 0.1), (0.4, 0.7), (0.1, 0.7)]), ring([(0.4, 0.2), (0.9, 0.2), (0.9, 0.3), (0.4, 0.3)])
     assert S.overlap_area.func(pa.array([a, a, None]), pa.array([b, a, b])).to_pylist() == [0.0, pytest.approx(0.18), None]
+
+
+def test_basin_edges_make_a_pair_once_without_a_shuffle_of_pairs(spark, monkeypatch):
+    """200 regions in chunks against all pairs; what reaches the last exchange is memberships, not pairs."""
+    for name, size in (("CHUNK_LEAST", 8), ("STRIP", 5), ("CHUNK", 40)):
+        monkeypatch.setattr(S, name, size, raising=False)
+    g = np.random.default_rng(3)
+    rows = [(f"r{r:03}", int(h), float(w)) for r, h, w in {(r, h): (r, h, w) for r, h, w in zip(g.integers(0, 200, 500), g.integers(0, 9, 500), g.uniform(0, 1, 500).round(3))}.values()]
+    m = spark.createDataFrame(rows, "region string, huc int, overlap_frac double")
+    want = {}
+    for a, h, v in rows:
+        for b, k, w in rows:
+            if h == k and a < b:
+                want[a, b] = max(want.get((a, b), 0), min(v, w))
+    edges = S.shared_basin_edges(m, "region", "huc")
+    assert {(r["src"], r["dst"]): r["weight"] for r in edges.collect()} == want and edges.count() == len(want)
+    aggregates = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [src" not in aggregates
+    flow = spark.createDataFrame([(0, 1, 2.0), (1, 0, 3.0), (2, 2, 1.0), (3, 4, 1.5), (None, 4, 9.0)], "from_basin int, to_basin int, weight double")
+    dom = S.dominant_membership(m, "region", "huc", 0.0)
+    for dominant in (dom, dom.withColumn("is_dominant", F.lit(True))):
+        d, want = {(r["region"], r["huc"]) for r in dominant.filter("is_dominant").collect()}, {}
+        for f, t, w in [(0, 1, 2.0), (1, 0, 3.0), (2, 2, 1.0), (3, 4, 1.5)]:
+            for a, h in d:
+                for b, k in d:
+                    if h == f and k == t and a != b:
+                        want[min(a, b), max(a, b)] = max(want.get((min(a, b), max(a, b)), 0), w)
+        edges = S.drainage_edges(dominant, flow, "region", "huc")
+        got = [(r["src"], r["dst"], r["weight"]) for r in edges.collect()]
+        assert len(got) == len(want) and {(a, b): w for a, b, w in got} == want
