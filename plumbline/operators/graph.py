@@ -286,19 +286,22 @@ def _quads(points: DataFrame, depth: int) -> DataFrame:
     ix = F.least(F.floor(F.col("u") * side), F.lit(side - 1)).cast("long")
     iy = F.least(F.floor(F.col("v") * side), F.lit(side - 1)).cast("long")
     return points.withColumns({"ix": ix, "iy": iy}).groupBy("ix", "iy").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("val").alias("s"), F.sum(F.col("val") * F.col("val")).alias("q"),
+        F.count(F.lit(1)).alias("places"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
         F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1")).withColumn("cell", F.col("ix") * F.lit(1 << 20) + F.col("iy"))
 
 
 def pair_bins(points: DataFrame, x: str, y: str, value: str, width: float, bins: int, depth: int = 7) -> DataFrame:
     """Count and half mean squared difference of all point pairs by distance bin.
 
-    Cells, not points, are paired from coarse to fine. A pair of cells whose distances all fall in
+    Points of one position are one place with a count and sums, so work grows with the places. Cells, not points, are paired from coarse to fine. A pair of cells whose distances all fall in
     one bin is added in closed form from its sums; pairs beyond the last bin are dropped; only
-    what is left at the finest level is resolved point by point."""
+    what is left at the finest level is resolved place by place."""
     p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(value).isNotNull()).select(F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"), F.col(value).cast("double").alias("val"))
-    ext = p.agg(F.struct(F.min("px").alias("x0"), F.min("py").alias("y0"), F.greatest(F.max("px") - F.min("px"), F.max("py") - F.min("py"), F.lit(1e-12)).alias("w"))).scalar()
-    p = p.withColumn("_e", ext).select("px", "py", "val", ((F.col("px") - F.col("_e.x0")) / F.col("_e.w")).alias("u"), ((F.col("py") - F.col("_e.y0")) / F.col("_e.w")).alias("v"))
+    ext = p.agg(F.struct(F.min("px").alias("x0"), F.min("py").alias("y0"), F.greatest(F.max("px") - F.min("px"), F.max("py") - F.min("py"), F.lit(1e-12)).alias("w"), F.avg("val").alias("m"))).scalar()
+    # differences do not change when all values are moved, and sums of squares lose the least around the mean
+    off = F.col("val") - F.col("_e.m")
+    p = p.withColumn("_e", ext).groupBy("px", "py", "_e").agg(F.count(F.lit(1)).alias("n"), F.sum(off).alias("s"), F.sum(off * off).alias("q"))
+    p = p.select("px", "py", "n", "s", "q", ((F.col("px") - F.col("_e.x0")) / F.col("_e.w")).alias("u"), ((F.col("py") - F.col("_e.y0")) / F.col("_e.w")).alias("v"))
     p = cut_lineage(p)
     rename = lambda d, t: d.select(*[F.col(c).alias(f"{t}_{c}") for c in d.columns])
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
@@ -323,7 +326,7 @@ def pair_bins(points: DataFrame, x: str, y: str, value: str, width: float, bins:
         pairs = pairs.filter(F.col("near") < width * bins * (1 + slack))
         whole = (F.col("lo") == F.col("hi")) & (F.floor(near / width + slack) == F.floor(near / width - slack))
         done.append(pairs.filter(whole & (F.col("lo") < bins)).select(F.col("lo").cast("long").alias("bin"), pairs_n.alias("n"), pairs_sq.alias("sq")))
-        todo = pairs.filter(~whole).select(F.col("a_cell").alias("pa"), F.col("b_cell").alias("pb"), (a("n") * b("n")).alias("work"))
+        todo = pairs.filter(~whole).select(F.col("a_cell").alias("pa"), F.col("b_cell").alias("pb"), (a("places") * b("places")).alias("work"))
         # both orders are needed below a mixed pair: children of (A, B) with A < B may sort either way
         todo = todo.unionByName(todo.filter("pa <> pb").select(F.col("pb").alias("pa"), F.col("pa").alias("pb"), "work"))
         above = d
@@ -334,16 +337,15 @@ def pair_bins(points: DataFrame, x: str, y: str, value: str, width: float, bins:
     last = above
     side = float(1 << last)
     cell = F.least(F.floor(F.col("u") * side), F.lit(side - 1)).cast("long") * F.lit(1 << 20) + F.least(F.floor(F.col("v") * side), F.lit(side - 1)).cast("long")
-    ids = p.withColumn("cell", cell).groupBy("cell", "px", "py", "val").agg(F.count(F.lit(1)).alias("m"))
-    pt = lambda t: ids.select(F.col("cell").alias(f"{t}_cell"), *[F.col(c).alias(f"{t}_{c}") for c in ("px", "py", "val", "m")])
+    pt = lambda t: p.select(cell.alias(f"{t}_cell"), *[F.col(c).alias(f"{t}_{c}") for c in ("px", "py", "n", "s", "q")])
     fine = todo.filter("pa <= pb").join(pt("a"), F.col("pa") == F.col("a_cell")).join(pt("b"), F.col("pb") == F.col("b_cell"))
-    key = lambda t: F.struct(f"{t}_px", f"{t}_py", f"{t}_val")
+    key = lambda t: F.struct(f"{t}_px", f"{t}_py")
     fine = fine.filter((F.col("pa") < F.col("pb")) | (key("a") <= key("b")))
-    same_pt = (F.col("pa") == F.col("pb")) & (key("a") == key("b"))
+    own = (F.col("pa") == F.col("pb")) & (key("a") == key("b"))
     dist = F.sqrt((a("px") - b("px")) ** 2 + (a("py") - b("py")) ** 2)
-    diff = a("val") - b("val")
-    cnt = F.when(same_pt, a("m") * (a("m") - 1) / 2).otherwise(a("m") * b("m"))
-    done.append(fine.select(F.floor(dist / width).cast("long").alias("bin"), cnt.alias("n"), (cnt * diff * diff).alias("sq")).filter(F.col("bin") < bins))
+    cnt = F.when(own, a("n") * (a("n") - 1) / 2).otherwise(a("n") * b("n"))
+    sq = F.greatest(F.lit(0.0), F.when(own, a("n") * a("q") - a("s") * a("s")).otherwise(b("n") * a("q") + a("n") * b("q") - 2 * a("s") * b("s")))
+    done.append(fine.select(F.floor(dist / width).cast("long").alias("bin"), cnt.alias("n"), sq.alias("sq")).filter(F.col("bin") < bins))
     out = reduce(lambda l, r: l.unionByName(r), done).groupBy("bin").agg(F.sum("n").cast("long").alias("n_pairs"), F.sum("sq").alias("sq")).filter("n_pairs > 0")
     return out.select("bin", ((F.col("bin") + 0.5) * width).alias("bin_center"), "n_pairs", (F.col("sq") / F.col("n_pairs") / 2).alias("semivariance"))
 

@@ -210,6 +210,23 @@ def test_overlap_of_touching_shapes_is_zero():
     assert S.overlap_area.func(pa.array([a, a, None]), pa.array([b, a, b])).to_pylist() == [0.0, pytest.approx(0.18), None]
 
 
+def test_pair_bins_of_repeated_positions_work_on_places(spark, monkeypatch):
+    """30 positions of 40 points each: all pairs counted, from sums of 30 places at the finest level."""
+    seen, cut = [], G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: (seen.append(cut(df)), seen[-1])[1])
+    g = np.random.default_rng(8)
+    at = np.repeat(g.uniform(0, 5, (30, 2)), 40, axis=0)
+    p = pd.DataFrame({"x": at[:, 0], "y": at[:, 1], "v": g.normal(5000, 300, 1200)})
+    got = G.pair_bins(spark.createDataFrame(p), "x", "y", "v", 0.7, 9, 5).toPandas().set_index("bin")
+    i, j = np.triu_indices(1200, 1)
+    b = np.floor(np.hypot(*(at[i] - at[j]).T) / 0.7).astype(int)
+    d = (p["v"].to_numpy()[i] - p["v"].to_numpy()[j]) ** 2
+    for k in range(9):
+        if (b == k).any():
+            assert got.loc[k, "n_pairs"] == (b == k).sum() and abs(got.loc[k, "semivariance"] - d[b == k].mean() / 2) < 1e-5 * d.mean()
+    assert seen[0].count() == 30
+
+
 def test_basin_edges_make_a_pair_once_without_a_shuffle_of_pairs(spark, monkeypatch):
     """200 regions in chunks against all pairs; what reaches the last exchange is memberships, not pairs."""
     for name, size in (("CHUNK_LEAST", 8), ("STRIP", 5), ("CHUNK", 40)):
