@@ -20,8 +20,8 @@ from plumbline.llm.common import components, discard, map_batches, release_shuff
 from plumbline.session import cut_lineage
 
 WORDS, PERCENT = 5, 80
-#: characters of text per numpy step; paths of a trie; bitmaps of a block
-CHUNK, BLOCK, BITMAPS = 500_000, 64, 4_096
+#: characters of text per numpy step; paths of a trie; bitmaps of a block; elements of a block's paths; words of bitmaps compared at once
+CHUNK, BLOCK, BITMAPS, PATHS, STEP = 500_000, 64, 4_096, 2_000_000, 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: white space that separates words: 0x20 and 0x09-0x0D
 _BLANK = np.zeros(256, bool)
@@ -195,16 +195,26 @@ def _meetings(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return stored(met, "ngram-keys")
 
 
-def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, n, bits, grams) of the documents in ``ids`` (distinct): size, bitmap and path."""
+def _made(rows: DataFrame, ids: DataFrame, width: int, purpose: str, column: str, encode) -> DataFrame:
+    """(id, n, column) of the documents in ``ids`` (distinct): size of the set, and what ``encode`` makes of it."""
 
     def make(batches):
         for pdf in batches:
             for _, part in pdf.groupby((pdf["text"].str.len() + 1).cumsum() // CHUNK, sort=False):
                 sets = gram_sets(part["text"].tolist(), width)
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "n": [len(s) for s in sets], "bits": [sketch(s).tobytes() for s in sets], "grams": [_pack(s) for s in sets]})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "n": [len(s) for s in sets], column: [encode(s) for s in sets]})
 
-    return stored(map_batches(rows.join(ids, "id", "left_semi"), make, "id long, n long, bits binary, grams binary"), "ngram-sets")
+    return stored(map_batches(rows.join(ids, "id", "left_semi"), make, f"id long, n long, {column} binary"), purpose)
+
+
+def _sketches(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, n, bits): sizes and bitmaps."""
+    return _made(rows, ids, width, "ngram-sketches", "bits", lambda s: sketch(s).tobytes())
+
+
+def _paths(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, n, grams): sizes and paths. Paths take eight bytes a word and do not compress, so only those are made that bitmaps leave to be compared."""
+    return _made(rows, ids, width, "ngram-paths", "grams", _pack)
 
 
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -239,26 +249,85 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def close_pairs(ids: list[int], groups: list[int], sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs (smaller id first) of different groups that sizes and bitmaps do not rule out."""
-    out = []
-    short = min(map(len, sketches))
-    maps = np.stack([fold(x, short) for x in sketches])
-    group = np.array(groups)
+def close_stars(ids: list[int], groups: list[int], sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs (smallest id, other id) of what hangs together over pairs of different groups that sizes and bitmaps do not rule out: at most one row for each id."""
+    maps = np.stack([fold(x, min(map(len, sketches))) for x in sketches])
+    group, label, places = np.array(groups), np.arange(len(ids)), np.arange(len(ids))
+    step = max(1, STEP // maps.size)
+    for top in range(0, len(ids) - 1, step):
+        some, rest = slice(top, top + step), slice(top + 1, None)
+        a, b = sizes[some, None], sizes[None, rest]
+        most = a + b - 2 * -(-percent * (a + b) // (100 + percent))
+        fits = (group[some, None] != group[None, rest]) & (places[some, None] < places[None, rest]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        fits &= np.bitwise_count(maps[some, None] ^ maps[None, rest]).sum(axis=2, dtype=np.int64) <= most
+        for k in np.flatnonzero(fits.any(axis=1)).tolist():
+            other = label[rest][fits[k]]
+            other = other[other != label[top + k]]
+            if len(other):
+                label[np.isin(label, other)] = label[top + k]
+    named = np.array(ids, np.int64)
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, named)
+    return [(a, b) for a, b in zip(least[label].tolist(), named.tolist()) if a != b]
+
+
+def tree_links(ids: list[int], groups: list[int], sides: list[int], paths: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (smaller id first) that connect what is linked among sets, fewer than the sets. Sets of one group are connected already; when there are two sides, only sets
+    of different sides are compared. Overlaps are counted over the whole sets."""
+    out: list[tuple[int, int]] = []
+    size = np.array([len(p) for p in paths])
+    start = np.cumsum(size) - size
+    grams, at = np.unique(np.concatenate(paths), return_inverse=True)
+    sketches = [sketch(p) for p in paths]
+    maps = np.stack([fold(x, min(map(len, sketches))) for x in sketches])
+    label, side = np.unique(groups, return_inverse=True)[1], np.array(sides)
+    two, mine = len(set(sides)) > 1, np.zeros(len(grams), bool)
     for i in range(len(ids) - 1):
         rest = slice(i + 1, None)
-        both = sizes[i] + sizes[rest]
-        most = both - 2 * -(-percent * both // (100 + percent))
-        fits = (group[rest] != group[i]) & (100 * np.minimum(sizes[i], sizes[rest]) >= percent * np.maximum(sizes[i], sizes[rest]))
-        fits &= np.bitwise_count(maps[rest] ^ maps[i]).sum(axis=1, dtype=np.int64) <= most
-        out += [(min(ids[i], ids[i + 1 + k]), max(ids[i], ids[i + 1 + k])) for k in np.flatnonzero(fits).tolist()]
+        both = size[i] + size[rest]
+        need = -(-percent * both // (100 + percent))
+        fits = (label[rest] != label[i]) & (100 * np.minimum(size[i], size[rest]) >= percent * np.maximum(size[i], size[rest]))
+        if two:
+            fits &= side[rest] != side[i]
+        near = np.flatnonzero(fits)
+        near = near[np.bitwise_count(maps[near + i + 1] ^ maps[i]).sum(axis=1, dtype=np.int64) <= (both - 2 * need)[near]]
+        if not len(near):
+            continue
+        other = near + i + 1
+        mine[at[start[i] : start[i] + size[i]]] = True
+        ends = np.cumsum(size[other])
+        hit = mine[at[np.arange(ends[-1]) + np.repeat(start[other] - ends + size[other], size[other])]]
+        overlap = np.add.reduceat(hit.astype(np.int64), ends - size[other])
+        mine[at[start[i] : start[i] + size[i]]] = False
+        linked = other[overlap >= need[near]]
+        for name, j in zip(*np.unique(label[linked], return_index=True)):
+            out.append((min(ids[i], ids[linked[j]]), max(ids[i], ids[linked[j]])))
+            label[label == name] = label[i]
     return out
 
 
-def _block_pairs(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components under keys (key, id, component) that hold several.
+def _block_runs(function, names: list[str], keys: int):
+    """A function over batches of sorted rows that gives each run of equal first ``keys`` columns, as a list of rows, to ``function`` and yields its pairs (a, b)."""
+
+    def run(batches):
+        now, held = None, []
+        pairs = lambda: pd.DataFrame(function(held) if len(held) > 1 else [], columns=["a", "b"], dtype="int64")
+        for pdf in batches:
+            for row in zip(*(pdf[c] for c in names)):
+                if row[:keys] != now:
+                    yield pairs()
+                    now, held = row[:keys], []
+                held.append(row[keys:])
+        yield pairs()
+
+    return run
+
 
-    A key of many sets is cut in sub-blocks that meet two at a time, so a block has about ``BITMAPS`` sets at most. Blocks of the same sets are compared once."""
+def _block_stars(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of different components under keys (key, id, component) that hold several: a linked pair that shares a key hangs together over them.
+
+    A key of many sets is cut in sub-blocks that meet two at a time, so a block has about ``BITMAPS`` sets at most. Blocks of the same sets are compared once. A block
+    returns fewer rows than it has sets, however many of its pairs are close."""
     subs = mixed.groupBy("key").agg(F.ceil(F.count("*") / (BITMAPS // 2)).cast("int").alias("subs"))
     rows = mixed.join(subs, "key").withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
@@ -266,23 +335,29 @@ def _block_pairs(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFra
     blocks = rows.filter(F.size(F.array_distinct(F.col("members.component"))) > 1).select("members").distinct()
     flat = blocks.select(F.xxhash64("members.id").alias("block"), F.explode("members").alias("m")).select("block", "m.id", "m.component").join(sketches, "id")
 
-    def compare(batches):
-        now, held = None, []
+    def compare(held):
+        return close_stars([int(h[0]) for h in held], [int(h[1]) for h in held], np.array([h[2] for h in held]), [np.frombuffer(h[3], np.uint64) for h in held], percent)
 
-        def pairs():
-            found = close_pairs([h[0] for h in held], [h[1] for h in held], np.array([h[2] for h in held]), [h[3] for h in held], percent) if len(held) > 1 else []
-            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    names = ["block", "id", "component", "n", "bits"]
+    rows = flat.select(*names).repartition("block").sortWithinPartitions("block", "id")
+    return cut_lineage(map_batches(rows, _block_runs(compare, names, 1), "a long, b long").distinct())
 
-        for pdf in batches:
-            for block, i, comp, n, bits in zip(pdf["block"], pdf["id"], pdf["component"], pdf["n"], pdf["bits"]):
-                if block != now:
-                    yield pairs()
-                    now, held = block, []
-                held.append((int(i), int(comp), int(n), np.frombuffer(bits, np.uint64)))
-        yield pairs()
 
-    rows = flat.select("block", "id", "component", "n", "bits").repartition("block").sortWithinPartitions("block", "id")
-    return cut_lineage(map_batches(rows, compare, "a long, b long").distinct())
+def _cluster_links(clusters: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is linked inside clusters (node, component) of candidates; ``members`` (id, component) tells what is connected already.
+
+    A set is in one cluster, so its path is shipped once; a cluster of more than ``BITMAPS`` sets or ``PATHS`` elements is cut in sub-blocks that meet two at a time."""
+    rows = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(members, "id").join(sets.select("id", "n", "grams"), "id")
+    sizes = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / (BITMAPS // 2)), F.ceil(F.sum("n") / (PATHS // 2))).cast("int").alias("subs"))
+    rows = rows.join(sizes, "cluster").withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumns({"i": F.least("sub", "other"), "j": F.greatest("sub", "other")})
+
+    def compare(held):
+        return tree_links([int(h[1]) for h in held], [int(h[2]) for h in held], [int(h[0]) for h in held], [_unpack(h[3]) for h in held], percent)
+
+    names = ["cluster", "i", "j", "sub", "id", "component", "grams"]
+    rows = rows.select(*names).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+    return cut_lineage(map_batches(rows, _block_runs(compare, names, 3), "a long, b long"))
 
 
 def fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -314,17 +389,21 @@ def _bounds(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(map_batches(rows, compare, "a long, b long, near boolean, apart long, reach long"))
 
 
-def _links(starred: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(starred: DataFrame, sketches: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Links that connect what is linked among sets that share a key: (key, id, leader, many), the leader being the key's smallest id and not among the rows.
 
     Each set is compared with its leader, by bitmaps first. Bits that differ are a metric: sets whose distances from the leader differ by more than linked sets
     can cannot be linked, so a key falls apart where the sorted distances have such a gap. Parts that lie in one component are done, the others are compared in blocks."""
-    sketches = sets.select("id", "n", "bits")
+    spark = sketches.sparkSession
     bounds = _bounds(starred.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sketches, percent)
-    release_shuffles(sets.sparkSession)
-    links = _star_links(bounds.filter("near").select("a", "b"), sets, percent)
+    release_shuffles(spark)
+    near = bounds.filter("near").select("a", "b")
+    paths = _paths(rows, near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), width)
+    release_shuffles(spark)
+    links = _star_links(near, paths, percent)
+    discard(paths)
     groups = cut_lineage(components(links))
-    release_shuffles(sets.sparkSession)
+    release_shuffles(spark)
     placed = bounds.join(groups.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("id"), "apart", "reach", F.coalesce("component", "b").alias("component"))
     far = starred.filter("many").join(placed, ["leader", "id"])
     by_distance = Window.partitionBy("key").orderBy("apart", "id")
@@ -332,11 +411,17 @@ def _links(starred: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     far = far.withColumn("gap", gap).withColumn("part", F.sum("gap").over(by_distance.rowsBetween(Window.unboundedPreceding, 0))).select(F.xxhash64("key", "part").alias("key"), "id", "component")
     far = cut_lineage(far)
     several = far.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    pairs = _block_pairs(far.join(several, "key"), sketches, percent)
-    if pairs.isEmpty():
+    mixed = far.join(several, "key")
+    stars = _block_stars(mixed, sketches, percent)
+    if stars.isEmpty():
         return links
-    release_shuffles(sets.sparkSession)
-    return links.union(_star_links(pairs, sets, percent))
+    clusters = cut_lineage(components(stars))
+    release_shuffles(spark)
+    paths = _paths(rows, clusters.select(F.col("node").alias("id")), width)
+    release_shuffles(spark)
+    found = _cluster_links(clusters, mixed.select("id", "component").distinct(), paths, percent)
+    discard(paths)
+    return links.union(found)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -359,10 +444,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = stored(met.filter("n is not null").select("id", "n"), "ngram-sizes")
     discard(met)
     release_shuffles(docs.sparkSession)
-    sets = _sets(rows, starred.select("id").union(starred.select("leader")).distinct(), width)
-    groups = cut_lineage(components(_links(starred, sets, percent)))
+    sketches = _sketches(rows, starred.select("id").union(starred.select("leader")).distinct(), width)
+    release_shuffles(docs.sparkSession)
+    groups = cut_lineage(components(_links(starred, sketches, rows, width, percent)))
     discard(starred)
-    discard(sets)
+    discard(sketches)
     release_shuffles(docs.sparkSession)
     known = sizes.join(copies, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")).join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("id", "n", F.coalesce("component", "rep").alias("component"))
