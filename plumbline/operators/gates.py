@@ -349,14 +349,18 @@ FAILURE_RANGES = {
 
 
 def diagnose_failures(signals: DataFrame, key: str, top_k: int = 3, specs: dict = FAILURE_RANGES) -> DataFrame:
-    """(key, signal, value) rows scored against every failure mode; the best ``top_k`` per key."""
-    flat = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(s).alias("signal"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for m, r in specs.items() for s, (lo, hi) in r.items()])
-    d = signals.filter(F.col("value").isNotNull()).withColumn("_m", F.explode(flat)).filter(F.col("_m.signal") == F.col("signal"))
-    lo, hi, v = F.col("_m.lo"), F.col("_m.hi"), F.col("value")
-    off = F.greatest(lo - v, v - hi, F.lit(0.0)) / F.greatest(hi - lo, F.lit(1e-6))
-    g = d.groupBy(key, F.col("_m.mode").alias("mode")).agg(F.avg(F.greatest(1 - off, F.lit(0.0))).alias("confidence"), F.count(F.lit(1)).alias("n_signals"))
-    w = W.partitionBy(key).orderBy(F.desc("confidence"), "mode")  # nine modes
-    return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
+    """(key, signal, value) rows scored against every failure mode; the best ``top_k`` per key.
+
+    The modes of a key are columns of one aggregate and are ordered inside its row, so rows are not multiplied by modes and nothing is sorted over rows."""
+    v = F.col("value")
+    off = lambda lo, hi: F.greatest(F.lit(lo) - v, v - F.lit(hi), F.lit(0.0)) / F.greatest(F.lit(hi) - F.lit(lo), F.lit(1e-6))
+    score = lambda ranges: F.coalesce(*[F.when(F.col("signal") == s, F.greatest(1 - off(lo, hi), F.lit(0.0))) for s, (lo, hi) in ranges.items()])
+    modes = [m for m in sorted(specs) if specs[m]]
+    aggs = [e for i, m in enumerate(modes) for e in (F.avg(score(specs[m])).alias(f"_c{i}"), F.count(score(specs[m])).alias(f"_n{i}"))]
+    g = signals.filter(v.isNotNull()).groupBy(key).agg(*aggs)
+    cells = F.array(*[F.struct(F.col(f"_c{i}").alias("confidence"), F.lit(-i).alias("i"), F.lit(m).alias("mode"), F.col(f"_n{i}").alias("n")) for i, m in enumerate(modes)])
+    best = F.slice(F.sort_array(F.filter(cells, lambda c: c["n"] > 0), asc=False), 1, top_k)  # larger confidence first, then mode
+    return g.select(key, F.posexplode(best).alias("_k", "_m")).select(key, F.col("_m.mode").alias("mode"), F.col("_m.confidence").alias("confidence"), F.col("_m.n").alias("n_signals"), (F.col("_k") + 1).alias("rank"))
 
 
 @F.pandas_udf(T.IntegerType())
