@@ -60,8 +60,17 @@ def haversine_km(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
 def seeded_hash(seed, *keys) -> Column:
     """60-bit draw that depends on seed and keys only, so any partitioning gives the same value. Taken modulo a population
     of n it reaches every position, with a bias below n / 2**60."""
+    return F.conv(F.substring(_seeded_digits(seed, *keys), 1, 15), 16, 10).cast("long")
+
+
+def seeded_even(seed, *keys) -> Column:
+    """Whether ``seeded_hash`` is even, from its last digit alone."""
+    return F.substring(_seeded_digits(seed, *keys), 15, 1).isin(*"02468ace")
+
+
+def _seeded_digits(seed, *keys) -> Column:
     parts = [seed if isinstance(seed, Column) else F.lit(str(seed))] + [col(k).cast("string") for k in keys]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+    return F.md5(F.concat_ws("|", *parts))
 
 
 def seeded_unit(seed, *keys) -> Column:

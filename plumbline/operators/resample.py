@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.core import div, seeded_hash
+from plumbline.functions.core import div, seeded_even, seeded_hash
 from plumbline.operators.ranking import hash_order
 from plumbline.operators.replicates import LEAF_ROWS, places, replicate_sums, word
+from plumbline.session import spread
 
 
 def draws(positioned: DataFrame, by: list[str], reps: int, seed, keep: list[str]) -> DataFrame:
@@ -141,8 +142,9 @@ def sign_flip_p(df: DataFrame, by: list[str], diff: str, key: str, exact_up_to:
     pat = arr.withColumn("_mask", F.explode(F.expr("sequence(0, shiftleft(1, cast(n AS int)) - 1)")))
     signed = F.transform("_a", lambda x, i: F.when(F.getbit(F.col("_mask"), i) == 1, x).otherwise(-x))
     exact = pat.withColumn("null", F.aggregate(signed, F.lit(0.0), lambda s, v: s + v) / F.col("n")).groupBy(*g).agg(F.avg(extreme.cast("double")).alias("p_value"), F.lit("exact").alias("method"))
-    sampled = rows.filter((F.col("n") > exact_up_to) & F.lit(reps > 0)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(max(1, reps)))))
-    flip = F.when(seeded_hash(seed, "rep", "_key") % 2 == 0, 1.0).otherwise(-1.0)
+    # a row becomes as many as there are replicates: rows are dealt to all tasks first, and a sign is the last bit of the hash, read off its last digit
+    sampled = spread(rows.filter((F.col("n") > exact_up_to) & F.lit(reps > 0))).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(max(1, reps)))))
+    flip = F.when(seeded_even(seed, "rep", "_key"), 1.0).otherwise(-1.0)
     sampled = sampled.groupBy(*g, "rep", "observed").agg(F.avg(flip * F.abs("_d")).alias("null"))
     sampled = sampled.groupBy(*g).agg(((F.count_if(extreme) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"), F.lit("sampled").alias("method"))
     return n.join(exact.unionByName(sampled), g, "left").select(*by, "n", "observed", F.coalesce("method", F.lit("none")).alias("method"), "p_value")
