@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: larger files are not read as one value; a value ends at 2 GB
+WHOLE_BYTES, PIECE_BYTES = 128 << 20, 8 << 20
+
 
 def write_with_provenance(df: DataFrame, path: str, sources: list[str], partition_by: list[str] | None = None) -> DataFrame:
     """Zstd parquet plus a one-row provenance record; the row count is observed while writing."""
@@ -38,7 +44,35 @@ def write_release(units: DataFrame, boundaries: DataFrame, path: str, files: int
     d.repartitionByRange(files, "morton").sortWithinPartitions("morton", key).drop("morton").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def manifest(spark: SparkSession, glob: str) -> DataFrame:
-    """Name, size and SHA-256 of every file; a file is hashed where it is read."""
+def _opened(path: str):
+    """A stream of a file from wherever a worker can open it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream("/" + path[len("file:") :].lstrip("/"), compression=None)
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(inner, compression=None)
+
+
+def _streamed(batches):
+    for pdf in batches:
+        sums = []
+        for path in pdf["path"]:
+            h = hashlib.sha256()
+            with _opened(path) as f:
+                while chunk := f.read(PIECE_BYTES):
+                    h.update(chunk)
+            sums.append(h.hexdigest())
+        yield pdf.assign(sha256=sums)
+
+
+def manifest(spark: SparkSession, glob: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """Name, size and SHA-256 of every file; a file is hashed where it is read.
+
+    Files up to ``whole_bytes`` are values of one row; larger ones, which may exceed what a row holds, are hashed piece by piece, one file a task. A hash takes its
+    file from the first byte to the last, so no file is split over tasks."""
     f = spark.read.format("binaryFile").load(glob)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    small = f.filter(F.col("length") <= whole_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    sizes = f.filter(F.col("length") > whole_bytes).select("path", "length")  # contents are not read here
+    n = sizes.count()
+    if n:
+        small = small.unionByName(sizes.repartition(n, "path").mapInPandas(_streamed, "path string, length long, sha256 string"))
+    return small.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size_bytes"), "sha256")
