@@ -18,3 +18,10 @@ def test_manifest_of_a_file_beyond_a_row(spark, tmp_path):
         f.truncate((1 << 31) + 5)  # sparse
     row = X.manifest(spark, f"{tmp_path}/*.parquet").first()
     assert row["size_bytes"] == (1 << 31) + 5 and len(row["sha256"]) == 64
+
+
+def test_manifest_of_paths_only_spark_opens(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.parquet").write_bytes(b"x" * 5_000)
+    assert X._opens(f"file:{tmp_path}/a.parquet") and not X._opens("nowhere://host/a.parquet")
+    monkeypatch.setattr(X, "_opens", lambda path: False)
+    assert X.manifest(spark, f"{tmp_path}/*.parquet", 1_000).first()["sha256"] == hashlib.sha256(b"x" * 5_000).hexdigest()
