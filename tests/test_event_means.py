@@ -46,3 +46,12 @@ def test_event_validation_ranks_exact_means(spark, tmp_path):
     assert first == second
     want = _correlations(li)
     assert {(e, l): (pytest.approx(rho, abs=2e-8), n) for e, l, rho, n in first} == want
+
+
+def test_validation_robustness_uses_exact_means(spark, tmp_path):
+    li, (first, second) = _in_two_orders(spark, tmp_path, "r20_validation_robustness")
+    assert first == second
+    rho = pd.Series({k: r for k, (r, _) in _correlations(li).items()}).unstack()  # events x levels
+    best = rho.idxmax(axis=1).value_counts()
+    want = [(lv, *(pytest.approx(x, abs=2e-7) for x in (c.mean(), c.median(), c.min(), c.max())), len(c), best.get(lv, 0)) for lv, c in rho.items()]
+    assert first == sorted(want, key=lambda r: r[0])
