@@ -119,7 +119,8 @@ OVL = f"SELECT zcta_id, poly_id, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'X500' E
 
 @query("j11_overlay_pairs", W("units", u=UBOX, b=BOX, o=OVL) + "SELECT zcta_id, poly_id, round(o, 7) AS overlap FROM o WHERE o > 1e-9")
 def _(t):
-    return rnd(S.overlay(_unit_boxes(t), _boxes(t), "zcta_id", "poly_id").filter("overlap > 1e-9"), 7, "overlap")
+    o = S.overlay_lists(_unit_boxes(t), _boxes(t), "zcta_id", "poly_id").filter("overlap > 1e-9")
+    return S.expanded(rnd(o, 7, "overlap"), "zcta_id", "poly_id")
 
 
 @query("j11_zone_percentages", W("units", u=UBOX, b=BOX, o=OVL, g="SELECT zcta_id, sum(CASE WHEN cls = 'A' THEN o ELSE 0 END) AS a, sum(CASE WHEN cls <> 'A' THEN o ELSE 0 END) AS x FROM o GROUP BY 1",
